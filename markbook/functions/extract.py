@@ -171,10 +171,13 @@ def raw_answer(c: Column, use_last_number: bool = True) -> Column:
     return let(replace(c, "ки"), run)
 
 
-def extract_answer(c: Column, dataset: str = "math", use_last_number: bool = True) -> Column:
-    """Final answer of a completion, normalised, by the rules of ``dataset``."""
+def extract_answer(c: Column, dataset: str = "math", use_last_number: bool = True, times: int = 1) -> Column:
+    """Final answer of a completion, normalised (``times`` over), by the rules of ``dataset``."""
+    skip_unit = dataset in V.UNSTRIPPED_DATASETS
     if dataset in V.CHOICE_DATASETS:
-        return choice_answer(replace(c, "ки"))
+        # A choice answer is cleaned, not normalised, so the first round falls away.
+        cleaned = choice_answer(replace(c, "ки"))
+        return cleaned if times == 1 else normalize_answer(cleaned, skip_unit, times - 1)
     found = raw_answer(c, use_last_number)
     if "mmlu" in dataset:
         found = let(
@@ -183,7 +186,7 @@ def extract_answer(c: Column, dataset: str = "math", use_last_number: bool = Tru
                 F.coalesce(last_of(find_all(F.upper(t), LETTER_CHOICE)), strip(strip(t), "."))
             ),
         )
-    return normalize_answer(trim_answer(found), skip_unit=dataset in V.UNSTRIPPED_DATASETS)
+    return normalize_answer(trim_answer(found), skip_unit, times)
 
 
 # ---------------------------------------------------------------- completions
@@ -196,8 +199,12 @@ def completion_text(text: Column, prompt: Column) -> Column:
 
 def cut_at_stop_words(c: Column, stop_words) -> Column:
     """Cut at each stop word, in list order."""
+
+    def cut(word):
+        return lambda t: F.when(t.contains(word), strip(before(t, word))).otherwise(t)
+
     for word in stop_words:
-        c = let(c, lambda t, w=word: F.when(t.contains(w), strip(before(t, w))).otherwise(t))
+        c = let(c, cut(word))
     return c
 
 
@@ -209,13 +216,19 @@ def is_choice_text(c: Column) -> Column:
 def repair_choice(pred: Column, gt: Column, code: Column) -> Column:
     """Bring a prediction into choice form where the gold answer is one."""
     letters = V.CHOICE_LETTERS
-    return (
-        F.when(gt.isin(letters) & ~F.coalesce(pred.isin(letters), F.lit(False)), choice_answer(code))
-        .when(
-            is_choice_text(gt) & ~is_choice_text(pred), F.regexp_replace(pred, "[^A-E]", "")
+
+    def run(r):
+        pred, gt = r["pred"], r["gt"]
+        return (
+            F.when(
+                gt.isin(letters) & ~F.coalesce(pred.isin(letters), F.lit(False)),
+                choice_answer(r["code"]),
+            )
+            .when(is_choice_text(gt) & ~is_choice_text(pred), F.regexp_replace(pred, "[^A-E]", ""))
+            .otherwise(pred)
         )
-        .otherwise(pred)
-    )
+
+    return let(F.struct(pred.alias("pred"), gt.alias("gt"), code.alias("code")), run)
 
 
 def last_output_block(c: Column) -> Column:
@@ -228,8 +241,14 @@ def output_blocks(c: Column) -> Column:
 
 def predict(code: Column, prompt_type: str, dataset: str) -> Column:
     """Prediction of one completion: last output block or answer text; null for a failed one."""
-    found = (
-        last_output_block(code) if "program_only" in prompt_type else extract_answer(code, dataset)
-    )
-    cleaned = normalize_answer(found, skip_unit=dataset in V.UNSTRIPPED_DATASETS)
-    return F.when((code != "") & (code != "error"), cleaned)
+
+    def run(text):
+        if "program_only" in prompt_type:
+            found = normalize_answer(
+                last_output_block(text), skip_unit=dataset in V.UNSTRIPPED_DATASETS
+            )
+        else:
+            found = extract_answer(text, dataset, times=2)
+        return F.when((text != "") & (text != "error"), found)
+
+    return let(code, run)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def same_choice(pred: Column, gt: Column) -> Column:
 
 def same_number(a: Column, b: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
     """Close to the gold number, or to it as a percentage either way round."""
-    hit = is_close(a, b, tol)
-    if percent:
-        hit = is_close(a, b / 100, tol) | hit | is_close(a, b * 100, tol)
-    return hit
+    if not percent:
+        return is_close(a, b, tol)
+    return F.exists(F.array(b / 100, b, b * 100), lambda gold: is_close(a, gold, tol))
+
+
+def _both(pred: Column, gt: Column, parse, body) -> Column:
+    """Parse prediction and gold with one copy of ``parse`` and hand both values on."""
+    return let(F.transform(F.array(pred, gt), parse), lambda v: body(F.get(v, F.lit(0)), F.get(v, F.lit(1))))
 
 
 def _between_brackets(c: Column, opening: str, closing: str) -> Column:
@@ -70,43 +76,39 @@ def closed_form(c: Column) -> Column:
 
 
 def same_value(pred: Column, gt: Column, tol: float = V.REL_TOL) -> Column:
-    return F.coalesce(is_close(closed_form(pred), closed_form(gt), tol), F.lit(False))
+    return _both(
+        pred, gt, closed_form, lambda p, g: F.coalesce(is_close(p, g, tol), F.lit(False))
+    )
 
 
 def simple_match(pred: Column, gt: Column, tol: float, percent: bool) -> Column:
     """All rungs for an element that is not itself a tuple, matrix or equation."""
 
-    def decide(n):
+    def decide(p, g):
         return (
             F.when(same_text(pred, gt) | same_choice(pred, gt), True)
-            .when(
-                n["p"].isNotNull() & n["g"].isNotNull(), same_number(n["p"], n["g"], tol, percent)
-            )
+            .when(p.isNotNull() & g.isNotNull(), same_number(p, g, tol, percent))
             .when(pred == "", False)
-            .otherwise(
-                same_without_brackets(strip(pred), strip(gt)) | same_value(pred, gt, tol)
-            )
+            .otherwise(same_without_brackets(strip(pred), strip(gt)) | same_value(pred, gt, tol))
         )
 
-    return let(F.struct(parse_digits(pred).alias("p"), parse_digits(gt).alias("g")), decide)
+    return _both(pred, gt, parse_digits, decide)
 
 
-def _all_pairs(left: Column, right: Column, tol: float, percent: bool) -> Column:
-    return (F.size(left) == F.size(right)) & F.forall(
-        F.zip_with(left, right, lambda a, b: simple_match(a, b, tol, percent)), lambda ok: ok
-    )
+def _zip(left: Column, right: Column) -> Column:
+    """Pairs of two arrays of one length; null when the lengths differ."""
+    pairs = F.zip_with(left, right, lambda a, b: F.struct(a.alias("p"), b.alias("g")))
+    return F.when(F.size(left) == F.size(right), pairs)
 
 
-def same_tuple(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
-    """Tuples, points and intervals: same arity and every element matches."""
+def tuple_pairs(pred: Column, gt: Column) -> Column:
+    """Elements of two tuples, points or intervals side by side; null for anything else."""
     shape = r"(?d)^[(\[].+[)\]]"
 
     def parts(c):
         return pieces(F.substr(c, F.lit(2), F.length(c) - 2), ",")
 
-    return F.when(
-        pred.rlike(shape) & gt.rlike(shape), _all_pairs(parts(pred), parts(gt), tol, percent)
-    ).otherwise(False)
+    return F.when(pred.rlike(shape) & gt.rlike(shape), _zip(parts(pred), parts(gt)))
 
 
 def set_as_matrix(gt: Column) -> Column:
@@ -121,93 +123,110 @@ def set_as_matrix(gt: Column) -> Column:
     return F.array_join(rows, ", ")
 
 
-def same_matrix(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
-    r"""Matrices: rows split at ``\\``, cells at ``&``; blank rows do not count."""
+def matrix_pairs(pred: Column, gt: Column) -> Column:
+    r"""Cells of two matrices side by side: rows split at ``\\``, cells at ``&``.
+
+    Blank rows do not count; null when a shape differs.
+    """
     shape = r"(?s)^\\begin\{[pb]matrix\}.*\\end\{[pb]matrix\}\z"
 
     def rows(c):
         body = F.regexp_replace(c, r"^\\begin\{[pb]matrix\}|\\end\{[pb]matrix\}\z", "")
-        return F.filter(
-            F.transform(pieces(body, "\\\\"), lambda row: strip(row)), lambda row: row != ""
-        )
+        texts = F.transform(pieces(body, "\\\\"), lambda row: strip(row))
+        return F.transform(F.filter(texts, lambda row: row != ""), lambda row: pieces(row, "&"))
 
-    def compare(both):
-        return (F.size(both["p"]) == F.size(both["g"])) & F.forall(
-            F.zip_with(
-                both["p"],
-                both["g"],
-                lambda a, b: _all_pairs(pieces(a, "&"), pieces(b, "&"), tol, percent),
-            ),
-            lambda ok: ok,
+    def cells(p, g):
+        even = (F.size(p) == F.size(g)) & F.forall(
+            F.zip_with(p, g, lambda a, b: F.size(a) == F.size(b)), lambda ok: ok
         )
+        return F.when(even, _zip(F.flatten(p), F.flatten(g)))
 
-    both = F.struct(rows(pred).alias("p"), rows(gt).alias("g"))
-    return F.when(pred.rlike(shape) & gt.rlike(shape), let(both, compare)).otherwise(False)
+    return F.when(pred.rlike(shape) & gt.rlike(shape), _both(pred, gt, rows, cells))
 
 
-def same_one_sided(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
+def one_sided_pairs(pred: Column, gt: Column) -> Column:
     """``x = 5`` against ``5``: a name of at most two characters before the sign is left out."""
 
     def named(c):
         return (count_of(c, "=") == 1) & (F.length(strip(before(c, "="))) <= 2)
 
-    return (
-        F.when(named(pred) & ~gt.contains("="), simple_match(after_last(pred, "="), gt, tol, percent))
-        .when(named(gt) & ~pred.contains("="), simple_match(pred, after_last(gt, "="), tol, percent))
-        .otherwise(False)
+    def pair(p, g):
+        return F.array(F.struct(p.alias("p"), g.alias("g")))
+
+    return F.when(named(pred) & ~gt.contains("="), pair(after_last(pred, "="), gt)).when(
+        named(gt) & ~pred.contains("="), pair(pred, after_last(gt, "="))
     )
 
 
+def structured_rung(pred: Column, gt: Column, tol: float, percent: bool) -> Column:
+    """First of tuple, matrix and one_sided whose pairs all match; null when none does."""
+    shapes = [
+        ("tuple", tuple_pairs(pred, gt)),
+        ("matrix", matrix_pairs(pred, gt)),
+        ("one_sided", one_sided_pairs(pred, gt)),
+    ]
+    tried = F.array(*[F.struct(F.lit(n).alias("rung"), c.alias("pairs")) for n, c in shapes])
+    matched = F.filter(
+        tried,
+        lambda s: s["pairs"].isNotNull()
+        & F.forall(s["pairs"], lambda x: simple_match(x["p"], x["g"], tol, percent)),
+    )
+    return F.get(matched, F.lit(0))["rung"]
+
+
+def grading_rung(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
+    """Name of the first rule that decides; later, dearer rules run only when reached."""
+
+    def structured(p, g):
+        def run(t):
+            return F.when(same_without_brackets(p, t), "brackets").otherwise(
+                F.coalesce(
+                    structured_rung(p, t, tol, percent),
+                    F.when(same_value(p, t, tol), "value").otherwise("none"),
+                )
+            )
+
+        target = F.when(p.contains("pmatrix") & ~g.contains("pmatrix"), set_as_matrix(g)).otherwise(g)
+        return let(target, run)
+
+    def by_number(r):
+        def run(p, g):
+            close = F.when(same_number(p, g, tol, percent), "number").otherwise("number_differs")
+            return (
+                F.when(p.isNotNull() & g.isNotNull(), close)
+                .when(r["pred"] == "", "empty")
+                .otherwise(structured(strip(r["pred"]), strip(r["gt"])))
+            )
+
+        return _both(r["pred"], r["gt"], parse_digits, run)
+
+    def run(r):
+        return (
+            F.when(r["pred"].isNull() | r["gt"].isNull(), "null")
+            .when(same_text(r["pred"], r["gt"]), "text")
+            .when(same_choice(r["pred"], r["gt"]), "choice")
+            .otherwise(by_number(r))
+        )
+
+    return let(F.struct(pred.alias("pred"), gt.alias("gt")), run)
+
+
+@lru_cache(maxsize=64)
+def _rung(pred: str, gt: str, tol: float, percent: bool, application: str) -> Column:
+    """The rung column; a large expression, so it is built once per application."""
+    return grading_rung(F.col(pred), F.col(gt), tol, percent)
+
+
 def grade(
     df: DataFrame, pred: str = "pred", gt: str = "gt", tol: float = V.REL_TOL, percent: bool = True
 ) -> DataFrame:
     """Add ``score`` (boolean) and ``rung`` (the rule that decided).
 
-    Two projections: the parsed numbers first, then one CASE whose later, dearer branches run
-    only for rows the earlier ones leave open.  No row leaves its partition.
+    One CASE per row and no shuffle; prediction and gold enter the expression once each, so a
+    filter on the score that Spark pushes down stays as small as the column itself.
     """
-    p, g = F.col(pred), F.col(gt)
-    ready = df.select(
-        "*",
-        strip(p).alias("_p"),
-        strip(g).alias("_g"),
-        F.when(~F.coalesce(same_text(p, g), F.lit(True)), parse_digits(p)).alias("_pn"),
-        F.when(~F.coalesce(same_text(p, g), F.lit(True)), parse_digits(g)).alias("_gn"),
-    )
-    sp, sg = F.col("_p"), F.col("_g")
-    target = F.when(
-        sp.contains("pmatrix") & ~sg.contains("pmatrix"), set_as_matrix(sg)
-    ).otherwise(sg)
-    numeric = F.col("_pn").isNotNull() & F.col("_gn").isNotNull()
-
-    def structured(t):
-        return (
-            F.when(same_without_brackets(sp, t), "brackets")
-            .when(same_tuple(sp, t, tol, percent), "tuple")
-            .when(same_matrix(sp, t, tol, percent), "matrix")
-            .when(same_one_sided(sp, t, tol, percent), "one_sided")
-            .when(same_value(sp, t, tol), "value")
-            .otherwise("none")
-        )
-
-    rung = (
-        F.when(p.isNull() | g.isNull(), "null")
-        .when(same_text(p, g), "text")
-        .when(same_choice(p, g), "choice")
-        .when(
-            numeric,
-            F.when(same_number(F.col("_pn"), F.col("_gn"), tol, percent), "number").otherwise(
-                "number_differs"
-            ),
-        )
-        .when(p == "", "empty")
-        .otherwise(let(target, structured))
-    )
-    return (
-        ready.withColumn("rung", rung)
-        .withColumn("score", F.col("rung").isin(PASSING_RUNGS))
-        .drop("_p", "_g", "_pn", "_gn")
-    )
+    rung = _rung(pred, gt, tol, percent, df.sparkSession.sparkContext.applicationId)
+    return df.withColumn("rung", rung).withColumn("score", F.col("rung").isin(PASSING_RUNGS))
 
 
 # ---------------------------------------------------------------- other comparisons

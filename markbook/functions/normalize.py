@@ -83,7 +83,10 @@ def words_to_number(c: Column) -> Column:
     one that names thousand, million, billion or point twice or in a rising order.
     """
     names = list(V.NUMBER_WORDS)
-    table = F.create_map(*[F.lit(x) for k, v in V.NUMBER_WORDS.items() for x in (k, float(v))])
+    table = F.map_from_arrays(
+        F.split(F.lit(" ".join(names)), " "),
+        F.split(F.lit(" ".join(str(v) for v in V.NUMBER_WORDS.values())), " ").cast("array<double>"),
+    )
     any_name = rf"(?i)(?:^|[-\s])(?:{'|'.join(names)})(?:[-\s]|$)"
     bad_order = (
         r"(thousand|million|billion|point)\b.*\b\1"
@@ -110,7 +113,7 @@ def words_to_number(c: Column) -> Column:
     def run(text):
         words = F.filter(
             F.split(F.lower(replace(text, "-", " ")), r"\s+"),
-            lambda w: w.isin(names + ["point"]),
+            lambda w: (w == "point") | F.map_contains_key(table, w),
         )
 
         def value(words):
@@ -193,18 +196,24 @@ def _close_text(c: Column) -> Column:
     return fix_slash(c)
 
 
-def normalize_answer(c: Column, skip_unit: bool = False) -> Column:
-    """One canonical text per answer: LaTeX spellings, units, signs, fractions, number words."""
+def normalize_answer(c: Column, skip_unit: bool = False, times: int = 1) -> Column:
+    """One canonical text per answer: LaTeX spellings, units, signs, fractions, number words.
+
+    ``times`` runs the rewrites again on their result; they stand in the plan only once.
+    """
 
     def full(text):
         opened = _open_text(text)
         return _close_text(opened if skip_unit else strip_units(opened))
 
-    # Plain integers and choice letters are fixed points of every rewrite.
-    return let(
-        strip(c),
-        lambda t: F.when(t.rlike(r"^(?:-?[1-9][0-9]*|0|[A-E])\z"), t).otherwise(full(t)),
-    )
+    def run(t):
+        # Plain integers and choice letters are fixed points of every rewrite.
+        return F.when(t.rlike(r"^(?:-?[1-9][0-9]*|0|[A-E])\z"), t).otherwise(full(t))
+
+    if times == 1:
+        return let(strip(c), run)
+    rounds = F.sequence(F.lit(1), F.lit(times))
+    return F.aggregate(rounds, strip(c), lambda text, _: run(strip(text)))
 
 
 def normalize_relations(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ def clean_completions(df: DataFrame, prompt_type: str, text: str = "text", promp
     return df.withColumn("code", cut_at_stop_words(code, stop_words_for(prompt_type)))
 
 
+@lru_cache(maxsize=64)
+def _prediction(dataset: str, prompt_type: str, application: str) -> Column:
+    """The prediction column; a large expression, so it is built once per application."""
+    found = predict(F.col("code"), prompt_type, dataset)
+    return repair_choice(found, F.col("gt"), F.col("code"))
+
+
 def with_predictions(df: DataFrame, dataset: str, prompt_type: str = "cot") -> DataFrame:
     """``pred`` from ``code``, put into choice form where ``gt`` is one."""
-    found = df.withColumn("pred", predict(F.col("code"), prompt_type, dataset))
-    return found.withColumn("pred", repair_choice(F.col("pred"), F.col("gt"), F.col("code")))
+    application = df.sparkSession.sparkContext.applicationId
+    return df.withColumn("pred", _prediction(dataset, prompt_type, application))
 
 
 def grade_completions(df: DataFrame, dataset: str = "math", prompt_type: str = "cot") -> DataFrame:

@@ -104,15 +104,13 @@ def position_curve(graded: DataFrame, span: int = 4096) -> DataFrame:
             "range",
             F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("e0"),
             F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q0"),
+            F.sum("q").over(Window.partitionBy()).alias("total"),
         )
     )
     curve = joint.withColumn("e", F.sum("ended").over(upto)).join(offsets, "range")
-    total = per_question(graded).agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
     # The row one past the longest question only closes the sums.
     return (
-        curve.withColumn("_one", F.lit(1))
-        .join(F.broadcast(total), "_one")
-        .withColumn("q", F.col("q0") + F.sum("questions").over(upto))
+        curve.withColumn("q", F.col("q0") + F.sum("questions").over(upto))
         .filter(F.col("q") < F.col("total"))
         .select(
             "position",

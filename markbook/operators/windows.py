@@ -120,7 +120,7 @@ def crop_documents(docs: DataFrame, key: str, tokens: Column, n: int, length: in
     long_enough = docs.select(key, tokens.alias("tokens")).filter(F.size("tokens") >= length)
     chosen = long_enough.withColumn("_order", order).orderBy("_order", key).limit(n)
     place = F.col("_order") if offset is None else offset
-    first = F.pmod(place, F.size("tokens") - length + 1).cast("int")
+    first = F.pmod(place, F.greatest(F.size("tokens") - length, F.lit(1))).cast("int")
     return chosen.select(key, F.slice("tokens", first + 1, F.lit(length)).alias("tokens"))
 
 
