@@ -47,7 +47,7 @@ def grade_distinct(df: DataFrame) -> DataFrame:
 
 def remaining(questions: DataFrame, done: DataFrame, key: str = "idx") -> DataFrame:
     """Questions that have no finished result yet."""
-    return questions.join(done.select(key), key, "left_anti")
+    return questions.join(done.select(key).distinct(), key, "left_anti")
 
 
 def attach_results(samples: DataFrame, results: DataFrame, keys=("idx", "sample_id")) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import bytes_per_value, mean_negative_logprob
+from .ordering import order_buckets
 
 
 def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx")) -> DataFrame:
@@ -70,25 +71,26 @@ def normalized_cost(df: DataFrame, cost: str = "cost") -> DataFrame:
 def cost_curve(df: DataFrame, series: str, cost: str = "cost", value: str = "accuracy", tie: str | None = None) -> DataFrame:
     """Points of each series in cost order, with the point before and the slope to it.
 
-    A series is split into cost ranges so that one long series does not sit in one task; the
-    last point of the range before carries over.
+    A series is split into ranges along the sort order (also inside a cost that repeats very
+    often), so one long series does not sit in one task; the last point of the range before
+    carries over.
     """
-    from .ordering import bucket_of, key_cuts
-
     order = [cost, value, *([tie] if tie else [])]
     point = F.struct(*order)
-    bucketed = df.withColumn("_bucket", bucket_of(F.col(cost), key_cuts(df, cost)))
-    inside = Window.partitionBy(series, "_bucket").orderBy(*order)
-    ends = bucketed.groupBy(series, "_bucket").agg(F.max(point).alias("_end"))
-    # One row per series and range: at most a few hundred rows per series.
+    ranges = order_buckets(df, order)
+    names = [f"_b{i}" for i in range(len(ranges))]
+    bucketed = df.select("*", *ranges)
+    inside = Window.partitionBy(series, *names).orderBy(*order)
+    ends = bucketed.groupBy(series, *names).agg(F.max(point).alias("_end"))
+    # One row per series and range.
     carried = ends.select(
         series,
-        "_bucket",
-        F.lag("_end").over(Window.partitionBy(series).orderBy("_bucket")).alias("_before"),
+        *names,
+        F.lag("_end").over(Window.partitionBy(series).orderBy(*names)).alias("_before"),
     )
     linked = (
         bucketed.withColumn("_prev", F.lag(point).over(inside))
-        .join(carried, [series, "_bucket"])
+        .join(carried, [series, *names])
         .withColumn("_prev", F.coalesce("_prev", "_before"))
     )
     run = F.col(cost) - F.col(f"_prev.{cost}")

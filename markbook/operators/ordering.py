@@ -38,31 +38,114 @@ def bucket_of(key: Column, cuts: list) -> Column:
 
 
 def running_sum(
-    df: DataFrame, key: str, weight: Column, start: str, cuts: list | None = None
+    df: DataFrame, key: str, weight: Column, start: str, cuts: list | None = None, by=()
 ) -> DataFrame:
-    """Add ``start``: the sum of ``weight`` over all rows with a smaller ``key``.
+    """Add ``start``: the sum of ``weight`` over all rows of the group with a smaller ``key``.
 
-    ``key`` must be unique.  Bucket totals (one row per bucket, so safe to broadcast) give the
-    offset of each bucket; inside a bucket an ordinary window does the rest.
+    ``key`` must be unique within its group.  Bucket totals give the offset of each bucket;
+    inside a bucket an ordinary window does the rest.  Without groups the totals are one row per
+    bucket and safe to broadcast; with groups Spark chooses the join by their size.
     """
+    by = list(by)
     cuts = key_cuts(df, key) if cuts is None else cuts
     bucketed = df.withColumn("_bucket", bucket_of(F.col(key), cuts)).withColumn("_weight", weight)
-    totals = bucketed.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_weight").alias("_total"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
+        *by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
     )
     inside = (
-        Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         bucketed.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
         .withColumn(start, (F.col("_offset") + F.col("_inside")).cast("long"))
         .drop("_bucket", "_weight", "_offset", "_inside")
     )
 
 
+def exact_quantiles(df: DataFrame, value: str, shares, names, by=()) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group.
+
+    Values are counted first, so a value that fills a third of the table is one row; a running
+    sum of the counts gives every value its ranks, and each quantile picks the values at its two
+    neighbouring ranks.  No task holds a group's values.
+    """
+    by = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = running_sum(counts, value, F.col("_n"), "_start", by=by)
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    if by:
+        ranked = placed.join(sizes, by)
+    else:
+        one = F.lit(1).alias("_one")
+        ranked = placed.select("*", one).join(F.broadcast(sizes.select("*", one)), "_one")
+
+    def at(rank):
+        here = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n"))
+        return F.max(F.when(here, F.col(value)))
+
+    columns = []
+    for share, name in zip(shares, names):
+        place = F.lit(float(share)) * (F.col("_size") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        columns.append((low, high, F.max(place - F.floor(place)), name))
+    table = ranked.groupBy(*by).agg(
+        *[c.alias(f"{n}{part}") for lo, hi, fr, n in columns for c, part in ((lo, "_lo"), (hi, "_hi"), (fr, "_fr"))]
+    )
+    return table.select(
+        *by,
+        *[
+            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_fr")).alias(n)
+            for n in names
+        ],
+    )
+
+
+def order_buckets(df: DataFrame, keys, buckets: int | None = None) -> list[Column]:
+    """Bucket columns that follow the order of ``keys``, even where a value repeats very often.
+
+    A value of the first key that holds more than a bucket's share of the rows (it shows up
+    twice among the quantiles, so there are fewer of them than buckets) is cut further by the
+    next key, and so on.  All lists on the driver are bounded by the number of buckets.
+    """
+    if buckets is None:
+        buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2, min(buckets, MAX_BUCKETS))
+    shares = [i / buckets for i in range(1, buckets)]
+    found = {(): df.agg(F.percentile_approx(keys[0], shares, 10000).alias("cuts")).first()["cuts"] or []}
+    columns = []
+    for depth, key in enumerate(keys):
+        column, hot = F.lit(0), []
+        for path, cuts in found.items():
+            inside = F.lit(True)
+            for name, val in zip(keys, path):
+                inside = inside & (F.col(name) == F.lit(val))
+            # A bucket that starts with a hot value holds that value first, then larger ones.
+            place = bucket_of(F.col(key), sorted(set(cuts))) * 2
+            often = sorted({v for v in cuts if cuts.count(v) > 1})
+            if often:
+                place = place + F.when(F.col(key).isin(often), 0).otherwise(1)
+            column = F.when(inside, place).otherwise(column) if path else place
+            hot += [(*path, v) for v in often]
+        columns.append(column.alias(f"_b{depth}"))
+        if not hot or depth + 1 == len(keys):
+            break
+        used = list(keys[: depth + 1])
+        wanted = F.lit(False)
+        for path in hot:
+            same = F.lit(True)
+            for name, val in zip(used, path):
+                same = same & (F.col(name) == F.lit(val))
+            wanted = wanted | same
+        rows = df.filter(wanted).groupBy(*used).agg(
+            F.percentile_approx(keys[depth + 1], shares, 10000).alias("cuts")
+        ).collect()
+        found = {tuple(r[u] for u in used): r["cuts"] or [] for r in rows}
+    return columns
+
+
 def with_index(df: DataFrame, key: str, name: str = "idx", cuts: list | None = None) -> DataFrame:
     """Put a gap-free 0-based position by ``key`` in front, unless the column is there already."""
     if name in df.columns:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import exact_quantiles
+
 # The names of run folders and metric files.
 METRIC_FILE = (
     r"^test_qwen25-math-cot_-1_seed0_t0\.0_top_k(\d+)_enable_thinking(True|False)"
@@ -73,26 +75,26 @@ def pivot_mean(runs: DataFrame, index, column: str, values, value: str = "accura
     return table.select(*index, *[c.alias(f"{column}_{v}") for c, v in zip(shown, values)])
 
 
+def _with_one(df: DataFrame) -> DataFrame:
+    return df.select("*", F.lit(1).alias("_one"))
+
+
 def describe(runs: DataFrame, value: str = "accuracy") -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles, maximum."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return runs.agg(
+    """Count, mean, sample deviation, minimum, exact quartiles, maximum (one row)."""
+    basic = runs.agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        q.alias("_q"), F.max(value).alias("max"),
-    ).select(
-        "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"), "max",
+        F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+    )
+    quartiles = exact_quantiles(runs, value, (0.25, 0.5, 0.75), ("p25", "p50", "p75"))
+    return _with_one(basic).join(_with_one(quartiles), "_one").select(
+        "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
 def five_numbers(runs: DataFrame, by: str, value: str = "accuracy") -> DataFrame:
-    """Box-plot numbers per group: minimum, quartiles, maximum."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    names = ["low", "q1", "median", "q3", "high"]
-    return runs.groupBy(by).agg(q.alias("_q")).select(
-        by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
-    )
+    """Box-plot numbers per group: minimum, exact quartiles, maximum."""
+    names = ("low", "q1", "median", "q3", "high")
+    return exact_quantiles(runs, value, (0.0, 0.25, 0.5, 0.75, 1.0), names, [by])
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -112,26 +114,23 @@ def flag_counts(df: DataFrame, flag: str) -> DataFrame:
 
 
 def hour_stats(runs: DataFrame, seconds: str = "time_seconds") -> DataFrame:
-    hours = F.col(seconds) / 3600
-    return runs.agg(
-        F.avg(hours).alias("mean_hours"), F.median(hours).alias("median_hours"),
-        F.min(hours).alias("min_hours"), F.max(hours).alias("max_hours"),
+    hours = runs.select((F.col(seconds) / 3600).alias("hours"))
+    basic = hours.agg(
+        F.avg("hours").alias("mean_hours"), F.min("hours").alias("min_hours"),
+        F.max("hours").alias("max_hours"),
     )
+    median = exact_quantiles(hours, "hours", (0.5,), ("median_hours",))
+    return _with_one(basic).join(_with_one(median), "_one").drop("_one")
 
 
 def above_quantile(runs: DataFrame, columns, share: float = 0.9) -> DataFrame:
     """Rows above the exact quantile of any of the columns (one row of limits, broadcast)."""
-    limits = runs.agg(*[F.percentile(c, F.lit(share)).alias(f"_q_{c}") for c in columns])
-    hit = F.lit(False)
+    kept, hit = _with_one(runs), F.lit(False)
     for c in columns:
+        limit = exact_quantiles(runs, c, (share,), (f"_q_{c}",))
+        kept = kept.join(F.broadcast(_with_one(limit)), "_one")
         hit = hit | (F.col(c) > F.col(f"_q_{c}"))
-    one = F.lit(1).alias("_one")
-    return (
-        runs.select("*", one)
-        .join(F.broadcast(limits.select("*", one)), "_one")
-        .filter(hit)
-        .select(*runs.columns)
-    )
+    return kept.filter(hit).select(*runs.columns)
 
 
 def best_row(runs: DataFrame, value: str, keys, tie: str) -> DataFrame:
@@ -162,10 +161,12 @@ def summary(runs: DataFrame) -> DataFrame:
 
 
 def setting_table(runs: DataFrame) -> DataFrame:
-    """Accuracy table in reading order: checkpoint, token budget, top-k."""
-    return runs.select("checkpoint", "max_tokens_per_call", "top_k", "accuracy").orderBy(
-        "checkpoint", "max_tokens_per_call", "top_k"
-    )
+    """Accuracy table in reading order: checkpoint, token budget, top-k.
+
+    Accuracy closes the sort key, so a setting with very many runs spans several sort ranges.
+    """
+    order = ["checkpoint", "max_tokens_per_call", "top_k", "accuracy"]
+    return runs.select(*order).orderBy(*order)
 
 
 def sweep_grid(spark: SparkSession, settings: dict[str, list]) -> DataFrame:
@@ -198,4 +199,4 @@ def decode_tasks(tasks: DataFrame, settings: dict[str, list], task: str = "task_
 
 def missing_runs(grid: DataFrame, runs: DataFrame, keys) -> DataFrame:
     """Grid cells without a result."""
-    return grid.join(runs.select(*keys), list(keys), "left_anti")
+    return grid.join(runs.select(*keys).distinct(), list(keys), "left_anti")

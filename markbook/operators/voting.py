@@ -41,11 +41,12 @@ def vote(df: DataFrame, keys=("idx",), answer: str | Column = "pred", carry=("pr
             *[F.min_by(c, "sample_id").alias(c) for c in carry],
         )
     )
-    rank = F.struct(F.col("_votes").alias("votes"), (-F.col("_seen")).alias("early"))
-    won = ballots.groupBy(*keys).agg(
-        F.max_by(F.struct(*carry), rank).alias("_won"), F.max("_votes").alias("votes")
+    # More votes first, then the earlier sample, as one number: sample ids stay below 2**31.
+    last = 2**31 - 1
+    ranked = ballots.withColumn("_rank", F.col("_votes") * F.lit(last + 1) + (F.lit(last) - F.col("_seen")))
+    return ranked.groupBy(*keys).agg(
+        *[F.max_by(c, "_rank").alias(c) for c in carry], F.max("_votes").alias("votes")
     )
-    return won.select(*keys, "_won.*", "votes")
 
 
 def maj_at_k(graded: DataFrame, k: int, key: str = "text", by=()) -> DataFrame:
@@ -55,7 +56,7 @@ def maj_at_k(graded: DataFrame, k: int, key: str = "text", by=()) -> DataFrame:
     """
     first_k = graded.filter(F.col("sample_id") < k)
     answer = "pred" if key == "text" else equivalence_key(F.col("pred"))
-    won = vote(first_k, [*by, "idx"], answer, carry=("pred", "score"))
+    won = vote(first_k, [*by, "idx"], answer, carry=("score",))
     return _share(won, "score", f"maj_at_{k}", by)
 
 

@@ -175,7 +175,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def append_if_new(new: DataFrame, processed: DataFrame, path: str, key: str = "idx") -> bool:
     """Append the rows not processed yet; writes nothing when there are none."""
-    fresh = new.join(processed.select(key), key, "left_anti")
+    fresh = new.join(processed.select(key).distinct(), key, "left_anti")
     if fresh.isEmpty():
         return False
     write_jsonl(fresh.select(*new.columns), path, mode="append")
