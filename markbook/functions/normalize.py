@@ -207,8 +207,8 @@ def normalize_answer(c: Column, skip_unit: bool = False, times: int = 1) -> Colu
         return _close_text(opened if skip_unit else strip_units(opened))
 
     def run(t):
-        # Plain integers and choice letters are fixed points of every rewrite.
-        return F.when(t.rlike(r"^(?:-?[1-9][0-9]*|0|[A-E])\z"), t).otherwise(full(t))
+        # Plain integers, choice letters and nothing at all are fixed points of every rewrite.
+        return F.when(t.rlike(r"^(?:-?[1-9][0-9]*|0|[A-E])?\z"), t).otherwise(full(t))
 
     if times == 1:
         return let(strip(c), run)
