@@ -130,6 +130,7 @@ PROMPT_TEMPLATES = {
 }
 
 # Texts wrapped around prompts.
+THINKING_MODELS = ["qwen3", "openthinker"]
 EMPTY_THINKING = "<think>\n\n</think>\n\n"
 THINKING_END = "</think>"
 THINKING_CLOSER = (

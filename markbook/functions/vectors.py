@@ -14,12 +14,13 @@ def group_params(c: Column, bits: int, groupsize: int, sym: bool = False) -> Col
     The range always spans zero; an all-zero group gets the range [-1, 1].
     """
     maxq = float(2**bits - 1)
-    groups = F.sequence(F.lit(0), F.floor((F.size(c) - 1) / groupsize).cast("int"))
 
-    def params(g):
-        part = F.transform(
-            F.slice(c, g * groupsize + 1, F.lit(groupsize)), lambda x: x.cast("double")
-        )
+    def run(v):
+        groups = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / groupsize).cast("int"))
+        return F.transform(groups, lambda g: params(F.slice(v, g * groupsize + 1, F.lit(groupsize))))
+
+    def params(values):
+        part = F.transform(values, lambda x: x.cast("double"))
         ends = F.struct(
             F.least(F.array_min(part), F.lit(0.0)).alias("lo"),
             F.greatest(F.array_max(part), F.lit(0.0)).alias("hi"),
@@ -45,14 +46,17 @@ def group_params(c: Column, bits: int, groupsize: int, sym: bool = False) -> Col
             s["lo"].alias("lo"), s["hi"].alias("hi"), step.alias("scale"), zero.alias("zero")
         )
 
-    return F.transform(groups, params)
+    return let(c, run)
 
 
 def fake_quantize(c: Column, bits: int, groupsize: int, sym: bool = False) -> Column:
     """Quantise to ``bits`` and back, group by group (rounding half to even)."""
     maxq = float(2**bits - 1)
 
-    def run(params):
+    def run(values):
+        return let(group_params(values, bits, groupsize, sym), lambda p: spend(values, p))
+
+    def spend(values, params):
         def one(x, i):
             p = F.get(params, F.floor(i / groupsize).cast("int"))
             q = F.greatest(
@@ -60,9 +64,9 @@ def fake_quantize(c: Column, bits: int, groupsize: int, sym: bool = False) -> Co
             )
             return p["scale"] * (q - p["zero"])
 
-        return F.transform(c, one)
+        return F.transform(values, one)
 
-    return let(group_params(c, bits, groupsize, sym), run)
+    return let(c, run)
 
 
 def bytes_per_value(bits: Column, groupsize) -> Column:
@@ -107,6 +111,9 @@ def mean_negative_logprob(lp: Column, prompt_len: Column) -> Column:
 
 def mask_all_but_last(tokens: Column, ignored: int = -100) -> Column:
     """Training targets: only the last one counts."""
-    return F.transform(
-        tokens, lambda x, i: F.when(i < F.size(tokens) - 1, F.lit(ignored)).otherwise(x)
-    )
+    def run(t):
+        last = F.size(t) - 1
+        kept = F.slice(t, F.greatest(last + 1, F.lit(1)), F.lit(1))
+        return F.concat(F.array_repeat(F.lit(ignored), F.greatest(last, F.lit(0))), kept)
+
+    return let(tokens, run)

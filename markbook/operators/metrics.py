@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def _score() -> Column:
     return F.col("score").cast("int")
@@ -75,24 +77,27 @@ def position_curve(graded: DataFrame, span: int = 4096) -> DataFrame:
     the number of questions.  Both parts are small aggregates, so nothing is padded for real.
     Running sums go over position ranges of ``span`` with an offset per range.
     """
-    here = graded.groupBy(F.col("sample_id").cast("long").alias("position")).agg(
-        F.sum(_score()).alias("here"), F.lit(0).cast("long").alias("ended"),
-        F.lit(0).cast("long").alias("questions"),
+    rows = graded.select(
+        "idx", F.col("sample_id").cast("long").alias("position"), "sample_id", _score().alias("s")
     )
-    done = (
-        per_question(graded)
-        .groupBy(F.col("n").cast("long").alias("position"))
-        .agg(
-            F.lit(0).cast("long").alias("here"), F.sum("last_score").alias("ended"),
-            F.count("*").alias("questions"),
-        )
+    # One pass gives both kinds of rows: per position its scores, per question its length and end.
+    both = rows.groupingSets([[F.col("idx")], [F.col("position")]], "idx", "position").agg(
+        F.count("*").alias("n"),
+        F.sum("s").alias("here"),
+        F.max_by("s", "sample_id").alias("last"),
+        F.grouping("idx").alias("per_position"),
     )
-    joint = (
-        here.unionByName(done)
+    is_position, nothing = F.col("per_position") == 1, F.lit(0).cast("long")
+    joint = settle(
+        both.select(
+            F.when(is_position, F.col("position")).otherwise(F.col("n")).alias("position"),
+            F.when(is_position, F.col("here")).otherwise(nothing).alias("here"),
+            F.when(is_position, nothing).otherwise(F.col("last").cast("long")).alias("ended"),
+            F.when(is_position, nothing).otherwise(F.lit(1).cast("long")).alias("questions"),
+        )
         .groupBy("position")
         .agg(*[F.sum(c).alias(c) for c in ("here", "ended", "questions")])
-        .withColumn("range", F.floor(F.col("position") / span))
-    )
+    ).withColumn("range", F.floor(F.col("position") / span))
     upto = Window.partitionBy("range").orderBy("position").rowsBetween(
         Window.unboundedPreceding, 0
     )

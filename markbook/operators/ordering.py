@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 MAX_BUCKETS = 512
+MAX_BROADCAST_SPLITS = 200_000
 
 
 def key_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list:
@@ -38,11 +41,13 @@ def bucket_of(key: Column, cuts: list) -> Column:
 
 
 def running_sum(
-    df: DataFrame, key: str, weight: Column, start: str, cuts: list | None = None, by=()
+    df: DataFrame, key: str, weight: Column, start: str, cuts: list | None = None, by=(),
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``start``: the sum of ``weight`` over all rows of the group with a smaller ``key``.
 
-    ``key`` must be unique within its group.  Bucket totals give the offset of each bucket;
+    ``key`` must be unique within its group; ``total`` names a column for the group's whole sum.
+    Bucket totals give the offset of each bucket;
     inside a bucket an ordinary window does the rest.  Without groups the totals are one row per
     bucket and safe to broadcast; with groups Spark chooses the join by their size.
     """
@@ -51,8 +56,9 @@ def running_sum(
     bucketed = df.withColumn("_bucket", bucket_of(F.col(key), cuts)).withColumn("_weight", weight)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_weight").alias("_total"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum("_total").over(Window.partitionBy(*by)).alias(total)] if total else []
     offsets = totals.select(
-        *by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
+        *by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"), *whole
     )
     inside = (
         Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,14 +79,10 @@ def exact_quantiles(df: DataFrame, value: str, shares, names, by=()) -> DataFram
     neighbouring ranks.  No task holds a group's values.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    placed = running_sum(counts, value, F.col("_n"), "_start", by=by)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        ranked = placed.join(sizes, by)
-    else:
-        one = F.lit(1).alias("_one")
-        ranked = placed.select("*", one).join(F.broadcast(sizes.select("*", one)), "_one")
+    counts = settle(
+        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    )
+    ranked = running_sum(counts, value, F.col("_n"), "_start", by=by, total="_size")
 
     def at(rank):
         here = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n"))
@@ -158,6 +160,7 @@ def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:
     """Position by file and place in the file, for frames read straight from files.
 
     Each read split is numbered by its task; split sizes (one row per split) give the offsets.
+    They are broadcast up to a fixed number of splits, so the rows themselves do not move.
     """
     if name in df.columns:
         return df
@@ -167,11 +170,13 @@ def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
     ).withColumn("_at", F.monotonically_increasing_id())
-    sizes = placed.groupBy(*split).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    sizes = settle(placed.groupBy(*split).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
+    if sizes.count() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return placed.join(offsets, split).select(
         (F.col("_offset") + F.col("_at") - F.col("_first")).cast("long").alias(name), *df.columns
     )

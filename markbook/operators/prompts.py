@@ -95,7 +95,7 @@ def demo_text(demos: Column, prompt_type: str, input_template: str) -> Column:
 
 def skips_thinking(model: str, enable_thinking: bool) -> bool:
     name = model.lower()
-    return not enable_thinking and ("qwen3" in name or "openthinker" in name)
+    return not enable_thinking and any(family in name for family in V.THINKING_MODELS)
 
 
 def build_prompts(

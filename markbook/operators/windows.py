@@ -12,6 +12,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ordering import running_sum
 
 
@@ -21,15 +22,20 @@ def words(text: Column) -> Column:
     return F.split(F.trim(text), " ")
 
 
+def _sizes(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, n_tokens) per document: a few bytes each, kept so that the texts are read once for it."""
+    return settle(docs.select(key, F.size(tokens).cast("long").alias("n_tokens")))
+
+
 def with_offsets(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, n_tokens, start): where each document begins in the corpus."""
-    sized = docs.select(key, F.size(tokens).cast("long").alias("n_tokens"))
-    return running_sum(sized, key, F.col("n_tokens"), "start")
+    return running_sum(_sizes(docs, key, tokens), key, F.col("n_tokens"), "start")
 
 
-def _placed(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+def _placed(docs: DataFrame, key: str, tokens: Column, offsets: DataFrame | None = None) -> DataFrame:
     """Documents with their tokens and corpus position."""
-    offsets = with_offsets(docs, key, tokens)
+    if offsets is None:
+        offsets = with_offsets(docs, key, tokens)
     return docs.select(key, tokens.alias("tokens")).join(offsets, key)
 
 
@@ -84,10 +90,12 @@ def sample_windows(docs: DataFrame, key: str, tokens: Column, n: int, length: in
     at most two cells per window.  The ``n`` starts are a parameter-sized table.
     """
     spark = docs.sparkSession
-    placed = _placed(docs, key, tokens).filter(F.col("n_tokens") > 0)
-    total = docs.agg(F.sum(F.size(tokens)).alias("n")).first()["n"] or 0
+    sizes = _sizes(docs, key, tokens)
+    total = sizes.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     if total <= length:
         raise ValueError(f"the corpus has {total} tokens, a window needs more than {length}")
+    offsets = running_sum(sizes, key, F.col("n_tokens"), "start")
+    placed = _placed(docs, key, tokens, offsets).filter(F.col("n_tokens") > 0)
     starts = list(enumerate(window_starts(total, n, length, seed)))
     windows = spark.createDataFrame(starts, "window long, low long").withColumn(
         "cell",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "markbook", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -36,3 +36,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="markbook-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared checkpoint folder.
+
+    For small derived tables that several branches of a plan read, and whose input is dear.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or scratch_dir(spark, "settled"))
+    return df.checkpoint()
