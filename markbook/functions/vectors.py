@@ -69,6 +69,24 @@ def fake_quantize(c: Column, bits: int, groupsize: int, sym: bool = False) -> Co
     return let(c, run)
 
 
+def fake_ternary(c: Column, groupsize: int) -> Column:
+    """Three levels per group: its maximum, its minimum and zero, cut at half of each."""
+
+    def run(values):
+        return let(group_params(values, 1, groupsize), lambda p: spend(values, p))
+
+    def spend(values, params):
+        def one(x, i):
+            p = F.get(params, F.floor(i / groupsize).cast("int"))
+            number = x.cast("double")
+            high = F.when(number > p["hi"] / 2, p["hi"]).otherwise(0.0)
+            return high + F.when(number < p["lo"] / 2, p["lo"]).otherwise(0.0)
+
+        return F.transform(values, one)
+
+    return let(c, run)
+
+
 def bytes_per_value(bits: Column, groupsize) -> Column:
     """Bytes per stored value: two for 16 bits, else the packed bits plus group overhead."""
     size = groupsize if isinstance(groupsize, Column) else F.lit(groupsize)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import completion_text, cut_at_stop_words, predict, repair_choice
 from ..functions.grading import grade
+from ..session import broadcast_if_small, settle
 from .prompts import stop_words_for
 
 
@@ -38,11 +39,14 @@ def grade_completions(df: DataFrame, dataset: str = "math", prompt_type: str = "
 def grade_distinct(df: DataFrame) -> DataFrame:
     """Grade each distinct (pred, gt) pair once and join the result back.
 
-    Pays off when samples repeat many answers and the answers need the dearer rungs.
+    Pays off when samples repeat many answers and the answers need the dearer rungs.  The graded
+    pairs are kept; a small set is broadcast, so a pair that most rows share does no harm.
     """
-    pairs = grade(df.select("pred", "gt").distinct())
-    same = df["pred"].eqNullSafe(pairs["pred"]) & df["gt"].eqNullSafe(pairs["gt"])
-    return df.join(pairs, same).select(df["*"], pairs["score"], pairs["rung"])
+    graded = grade(df.select("pred", "gt").distinct())
+    named = graded.withColumnsRenamed({"pred": "_pred", "gt": "_gt"})
+    pairs = broadcast_if_small(settle(named), 200_000)
+    same = F.col("pred").eqNullSafe(F.col("_pred")) & F.col("gt").eqNullSafe(F.col("_gt"))
+    return df.join(pairs, same).select(*df.columns, "score", "rung")
 
 
 def remaining(questions: DataFrame, done: DataFrame, key: str = "idx") -> DataFrame:

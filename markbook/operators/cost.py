@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import bytes_per_value, mean_negative_logprob
+from ..session import broadcast_if_small
 from .ordering import order_buckets
 
 
@@ -31,7 +32,7 @@ def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx")) -> Dat
         * bytes_per_value(F.col("abits"), F.col("groupsize"))
     )
     return (
-        sums.join(models, "model")
+        sums.join(broadcast_if_small(models), "model")
         .withColumn(
             "weight_ops",
             (F.col("longest") + 1) * weights * bytes_per_value(F.col("wbits"), F.col("groupsize")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.pytext import replace_all, strip
+from ..session import broadcast_if_small
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -110,7 +111,7 @@ def build_prompts(
 ) -> DataFrame:
     """Add ``prompt``.  ``questions`` needs ``dataset``, ``question`` and ``gt``.
 
-    The demo lists (a few per family) are joined by family; Spark broadcasts them by their size.
+    The demo lists (one row per family) are joined by family, broadcast when there are few.
     """
     input_template, _, splitter = V.PROMPT_TEMPLATES[prompt_type]
     if skips_thinking(model, enable_thinking):
@@ -123,7 +124,7 @@ def build_prompts(
         most = max(shots, 5) if adapt_few_shot else shots
         lists = demo_lists(demos, most)
         df = questions.withColumn("family", demo_family(F.col("dataset"))).join(
-            lists, "family", "left"
+            broadcast_if_small(lists), "family", "left"
         )
         wanted = F.when(adaptive, F.lit(5)).otherwise(F.lit(shots)) if adapt_few_shot else F.lit(shots)
         used = F.slice(F.coalesce(F.col("demos"), F.array().cast("array<struct<pos:int,question:string,answer:string>>")), F.lit(1), wanted)

@@ -52,10 +52,12 @@ def vote(df: DataFrame, keys=("idx",), answer: str | Column = "pred", carry=("pr
 def maj_at_k(graded: DataFrame, k: int, key: str = "text", by=()) -> DataFrame:
     """Share of questions whose majority answer among the first ``k`` samples is right.
 
-    ``key="text"`` votes by answer text, ``key="value"`` by equivalence key.
+    ``key="text"`` votes by answer text, ``"normalized"`` by normalised text, ``"value"`` by
+    equivalence key.
     """
     first_k = graded.filter(F.col("sample_id") < k)
-    answer = "pred" if key == "text" else equivalence_key(F.col("pred"))
+    answers = {"text": F.col, "normalized": lambda c: normalize_answer(F.col(c)), "value": lambda c: equivalence_key(F.col(c))}
+    answer = answers[key]("pred")
     won = vote(first_k, [*by, "idx"], answer, carry=("score",))
     return _share(won, "score", f"maj_at_{k}", by)
 

@@ -101,6 +101,11 @@ def agg6(spark, folder):
     return V.maj_at_k(spelled(graded(spark, folder)), 8, key="value")
 
 
+@query("agg6_maj_by_normalized_text", _maj(8, "CASE WHEN pred = '' THEN '' WHEN sample_id % 3 = 2 THEN concat('f', pred) ELSE pred END"))
+def agg6_text(spark, folder):
+    return V.maj_at_k(spelled(graded(spark, folder)), 8, key="normalized")
+
+
 @query(
     "agg7_rm_at_4",
     f"""WITH {GRADED},

@@ -40,15 +40,18 @@ def src3(spark, folder):
    ELSE 'multiarith' END AS type, p_partkey, CAST(p_size AS BIGINT) AS target FROM part""")
 def src4(spark, folder):
     root = scratch_dir(spark, "tagged")
-    df = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("long").alias("target"))
     names = ["singleeq", "singleop", "addsub", "multiarith"]
+    part = F.get(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 4).cast("int"))
+    df = table(spark, folder, "part").select(
+        part.alias("part"), "p_partkey", F.col("p_size").cast("long").alias("target")
+    )
     paths = []
-    for i, name in enumerate(names):
+    for name in names:
         path = f"{root}/{name}.jsonl"
-        S.write_jsonl(df.filter(F.col("p_partkey") % 4 == i), path)
+        S.write_jsonl(df.filter(F.col("part") == name).drop("part"), path)
         paths.append(path)
     # Written by Spark, each file is a folder; its name carries the tag.
-    tagged = S.read_jsonl(spark, paths, df.schema).withColumn(
+    tagged = S.read_jsonl(spark, paths, df.drop("part").schema).withColumn(
         "type", F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]+)\.jsonl/", 1)
     )
     return tagged.select("type", "p_partkey", "target")

@@ -253,7 +253,7 @@ def cost_samples(df):
 
 
 def costs(spark, folder):
-    models = F.broadcast(spark.createDataFrame(MODELS, MODEL_COLUMNS))
+    models = spark.createDataFrame(MODELS, MODEL_COLUMNS)
     return K.question_cost(cost_samples(completions(spark, folder)), models)
 
 
@@ -353,6 +353,14 @@ def arr2(spark, folder):
     return df.select("vec_id", "pos", F.round("y", 9).alias("y"))
 
 
+@query("arr2_ternary", f"""WITH {_group_sql(1, 16, False)},
+ x AS (SELECT vec_id, g, lo, hi, unnest(part) AS x, unnest(range(16)) AS i FROM p)
+ SELECT vec_id, CAST(g * 16 + i AS INTEGER) AS pos, CASE WHEN x > hi / 2 THEN hi ELSE 0 END + CASE WHEN x < lo / 2 THEN lo ELSE 0 END AS y FROM x""")
+def arr2_ternary(spark, folder):
+    done = A.fake_ternary(F.col("embedding"), 16)
+    return table(spark, folder, "embeddings").select("vec_id", F.posexplode(done).alias("pos", "y"))
+
+
 @query("arr2_quantize_error", " UNION ALL ".join(
     f"SELECT {b} AS bits, vec_id, round(err, 9) AS err FROM ({_quant(b, 64)} SELECT vec_id, max(abs(x - y)) AS err FROM y GROUP BY vec_id)" for b in (2, 3, 8)))
 def arr2_error(spark, folder):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "markbook", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,3 +49,11 @@ def settle(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(shared or scratch_dir(spark, "settled"))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows; otherwise leave the choice
+    to the optimizer, whose adaptive joins split skewed partitions."""
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
