@@ -13,17 +13,30 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 MAX_BUCKETS = 512
+ROWS_PER_BUCKET = 20_000
 MAX_BROADCAST_SPLITS = 200_000
 
 
+def _quantiles(df: DataFrame, key: str, buckets: int | None) -> list:
+    """Approximate quantiles of ``key``, smallest first, repeats kept.
+
+    Unless a number of buckets is asked for, there are twice as many as shuffle partitions, but
+    no more than the rows are worth.
+    """
+    asked = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(2, min(asked, MAX_BUCKETS))
+    row = df.agg(
+        F.count(key).alias("rows"),
+        F.percentile_approx(key, [i / most for i in range(1, most)], 10000).alias("cuts"),
+    ).first()
+    worth = most if buckets else max(2, min(most, row["rows"] // ROWS_PER_BUCKET))
+    step = most // worth
+    return (row["cuts"] or [])[step - 1 :: step]
+
+
 def key_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list:
     """Bucket borders of ``key``, smallest first (a bounded list on the driver)."""
-    if buckets is None:
-        buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2, min(buckets, MAX_BUCKETS))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(key, shares, 10000).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    return sorted(set(_quantiles(df, key, buckets)))
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
@@ -112,11 +125,8 @@ def order_buckets(df: DataFrame, keys, buckets: int | None = None) -> list[Colum
     twice among the quantiles, so there are fewer of them than buckets) is cut further by the
     next key, and so on.  All lists on the driver are bounded by the number of buckets.
     """
-    if buckets is None:
-        buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2, min(buckets, MAX_BUCKETS))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = {(): df.agg(F.percentile_approx(keys[0], shares, 10000).alias("cuts")).first()["cuts"] or []}
+    found = {(): _quantiles(df, keys[0], buckets)}
+    shares = [i / 64 for i in range(1, 64)]
     columns = []
     for depth, key in enumerate(keys):
         column, hot = F.lit(0), []
@@ -159,18 +169,26 @@ def with_index(df: DataFrame, key: str, name: str = "idx", cuts: list | None = N
 def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:
     """Position by file and place in the file, for frames read straight from files.
 
-    Each read split is numbered by its task; split sizes (one row per split) give the offsets.
-    They are broadcast up to a fixed number of splits, so the rows themselves do not move.
+    Parquet rows know their place in the file.  Other formats are numbered by the task that reads
+    a split and kept, because splits may be cut differently when the files are read again.  The
+    offsets, one row per file or split, are broadcast up to a fixed number of them, so the rows
+    themselves do not move.
     """
     if name in df.columns:
         return df
-    split = ["_file", "_block"]
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    ).withColumn("_at", F.monotonically_increasing_id())
-    sizes = settle(placed.groupBy(*split).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
+    file = F.col("_metadata.file_path").alias("_file")
+    if all(path.endswith(".parquet") for path in df.inputFiles()):
+        split = ["_file"]
+        placed = df.select("*", file, F.col("_metadata.row_index").alias("_at"))
+        first = F.lit(0).cast("long")
+    else:
+        split = ["_file", "_block"]
+        block = F.col("_metadata.file_block_start").alias("_block")
+        placed = settle(
+            df.select("*", file, block).withColumn("_at", F.monotonically_increasing_id())
+        )
+        first = F.min("_at")
+    sizes = settle(placed.groupBy(*split).agg(first.alias("_first"), F.count("*").alias("_n")))
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")

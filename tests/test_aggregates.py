@@ -105,7 +105,8 @@ def hot_values(spark):
     return rows, spark.createDataFrame(rows, "k long, cost double, accuracy double, series string").repartition(4)
 
 
-def test_exact_quantiles(spark):
+def test_exact_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 10)
     import numpy as np
 
     rows, df = hot_values(spark)
@@ -118,7 +119,8 @@ def test_exact_quantiles(spark):
         assert [r[n] for n in names] == pytest.approx(list(want))
 
 
-def test_cost_curve_with_a_hot_cost(spark):
+def test_cost_curve_with_a_hot_cost(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 100)
     rows, df = hot_values(spark)
     got = {r["k"]: (r["prev_cost"], r["prev_value"]) for r in cost.cost_curve(df, "series", tie="k").collect()}
     for series in ("s0", "s1"):
@@ -126,11 +128,12 @@ def test_cost_curve_with_a_hot_cost(spark):
         before = [(None, None)] + [(c, a) for c, a, _ in points]
         for (_, _, k), prev in zip(points, before):
             assert got[k] == prev
-    ranges = df.select(*ordering.order_buckets(df, ["cost", "accuracy", "k"])).groupBy("_b0", "_b1", "_b2").count()
+    ranges = df.select(*ordering.order_buckets(df, ["cost", "accuracy", "k"], 16)).groupBy("_b0", "_b1", "_b2").count()
     assert ranges.agg(F.max("count")).first()[0] < 400  # the hot cost has 667+ rows
 
 
-def test_index_and_sums(spark):
+def test_index_and_sums(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 50)
     keys = random.Random(1).sample(range(10**6), 1000)
     df = spark.createDataFrame([(k, k % 7) for k in keys], "key long, w int").repartition(4)
     got = {r["key"]: r["idx"] for r in ordering.with_index(df, "key").collect()}
