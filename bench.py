@@ -30,7 +30,7 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    budget = float(os.environ.get("BENCH_QUERY_SECONDS", "12"))
+    budget = float(os.environ.get("BENCH_QUERY_SECONDS", "6"))
     spark = build_session("bench", cores, shuffle_partitions=max(8, int(cores) if cores.isdigit() else 8))
     spark.sparkContext.setLogLevel("ERROR")
 
