@@ -1,13 +1,67 @@
-"""Corpus preparation: five stages from raw documents to token ids."""
+"""Corpus preparation: five stages from raw documents to token ids.
+
+Every stage reads all that the one before it kept and is written as Parquet before the next one
+starts.  The first four return the columns of ``documents``; the last one returns the mixed corpus as
+token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from markbook.llm import bpe, minhash, mixing, pii, toxicity
+from markbook.llm.common import stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that compression distance doesn't predict to be toxic."""
+    return toxicity.clean(docs, table(spark, folder, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Personal data in the texts replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit), and whether they decode to the text."""
+    codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "exact")]
+    encoded = docs.withColumn("ids", codec.packed_ids("text")).withColumn("__bytes", codec.decoded("ids"))
+    return encoded.select(
+        *(F.col(f"`{c}`") for c in kept if c != "text"),
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        "ids",
+        (F.col("__bytes") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", encode),
+]
 
-STAGES = []
+#: Hash functions, trained models and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = table(spark, folder, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, folder), name)
     return docs

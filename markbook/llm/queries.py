@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, toxicity
+from . import bpe, minhash, mixing, pii, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,13 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "documents"))
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.grouped(table(spark, folder, "documents"))
