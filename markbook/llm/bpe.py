@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Units kept by a worker between batches; only a memory bound, results don't depend on it.
 CACHED_UNITS = 300_000
-#: Longer units are encoded without being kept.
-CACHED_LENGTH = 48
 
 
 def byte_characters() -> list[str]:
@@ -68,52 +67,58 @@ def tokenizer_text(ranks: dict[bytes, int], pattern: str) -> str:
     return tokenizer.to_str()
 
 
-def units(text: str) -> list[str]:
-    """Cut ``text`` where no match of the pattern can reach across.
-
-    That is before a single space that stands between two characters that aren't white space: the
-    match on its left ends there, and the next one begins with the space.  Other white space stays
-    inside a unit.
-    """
-    parts = text.split(" ")
-    out = [parts[0]]
-    for left, part in zip(parts, parts[1:]):
-        if left and part and not left[-1].isspace() and not part[0].isspace():
-            out.append(" " + part)
-        else:
-            out[-1] += " " + part
-    return out
+#: A space at which a text can be cut, since no match of the pattern can reach across: it stands
+#: between two characters that aren't white space, so the match on its left ends there and the next one
+#: begins with it.  Other white space stays inside a unit.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 class Encoder:
-    """Encodes texts unit by unit; each unit goes to the tokenizer once while it is kept."""
+    """Encodes texts unit by unit; a unit goes to the tokenizer once while it is kept.
+
+    New units of a batch are encoded together: joined by spaces, they are cut again at the same
+    places, and the token lengths tell which ids belong to which unit.
+    """
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
         self.kept: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > CACHED_UNITS:
-            self.kept.clear()
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.asarray(found.ids, "<u4")
+
+    def _add(self, units: list[str]) -> None:
+        """Encode ``" " + unit`` of every unit, some at a time."""
+        for at in range(0, len(units), 20_000):
+            some = units[at : at + 20_000]
+            ids = self._ids(" " + " ".join(some))
+            ends = np.cumsum([len(u.encode()) + 1 for u in some])
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
+            packed = ids.tobytes()
+            start = 0
+            for unit, end in zip(some, (4 * cuts).tolist()):
+                self.kept[unit] = packed[start:end]
+                start = end
+
+    def packed(self, texts: list[str], together: int = 500) -> list[bytes]:
         out: list[bytes] = []
-        for text in texts:
-            own = units(text)
-            new = list({u for u in own if u not in self.kept})
-            if not new:
-                out.append(b"".join([self.kept[u] for u in own]))
-                continue
-            fresh = dict(zip(new, self._encode(new)))
-            out.append(b"".join([self.kept[u] if u in self.kept else fresh[u] for u in own]))
-            self.kept.update((u, x) for u, x in fresh.items() if len(u) <= CACHED_LENGTH)
-            if len(self.kept) > 2 * CACHED_UNITS:
+        for at in range(0, len(texts), together):
+            if len(self.kept) > CACHED_UNITS:
                 self.kept.clear()
+            cut = [_CUT.split(t) for t in texts[at : at + together]]
+            self._add(list({u for units in cut for u in units[1:] if u not in self.kept}))
+            kept = self.kept
+            for units in cut:
+                first = self._ids(units[0]).tobytes()
+                out.append(b"".join([first, *map(kept.__getitem__, units[1:])]))
         return out
 
 

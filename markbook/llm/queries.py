@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, pii, toxicity
+from . import bpe, html_text, language, minhash, mixing, pii, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,13 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.grouped(table(spark, folder, "documents"))
+
+
+@query
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted(table(spark, folder, "documents"))
