@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, minhash, mixing, pii, toxicity
+from . import ann, bpe, html_text, language, minhash, mixing, pii, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,16 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(table(spark, folder, "documents"))
+
+
+@query
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op10_exact_top(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+SQL["op10_exact_top"] = topk.NEAREST_SQL
