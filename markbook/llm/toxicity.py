@@ -38,7 +38,7 @@ LEVEL_WORD = 5
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the training sample: documents of each label, and the longest one taken."""
+    """Bounds of the training sample: ids of each label, and the longest document taken of them."""
 
     toxic: int = 1500
     ordinary: int = 4500
@@ -213,25 +213,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
-    """Train on documents of folds 1 to 4: per label the first ones by a hash of the id.
+    """Train on documents of folds 1 to 4: per label the first ids by a hash, at most as many as
+    ``sample`` allows.
 
-    The sample is bounded by ``sample`` and goes to the driver; one label per document counts, the
-    highest if they differ.
+    Only these ids are broadcast, and only their texts go to the driver.  One label per document
+    counts, the highest if they differ.
     """
-    known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    rows = (
-        docs.where(fold() != 0)
-        .where(F.octet_length("text") <= sample.longest)
-        .select("doc_id", "text")
-        .join(known, "doc_id")
-    )
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 0)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [
-        rows.where((F.col("__toxic") > 0) == F.lit(label)).orderBy(*order).limit(n)
+        known.where((F.col("__toxic") > 0) == F.lit(label)).orderBy(*order).limit(n)
         for label, n in ((True, sample.toxic), (False, sample.ordinary))
     ]
-    taken = parts[0].unionAll(parts[1]).select("text", "__toxic").collect()
-    return train([r[0] for r in taken], [int(r[1] > 0) for r in taken])
+    ids = F.broadcast(parts[0].unionAll(parts[1]))
+    rows = docs.where(F.octet_length("text") <= sample.longest).select("doc_id", "text").join(ids, "doc_id")
+    rows = rows.orderBy(*order, "text").limit(sample.toxic + sample.ordinary).select("text", "__toxic").collect()
+    return train([r[0] for r in rows], [int(r[1] > 0) for r in rows])
 
 
 def score(model: Model, column: str = "text") -> F.Column:
