@@ -1,8 +1,8 @@
 """Personal data by weak supervision, in native columns only.
 
 Plain rules find the base spans: e-mail and IP addresses, card and phone numbers.  Looser patterns
-propose further candidates: numbers that stand next to other numbers and so spoil a base match,
-local phone forms, and secrets (long keys).  Three labelers vote on every candidate, base or not:
+propose further candidates: numbers that stand next to other numbers and so spoil a base match
+(cards still have to pass the checksum), local phone forms, and secrets (long keys).  Three labelers vote on every candidate, base or not:
 its form (regex and checksum), a gazetteer (issuers, domains, area forms, key words), and its context
 (cue words before it, letters or digits that touch it).  Expectation-maximisation over the counts of
 vote patterns estimates how reliable each labeler is for each kind, without labels; its posteriors
@@ -61,13 +61,12 @@ _CUES = {
 }
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, left, right>>: where ``pattern`` matches, in code points.
+def _matches(found: Column, gaps: Column) -> Column:
+    """array<struct<start, end, value, left, right>>: where a pattern matches, in code points.
 
-    ``left`` is up to 24 characters before the match, ``right`` the character after it.
+    From its matches and the texts between them, both columns of their own, so that no element scans
+    the text again.  ``left`` is up to 24 characters before the match, ``right`` the one after it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     empty = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
     nothing = F.array().cast(empty)
 
@@ -174,7 +173,8 @@ def _candidates(kind: int, found: Column, base: bool) -> Column:
             _features(x).alias("form"),
         )
 
-    return F.transform(F.filter(found, lambda x: _passes(kind, x["value"])) if base else found, one)
+    sure = base or kind == CARD
+    return F.transform(F.filter(found, lambda x: _passes(kind, x["value"])) if sure else found, one)
 
 
 def _apart(extra: Column, taken: Column) -> Column:
@@ -186,19 +186,33 @@ def _apart(extra: Column, taken: Column) -> Column:
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``__base`` and ``__more``: arrays of candidates with votes and form."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    none = F.lit("")
-    guarded = {
-        EMAIL: F.when(F.instr(own, "@") > 0, own).otherwise(none),
-        PHONE: F.when(F.instr(own, "+") > 0, own).otherwise(none),
-        IP: own,
-        CARD: own,
-    }
-    patterns = {EMAIL: _EMAIL, IP: _IP, CARD: _CARD, PHONE: _PHONE}
-    base = [_candidates(k, _matches(guarded[k], patterns[k]), True) for k in patterns]
-    found = docs.withColumn("__base", F.array_sort(F.concat(*base)))
-    for kind, pattern in _LOOSE.items():
-        found = found.withColumn(f"__loose{kind}", _candidates(kind, _matches(own, pattern), False))
+    base = {EMAIL: _EMAIL, IP: _IP, CARD: _CARD, PHONE: _PHONE}
+    patterns = {f"b{k}": p for k, p in base.items()} | {f"l{k}": p for k, p in _LOOSE.items()}
+    # Most texts have neither "@" nor a digit and are scanned once.
+    read = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    read = read.withColumn("__digit", F.col("__text").rlike("[0-9]"))
+    at, plus = F.instr("__text", "@") > 0, F.instr("__text", "+") > 0
+    worth = {f"b{EMAIL}": at, f"b{PHONE}": F.col("__digit") & plus}
+    none = F.array().cast("array<string>")
+    found = read.select(
+        "*",
+        *(
+            F.when(worth.get(k, F.col("__digit")), F.regexp_extract_all("__text", F.lit(p), F.lit(0)))
+            .otherwise(none)
+            .alias(f"__m_{k}")
+            for k, p in patterns.items()
+        ),
+    )
+    found = found.select(
+        "*",
+        *(F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)).otherwise(none).alias(f"__g_{k}") for k, p in patterns.items()),
+    )
+    spans = lambda k: _matches(F.col(f"__m_{k}"), F.col(f"__g_{k}"))
+    found = found.select(
+        *(F.col(f"`{c}`") for c in docs.columns),
+        F.array_sort(F.concat(*(_candidates(k, spans(f"b{k}"), True) for k in base))).alias("__base"),
+        *(_candidates(k, spans(f"l{k}"), False).alias(f"__loose{k}") for k in _LOOSE),
+    )
     more = reduce(
         lambda taken, kind: F.concat(taken, _apart(F.col(f"__loose{kind}"), F.concat("__base", taken))),
         list(_LOOSE)[1:],
@@ -306,10 +320,10 @@ def _listed(spans: str) -> Column:
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_sha256 and spans of every document."""
     spans = with_spans(docs.select("doc_id", "text"), fit(docs))
-    counts = [
-        F.size(F.filter("__base", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
-        for kind in (EMAIL, IP, CARD, PHONE)
-    ]
+    def count(kind: int) -> Column:
+        return F.size(F.filter("__base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(kind) for kind in (EMAIL, IP, CARD, PHONE)]
     return spans.select(
         "doc_id",
         *counts,

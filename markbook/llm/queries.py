@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, language, minhash, mixing, pii, topk, toxicity
+from . import ann, bpe, html_text, language, minhash, mixing, pii, suffix_tree, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op10_exact_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op10_exact_top"] = topk.NEAREST_SQL
+
+
+@query
+def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.scored(table(spark, folder, "documents"))
