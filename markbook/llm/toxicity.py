@@ -6,7 +6,7 @@ compressed with the ordinary dictionary and with both together; the bytes that t
 are its distance.  Windows that save a byte are looked at again word by word, where neighbouring
 words can't blur the difference.  A document's largest saving and the number of words that save
 enough are turned into a score by a logistic curve, fitted on the same sample so that 0.5 is the
-calibrated threshold.
+calibrated threshold; for that each half of the sample is measured with dictionaries of the other.
 
 Only the training sample is bounded (``Sample``); every text is scored whole.  Defined results: a
 null, empty or blank text saves nothing and gets the score of a text without findings; rows with
@@ -41,7 +41,7 @@ class Sample:
     """Bounds of the training sample: ids of each label, and the longest document taken of them."""
 
     toxic: int = 1500
-    ordinary: int = 4500
+    ordinary: int = 3000
     longest: int = 8000
 
 
@@ -81,26 +81,34 @@ class Meter:
 
         def compressor(content: bytes, level: int):
             known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(
-                level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
-            ).compress
-
-        # Dictionaries index some positions only, and never their last ones: shifted copies see to it
-        # that each segment is found.
-        both = ordinary + b"".join(b" " * shift + toxic for shift in range(6)) + b"\n" * 16
+            # Shorter matches than a segment would say nothing.
+            how = zstandard.ZstdCompressionParameters.from_level(
+                level,
+                dict_size=len(content),
+                min_match=SEGMENT,
+                write_content_size=False,
+                write_checksum=False,
+                write_dict_id=False,
+            )
+            known.precompute_compress(compression_params=how)
+            return zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress
+
+        # Dictionaries index every third position or so, and never the last ones: copies, each shifted by
+        # one, see to it that each segment is found.
+        padded = toxic + b" " * (-len(toxic) % 6 + 1)
+        both = ordinary + 6 * padded + b"\n" * 16
         self.at_window = compressor(ordinary, LEVEL_WINDOW), compressor(both, LEVEL_WINDOW)
         self.at_word = compressor(ordinary, LEVEL_WORD), compressor(both, LEVEL_WORD)
-        # A match can't begin in the last bytes of a block, so known text follows each window.
+        # A match can't begin in the last bytes of a block, and a block that doesn't shrink is kept raw:
+        # known text follows each window.
         self.tail = (ordinary[-400:-352] or b" ").ljust(48, b" ")
 
     def savings(self, text: str | None) -> tuple[int, int]:
         """The largest saving of a word, and the number of words that save 3 bytes or more."""
         (a, b), (c, d), tail = self.at_window, self.at_word, self.tail
-        near = tail[:16]
         most = many = 0
         for window in windows(_words(text)):
-            framed = window + near
+            framed = window + tail
             if len(a(framed)) <= len(b(framed)):
                 continue
             for word in window.split():
@@ -111,32 +119,50 @@ class Meter:
         return most, many
 
 
-def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int = 6) -> list[bytes]:
-    """Byte segments of words that are much more frequent, by documents, in toxic text.
+def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Byte segments of words that are much more frequent in toxic text.
 
-    Picked greedily: the next segment is the one with the most words (counted once a document) that
-    none of the earlier ones covers; a segment grows to both sides while most of its words agree.
+    Both ways of counting have to say so: by documents, and by words together with the word before
+    them.  A word that one document repeats fails the first, one that copies share fails the second.
+    Segments are picked greedily: the next one has the most places (word and word before) that none of
+    the earlier ones covers; it grows to both sides while most of its words agree.
     """
 
     def grams(word: bytes) -> set[bytes]:
         return {word[i : i + SEGMENT] for i in range(len(word) - SEGMENT + 1)}
 
-    def by_document(docs: list[list[bytes]]) -> Counter:
-        return Counter(g for words in docs for g in set().union(*map(grams, words)))
+    def counted(docs: list[list[bytes]]) -> tuple[dict[bytes, set[tuple[bytes, bytes]]], Counter, Counter]:
+        places: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
+        by_document: Counter = Counter()
+        for words in docs:
+            by_document.update(set().union(*map(grams, set(words))))
+            for before, word in zip([b"", *words], words):
+                places[word].add((before, word))
+        by_place: Counter = Counter()
+        for word, own in places.items():
+            by_place.update(dict.fromkeys(grams(word), len(own)))
+        return places, by_document, by_place
+
+    least = max(6, len(toxic) // 100)
+    here, inside, inside_places = counted(toxic)
+    there, outside, outside_places = counted(ordinary)
+    all_here, all_there = (sum(map(len, x.values())) for x in (here, there))
+
+    def odds(a: int, b: int, all_a: int, all_b: int) -> float:
+        return math.log((a + 0.5) / (all_a + 1)) - math.log((b + 0.5) / (all_b + 1))
 
-    inside, outside = by_document(toxic), by_document(ordinary)
     telling = {
         g
         for g, n in inside.items()
-        if n >= least
-        and math.log((n + 0.5) / (len(toxic) + 1)) - math.log((outside[g] + 0.5) / (len(ordinary) + 1)) > 2
+        if min(n, inside_places[g]) >= least
+        and odds(n, outside[g], len(toxic), len(ordinary)) > 3
+        and odds(inside_places[g], outside_places[g], all_here, all_there) > 2
     }
-    items: dict[bytes, set[tuple[int, bytes]]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for word in set(words):
-            for g in grams(word) & telling:
-                items[g].add((i, word))
-    covered: set[tuple[int, bytes]] = set()
+    items: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
+    for word, own in here.items():
+        for g in grams(word) & telling:
+            items[g] |= own
+    covered: set[tuple[bytes, bytes]] = set()
     heap = [(-len(x), g) for g, x in items.items()]
     heapq.heapify(heap)
     chosen = []
@@ -149,7 +175,16 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]], least:
             heapq.heappush(heap, (-len(new), g))
             continue
         covered |= new
-        chosen.append(_grown(g, Counter(word for _, word in new)))
+        grown = _grown(g, Counter(word for _, word in new))
+        # Only stretches whose every part tells, or ordinary words would match the rest.
+        start = 0
+        for end in range(SEGMENT, len(grown) + 2):
+            if end > len(grown) or grown[end - SEGMENT : end] not in telling:
+                if end - 1 - start > SEGMENT:
+                    chosen.append(grown[start : end - 1])
+                start = end - SEGMENT + 1
+        if len(g) == len(grown):
+            chosen.append(g)
     return list(dict.fromkeys(chosen))
 
 
@@ -188,14 +223,27 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     if not toxic or not ordinary:
         base = math.log(prior / (1 - prior)) if rows else -math.inf
         return Model(b"", b"", (base, 0.0, 0.0))
+    meter, base, telling = _dictionaries(toxic, ordinary)
+    # The curve is fitted on savings that no document has a part in itself: each half is measured
+    # with the dictionaries of the other one.
+    found = np.array([_across(rows, half) for half in (0, 1)]).max(axis=0)
+    x = np.column_stack([np.ones(len(rows)), found[:, 0], np.minimum(found[:, 1], 5)])
+    return Model(base, telling, _logistic(x, np.array([y for _, y in rows], float)))
+
+
+def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[Meter, bytes, bytes]:
     pieces = [w for words in ordinary for w in windows(words)]
     random.Random(1).shuffle(pieces)
     base = _dictionary(pieces[:40_000], 16_384)
     telling = b"".join(reversed(toxic_segments(toxic, ordinary)))
-    meter = Meter(base, telling)
-    found = np.array([meter.savings(t) for t, _ in rows], float)
-    x = np.column_stack([np.ones(len(rows)), found[:, 0], np.minimum(found[:, 1], 5)])
-    return Model(base, telling, _logistic(x, np.array([y for _, y in rows], float)))
+    return Meter(base, telling), base, telling
+
+
+def _across(rows: list[tuple[str, int]], half: int) -> np.ndarray:
+    """Savings of one half of the rows under the dictionaries of the other; -1 for the other's rows."""
+    learned = [(_words(t), y) for i, (t, y) in enumerate(rows) if i % 2 != half]
+    meter, _, _ = _dictionaries([w for w, y in learned if y], [w for w, y in learned if not y])
+    return np.array([meter.savings(t) if i % 2 == half else (-1, -1) for i, (t, _) in enumerate(rows)], float)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
