@@ -6,7 +6,7 @@ a hash of its own: a block of vectors keeps one sorted array of projections per
 query's projection a window is opened in every array; virtual rehashing widens all windows by ``GROWTH``
 at a time, without hashing anything again, and only the newly covered entries are counted.  A vector
 found in at least ``SHARE`` of the windows is verified by its true product.  A query's search in a
-block ends when ``k`` plus ``VERIFIED`` of the block's rows are verified, or all are covered.
+block ends when ``TIMES * k`` rows and ``VERIFIED`` of the block are verified, or all are covered.
 
 Queries (a stated set) meet the blocks of all rows in a grid of query blocks and vector blocks; every
 row is indexed, each cell returns at most k rows a query, and no vector is broadcast.
@@ -33,6 +33,8 @@ SHARE = 0.8
 #: First half-width of the windows, and the factor of each rehashing.
 FIRST = 1.1
 GROWTH = 1.05
+#: Rows to verify in a block: so many times k, plus this share of the block.
+TIMES = 10
 VERIFIED = 0.06
 BLOCK = 16384
 QUERIES = 512
@@ -72,7 +74,7 @@ class Index:
     def search(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """For each query the places of the vectors that are to be verified."""
         n = len(self.vectors)
-        wanted = min(n, k + int(np.ceil(VERIFIED * n)))
+        wanted = min(n, TIMES * k + int(np.ceil(VERIFIED * n)))
         units = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         at = (units @ self.lines[: queries.shape[1]]).T
         low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
