@@ -66,15 +66,67 @@ def last_plain_number(c: Column) -> Column:
 
 
 def python_float_text(c: Column) -> Column:
-    """Text of a double as Python prints it, for magnitudes from 1e-4 up to 1e16."""
-    number = c.cast("double")
-    size = F.abs(number)
-    plain = number.cast("decimal(38,18)").cast("string")
-    fixed = F.regexp_replace(F.regexp_replace(plain, r"0+\z", ""), r"\.\z", ".0")
-    java = number.cast("string")
-    return F.when((size >= 1e7) & (size < 1e16), fixed).when(
-        (size < 1e-3) & (size >= 1e-4), fixed
-    ).otherwise(java)
+    """Text of a double as Python prints it: the fewest digits that read back as the same number.
+
+    Plain from 1e-4 up to below 1e16, else with an exponent of at least two digits.
+    """
+
+    def digits_of(number):
+        texts = [F.format_string(f"%.{n}e", number) for n in (14, 15, 16)]
+        fewest = F.coalesce(*[F.when(t.cast("double") == number, t) for t in texts[:2]], texts[2])
+        return let(fewest, lambda t: shown(t, number))
+
+    def shown(text, number):
+        digits = F.rtrim(F.concat(F.regexp_extract(text, r"([0-9])\.", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)), F.lit("0"))
+        return let(
+            F.struct(digits.alias("d"), F.regexp_extract(text, r"e(.*)\z", 1).cast("int").alias("e")),
+            lambda s: F.concat(F.when(text.startswith("-"), "-").otherwise(""), placed(s["d"], s["e"])),
+        )
+
+    def placed(d, e):
+        after = F.substr(d, e + 2)
+        whole = F.concat(F.rpad(F.substr(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.when(after == "", "0").otherwise(after))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+        rest = F.substr(d, F.lit(2))
+        mantissa = F.concat(F.left(d, F.lit(1)), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+        power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(e)))
+        return (
+            F.when(d == "", "0.0").when((e >= 0) & (e < 16), whole).when((e < 0) & (e >= -4), small)
+            .otherwise(F.concat(mantissa, power))
+        )
+
+    def run(number):
+        return (
+            F.when(F.isnan(number), "nan")
+            .when(number == float("inf"), "inf")
+            .when(number == float("-inf"), "-inf")
+            .when(number.isNotNull(), digits_of(number))
+        )
+
+    return let(c.cast("double"), run)
+
+
+def evaluated_text(c: Column) -> Column:
+    r"""Value of a number, ``a/b`` or ``\frac{a}{b}`` as Python shows it; null for anything else."""
+    number = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
+    whole, slash = r"^[+-]?[0-9]{1,18}\z", rf"^{number}/{number}\z"
+    frac = rf"^([+-]?)\\frac\{{{number}\}}\{{{number}\}}\z"
+
+    def ratio(a, b, exact):
+        value = F.try_divide(a.try_cast("double"), b.try_cast("double"))
+        return F.when(exact & (value == F.floor(value)), value.cast("decimal(38,0)").cast("string")).otherwise(python_float_text(value))
+
+    def run(t):
+        part = lambda pattern, group: F.regexp_extract(t, pattern, group)
+        top = F.concat(part(frac, 1), part(frac, 2))
+        return (
+            F.when(t.rlike(whole), t.try_cast("long").cast("string"))
+            .when(t.rlike(slash), ratio(part(slash, 1), part(slash, 2), ~t.contains(".")))
+            .when(t.rlike(frac), ratio(top, part(frac, 3), ~t.contains(".")))
+            .when(t.rlike(rf"^{number}\z"), python_float_text(t.try_cast("double")))
+        )
+
+    return let(c, run)
 
 
 def percent_text_to_decimal(c: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import bytes_per_value, mean_negative_logprob
-from ..session import broadcast_if_small
 from .ordering import order_buckets
 
 
@@ -32,7 +31,7 @@ def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx")) -> Dat
         * bytes_per_value(F.col("abits"), F.col("groupsize"))
     )
     return (
-        sums.join(broadcast_if_small(models), "model")
+        sums.join(models, "model")
         .withColumn(
             "weight_ops",
             (F.col("longest") + 1) * weights * bytes_per_value(F.col("wbits"), F.col("groupsize")),
@@ -125,7 +124,9 @@ def nll_spread(results: DataFrame, value: str = "mean_nll") -> DataFrame:
     )
 
 
-def mean_latency(timings: DataFrame, by, run_no: str = "run_no", seconds: str = "seconds", warmups: int = 1, timed: int = 5) -> DataFrame:
-    """Mean of the timed runs; warm-up runs (the lowest run numbers) are left out."""
-    kept = timings.filter((F.col(run_no) >= warmups) & (F.col(run_no) < warmups + timed))
+def mean_latency(timings: DataFrame, by, run_no: str = "run_no", seconds: str = "seconds", warmups: int = 1, timed: int | None = None) -> DataFrame:
+    """Mean of the timed runs (all, or the first ``timed``); warm-up runs, numbered first, are left out."""
+    kept = timings.filter(F.col(run_no) >= warmups)
+    if timed is not None:
+        kept = kept.filter(F.col(run_no) < warmups + timed)
     return kept.groupBy(*by).agg(F.avg(seconds).alias("avg_latency"), F.count("*").alias("timed_runs"))

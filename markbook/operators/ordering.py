@@ -1,7 +1,7 @@
 """Global positions and running sums without a single-partition window.
 
-The key range is cut into buckets at approximate quantiles.  The cuts are at most a few hundred
-numbers; they reach the plan as literals, so bucket numbers are the same in every run of every
+The key range is cut into buckets at approximate quantiles, as many as the rows are worth: one number for
+a million rows of a large table.  They reach the plan as literals, so bucket numbers are the same in every run of every
 branch.  Where the cuts fall changes only how even the buckets are, never the result.
 """
 
@@ -12,26 +12,27 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-MAX_BUCKETS = 512
+#: Rows that a bucket is worth; the number of buckets follows the rows.
 ROWS_PER_BUCKET = 20_000
-MAX_BROADCAST_SPLITS = 200_000
+ROWS_OF_LARGE = 1_000_000
+#: Cuts up to which a CASE tree is shorter than a search in an array.
+TREE = 256
 
 
 def _quantiles(df: DataFrame, key: str, buckets: int | None) -> list:
     """Approximate quantiles of ``key``, smallest first, repeats kept.
 
-    Unless a number of buckets is asked for, there are twice as many as shuffle partitions, but
-    no more than the rows are worth.
+    Unless a number of buckets is asked for, a small table has twice as many as shuffle partitions,
+    but no more than its rows are worth, and a large one a bucket for each million rows.
     """
-    asked = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(2, min(asked, MAX_BUCKETS))
-    row = df.agg(
-        F.count(key).alias("rows"),
-        F.percentile_approx(key, [i / most for i in range(1, most)], 10000).alias("cuts"),
-    ).first()
-    worth = most if buckets else max(2, min(most, row["rows"] // ROWS_PER_BUCKET))
-    step = most // worth
-    return (row["cuts"] or [])[step - 1 :: step]
+    if buckets is None:
+        rows = df.agg(F.count(key)).first()[0]
+        parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(2, min(parts, rows // ROWS_PER_BUCKET), rows // ROWS_OF_LARGE)
+    most = max(2, buckets)
+    shares = [i / most for i in range(1, most)]
+    cuts = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * most))).first()[0]
+    return cuts or []
 
 
 def key_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list:
@@ -40,9 +41,11 @@ def key_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list:
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
-    """Number of cuts at or below ``key``, found by a balanced CASE tree."""
+    """Number of cuts at or below ``key``, by a balanced CASE tree or a binary search."""
     if not cuts:
         return F.lit(0)
+    if len(cuts) > TREE:
+        return _searched(key, cuts)
 
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -53,6 +56,24 @@ def bucket_of(key: Column, cuts: list) -> Column:
     return search(0, len(cuts))
 
 
+def _searched(key: Column, cuts: list) -> Column:
+    """Binary search in a constant array: as many steps as the number of cuts has binary digits."""
+    known = F.array(*[F.lit(c) for c in cuts])
+
+    def halve(span, _):
+        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.get(known, mid) <= key
+        open_ = span["lo"] < span["hi"]
+        return F.struct(
+            F.when(open_ & below, mid + 1).otherwise(span["lo"]).alias("lo"),
+            F.when(open_ & ~below, mid).otherwise(span["hi"]).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(steps, whole, halve, lambda span: span["lo"])
+
+
 def running_sum(
     df: DataFrame, key: str, weight: Column, start: str, cuts: list | None = None, by=(),
     total: str | None = None,
@@ -61,8 +82,7 @@ def running_sum(
 
     ``key`` must be unique within its group; ``total`` names a column for the group's whole sum.
     Bucket totals give the offset of each bucket;
-    inside a bucket an ordinary window does the rest.  Without groups the totals are one row per
-    bucket and safe to broadcast; with groups Spark chooses the join by their size.
+    inside a bucket an ordinary window does the rest.  Spark chooses the join by the size of the totals.
     """
     by = list(by)
     cuts = key_cuts(df, key) if cuts is None else cuts
@@ -78,7 +98,7 @@ def running_sum(
     )
     return (
         bucketed.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
+        .join(offsets, [*by, "_bucket"])
         .withColumn(start, (F.col("_offset") + F.col("_inside")).cast("long"))
         .drop("_bucket", "_weight", "_offset", "_inside")
     )
@@ -171,8 +191,7 @@ def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:
 
     Parquet rows know their place in the file.  Other formats are numbered by the task that reads
     a split and kept, because splits may be cut differently when the files are read again.  The
-    offsets, one row per file or split, are broadcast up to a fixed number of them, so the rows
-    themselves do not move.
+    offsets are one row per file or split; their size decides how they are joined.
     """
     if name in df.columns:
         return df
@@ -193,8 +212,6 @@ def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:
     offsets = sizes.select(
         *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    if sizes.count() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     return placed.join(offsets, split).select(
         (F.col("_offset") + F.col("_at") - F.col("_first")).cast("long").alias(name), *df.columns
     )
@@ -213,11 +230,17 @@ def take_slice(
     return placed.filter(keep).drop("_position")
 
 
+def shuffle_key(key: str, seed: int) -> Column:
+    """A reproducible random order of whole numbers: a seeded digest, the number itself for equal ones."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    return (place + F.col(key).cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A reproducible random order: sort by a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    return df.orderBy(shuffle_key(key, seed))
 
 
 def first_rows(df: DataFrame, key: str, n: int | None) -> DataFrame:
-    """At most ``n`` rows by ``key`` (none given: all)."""
-    return df.orderBy(key) if not n else df.orderBy(key).limit(n)
+    """At most ``n`` rows by ``key`` (none given: all); no task holds them all."""
+    return df.orderBy(key) if not n else take_slice(df, key, head=n)

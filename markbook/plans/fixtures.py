@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators.completions import grade_completions
 from ..operators.sweep import parse_run_path
-from .registry import spread, table
+from .registry import table
 
 
 # ---------------------------------------------------------------- completions
 def completions(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spread(
-        table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    )
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     key, cust, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("s")
     sampled = orders.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), cust % 7 + 1)))
     v = ((cust + s * (key % 4 + 1)) % 3).cast("string")
@@ -144,7 +142,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     li = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     )
-    return spread(li).select(
+    return li.select(
         F.col("l_orderkey").alias("idx"),
         F.col("l_linenumber").alias("kind"),
         F.col("l_partkey").alias("part"),

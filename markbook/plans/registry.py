@@ -27,11 +27,3 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan yields fewer splits than cores.
-
-    Only a table of a few small files is moved; a large one keeps its splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

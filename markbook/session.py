@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app: str = "markbook", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and the bench; a cluster brings its own."""
-    return (
+def build_session(app: str = "markbook", cores: str = "*", shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """Local session for tests and the bench; a cluster brings its own.
+
+    ``shared`` is the folder for checkpoints and scratch tables.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,8 +23,11 @@ def build_session(app: str = "markbook", cores: str = "*", shuffle_partitions: i
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .getOrCreate()
+        .config("spark.sql.files.maxPartitionBytes", "4m")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -49,11 +55,3 @@ def settle(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(shared or scratch_dir(spark, "settled"))
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows; otherwise leave the choice
-    to the optimizer, whose adaptive joins split skewed partitions."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

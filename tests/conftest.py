@@ -10,8 +10,8 @@ from markbook.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "4", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = build_session("tests", "4", shuffle_partitions=4, shared=tmp_path_factory.mktemp("shared").as_uri())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

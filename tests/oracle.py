@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -78,7 +79,7 @@ def main():
 
     folder = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
     wanted = sys.argv[2:]
-    spark = build_session(cores="8")
+    spark = build_session(cores=os.environ.get("ORACLE_CORES", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connection(folder)
     queries, sqls = entry.queries(), entry.oracle_sql()
