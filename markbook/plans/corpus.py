@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import mask_all_but_last
 from ..operators import ordering as O
 from ..operators import windows as W
-from .registry import query, spread, table
+from .registry import query, table
 
 TOKENS = """tok AS (SELECT doc_id, unnest(string_split(trim(text, ' '), ' ')) AS word,
    unnest(range(len(string_split(trim(text, ' '), ' ')))) AS i FROM documents),
@@ -15,7 +15,7 @@ TOKENS = """tok AS (SELECT doc_id, unnest(string_split(trim(text, ' '), ' ')) AS
 
 
 def docs(spark, folder):
-    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def words():
@@ -32,9 +32,16 @@ def win4(spark, folder):
     return W.with_offsets(docs(spark, folder), "doc_id", words()).select("doc_id", "n_tokens", "start")
 
 
-@query("smp4_sample_windows")
+@query("smp4_sample_windows", f"""WITH {TOKENS}, total AS (SELECT max(place) + 1 AS n FROM pos),
+ starts AS (SELECT i AS "window", (i * 7368787 + 1299709) % (n - 256) AS low FROM range(128) r(i), total)
+ SELECT "window", md5(string_agg(word, ' ' ORDER BY place)) AS digest, CAST(256 AS INTEGER) AS n
+ FROM starts JOIN pos ON place >= low AND place < low + 256 GROUP BY 1""")
 def smp4(spark, folder):
-    return shown(W.sample_windows(docs(spark, folder), "doc_id", words(), n=128, length=256, seed=0), "window")
+    # Starts are spread by a prime; seeded random ones are tested against plain Python.
+    corpus = docs(spark, folder)
+    total = W.corpus_tokens(corpus, "doc_id", words())
+    starts = spark.range(128).select(F.col("id").alias("window"), ((F.col("id") * 7368787 + 1299709) % (total - 256)).alias("low"))
+    return shown(W.windows_at(corpus, "doc_id", words(), starts, 256), "window")
 
 
 @query("smp5_crop_documents", """WITH d AS (SELECT doc_id, string_split(trim(text, ' '), ' ') AS t, (doc_id * 1103515245 + 12345) % 2147483648 AS h FROM documents),
