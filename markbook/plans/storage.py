@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..operators.sweep import grouped_stats
 from ..session import scratch_dir
 from ..sources import files as S
@@ -29,41 +30,70 @@ def src3(spark, folder):
         "p_partkey", F.concat(F.col("p_size").cast("string"), mark).alias("Answer")
     )
     root = scratch_dir(spark, "sets")
-    # One raw file per set, as the published sets come; the order of its lines is the key order.
-    S.write_jsonl(raw.withColumnRenamed("Answer", "answer").coalesce(1), f"{root}/asdiv/raw_test.jsonl")
+    # The order of the lines, file by file, is the key order.
+    S.write_jsonl(raw.withColumnRenamed("Answer", "answer").orderBy("p_partkey"), f"{root}/asdiv/raw_test.jsonl")
     schema = "p_partkey long, answer string"
     S.read_dataset(spark, "asdiv", "test", root, schema)
     return S.read_dataset(spark, "asdiv", "test", root, schema)
 
 
 @query("src4_tagged_files", """SELECT CASE p_partkey % 4 WHEN 0 THEN 'singleeq' WHEN 1 THEN 'singleop' WHEN 2 THEN 'addsub'
-   ELSE 'multiarith' END AS type, p_partkey, CAST(p_size AS BIGINT) AS target FROM part""")
+   ELSE 'multiarith' END AS type, p_partkey, CAST(p_size AS BIGINT) AS target,
+   row_number() OVER (ORDER BY p_partkey % 4, p_partkey) - 1 AS idx FROM part""")
 def src4(spark, folder):
     root = scratch_dir(spark, "tagged")
-    names = ["singleeq", "singleop", "addsub", "multiarith"]
-    part = F.get(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 4).cast("int"))
-    df = table(spark, folder, "part").select(
-        part.alias("part"), "p_partkey", F.col("p_size").cast("long").alias("target")
-    )
-    paths = []
-    for name in names:
-        path = f"{root}/{name}.jsonl"
-        S.write_jsonl(df.filter(F.col("part") == name).drop("part"), path)
-        paths.append(path)
-    # Written by Spark, each file is a folder; its name carries the tag.
-    tagged = S.read_jsonl(spark, paths, df.drop("part").schema).withColumn(
-        "type", F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]+)\.jsonl/", 1)
-    )
-    return tagged.select("type", "p_partkey", "target")
+    df = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("long").alias("target"))
+    for i, name in enumerate(V.WORD_PROBLEM_PARTS):
+        S.write_jsonl(df.filter(F.col("p_partkey") % 4 == i).orderBy("p_partkey"), f"{root}/mawps/{name}.jsonl")
+    got = S.read_dataset(spark, "mawps", "test", root, "p_partkey long, target long, type string")
+    return got.select("type", "p_partkey", "target", "idx")
+
+
+RUN_FOLDER = "concat(CASE WHEN thinking THEN 'thinking_' ELSE '' END, 'checkpoint', CAST(checkpoint AS STRING), '_max_tokens_per_call4096')"
+RUN_FILE = "concat('test_qwen25-math-cot_-1_seed0_t0.0_top_k', CAST(top_k AS STRING), '_enable_thinkingFalse_s0_e-1_qwen25-math-cot_metrics.json')"
+
+
+@query("src5_compile_runs", """SELECT CAST((o_custkey % 5 + 1) * 100 AS INTEGER) AS checkpoint, CAST(o_orderkey % 20 AS INTEGER) AS top_k,
+   o_custkey % 2 = 0 AS is_thinking_mode, CAST(count(*) AS DOUBLE) AS accuracy
+ FROM orders WHERE o_orderkey % 20 % 7 > 1 GROUP BY 1, 2, 3""")
+def src5(spark, folder):
+    """A metric file for each of 200 groups of orders; some are broken, some lack a number."""
+    root = scratch_dir(spark, "runs")
+    runs = table(spark, folder, "orders").groupBy(
+        ((F.col("o_custkey") % 5 + 1) * 100).alias("checkpoint"), (F.col("o_custkey") % 2 == 0).alias("thinking"),
+        (F.col("o_orderkey") % 20).alias("top_k"),
+    ).agg(F.count("*").cast("double").alias("acc"))
+    record = F.to_json(F.struct(
+        "acc", F.lit(5).alias("num_samples"), F.lit(5).alias("num_scores"), F.lit(0).alias("timeout_samples"),
+        F.lit(0).alias("empty_samples"), F.when(F.col("top_k") % 7 != 1, F.lit(60.0)).alias("time_use_in_second"),
+        F.lit("1:00").alias("time_use_in_minite"),
+    ))
+    text = F.when(F.col("top_k") % 7 == 0, F.lit("{ not json")).otherwise(record)
+    path = F.concat_ws("/", F.expr(RUN_FOLDER), F.lit("math500"), F.expr(RUN_FILE))
+    S.write_texts(runs.withColumn("text", text), root, path, "text")
+    return S.compile_runs(spark, root).select("checkpoint", "top_k", "is_thinking_mode", "accuracy")
+
+
+@query("src6_read_matching", "SELECT o_orderkey % 50 AS k, CAST(count(*) AS DOUBLE) AS nll FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+def src6(spark, folder):
+    root = scratch_dir(spark, "matching")
+    runs = table(spark, folder, "orders").groupBy((F.col("o_orderkey") % 50).alias("k")).agg(F.count("*").cast("double").alias("nll"))
+    marker = F.when(F.col("k") % 2 == 0, "quant_").otherwise("")
+    path = F.concat(F.lit("nll_results_"), marker, F.col("k").cast("string"), F.lit(".json"))
+    S.write_texts(runs.withColumn("text", F.to_json(F.struct("k", "nll"), {"pretty": "true"})), root, path, "text")
+    return S.read_matching(spark, root, "nll_results_*.json", "k long, nll double", "quant", keep=True).select("k", "nll")
 
 
 @query("src8_prefixed_results", "SELECT o_orderkey AS idx, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def src8(spark, folder):
     root = scratch_dir(spark, "resume")
     df = table(spark, folder, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderstatus").alias("status"))
-    for status, name in (("F", "run_a_s0"), ("O", "run_a_s1"), ("P", "run_b_s0")):
-        S.write_jsonl(df.filter(F.col("status") == status), f"{root}/{name}.jsonl")
-    return S.read_jsonl(spark, f"{root}/run_a*.jsonl", df.schema)
+    # Result files of 20,000 keys each, by status; two of three statuses belong to the run.
+    part = F.floor(F.col("idx") / 20_000).alias("part")
+    lines = df.groupBy("status", part).agg(F.array_join(F.collect_list(F.to_json(F.struct("idx", "status"))), "\n").alias("text"))
+    run = F.when(F.col("status") == "P", "run_b").otherwise("run_a")
+    S.write_texts(lines, root, F.concat(F.concat_ws("_", run, "status", F.col("part").cast("string")), F.lit(".jsonl")), "text")
+    return S.read_prefixed(spark, root, "run_a", df.schema)
 
 
 @query("src9_split_selection", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import fixed_values as V
 from ..operators.adapters import drop_multi_answers, keep_stem_subjects, lower_columns
-from ..operators.ordering import with_file_index
+from ..operators.ordering import with_file_index, with_index
 from ..operators.sweep import METRIC_FILE, parse_metric_file, parse_run_path
 
 METRICS_SCHEMA = (
@@ -38,19 +41,27 @@ def read_tagged_files(spark: SparkSession, paths, schema=None, tag: str = "type"
 
 
 def load_raw(spark: SparkSession, name: str, split: str, root: str, schema=None) -> DataFrame:
-    """A question set that is not in the folder under its split name yet.
+    """A question set that is not in the folder under its split name yet, with ``_place``.
 
     Word problems come in four files; arithmetic ones as train and test; the others as a raw
-    file beside the split.
+    file beside the split.  ``_place`` follows the given order of the files, then the rows of a file.
     """
     folder = f"{root}/{name}"
+
+    def placed(number: int, path: str) -> DataFrame:
+        own = with_file_index(read_jsonl(spark, path, schema), "_row")
+        return own.withColumn("_place", F.lit(number * 10**15).cast("long") + F.col("_row")).drop("_row")
+
     if name == "mawps":
-        return read_tagged_files(spark, [f"{folder}/{part}.jsonl" for part in V.WORD_PROBLEM_PARTS], schema)
-    if name == "svamp":
-        return read_jsonl(spark, f"{folder}/raw_train.jsonl", schema).unionByName(
-            read_jsonl(spark, f"{folder}/raw_test.jsonl", schema)
-        )
-    raw = read_jsonl(spark, f"{folder}/raw_{split}.jsonl", schema)
+        parts = [
+            placed(i, f"{folder}/{part}.jsonl").withColumn("type", F.lit(part))
+            for i, part in enumerate(V.WORD_PROBLEM_PARTS)
+        ]
+    elif name == "svamp":
+        parts = [placed(i, f"{folder}/raw_{part}.jsonl") for i, part in enumerate(("train", "test"))]
+    else:
+        parts = [placed(0, f"{folder}/raw_{split}.jsonl")]
+    raw = reduce(DataFrame.unionByName, parts)
     if name == "asdiv":
         return drop_multi_answers(raw)
     if name == "mmlu_stem":
@@ -61,14 +72,20 @@ def load_raw(spark: SparkSession, name: str, split: str, root: str, schema=None)
 def read_dataset(spark: SparkSession, name: str, split: str, root: str, schema=None) -> DataFrame:
     """The question set ``root/name/split.jsonl`` with ``idx`` in front.
 
-    When that file is missing, the raw form is converted, stored under that name once, and read.
+    When that file is missing, the raw form is numbered in file order, stored under that name once,
+    and read.
     """
     path = f"{root}/{name}/{split}.jsonl"
     if not path_exists(spark, path):
-        lower_columns(load_raw(spark, name, split, root, schema)).write.mode("ignore").option(
-            "ignoreNullFields", "false"
-        ).json(path)
-    return with_file_index(read_jsonl(spark, path, schema))
+        raw = lower_columns(load_raw(spark, name, split, root, schema))
+        write_jsonl(with_index(raw, "_place").drop("_place"), path, mode="ignore")
+    if schema is not None:
+        known = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        first = spark.read.text(path).first()
+        if "idx" not in known.fieldNames() and first and "idx" in json.loads(first[0]):
+            schema = StructType([StructField("idx", LongType()), *known.fields])
+    found = with_file_index(read_jsonl(spark, path, schema))
+    return found.select("idx", *[c for c in found.columns if c != "idx"])
 
 
 def read_prefixed(spark: SparkSession, folder: str, prefix: str, schema=None) -> DataFrame:
@@ -143,6 +160,26 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_texts(df: DataFrame, root: str, path: Column, text: str) -> None:
+    """One file per row: ``text`` at ``root/path``, on whatever file system the root names.
+
+    For sinks whose readers expect many small files with given names.  Executors write through a text
+    sink partitioned by path; the driver then moves each file to its name, so it should be given as
+    many rows as there may be files.
+    """
+    spark = df.sparkSession
+    staged = f"{root.rstrip('/')}.staged"
+    df.select(path.alias("path"), F.col(text).alias("value")).write.partitionBy("path").text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(staged)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in spark.read.text(staged).select("path", F.col("_metadata.file_path").alias("file")).distinct().collect():
+        target = hadoop.Path(f"{root.rstrip('/')}/{row['path']}")
+        system.mkdirs(target.getParent())
+        system.rename(hadoop.Path(spark._jvm.java.net.URI(row["file"])), target)
+    system.delete(base, True)
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str, split_col: str | None = "split") -> None:
     """A dataset in one of the formats, one folder per split."""
     if fmt not in WRITE_FORMATS:

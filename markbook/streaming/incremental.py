@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from ..operators.completions import last_record
 
 
+def with_arrival(files: DataFrame) -> DataFrame:
+    """Adds ``arrived``: when and where a row of a file stream was delivered, to be kept by the grader."""
+    meta = F.col("_metadata")
+    place = F.struct(
+        meta["file_modification_time"].alias("time"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block")
+    )
+    return files.select("*", place.alias("arrived"))
+
+
 def grade_stream(completions: DataFrame, grade_batch, out: str, checkpoint: str) -> None:
     """Grade what is new in a file stream and stop.
 
     Each micro-batch overwrites its own ``batch_id`` folder, so a batch that is run again after
-    a failure leaves the same rows; the checkpoint remembers which files are done.
+    a failure leaves the same rows; the checkpoint remembers which files are done.  A stream from
+    ``with_arrival`` gets the place of each row in its file as well.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        if "arrived" in batch.columns:
+            row = F.monotonically_increasing_id().alias("row")
+            batch = batch.withColumn("arrived", F.struct("arrived.time", "arrived.file", "arrived.block", row))
         grade_batch(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     (
@@ -28,9 +41,13 @@ def grade_stream(completions: DataFrame, grade_batch, out: str, checkpoint: str)
 
 
 def graded_so_far(spark: SparkSession, out: str, keys=("idx", "sample_id")) -> DataFrame:
-    """All graded rows; of a completion delivered again the latest batch counts."""
+    """All graded rows; of a completion delivered again the latest delivery counts.
+
+    Later means a later batch, then a newer file, then the file path, then the place in the file.
+    """
     rows = spark.read.parquet(out)
-    return last_record(rows, keys, F.col("batch_id")).drop("batch_id")
+    arrived = [F.col("arrived")] if "arrived" in rows.columns else []
+    return last_record(rows, keys, F.struct("batch_id", *arrived)).drop("batch_id", "arrived")
 
 
 def materialise_chunks(spark: SparkSession, source: str, schema, pattern: str, out: str, checkpoint: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
