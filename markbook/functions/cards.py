@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .pytext import quoted
 
 
 def preview(text: Column, chars: int = V.PREVIEW_CHARS) -> Column:
@@ -47,25 +48,46 @@ def out_file_name(prefix: Column, start: Column, end: Column) -> Column:
     )
 
 
+def shown(df: DataFrame, name: str) -> Column:
+    """A field as Python shows it: quoted text, True and False, lists of either."""
+    kind = df.schema[name].dataType.simpleString()
+
+    def one(c: Column, kind: str) -> Column:
+        if kind == "string":
+            return F.coalesce(quoted(c), F.lit("None"))
+        if kind == "boolean":
+            return F.when(c, "True").when(~c, "False").otherwise("None")
+        return F.coalesce(c.cast("string"), F.lit("None"))
+
+    if kind.startswith("array<"):
+        items = F.transform(F.col(name), lambda x: one(x, kind[6:-1]))
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    return one(F.col(name), kind)
+
+
 def sample_card(df: DataFrame, all_predictions: bool = False) -> Column:
     """One sample as labelled lines; fields the frame lacks are left out."""
     lines = []
     for key in ("idx", "type", "level", "dataset"):
         if key in df.columns:
             lines.append(F.concat(F.lit(f"{key.capitalize()}: "), F.col(key).cast("string")))
-    lines.append(F.concat(F.lit("Question: "), F.col("question")))
+    lines.append(F.concat(F.lit("Question: "), quoted(F.col("question"))))
     if "code" in df.columns:
         if all_predictions:
             each = F.transform(
                 F.col("code"), lambda c: F.concat(F.lit("-" * 20 + "\ncode: "), c)
             )
             lines.append(F.array_join(each, "\n"))
+            if "report" in df.columns:
+                lines.append(F.concat(F.lit("Execution: "), shown(df, "report")))
         else:
             lines.append(F.concat(F.lit("Solution:\n "), F.try_element_at(F.col("code"), F.lit(1))))
+            if "report" in df.columns:
+                lines.append(F.concat(F.lit("Execution: "), F.try_element_at(F.col("report"), F.lit(1))))
     if "pred" in df.columns:
-        lines.append(F.concat(F.lit("Prediction: "), F.try_element_at(F.col("pred"), F.lit(1))))
+        lines.append(F.concat(F.lit("Prediction: "), quoted(F.try_element_at(F.col("pred"), F.lit(1)))))
     # The labels of the closing fields.
     for key, label in (("gt", "Ground Truth"), ("score", "Score"), ("unit", "unit"), ("gt_cot", "Reference CoT")):
         if key in df.columns:
-            lines.append(F.concat(F.lit(f"{label}: "), F.col(key).cast("string")))
+            lines.append(F.concat(F.lit(f"{label}: "), shown(df, key)))
     return F.concat_ws("\n", *lines)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .normalize import clean_units, normalize_answer, ran_successfully  # noqa: F401
-from .numbers import last_number
+from .numbers import evaluated_text, last_number
 from .pytext import (
     LETTER_CHOICE, after_last, before, count_of, find_all, first_of, last_of, let, lstrip,
     pieces, replace, rstrip, strip,
@@ -127,10 +127,13 @@ def typed_answer(c: Column, answer_flag: bool = True) -> Column:
         cleaned = clean_units(strip(after_last(text, "=")))
         return let(
             cleaned,
-            lambda t: F.when(
-                t.rlike(r"^-?[\p{Nd}.]+\s\P{Nd}+$") | t.rlike(r"^-?[\p{Nd}.]+\s[^\s]+$"),
-                before(t, " "),
-            ).otherwise(t),
+            lambda t: F.coalesce(
+                evaluated_text(t),
+                F.when(
+                    t.rlike(r"^-?[\p{Nd}.]+\s\P{Nd}+$") | t.rlike(r"^-?[\p{Nd}.]+\s[^\s]+$"),
+                    before(t, " "),
+                ).otherwise(t),
+            ),
         )
 
     unboxed = F.when(c.contains("boxed"), boxed(c)).otherwise(c)

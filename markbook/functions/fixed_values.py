@@ -171,3 +171,7 @@ PREVIEW_CHARS = 200
 TRUNCATE_CHARS = 400
 CORPUS_HEAD_DOCS = 1100
 CORPUS_HEAD_WINDOWS = 256
+
+# Marks around a turn in chat markup.
+CHAT_START = "<|im_start|>"
+CHAT_END = "<|im_end|>"

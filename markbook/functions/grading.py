@@ -144,14 +144,17 @@ def matrix_pairs(pred: Column, gt: Column) -> Column:
     return F.when(pred.rlike(shape) & gt.rlike(shape), _both(pred, gt, rows, cells))
 
 
-def one_sided_pairs(pred: Column, gt: Column) -> Column:
-    """``x = 5`` against ``5``: a name of at most two characters before the sign is left out."""
+def one_sided(pred: Column, gt: Column) -> Column:
+    """``x = 5`` against ``5``: a name of at most two characters before the sign is left out.
+
+    Both sides as ``struct<p, g>``; null where the rule does not apply.
+    """
 
     def named(c):
         return (count_of(c, "=") == 1) & (F.length(strip(before(c, "="))) <= 2)
 
     def pair(p, g):
-        return F.array(F.struct(p.alias("p"), g.alias("g")))
+        return F.struct(strip(p).alias("p"), strip(g).alias("g"))
 
     return F.when(named(pred) & ~gt.contains("="), pair(after_last(pred, "="), gt)).when(
         named(gt) & ~pred.contains("="), pair(pred, after_last(gt, "="))
@@ -159,19 +162,30 @@ def one_sided_pairs(pred: Column, gt: Column) -> Column:
 
 
 def structured_rung(pred: Column, gt: Column, tol: float, percent: bool) -> Column:
-    """First of tuple, matrix and one_sided whose pairs all match; null when none does."""
-    shapes = [
-        ("tuple", tuple_pairs(pred, gt)),
-        ("matrix", matrix_pairs(pred, gt)),
-        ("one_sided", one_sided_pairs(pred, gt)),
-    ]
-    tried = F.array(*[F.struct(F.lit(n).alias("rung"), c.alias("pairs")) for n, c in shapes])
-    matched = F.filter(
-        tried,
-        lambda s: s["pairs"].isNotNull()
-        & F.forall(s["pairs"], lambda x: simple_match(x["p"], x["g"], tol, percent)),
-    )
-    return F.get(matched, F.lit(0))["rung"]
+    """First of tuple, matrix and one_sided whose pairs all match; null when none does.
+
+    What a one-sided equation leaves is graded by all rules again: as it stands, as a tuple and as a
+    matrix.
+    """
+
+    def run(rest):
+        whole = F.when(rest.isNotNull(), F.array(F.struct(rest["p"].alias("p"), rest["g"].alias("g"))))
+        shapes = [
+            ("tuple", tuple_pairs(pred, gt)),
+            ("matrix", matrix_pairs(pred, gt)),
+            ("one_sided", whole),
+            ("one_sided", tuple_pairs(rest["p"], rest["g"])),
+            ("one_sided", matrix_pairs(rest["p"], rest["g"])),
+        ]
+        tried = F.array(*[F.struct(F.lit(n).alias("rung"), c.alias("pairs")) for n, c in shapes])
+        matched = F.filter(
+            tried,
+            lambda s: s["pairs"].isNotNull()
+            & F.forall(s["pairs"], lambda x: simple_match(x["p"], x["g"], tol, percent)),
+        )
+        return F.get(matched, F.lit(0))["rung"]
+
+    return let(one_sided(pred, gt), run)
 
 
 def grading_rung(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:

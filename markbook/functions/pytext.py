@@ -78,5 +78,17 @@ def last_of(array: Column) -> Column:
     return F.try_element_at(array, F.lit(-1))
 
 
+def quoted(c: Column) -> Column:
+    """Text in quotes as Python shows it: double quotes where it holds single ones only."""
+
+    def run(t):
+        plain = replace_all(t, [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")])
+        single = F.concat(F.lit("'"), replace(plain, "'", "\\'"), F.lit("'"))
+        double = F.concat(F.lit('"'), plain, F.lit('"'))
+        return F.when(t.contains("'") & ~t.contains('"'), double).otherwise(single)
+
+    return let(c, run)
+
+
 def first_of(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))

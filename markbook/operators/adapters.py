@@ -13,7 +13,7 @@ from ..functions import fixed_values as V
 from ..functions.extract import extract_answer
 from ..functions.normalize import normalize_answer, normalize_relations
 from ..functions.numbers import parse_number, python_float_text
-from ..functions.pytext import before, pieces, replace, strip
+from ..functions.pytext import before, pieces, replace, replace_all, strip
 
 
 # ---------------------------------------------------------------- gold answers
@@ -166,7 +166,7 @@ def lettered_options(choices: Column) -> Column:
 
 def inline_options(options: Column) -> Column:
     """``A) x B) y`` -> ``(A) x (B) y``."""
-    return F.regexp_replace(F.concat(F.lit("("), strip(options)), r" ([BCD])\) ", r" ($1) ")
+    return replace_all(F.concat(F.lit("("), strip(options)), [(f" {letter}) ", f" ({letter}) ") for letter in "BCD"])
 
 
 def joined_options(options: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import completion_text, cut_at_stop_words, predict, repair_choice
 from ..functions.grading import grade
-from ..session import broadcast_if_small, settle
+from ..session import settle
+from .adapters import with_ground_truth
 from .prompts import stop_words_for
 
 
@@ -40,11 +41,11 @@ def grade_distinct(df: DataFrame) -> DataFrame:
     """Grade each distinct (pred, gt) pair once and join the result back.
 
     Pays off when samples repeat many answers and the answers need the dearer rungs.  The graded
-    pairs are kept; a small set is broadcast, so a pair that most rows share does no harm.
+    pairs are kept; whether they are broadcast is decided by their size when they are joined.
     """
     graded = grade(df.select("pred", "gt").distinct())
     named = graded.withColumnsRenamed({"pred": "_pred", "gt": "_gt"})
-    pairs = broadcast_if_small(settle(named), 200_000)
+    pairs = settle(named)
     same = F.col("pred").eqNullSafe(F.col("_pred")) & F.col("gt").eqNullSafe(F.col("_gt"))
     return df.join(pairs, same).select(*df.columns, "score", "rung")
 
@@ -67,16 +68,43 @@ def last_record(df: DataFrame, keys, order: Column) -> DataFrame:
     )
 
 
-def grouped_samples(df: DataFrame, fields=("code", "pred", "score"), chunk: int = 1024) -> DataFrame:
+def grouped_samples(df: DataFrame, fields=("code", "pred", "score"), chunk: int | None = None) -> DataFrame:
     """Wide form for a sink: parallel lists in sample order, one row per question.
 
-    A question with more than ``chunk`` samples goes on in further rows (``part`` 1, 2, ...), so
-    no list and no task grows with the number of samples of one question.
+    The long form is the one to store where a question may have very many samples.  With ``chunk`` a
+    question goes on in further rows (``part`` 1, 2, ...) after so many samples.
     """
     sample = F.struct("sample_id", *fields)
-    part = F.floor(F.col("sample_id") / chunk).cast("int").alias("part")
-    lists = df.groupBy("idx", part).agg(F.array_sort(F.collect_list(sample)).alias("_s"))
-    return lists.select("idx", "part", *[F.col(f"_s.{f}").alias(f) for f in fields])
+    part = [F.floor(F.col("sample_id") / chunk).cast("int").alias("part")] if chunk else []
+    lists = df.groupBy("idx", *part).agg(F.array_sort(F.collect_list(sample)).alias("_s"))
+    return lists.select("idx", *(["part"] if chunk else []), *[F.col(f"_s.{f}").alias(f) for f in fields])
+
+
+def long_samples(wide: DataFrame) -> DataFrame:
+    """Stored results, one row per question with parallel lists, as one row per sample.
+
+    Lists are ``code``, ``pred``, ``report``, ``score`` and ``pred_score`` as far as present; a reward
+    list of lists is flattened first.  A shorter list leaves nulls at its end; other columns repeat.
+    """
+    lists = [c for c in ("code", "pred", "report", "score", "pred_score") if c in wide.columns]
+    rewards = wide.schema["pred_score"].dataType.simpleString() if "pred_score" in lists else ""
+    if rewards.startswith("array<array"):
+        wide = wide.withColumn("pred_score", F.flatten("pred_score"))
+    rest = [c for c in wide.columns if c not in (*lists, "sample_id")]
+    each = wide.select(*rest, F.posexplode(F.arrays_zip(*lists)).alias("sample_id", "_s"))
+    return each.select(*rest, "sample_id", *[F.col(f"_s.{c}").alias(c) for c in lists])
+
+
+def evaluate(wide: DataFrame, dataset: str, order: Column | None = None) -> DataFrame:
+    """Stored results, one row per question with lists, graded anew: one row per sample.
+
+    Of a question stored more than once the last record by ``order`` counts; the gold answer is derived
+    again, then every prediction is compared with it.
+    """
+    kept = last_record(wide, ["idx"], order) if order is not None else wide
+    gold = with_ground_truth(kept, dataset)
+    rest = [c for c in ("pred", "code", "report", "pred_score") if c in gold.columns]
+    return grade(long_samples(gold.select("idx", *[c for c in gold.columns if c not in ("idx", "score", *rest)], *rest)))
 
 
 def regressions(run_a: DataFrame, run_b: DataFrame, key: str = "idx") -> DataFrame:

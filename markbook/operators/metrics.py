@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cards import minutes_seconds
 from ..session import settle
 
 
@@ -58,14 +59,18 @@ def type_accuracy(graded: DataFrame, by=("type",)) -> DataFrame:
     return table.withColumn("acc", rounded_percent(F.col("acc_ratio")))
 
 
-def metrics_record(graded: DataFrame) -> DataFrame:
-    """The flat metrics record of a run, with the per-type map in type order."""
+def metrics_record(graded: DataFrame, seconds: float | None = None) -> DataFrame:
+    """The flat metrics record of a run, with the per-type map in type order and the time it took."""
     types = type_accuracy(graded).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "acc")))).alias("type_acc")
     )
     total = accuracy(graded).withColumn(
         "timeout_samples", F.lit(0).cast("long")
     )
+    if seconds is not None:
+        total = total.withColumn("time_use_in_second", F.lit(float(seconds))).withColumn(
+            "time_use_in_minite", minutes_seconds(F.lit(float(seconds)))
+        )
     # Both sides hold exactly one row.
     return total.withColumn("_one", F.lit(1)).join(types.withColumn("_one", F.lit(1)), "_one").drop("_one")
 

@@ -15,7 +15,7 @@ from ..functions import numbers as U
 from ..functions import trajectory as T
 from ..operators import completions as C
 from .fixtures import LINES, by_kind, lines, q
-from .registry import query, spread, table
+from .registry import query, table
 
 S = f"WITH {LINES}"
 
@@ -59,7 +59,7 @@ def ans2(spark, folder):
 @query("ans3_last_number", r"""SELECT doc_id,
  coalesce(regexp_extract_all(replace(text, ',', ''), '-?[0-9]*\.?[0-9]+')[-1], '') AS number FROM documents""")
 def ans3(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", U.last_number(F.col("text")).alias("number"))
 
 
@@ -90,7 +90,7 @@ def ans4(spark, folder):
    regexp_extract_all(upper(text), '(?:^|[^\p{L}\p{N}_])([A-E])(?:$|[^\p{L}\p{N}_])', 1)[-1], '') AS choice
  FROM (SELECT doc_id, regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') AS text FROM documents)""")
 def ans4_documents(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     found = X.last_of(X.find_all(F.upper(F.col("text")), X.LETTER_CHOICE))
     return docs.select("doc_id", F.coalesce(found, F.lit("")).alias("choice"))
 
@@ -109,12 +109,13 @@ def ans5(spark, folder):
 
 @query("ans6_typed_answer", S + """ SELECT idx, kind, part, q,
  CASE WHEN kind = 1 THEN 'True' WHEN kind = 2 THEN 'False' WHEN kind = 3 THEN concat('(b) ', q)
-      WHEN kind = 4 THEN concat(q, '/100') WHEN kind = 5 THEN CAST(q AS VARCHAR)
+      WHEN kind = 4 THEN CASE WHEN q % 100 = 0 THEN CAST(q // 100 AS VARCHAR) ELSE CAST(q / 100.0 AS DOUBLE)::VARCHAR END
+      WHEN kind = 5 THEN CAST(q * 3 AS VARCHAR)
       ELSE CAST(q AS VARCHAR) END AS answer FROM li""")
 def ans6(spark, folder):
     df = texts(spark, folder, {
         1: ["Yes, ", q()], 2: ["that is False ", q()], 3: ["(b) ", q()],
-        4: ["x = ", q(), "%"], 5: ["so \\boxed{", q(), "}"],
+        4: ["x = ", q(), "%"], 5: ["so x = ", (F.col("q") * 12).cast("string"), "/4"],
     }, ["x = ", q(), " kg"])
     return df.select("idx", "kind", "part", "q", X.typed_answer(F.col("text")).alias("answer"))
 
@@ -294,7 +295,7 @@ def nrm10(spark, folder):
 def nrm11(spark, folder):
     text = F.col("text")
     first = F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit("[^ ]+"), F.lit(0)), F.lit(1)), F.lit(""))
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         "doc_id", U.contains_digit(text).alias("has_digit"), N.ran_successfully(text).alias("ran"),
         U.is_number(first).alias("first_is_number"),
     )
@@ -459,10 +460,11 @@ def grd9(spark, folder):
     return rungs(df)
 
 
-@query("grd10_one_sided", _expect("""CASE WHEN kind <= 3 THEN 'one_sided' ELSE 'none' END"""))
+@query("grd10_one_sided", _expect("""CASE WHEN kind <= 5 THEN 'one_sided' ELSE 'none' END"""))
 def grd10(spark, folder):
     df = pairs(spark, folder, {
         1: (["x=", q()], [q(), ".0"]), 2: ([q()], ["k =", q()]), 3: (["y = \\frac{", q(), "}{2}"], [q(), "/2"]),
+        4: (["x=(", q(), ",2.0)"], ["(", q(), ".0,2)"]), 5: (["k=", *_matrix(q(), ".0\\\\2")], _matrix(q(), "\\\\2")),
     }, (["area=", q()], [q()]))
     return rungs(df)
 

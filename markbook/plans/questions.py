@@ -8,6 +8,7 @@ from ..functions import cards
 from ..functions import fixed_values as V
 from ..functions.normalize import normalize_relations
 from ..operators import adapters as A
+from ..operators import chats as T
 from ..operators import ordering as O
 from ..operators import prompts as P
 from .fixtures import RUNS, parsed_runs
@@ -169,9 +170,13 @@ def qst3(spark, folder):
     return A.with_question(df, "mmlu_stem").select(KEY, "question")
 
 
-@query("qst4_inline_options", """SELECT p_partkey, concat('(A) ', p_name, ' (B) ', p_type, ' (C) ', p_size, ' (D) ', p_brand) AS options FROM part""")
+@query("qst4_inline_options", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat('(A) ', p_name, ' (B) (C) (D) ', p_brand)
+   ELSE concat('(A) ', p_name, ' (B) ', p_type, ' (C) ', p_size, ' (D) ', p_brand) END AS options FROM part""")
 def qst4(spark, folder):
-    raw = F.concat(F.lit("A) "), "p_name", F.lit(" B) "), "p_type", F.lit(" C) "), c("p_size"), F.lit(" D) "), "p_brand")
+    # In a third of the rows labels follow each other directly.
+    raw = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("A) "), "p_name", F.lit(" B) C) D) "), "p_brand")).otherwise(
+        F.concat(F.lit("A) "), "p_name", F.lit(" B) "), "p_type", F.lit(" C) "), c("p_size"), F.lit(" D) "), "p_brand")
+    )
     return parts(spark, folder).select(KEY, A.inline_options(raw).alias("options"))
 
 
@@ -426,12 +431,17 @@ def prj6(spark, folder):
     return table(spark, folder, "documents").select("doc_id", cards.preview(F.col("text")).alias("preview"))
 
 
-@query("prj7_sample_card", """SELECT idx, concat('Idx: ', idx, chr(10), 'Type: ', p_type, chr(10), 'Question: ', p_name, chr(10), 'Solution:', chr(10),
-   ' ', p_brand, chr(10), 'Prediction: ', p_size, chr(10), 'Ground Truth: ', p_size) AS card FROM (SELECT p_partkey AS idx, * FROM part)""")
+@query("prj7_sample_card", """SELECT idx, concat('Idx: ', idx, chr(10), 'Type: ', p_type, chr(10), 'Question: ',
+   CASE WHEN p_size % 3 = 0 THEN concat('"', p_name, chr(39), 's', chr(92), 'n', chr(92), chr(92), 'x"') ELSE concat(chr(39), p_name, chr(39)) END, chr(10), 'Solution:', chr(10),
+   ' ', p_brand, chr(10), 'Execution: ', report, chr(10), 'Prediction: ', chr(39), p_size, chr(39), chr(10), 'Ground Truth: ', chr(39), p_size, chr(39), chr(10),
+   'Score: [', CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END, ', True]') AS card
+  FROM (SELECT p_partkey AS idx, 'Done' AS report, * FROM part)""")
 def prj7(spark, folder):
+    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit("'s\n\\x"))).otherwise(F.col("p_name"))
     df = parts(spark, folder).select(
-        F.col(KEY).alias("idx"), F.col("p_type").alias("type"), F.col("p_name").alias("question"),
-        F.array("p_brand").alias("code"), F.array(c("p_size")).alias("pred"), c("p_size").alias("gt"),
+        F.col(KEY).alias("idx"), F.col("p_type").alias("type"), name.alias("question"),
+        F.array("p_brand").alias("code"), F.array(F.lit("Done")).alias("report"), F.array(c("p_size")).alias("pred"),
+        c("p_size").alias("gt"), F.array(F.col("p_size") % 2 == 0, F.lit(True)).alias("score"),
     )
     return df.select("idx", cards.sample_card(df).alias("card"))
 
@@ -478,9 +488,11 @@ def smp1(spark, folder):
     return O.take_slice(table(spark, folder, "events").select("event_id", "user_id"), "event_id", head=1000, start=100)
 
 
-@query("smp2_shuffle")
+@query("smp2_shuffle", """SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY substr(md5(concat('7|', o_orderkey)), 1, 15), o_orderkey) AS place FROM orders""")
 def smp2(spark, folder):
-    return O.shuffled(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", seed=7)
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    placed = O.with_index(rows.withColumn("_order", O.shuffle_key("o_orderkey", 7)), "_order", "place")
+    return placed.select("o_orderkey", "o_custkey", (F.col("place") + 1).alias("place"))
 
 
 @query("smp3_cap_rows", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 500")
@@ -488,10 +500,11 @@ def smp3(spark, folder):
     return O.first_rows(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500)
 
 
-@query("set1_union_splits", "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')")
+@query("set1_union_splits", "SELECT conv_id, turn, role FROM conversations")
 def set1(spark, folder):
     chats = table(spark, folder, "conversations").select("conv_id", "turn", "role")
-    return chats.filter("role = 'user'").unionByName(chats.filter("role = 'assistant'"))
+    named = chats.filter("role = 'user'").unionByName(chats.filter("role = 'assistant'"))
+    return named.unionByName(chats.filter("role IS NULL OR role NOT IN ('user', 'assistant')"))
 
 
 @query("srt1_sort_by_key", "SELECT conv_id, turn, length(text) AS chars FROM conversations ORDER BY conv_id, turn")
@@ -525,3 +538,40 @@ def snk9(spark, folder):
         {"num_test_sample": F.lit(-1), "seed": F.lit(0), "temperature": F.lit("0.0"), "top_k": F.col("top_k"),
          "enable_thinking": flag, "n_sampling": F.col("top_k")}, F.lit("test"), F.lit("cot"))
     return df.select("run_no", cards.out_file_name(prefix, F.lit(0), F.lit(-1)).alias("file_name"))
+
+
+# ---------------------------------------------------------------- training records
+CHAT_TAGS = {"user": "human", "assistant": "gpt", "system": "system"}
+
+
+def _records(spark, folder):
+    return T.chat_records(table(spark, folder, "conversations"), CHAT_TAGS)
+
+
+@query("sft1_chat_records", """SELECT conv_id, CAST(count(*) AS INTEGER) AS turns,
+  string_agg(CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE 'system' END, ',' ORDER BY turn) AS tags,
+  md5(string_agg(text, '|' ORDER BY turn)) AS digest
+ FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id""")
+def sft1(spark, folder):
+    return _records(spark, folder).select(
+        "conv_id", F.size("conversations").alias("turns"), F.array_join("conversations.from", ",").alias("tags"),
+        F.md5(F.array_join("conversations.value", "|").cast("binary")).alias("digest"),
+    )
+
+
+@query("sft2_rendered", """SELECT conv_id, md5(concat(CASE WHEN bool_or(role = 'system') THEN '' ELSE concat('<|im_start|>system', chr(10), 'Be brief.<|im_end|>', chr(10)) END,
+  string_agg(concat('<|im_start|>', role, chr(10), coalesce(text, ''), '<|im_end|>', chr(10)), '' ORDER BY turn))) AS digest
+ FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id""")
+def sft2(spark, folder):
+    names = {tag: role for role, tag in CHAT_TAGS.items()}
+    text = T.rendered(F.col("conversations"), names, "Be brief.")
+    return _records(spark, folder).select("conv_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+@query("sft3_cut_off", """SELECT conv_id, CAST(least(n, 40) AS INTEGER) AS n_tokens, n > 40 AS was_cut, md5(array_to_string(t[1:40], ' ')) AS digest
+ FROM (SELECT conv_id, t, len(t) AS n FROM (SELECT conv_id, string_split(string_agg(coalesce(text, ''), ' ' ORDER BY turn), ' ') AS t
+   FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id))""")
+def sft3(spark, folder):
+    words = F.split(F.array_join("conversations.value", " ", ""), " ")
+    cut = _records(spark, folder).select("conv_id", T.cut_off(words, 40).alias("c")).select("conv_id", "c.*")
+    return cut.select("conv_id", F.size("tokens").alias("n_tokens"), "was_cut", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))

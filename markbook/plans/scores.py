@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import completions as C
 from ..operators import metrics as M
 from ..operators import voting as V
-from ..streaming.incremental import grade_stream, graded_so_far
+from ..streaming.incremental import grade_stream, graded_so_far, with_arrival
 from ..session import scratch_dir
 from .fixtures import COMPLETIONS, GRADED, completions, graded
 from .registry import query, table
 
-ROUNDED = "round_even(100 * acc_ratio, 1)"
+ROUNDED = "round_even(100 * (CAST(sum(first) AS DOUBLE) / count(*)), 1)"
 
 
 @query(
@@ -23,10 +23,10 @@ ROUNDED = "round_even(100 * acc_ratio, 1)"
         FROM graded GROUP BY idx)
  SELECT count(*) AS num_samples, CAST(sum(n) AS BIGINT) AS num_scores,
         CAST(sum(empty) AS BIGINT) AS empty_samples,
-        CAST(sum(first) AS DOUBLE) / count(*) AS acc_ratio FROM qs""",
+        CAST(sum(first) AS DOUBLE) / count(*) AS acc_ratio, {ROUNDED} AS acc FROM qs""",
 )
 def agg1(spark, folder):
-    return M.accuracy(graded(spark, folder)).drop("acc")
+    return M.accuracy(graded(spark, folder))
 
 
 @query(
@@ -183,7 +183,7 @@ PAIR = f"""WITH {GRADED},
  b AS (SELECT idx, score FROM graded WHERE sample_id = 1)"""
 
 
-@query("jn3_regressions", PAIR + " SELECT a.idx FROM a JOIN b USING (idx) WHERE a.score AND NOT b.score")
+@query("jn3_regressions", PAIR.replace("graded AS (", "graded AS MATERIALIZED (") + " SELECT a.idx FROM a JOIN b USING (idx) WHERE a.score AND NOT b.score")
 def jn3(spark, folder):
     g = graded(spark, folder)
     return C.regressions(g.filter("sample_id = 0"), g.filter("sample_id = 1"))
@@ -242,16 +242,64 @@ def grd11(spark, folder):
 @query(
     "str1_incremental_grading",
     """SELECT o_orderkey AS idx, CAST(0 AS INTEGER) AS sample_id,
-       CAST(o_custkey % 3 AS VARCHAR) AS pred, o_custkey % 3 = o_orderkey % 3 AS score FROM orders""",
+       CAST((o_custkey + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) % 3 AS VARCHAR) AS pred,
+       (o_custkey + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) % 3 = o_orderkey % 3 AS score FROM orders""",
 )
 def str1(spark, folder):
-    schema = table(spark, folder, "orders").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    source = scratch_dir(spark, "deliveries")
+    # A quarter of the orders is delivered again, changed, in the same batch.
+    orders.write.parquet(f"{source}/a")
+    again = orders.filter("o_orderkey % 4 = 0").withColumn("o_custkey", F.col("o_custkey") + 1)
+    again.write.parquet(f"{source}/b")
+    stream = with_arrival(spark.readStream.schema(orders.schema).option("recursiveFileLookup", True).parquet(source))
     key, v = F.col("o_orderkey"), (F.col("o_custkey") % 3).cast("string")
     samples = stream.select(
         key.alias("idx"), F.lit(0).alias("sample_id"), (key % 3).cast("string").alias("gt"),
-        F.concat(F.lit("So the total is \\boxed{"), v, F.lit("}.")).alias("code"),
+        F.concat(F.lit("So the total is \\boxed{"), v, F.lit("}.")).alias("code"), "arrived",
     )
     home = scratch_dir(spark, "incremental")
     grade_stream(samples, C.grade_completions, f"{home}/graded", f"{home}/checkpoint")
     return graded_so_far(spark, f"{home}/graded").select("idx", "sample_id", "pred", "score")
+
+
+def _wide(spark, folder):
+    """Stored results: one row per question; every third question twice, the first time without its lists."""
+    done = C.with_predictions(completions(spark, folder), "math")
+    gold = done.groupBy("idx").agg(F.max("type").alias("type"), F.concat(F.lit("so it is #### "), F.max("gt")).alias("answer"))
+    lists = C.grouped_samples(done, ("code", "pred")).join(gold, "idx")
+    rewards = F.transform("pred", lambda p, i: F.array((i % 3).cast("double")))
+    wide = lists.withColumn("pred_score", rewards).withColumn("loaded", F.lit(1))
+    stale = wide.filter("idx % 3 = 0").withColumn("pred", F.array().cast("array<string>")).withColumn("loaded", F.lit(0))
+    return wide.unionByName(stale)
+
+
+@query("eval_wide_samples", f"WITH {GRADED} SELECT idx, sample_id, gt, pred, score, CAST(sample_id % 3 AS DOUBLE) AS reward FROM graded")
+def eval_wide(spark, folder):
+    done = C.evaluate(_wide(spark, folder), "gsm8k", F.col("loaded"))
+    return done.select("idx", "sample_id", "gt", "pred", "score", F.col("pred_score").alias("reward"))
+
+
+@query(
+    "eval_metrics_record",
+    f"""WITH {GRADED},
+ qs AS (SELECT idx, count(*) AS n, min_by(CAST(score AS INT), sample_id) AS first,
+               max_by(CASE WHEN pred = '' THEN 1 ELSE 0 END, sample_id) AS empty
+        FROM graded GROUP BY idx)
+ SELECT count(*) AS num_samples, CAST(sum(n) AS BIGINT) AS num_scores, 0::BIGINT AS timeout_samples,
+        CAST(sum(empty) AS BIGINT) AS empty_samples, {ROUNDED} AS acc,
+        CAST(125.5 AS DOUBLE) AS time_use_in_second, '2:05' AS time_use_in_minite FROM qs""",
+)
+def eval_record(spark, folder):
+    done = C.evaluate(_wide(spark, folder), "gsm8k", F.col("loaded"))
+    return M.metrics_record(done, 125.5).drop("acc_ratio", "type_acc")
+
+
+@query(
+    "eval_rewards",
+    f"""WITH {GRADED},
+ best AS (SELECT idx, arg_max(score, (sample_id % 3) * 100 - sample_id) AS score FROM graded WHERE sample_id < 4 GROUP BY idx)
+ SELECT count(*) AS questions, CAST(sum(CAST(score AS INT)) AS DOUBLE) / count(*) AS rm_at_4 FROM best""",
+)
+def eval_rewards(spark, folder):
+    return V.rm_at_k(C.evaluate(_wide(spark, folder), "gsm8k", F.col("loaded")), 4)

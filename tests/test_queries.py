@@ -1,18 +1,16 @@
 """Registered queries against their SQL on the smallest tables.
 
-MARKBOOK_ALL=1 runs every query; otherwise every fifth one, and always the flagship.
+Queries of the corpus subpackage have their own tests.
 """
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
+from markbook import plans
 from oracle import compare, connection
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
-CHOSEN = NAMES if os.environ.get("MARKBOOK_ALL") else sorted({*NAMES[::5], entry.FLAGSHIP})
+CHOSEN = sorted(plans.QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -142,7 +142,7 @@ def test_prompts_by_hand(spark):
 def test_sample_card(spark):
     df = spark.createDataFrame([(1, "q", ["c0", "c1"], "g")], "idx int, question string, code array<string>, gt string")
     assert df.select(cards.sample_card(df, all_predictions=True)).first()[0] == (
-        "Idx: 1\nQuestion: q\n--------------------\ncode: c0\n--------------------\ncode: c1\nGround Truth: g"
+        "Idx: 1\nQuestion: 'q'\n--------------------\ncode: c0\n--------------------\ncode: c1\nGround Truth: 'g'"
     )
 
 
