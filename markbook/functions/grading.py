@@ -111,13 +111,18 @@ def tuple_pairs(pred: Column, gt: Column) -> Column:
     return F.when(pred.rlike(shape) & gt.rlike(shape), _zip(parts(pred), parts(gt)))
 
 
-def set_as_matrix(gt: Column) -> Column:
-    r"""``{a,b}`` as a column matrix, for a prediction that is written as one."""
+def set_as_matrix(gt: Column, rows_apart: bool = False) -> Column:
+    r"""``{a,b}`` as a matrix text, for a prediction that is written as one.
+
+    A single backslash stands for each comma; with ``rows_apart`` a row break does, which makes it a
+    column matrix.
+    """
+    mark = "\\\\" if rows_apart else "\\"
     bodies = F.regexp_extract_all(strip(gt), F.lit(r"(?d)\{.*,.*\}"), F.lit(0))
     rows = F.transform(
         bodies,
         lambda m: F.concat(
-            F.lit("\\begin{pmatrix}"), replace(strip(m, "{}"), ",", "\\\\"), F.lit("\\end{pmatrix}")
+            F.lit("\\begin{pmatrix}"), replace(strip(m, "{}"), ",", mark), F.lit("\\end{pmatrix}")
         ),
     )
     return F.array_join(rows, ", ")

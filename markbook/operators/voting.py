@@ -63,15 +63,23 @@ def maj_at_k(graded: DataFrame, k: int, key: str = "text", by=()) -> DataFrame:
 
 
 def rm_at_k(graded: DataFrame, k: int, reward: str = "pred_score", by=()) -> DataFrame:
-    """Share of questions whose best-rewarded sample among the first ``k`` is right."""
-    best = graded.filter(F.col("sample_id") < k).groupBy(*by, "idx").agg(
-        F.max_by(
-            "score", F.struct(F.col(reward).alias("reward"), (-F.col("sample_id")).alias("early"))
-        ).alias("score")
-    )
+    """Share of questions whose best-rewarded sample among the first ``k`` is right.
+
+    Of equal rewards the first sample counts.  Both steps keep numbers only, so they are hashed and
+    combined before the shuffle.
+    """
+    first_k = graded.filter(F.col("sample_id") < k)
+    earliest = first_k.groupBy(*by, "idx", reward).agg(F.min_by("score", "sample_id").alias("score"))
+    best = earliest.groupBy(*by, "idx").agg(F.max_by("score", reward).alias("score"))
     return _share(best, "score", f"rm_at_{k}", by)
 
 
+def short_questions(graded: DataFrame, k: int, by=()) -> DataFrame:
+    """How many questions have fewer than ``k`` samples, and so make a figure at k worth less."""
+    sizes = graded.groupBy(*by, "idx").agg(F.count("*").alias("n"))
+    return sizes.groupBy(*by).agg(F.count("*").alias("questions"), F.count_if(F.col("n") < k).alias("short"))
+
+
 def _share(df: DataFrame, score: str, name: str, by) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count("*").alias("questions"),

@@ -178,6 +178,15 @@ def jn2(spark, folder):
     return C.attach_results(samples, graded(spark, folder).select("idx", "sample_id", "pred", "score"))
 
 
+@query(
+    "agg5_short_questions",
+    f"""WITH {GRADED}, n AS (SELECT idx, count(*) AS n FROM graded GROUP BY idx)
+ SELECT count(*) AS questions, count(*) FILTER (n < 4) AS short FROM n""",
+)
+def agg5_short(spark, folder):
+    return V.short_questions(graded(spark, folder), 4)
+
+
 PAIR = f"""WITH {GRADED},
  a AS (SELECT idx, score FROM graded WHERE sample_id = 0),
  b AS (SELECT idx, score FROM graded WHERE sample_id = 1)"""
