@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,8 +20,8 @@ HEADLINE = [
     "agg3_type_accuracy", "agg5_maj_at_8", "agg7_rm_at_4", "agg8_bool_majority",
     "jn1_resume_anti", "jn3_transitions", "win1_last_record", "agg13_stats_by_each",
     "agg14_pivot_two_keys", "agg18_five_numbers", "agg10_question_nll", "agg11_perplexity",
-    "agg21_cost_rollup", "win3_cost_curve", "arr2_fake_quantize", "win4_prefix_sum",
-    "smp4_sample_windows", "smp8_consecutive_windows", "adp6_typed_numbers", "pmt3_few_shot",
+    "agg21_cost_rollup", "eval_wide_samples", "win3_cost_curve", "arr2_fake_quantize", "win4_prefix_sum",
+    "smp4_sample_windows", "smp8_consecutive_windows", "sft1_chat_records", "adp6_typed_numbers", "pmt3_few_shot",
 ]
 
 
@@ -31,7 +32,9 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
     budget = float(os.environ.get("BENCH_QUERY_SECONDS", "6"))
-    spark = build_session("bench", cores, shuffle_partitions=max(8, int(cores) if cores.isdigit() else 8))
+    shared = tempfile.mkdtemp(prefix="bench-")
+    parts = max(8, int(cores) if cores.isdigit() else 8)
+    spark = build_session("bench", cores, shuffle_partitions=parts, shared=f"file://{shared}")
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed_values as V
 
@@ -37,3 +38,27 @@ def rendered(conversations: Column, tags: dict[str, str], system: str | None = N
 def cut_off(tokens: Column, limit: int) -> Column:
     """(tokens, was_cut): at most ``limit`` tokens of a record."""
     return F.struct(F.slice(tokens, 1, limit).alias("tokens"), (F.size(tokens) > limit).alias("was_cut"))
+
+
+def packed(records: DataFrame, key: str, tokens: str, budget: int, group: int = 4096) -> DataFrame:
+    """Adds ``bin``: records that share a bin hold at most ``budget`` tokens together.
+
+    Records are dealt at random into groups of about ``group`` budgets, and each group is filled by
+    itself, longest first into the first bin with room, so no task grows with the table.  A record
+    longer than the budget gets a bin of its own.
+    """
+    groups = records.agg(F.ceil(F.sum(F.col(tokens).cast("long")) / F.lit(budget * group))).first()[0] or 1
+    dealt = records.select(key, tokens, F.pmod(F.xxhash64(key), F.lit(int(groups))).cast("long").alias("_g"))
+    schema = StructType([records.schema[key], StructField("bin", StringType())])
+
+    def fill(pdf):
+        room, bins = [], []
+        for n in (ordered := pdf.sort_values([tokens, key], ascending=[False, True]))[tokens]:
+            at = next((i for i, r in enumerate(room) if r >= n), len(room))
+            if at == len(room):
+                room.append(budget)
+            room[at] -= n
+            bins.append(f"{pdf['_g'].iloc[0]}-{at}")
+        return ordered.assign(bin=bins)[[key, "bin"]]
+
+    return records.join(dealt.groupBy("_g").applyInPandas(fill, schema), key)

@@ -129,3 +129,15 @@ def test_chat_records(spark):
     assert got[2] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
     cut = spark.createDataFrame([([1, 2, 3],)], "t array<int>").select(chats.cut_off(F.col("t"), 2).alias("c")).first()["c"]
     assert cut["tokens"] == [1, 2] and cut["was_cut"]
+
+
+def test_packing_keeps_every_record_and_the_budget(spark):
+    draw = random.Random(8)
+    sizes = [(i, draw.choice([1, 5, 60, 99, 100, 130])) for i in range(700)]
+    bins = {}
+    rows = chats.packed(spark.createDataFrame(sizes, "k long, n int"), "k", "n", 100, group=20).collect()
+    assert sorted((r["k"], r["n"]) for r in rows) == sizes
+    for r in rows:
+        bins.setdefault(r["bin"], []).append(r["n"])
+    assert all(sum(b) <= 100 or b == [130] for b in bins.values())
+    assert len(bins) < 1.3 * sum(min(n, 100) for _, n in sizes) / 100 + 10
