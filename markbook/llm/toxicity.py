@@ -131,22 +131,26 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> lis
     def grams(word: bytes) -> set[bytes]:
         return {word[i : i + SEGMENT] for i in range(len(word) - SEGMENT + 1)}
 
-    def counted(docs: list[list[bytes]]) -> tuple[dict[bytes, set[tuple[bytes, bytes]]], Counter, Counter]:
-        places: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
+    def counted(docs: list[list[bytes]]) -> tuple[Counter, Counter, Counter]:
+        """Places of each word, documents of each segment, places of each segment."""
+        seen: set[int] = set()
+        places: Counter = Counter()
         by_document: Counter = Counter()
         for words in docs:
             by_document.update(set().union(*map(grams, set(words))))
-            for before, word in zip([b"", *words], words):
-                places[word].add((before, word))
+            for pair in set(zip([b"", *words], words)):
+                if hash(pair) not in seen:
+                    seen.add(hash(pair))
+                    places[pair[1]] += 1
         by_place: Counter = Counter()
-        for word, own in places.items():
-            by_place.update(dict.fromkeys(grams(word), len(own)))
+        for word, n in places.items():
+            by_place.update(dict.fromkeys(grams(word), n))
         return places, by_document, by_place
 
     least = max(6, len(toxic) // 100)
     here, inside, inside_places = counted(toxic)
     there, outside, outside_places = counted(ordinary)
-    all_here, all_there = (sum(map(len, x.values())) for x in (here, there))
+    all_here, all_there = here.total(), there.total()
 
     def odds(a: int, b: int, all_a: int, all_b: int) -> float:
         return math.log((a + 0.5) / (all_a + 1)) - math.log((b + 0.5) / (all_b + 1))
@@ -158,24 +162,25 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> lis
         and odds(n, outside[g], len(toxic), len(ordinary)) > 3
         and odds(inside_places[g], outside_places[g], all_here, all_there) > 2
     }
-    items: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
-    for word, own in here.items():
+    items: dict[bytes, set[bytes]] = defaultdict(set)
+    for word in here:
         for g in grams(word) & telling:
-            items[g] |= own
-    covered: set[tuple[bytes, bytes]] = set()
-    heap = [(-len(x), g) for g, x in items.items()]
+            items[g].add(word)
+    covered: set[bytes] = set()
+    heap = [(-inside_places[g], g) for g in items]
     heapq.heapify(heap)
     chosen = []
     while heap:
         was, g = heapq.heappop(heap)
         new = items[g] - covered
-        if len(new) < least:
+        worth = sum(here[w] for w in new)
+        if worth < least:
             continue
-        if len(new) < -was:
-            heapq.heappush(heap, (-len(new), g))
+        if worth < -was:
+            heapq.heappush(heap, (-worth, g))
             continue
         covered |= new
-        grown = _grown(g, Counter(word for _, word in new))
+        grown = _grown(g, Counter({w: here[w] for w in sorted(new)}))
         # Only stretches whose every part tells, or ordinary words would match the rest.
         start = 0
         for end in range(SEGMENT, len(grown) + 2):
