@@ -15,8 +15,12 @@ grouped.  Where members of one bucket still belong to different groups, those th
 bucket's main group are compared with all members of other groups, in blocks, so that a link which the
 first round did not try is found too; its pairs pass through the same verification.
 
-Grouping.  Each task turns its links into a forest by union-find; rounds of large-star and small-star
-steps then bring every document to the smallest id it reaches, until nothing changes.
+That second round first verifies each member's best pair of a block, which joins most of what belongs
+together, and then all pairs between groups that are left.
+
+Grouping.  Each task turns its links into a forest by union-find.  A forest that fits one task
+(``PER_TASK`` links) is united there; a larger one goes through rounds of large-star and small-star
+steps, which bring every document to the smallest id it reaches, until nothing changes.
 
 Skew.  Copies are gone before banding.  Bucket heads are an aggregate, combined before the shuffle.
 In the second round large buckets are cut into blocks and dealt out by pairs of blocks.  Nothing is
@@ -30,6 +34,7 @@ n_shingles, a null component and is kept.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +52,13 @@ THRESHOLD = 85
 BANDS, ROWS = 25, 5
 POSITIONS = BANDS * ROWS
 #: Positions that must agree before a pair is verified: four standard deviations below 85 %.
-NEAR = int(POSITIONS * (0.85 - 4 * (0.85 * 0.15 / POSITIONS) ** 0.5))
+SURE = 4
+NEAR = int(POSITIONS * (0.85 - SURE * (0.85 * 0.15 / POSITIONS) ** 0.5))
 BLOCK = 1024
+#: Rows that are compared in one call, many small buckets together.
+TOGETHER = 8192
+#: Links that one task unites at the end; more of them are grouped by star steps between tasks.
+PER_TASK = 500_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -90,6 +100,21 @@ def signature(elements: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
     return least
 
 
+@functools.cache
+def _least_agreeing(power: int) -> int:
+    """NEAR for unions of up to 2 ** (power / 4) elements, whose estimates vary less.
+
+    The published variance of SuperMinHash is that of independent hashes times 1 minus the sum below.
+    """
+    m, u = POSITIONS, max(2.0, 2 ** (power / 4))
+    at = np.arange(1.0, m)
+    share = (at / m) ** u
+    second = ((at + 1) / (m - 1)) ** u + ((at - 1) / (m - 1)) ** u - 2 * (at / (m - 1)) ** u
+    less = float((share * second).sum() * (m - 1) / (u - 1))
+    deviation = (0.85 * 0.15 / m * max(0.0, 1 - less)) ** 0.5
+    return max(NEAR, int(m * (0.85 - SURE * deviation)))
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, n, digest, bands (64-bit hashes) and marks (16 bits of every position, packed)."""
 
@@ -145,15 +170,11 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold; sizes that rule it out go first."""
-    sizes = sets.select("doc_id", "n")
-    a, b = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    possible = pairs.join(a, "a").join(b, "b").where(
-        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
-    )
-    full = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    for side in full:
-        possible = possible.join(side, side.columns[0])
+    """Those pairs (a, b) whose full sets reach the threshold."""
+    possible = pairs
+    for side in "ab":
+        own = sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("shingles").alias(f"s{side}"))
+        possible = possible.join(own, side)
     shared = possible.withColumn("i", _shared("sa", "sb"))
     return shared.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * threshold).select("a", "b")
 
@@ -182,8 +203,13 @@ def _forest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every document that has a link; the smallest id names the group."""
-    links = stored(_forest(links).distinct(), "links")
+    """(doc_id, component_id) of every document that has a link; the smallest id names the group.
+
+    Union-find in each task leaves a forest; what fits a task is united there once more, which ends it.
+    """
+    links = stored(_forest(links), "links")
+    if links.count() <= PER_TASK:
+        return _named(stored(_forest(links.coalesce(1)), "links"))
 
     def least(edges: DataFrame) -> DataFrame:
         return edges.groupBy("a").agg(F.min("b").alias("m"))
@@ -204,17 +230,22 @@ def components(links: DataFrame) -> DataFrame:
         now = state(links)
         if now == before:
             break
-    heads = links.select(F.col("b").alias("doc_id")).distinct()
-    return links.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")).unionByName(
+    return _named(links)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    """Components from links that all lead to the smallest id."""
+    heads = stars.select(F.col("b").alias("doc_id")).distinct()
+    return stars.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")).unionByName(
         heads.withColumn("component_id", F.col("doc_id"))
     )
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, rows: int, only_best: bool) -> DataFrame:
     """Pairs from buckets whose members stand in different groups, with enough agreeing positions.
 
-    ``members`` has key, doc_id, group and marks.  A pair is given once, by the first band in which it
-    agrees.
+    ``members`` has key, band, doc_id, n, group and marks, about ``rows`` rows.  A pair is given once, by the first band in
+    which it agrees; with ``only_best`` each member gives its best pair of a block alone.
     """
     groups = members.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
     buckets = (
@@ -231,30 +262,57 @@ def _across(members: DataFrame) -> DataFrame:
         F.greatest("own", "other").alias("j"),
         "own",
         "doc_id",
+        "n",
         "group",
         "marks",
         "band",
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((pdf["j"], pdf["i"], pdf["key"]))
+        pdf = pdf.iloc[order]
+        key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         marks = np.frombuffer(b"".join(pdf["marks"]), "<u2").reshape(len(pdf), POSITIONS)
-        ids, group, own = (pdf[c].to_numpy() for c in ("doc_id", "group", "own"))
-        i, j, band = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["band"].iloc[0])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        columns = [pdf[c].to_numpy() for c in ("group", "doc_id", "own", "n", "band")]
+        found = []
+        for a, b in zip(np.r_[0, new], np.r_[new, len(pdf)]):
+            found += pairs(marks[a:b], *(c[a:b] for c in columns), i[a] != j[a])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def pairs(marks, group, ids, own, n, bands, apart) -> list[tuple[int, int]]:
+        # Small groups first: each member is compared with the members of later groups, so those of
+        # the largest one are never taken up by themselves.
+        _, group, counts = np.unique(group, return_inverse=True, return_counts=True)
+        order = np.lexsort((group, counts[group]))
+        marks, group, ids, own, n = (x[order] for x in (marks, group, ids, own, n))
+        ends = np.r_[np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
+        ends = np.repeat(ends, np.diff(np.r_[0, ends]))
+        band = int(bands[0])
         found = []
-        for x in left:
-            others = right[(group[right] != group[x]) & (ids[right] > ids[x] if i == j else True)]
+        for x in range(int(ends.searchsorted(len(group)))):
+            others = np.arange(ends[x], len(group))
+            near = 100 * np.minimum(n[others], n[x]) >= THRESHOLD * np.maximum(n[others], n[x])
+            if apart:
+                near &= own[others] != own[x]
+            others = others[near]
             if not len(others):
                 continue
             same = marks[others] == marks[x]
-            near = same.sum(axis=1) >= NEAR
-            if band:
-                whole = same[:, : band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
-                near &= ~whole
+            agreeing = same.sum(axis=1)
+            # At 85 % the union has (a + b) / 1.85 elements.
+            near = agreeing >= _least_agreeing(int(np.ceil(4 * np.log2((n[x] + n[others].max()) / 1.85 + 1))))
+            if band and near.any():
+                whole = same[near, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+                near[near] = ~whole
+            if only_best and near.any():
+                near = np.arange(len(others)) == np.argmax(np.where(near, agreeing, -1))
             found += [(min(ids[x], y), max(ids[x], y)) for y in ids[others[near]]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return found
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    shards = F.lit(rows // TOGETHER + 1)
+    together = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), shards))
+    return together.groupBy("shard").applyInPandas(compare, "a long, b long")
 
 
 def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -264,7 +322,7 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     marks = stored(
         every.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
         "heads",
     )
     heads = marks.select("digest", F.col("doc_id").alias("head"))
@@ -273,23 +331,25 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = stored(keys.join(first.select("key", "a"), "key"), "buckets")
     pairs = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    x, y = (marks.select(F.col("doc_id").alias(c), F.col("marks").alias(f"m{c}")) for c in "ab")
-    near = pairs.join(x, "a").join(y, "b").where(_agreeing("ma", "mb") >= NEAR).select("a", "b")
+    x, y = (marks.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("marks").alias(f"m{c}")) for c in "ab")
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
+    near = pairs.join(x, "a").join(y, "b").where(sizes).where(_agreeing("ma", "mb") >= NEAR).select("a", "b")
     inside = shared.select("doc_id").distinct()
     own = stored(packed_sets(docs.select("doc_id", "text").join(inside, "doc_id", "left_semi")), "sets")
     links = _verified(near, own, threshold)
     found = components(links)
-
-    members = (
-        shared.join(found, "doc_id", "left")
-        .join(marks.select("doc_id", "marks"), "doc_id")
-        .select("key", "band", "doc_id", F.coalesce("component_id", "doc_id").alias("group"), "marks")
-    )
-    more = _verified(_across(members), own, threshold)
-    closing = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    final = components(closing.unionAll(more))
-
-    of_head = heads.join(final, F.col("head") == F.col("doc_id"), "left").select(
+    rows = shared.count()
+    for only_best in (True, False):
+        members = (
+            shared.join(found, "doc_id", "left")
+            .join(marks.select("doc_id", "n", "marks"), "doc_id")
+            .select("key", "band", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("group"), "marks")
+        )
+        more = _verified(_across(members, rows, only_best).distinct(), own, threshold)
+        known = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        found = components(known.unionAll(more))
+
+    of_head = heads.join(found, F.col("head") == F.col("doc_id"), "left").select(
         F.col("digest").alias("__digest"), F.coalesce("component_id", "head").alias("group")
     )
     # Documents without words have no head; those without an id are never one.

@@ -180,7 +180,9 @@ def test_second_round_compares_groups_in_blocks(spark, monkeypatch):
     test_near_duplicates_in_one_large_spread_group(spark)
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("per_task", [500_000, 3])
+def test_components_of_a_chain(spark, monkeypatch, per_task):
+    monkeypatch.setattr(minhash, "PER_TASK", per_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(101, 100)], "a long, b long").repartition(7)
     found = {r.doc_id: r.component_id for r in minhash.components(links).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
