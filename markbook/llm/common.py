@@ -21,6 +21,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    # Spark drops the shuffle files behind a written table once its driver has collected garbage.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

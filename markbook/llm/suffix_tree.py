@@ -46,8 +46,11 @@ MIN_GAIN = 12.0
 DISCOUNT = 0.75
 #: Tokens after which a chunk ends.
 CHUNK = 4_000_000
-#: Size of a bitmap.
-BITS = 1 << 25
+#: Size of a bitmap, and the shifts that give a key its bits in it.
+BITS = 1 << 27
+SHIFTS = (0, 18, 37)
+#: Tokens whose contexts a worker holds at a time.
+SLICE = 500_000
 TURN = 21
 END = np.uint64(0x9AE16A3B2F90404F)
 STATE = np.uint64(0x5851F42D4C957F2D)
@@ -132,25 +135,34 @@ class Chunk:
         lengths = _unpack(row.lengths, "<i4").astype(np.int64)
         tokens = _unpack(row.tokens, "<i4")
         self.ends = np.cumsum(lengths + 1) - 1
-        self.tokens = np.full(len(tokens) + len(lengths), len(self.vocabulary) - 1, np.int64)
+        self.tokens = np.full(len(tokens) + len(lengths), len(self.vocabulary) - 1, np.int32)
         inside = np.ones(len(self.tokens), bool)
         inside[self.ends] = False
         self.tokens[inside] = tokens
         self.counts = lengths + 1
-        self.keys = self.vocabulary[self.tokens]
-        starts = self.ends - lengths
-        self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.counts)
+        starts = (self.ends - lengths).astype(np.int32)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(starts, self.counts)
         self.in_training = np.repeat(self.trained, self.counts)
 
-    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, context, the context without its oldest word) of tokens with ``depth`` words before them."""
-        at = np.flatnonzero(self.place >= depth)
-        context = shorter = np.zeros(len(at), np.uint64)
-        for back in range(depth, 0, -1):
-            context = joined(self.keys[at - back], context) if back < depth else self.keys[at - back]
-        for back in range(depth - 1, 0, -1):
-            shorter = joined(self.keys[at - back], shorter) if back < depth - 1 else self.keys[at - back]
-        return at, context, shorter
+    def contexts(self, depth: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, context, the context without its oldest word) of tokens with ``depth`` words before them.
+
+        Some at a time; of the tokens in the mask ``wanted`` only, if one is given.
+        """
+        known = self.place >= depth
+        places = np.flatnonzero(known if wanted is None else known & wanted)
+        for i in range(0, len(places), SLICE):
+            at = places[i : i + SLICE]
+            shorter = np.zeros(len(at), np.uint64)
+            for back in range(depth - 1, 0, -1):
+                shorter = joined(self._keys(at - back), shorter) if back < depth - 1 else self._keys(at - back)
+            context = self._keys(at - depth)
+            for back in range(depth - 1, 0, -1):
+                context = joined(self._keys(at - back), context)
+            yield at, context, shorter
+
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        return self.vocabulary[self.tokens[at]]
 
 
 class Bitmap:
@@ -161,20 +173,22 @@ class Bitmap:
         for bucket, data in parts.items():
             self.bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(data)] = np.frombuffer(data, np.uint8)
 
-    def __contains__(self, key) -> bool:
-        return bool(self.of(np.array([key], np.uint64))[0])
-
     def of(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys & np.uint64(BITS - 1)).astype(np.int64)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        yes = np.ones(len(keys), bool)
+        for shift in SHIFTS:
+            at = (keys >> np.uint64(shift) & np.uint64(BITS - 1)).astype(np.int64)
+            yes &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return yes
 
 
 def bitmap(keys: DataFrame):
     """Broadcast bitmap of the column ``key``: BITS / 8 bytes, whatever the number of keys."""
     # Both functions count from 1.
-    place = F.col("key").bitwiseAND(F.lit(BITS - 1)) + 1
+    places = F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(BITS - 1)) + 1 for shift in SHIFTS])
+    place = F.col("place")
     parts = (
-        keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        keys.select(F.explode(places).alias("place"))
+        .select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
@@ -211,12 +225,15 @@ def followers(chunks: DataFrame, depth: int, contexts, symbols) -> DataFrame:
 
     def count(chunk: Chunk) -> dict:
         near, worth = Bitmap(contexts.value), Bitmap(symbols.value)
-        known = worth.of(chunk.vocabulary)
-        at, context, shorter = chunk.contexts(depth)
-        kept = chunk.in_training[at] & known[chunk.tokens[at]] & near.of(context)
-        at, context, shorter = at[kept], context[kept], shorter[kept]
-        order = np.lexsort((chunk.tokens[at], context))
-        context, shorter, x = context[order], shorter[order], chunk.tokens[at][order]
+        wanted = chunk.in_training & worth.of(chunk.vocabulary)[chunk.tokens]
+        kept = [
+            (chunk.tokens[at[k]], context[k], shorter[k])
+            for at, context, shorter in chunk.contexts(depth, wanted)
+            for k in [near.of(context)]
+        ]
+        token, context, shorter = map(np.concatenate, zip(*kept)) if kept else (np.empty(0, t) for t in (np.int32, np.uint64, np.uint64))
+        order = np.lexsort((token, context))
+        context, shorter, x = context[order], shorter[order], token[order]
         new = np.r_[True, (context[1:] != context[:-1]) | (x[1:] != x[:-1])][: len(x)]
         first = np.flatnonzero(new)
         return {
@@ -263,15 +280,13 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
     return stored(model, "tree")
 
 
-def _asked(chunk: Chunk, worth: Bitmap) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By depth: places of tokens whose context may be a state, the keys of the state and of the pair."""
-    out = []
+def _asked(chunk: Chunk, worth: Bitmap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of tokens whose context may be a state, the keys of the state and of the pair; shallow first."""
     for depth in range(1, DEPTH + 1):
-        at, context, _ = chunk.contexts(depth)
-        near = worth.of(context ^ STATE)
-        at, context = at[near], context[near]
-        out.append((at, context ^ STATE, joined(chunk.keys[at], context) ^ PAIR))
-    return out
+        for at, context, _ in chunk.contexts(depth):
+            near = worth.of(context ^ STATE)
+            at, context = at[near], context[near]
+            yield at, context ^ STATE, joined(chunk._keys(at), context) ^ PAIR
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -284,10 +299,9 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def ask(chunk: Chunk) -> dict:
         maybe = Bitmap(worth.value)
-        keys = [chunk.vocabulary]
-        for _, states, pairs in _asked(chunk, maybe):
-            keys += [np.unique(states), np.unique(pairs[maybe.of(pairs)])]
-        return {"chunk": chunk.number, "key": _signed(np.concatenate(keys))}
+        keys = [np.unique(np.r_[states, pairs[maybe.of(pairs)]]) for _, states, pairs in _asked(chunk, maybe)]
+        asked = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+        return {"chunk": chunk.number, "key": _signed(np.r_[chunk.vocabulary, asked])}
 
     requests = _rows(ask, chunks, "chunk long, key long")
     known = counts.select("key", F.col("c").cast("double").alias("value")).unionAll(model)
