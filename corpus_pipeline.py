@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markbook.llm import bpe, minhash, mixing, pii, toxicity
-from markbook.llm.common import stored, table
+from markbook.llm.common import in_small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), and whether they decode to the text."""
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "exact")]
-    encoded = docs.withColumn("ids", codec.packed_ids("text")).withColumn("__bytes", codec.decoded("ids"))
+    encoded = in_small_batches(docs).withColumn("ids", codec.packed_ids("text")).withColumn("__bytes", codec.decoded("ids"))
     return encoded.select(
         *(F.col(f"`{c}`") for c in kept if c != "text"),
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Units kept by a worker between batches; only a memory bound, results don't depend on it.
 CACHED_UNITS = 300_000
 
@@ -207,7 +209,7 @@ def texts(column: str) -> F.Column:
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
-    encoded = docs.select("doc_id", codec.packed_ids("text").alias("__ids"))
+    encoded = in_small_batches(docs).select("doc_id", codec.packed_ids("text").alias("__ids"))
     both = encoded.select("doc_id", "__ids", codec.decoded("__ids").alias("__bytes"))
     return both.select(
         "doc_id",

@@ -14,6 +14,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """Texts reach Python workers ``rows`` at a time, so that a batch of long ones fits a worker.
+
+    Sets the session's Arrow batch size where it is larger; results don't depend on it.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it again.
 

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import in_small_batches, stored
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -317,7 +317,7 @@ def _across(members: DataFrame, rows: int, only_best: bool) -> DataFrame:
 
 def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    every = stored(prepared(docs), "signatures")
+    every = stored(prepared(in_small_batches(docs)), "signatures")
     thin = every.select("doc_id", "n", "digest")
     marks = stored(
         every.where("n > 0 AND doc_id IS NOT NULL")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, in_small_batches
 
 WINDOW = 64
 SEGMENT = 5
@@ -302,11 +302,11 @@ def score(model: Model, column: str = "text") -> F.Column:
 
 def scored(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    rated = docs.select("doc_id", (fold() == 0).alias("held_out"), score(fit(docs, labels, sample)).alias("score"))
+    rated = in_small_batches(docs).select("doc_id", (fold() == 0).alias("held_out"), score(fit(docs, labels, sample)).alias("score"))
     return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    rated = docs.withColumn("__score", score(fit(docs, labels, sample)))
+    rated = in_small_batches(docs).withColumn("__score", score(fit(docs, labels, sample)))
     return rated.where("__score < 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
