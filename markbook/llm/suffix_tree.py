@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import fold, in_small_batches, stored
 
 DEPTH = 2
 MIN_CONTEXT = 64
@@ -47,8 +47,8 @@ DISCOUNT = 0.75
 #: Tokens after which a chunk ends.
 CHUNK = 4_000_000
 #: Size of a bitmap, and the shifts that give a key its bits in it.
-BITS = 1 << 27
-SHIFTS = (0, 18, 37)
+BITS = 1 << 26
+SHIFTS = (0, 26)
 #: Tokens whose contexts a worker holds at a time.
 SLICE = 500_000
 TURN = 21
@@ -123,7 +123,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield row()
 
     train = F.coalesce(fold() != 1, F.lit(False)).alias("train")
-    return docs.select("doc_id", "text", train).mapInPandas(encode, CHUNKS)
+    return in_small_batches(docs).select("doc_id", "text", train).mapInPandas(encode, CHUNKS)
 
 
 class Chunk:
@@ -186,8 +186,10 @@ def bitmap(keys: DataFrame):
     # Both functions count from 1.
     places = F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(BITS - 1)) + 1 for shift in SHIFTS])
     place = F.col("place")
+    # Each task makes a bitmap of its own, so there should be few where there are few keys.
+    few = keys.count() // 5_000_000 + 1
     parts = (
-        keys.select(F.explode(places).alias("place"))
+        keys.coalesce(few).select(F.explode(places).alias("place"))
         .select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
