@@ -3,10 +3,15 @@
 Two zstandard dictionaries are trained on a bounded sample of labelled documents: one on windows of
 ordinary text, one on the segments that set toxic text apart from it.  A window of text is
 compressed with the ordinary dictionary and with both together; the bytes that the toxic one saves
-are its distance.  Windows that save a byte are looked at again word by word, where neighbouring
-words can't blur the difference.  A document's largest saving and the number of words that save
-enough are turned into a score by a logistic curve, fitted on the same sample so that 0.5 is the
-calibrated threshold; for that each half of the sample is measured with dictionaries of the other.
+are their distance.  Windows that save a byte are looked at again word by word, where neighbouring
+words can't blur the difference.
+
+Some segments tell when they occur once; others, chance parts of ordinary words too, tell only by how
+often a document uses them.  The latter are longer, are counted as they stand (ordinary text holds
+their parts, so they save little), and weigh by the likelihood of so many uses among so many words.  A document's largest saving, the number of
+words that save enough and that likelihood are turned into a score by a logistic curve, fitted on the
+same sample so that 0.5 is the calibrated threshold; for that each half of the sample is measured with
+dictionaries of the other.  How telling a segment has to be is the cut with the least loss there.
 
 Only the training sample is bounded (``Sample``); every text is scored whole.  Defined results: a
 null, empty or blank text saves nothing and gets the score of a text without findings; rows with
@@ -19,6 +24,7 @@ from __future__ import annotations
 import heapq
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +40,11 @@ WINDOW = 64
 SEGMENT = 5
 LEVEL_WINDOW = 3
 LEVEL_WORD = 5
+#: Bytes of the longest segment that tells by its uses, and the uses from which a document counts.
+LONGEST_SEGMENT = 10
+USES = 2
+#: Log-odds that a segment may have to reach; the held-back halves decide.
+CUTS = (4.0, 3.0, 2.0)
 
 
 @dataclass(frozen=True)
@@ -49,8 +60,11 @@ class Sample:
 class Model:
     ordinary: bytes
     toxic: bytes
-    #: Logistic curve over (1, largest saving, words that save 3 bytes or more, at most 5).
-    weights: tuple[float, float, float]
+    repeated: tuple[bytes, ...]
+    #: Uses of repeated segments a word, in toxic and in ordinary documents.
+    rates: tuple[float, float]
+    #: Logistic curve over (1, largest saving, words that save 3 bytes or more, likelihood of the uses).
+    weights: tuple[float, ...]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -76,7 +90,7 @@ def windows(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
 class Meter:
     """Bytes that the toxic dictionary saves."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+    def __init__(self, ordinary: bytes, toxic: bytes, repeated: tuple[bytes, ...] = ()) -> None:
         import zstandard
 
         def compressor(content: bytes, level: int):
@@ -99,15 +113,19 @@ class Meter:
         both = ordinary + 6 * padded + b"\n" * 16
         self.at_window = compressor(ordinary, LEVEL_WINDOW), compressor(both, LEVEL_WINDOW)
         self.at_word = compressor(ordinary, LEVEL_WORD), compressor(both, LEVEL_WORD)
+        self.uses = re.compile(b"(?:" + b"|".join(map(re.escape, repeated)) + b")[^ ]*") if repeated else None
         # A match can't begin in the last bytes of a block, and a block that doesn't shrink is kept raw:
         # known text follows each window.
         self.tail = (ordinary[-400:-352] or b" ").ljust(48, b" ")
 
-    def savings(self, text: str | None) -> tuple[int, int]:
-        """The largest saving of a word, and the number of words that save 3 bytes or more."""
+    def savings(self, text: str | None) -> tuple[int, int, int, int]:
+        """The largest saving of a word, the number of words that save 3 bytes or more, of words that
+        hold a repeated segment, and of all words."""
         (a, b), (c, d), tail = self.at_window, self.at_word, self.tail
         most = many = 0
-        for window in windows(_words(text)):
+        words = _words(text)
+        uses = len(self.uses.findall(b"".join(words))) if self.uses else 0
+        for window in windows(words):
             framed = window + tail
             if len(a(framed)) <= len(b(framed)):
                 continue
@@ -116,10 +134,97 @@ class Meter:
                 saved = len(c(framed)) - len(d(framed))
                 most = max(most, saved)
                 many += saved >= 3
-        return most, many
+        return most, many, uses, len(words)
+
+
+class Counts:
+    """Words and segments of labelled documents, from which segments are picked by any cut."""
+
+    def __init__(self, toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> None:
+        self.toxic, self.ordinary = toxic, ordinary
+        self.least = max(6, len(toxic) // 100)
+        self.here, self.inside, self.inside_places = _counted(toxic)
+        there, self.outside, self.outside_places = _counted(ordinary)
+        self.all_here, self.all_there = self.here.total(), there.total()
+        # Documents that use a longer segment often enough; only those of toxic ones are looked for.
+        self.users: dict[bytes, set[int]] = defaultdict(set)
+        for i, words in enumerate(toxic):
+            for g, n in _uses(words).items():
+                if n >= USES:
+                    self.users[g].add(i)
+        self.users = {g: ids for g, ids in self.users.items() if len(ids) >= self.least}
+        self.others: Counter = Counter()
+        for words in ordinary:
+            self.others.update(g for g, n in _uses(words, self.users).items() if n >= USES)
+
+
+def _grams(word: bytes, size: int = SEGMENT) -> set[bytes]:
+    return {word[i : i + size] for i in range(len(word) - size + 1)}
+
+
+def _counted(docs: list[list[bytes]]) -> tuple[Counter, Counter, Counter]:
+    """Places of each word, documents of each segment, places of each segment."""
+    seen: set[int] = set()
+    places: Counter = Counter()
+    by_document: Counter = Counter()
+    for words in docs:
+        by_document.update(set().union(*map(_grams, set(words))))
+        for pair in set(zip([b"", *words], words)):
+            if hash(pair) not in seen:
+                seen.add(hash(pair))
+                places[pair[1]] += 1
+    by_place: Counter = Counter()
+    for word, n in places.items():
+        by_place.update(dict.fromkeys(_grams(word), n))
+    return places, by_document, by_place
+
+
+def _uses(words: list[bytes], only: dict[bytes, set[int]] | None = None) -> Counter:
+    """Words of a document that hold each segment longer than ``SEGMENT``."""
+    found: Counter = Counter()
+    for word, n in Counter(words).items():
+        for size in range(SEGMENT + 1, LONGEST_SEGMENT + 1):
+            for g in _grams(word, size):
+                if only is None or g in only:
+                    found[g] += n
+    return found
+
+
+def _odds(a: int, b: int, all_a: int, all_b: int) -> float:
+    return math.log((a + 0.5) / (all_a + 1)) - math.log((b + 0.5) / (all_b + 1))
+
+
+def repeated_segments(counts: Counts, cut: float, known: list[bytes]) -> list[bytes]:
+    """Segments that toxic documents use again and again, and few ordinary ones do.
+
+    Picked greedily by the documents that none of the earlier ones reaches, longer ones first among
+    equals; segments that share their bytes with ``known`` ones have told already.
+    """
+    sizes = len(counts.toxic), len(counts.ordinary)
+    told = set().union(*map(_grams, known))
+    telling = {
+        g: ids
+        for g, ids in counts.users.items()
+        if _odds(len(ids), counts.others[g], *sizes) > cut and not _grams(g) & told
+    }
+    covered: set[int] = set()
+    heap = [(-len(ids), -len(g), g) for g, ids in telling.items()]
+    heapq.heapify(heap)
+    chosen = []
+    while heap:
+        was, size, g = heapq.heappop(heap)
+        new = len(telling[g] - covered)
+        if new < counts.least:
+            continue
+        if new < -was:
+            heapq.heappush(heap, (-new, size, g))
+            continue
+        covered |= telling[g]
+        chosen.append(g)
+    return chosen
 
 
-def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+def toxic_segments(counts: Counts, cut: float) -> list[bytes]:
     """Byte segments of words that are much more frequent in toxic text.
 
     Both ways of counting have to say so: by documents, and by words together with the word before
@@ -127,44 +232,18 @@ def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> lis
     Segments are picked greedily: the next one has the most places (word and word before) that none of
     the earlier ones covers; it grows to both sides while most of its words agree.
     """
-
-    def grams(word: bytes) -> set[bytes]:
-        return {word[i : i + SEGMENT] for i in range(len(word) - SEGMENT + 1)}
-
-    def counted(docs: list[list[bytes]]) -> tuple[Counter, Counter, Counter]:
-        """Places of each word, documents of each segment, places of each segment."""
-        seen: set[int] = set()
-        places: Counter = Counter()
-        by_document: Counter = Counter()
-        for words in docs:
-            by_document.update(set().union(*map(grams, set(words))))
-            for pair in set(zip([b"", *words], words)):
-                if hash(pair) not in seen:
-                    seen.add(hash(pair))
-                    places[pair[1]] += 1
-        by_place: Counter = Counter()
-        for word, n in places.items():
-            by_place.update(dict.fromkeys(grams(word), n))
-        return places, by_document, by_place
-
-    least = max(6, len(toxic) // 100)
-    here, inside, inside_places = counted(toxic)
-    there, outside, outside_places = counted(ordinary)
-    all_here, all_there = here.total(), there.total()
-
-    def odds(a: int, b: int, all_a: int, all_b: int) -> float:
-        return math.log((a + 0.5) / (all_a + 1)) - math.log((b + 0.5) / (all_b + 1))
-
+    here, inside_places, least = counts.here, counts.inside_places, counts.least
+    sizes = len(counts.toxic), len(counts.ordinary)
     telling = {
         g
-        for g, n in inside.items()
+        for g, n in counts.inside.items()
         if min(n, inside_places[g]) >= least
-        and odds(n, outside[g], len(toxic), len(ordinary)) > 3
-        and odds(inside_places[g], outside_places[g], all_here, all_there) > 2
+        and _odds(n, counts.outside[g], *sizes) > cut
+        and _odds(inside_places[g], counts.outside_places[g], counts.all_here, counts.all_there) > cut - 1
     }
     items: dict[bytes, set[bytes]] = defaultdict(set)
     for word in here:
-        for g in grams(word) & telling:
+        for g in _grams(word) & telling:
             items[g].add(word)
     covered: set[bytes] = set()
     heap = [(-inside_places[g], g) for g in items]
@@ -227,28 +306,54 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     prior = (len(toxic) + 0.5) / (len(rows) + 1) if rows else 0.0
     if not toxic or not ordinary:
         base = math.log(prior / (1 - prior)) if rows else -math.inf
-        return Model(b"", b"", (base, 0.0, 0.0))
-    meter, base, telling = _dictionaries(toxic, ordinary)
+        return Model(b"", b"", (), (1.0, 1.0), (base, 0.0, 0.0, 0.0))
     # The curve is fitted on savings that no document has a part in itself: each half is measured
     # with the dictionaries of the other one.
-    found = np.array([_across(rows, half) for half in (0, 1)]).max(axis=0)
-    x = np.column_stack([np.ones(len(rows)), found[:, 0], np.minimum(found[:, 1], 5)])
-    return Model(base, telling, _logistic(x, np.array([y for _, y in rows], float)))
-
-
-def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[Meter, bytes, bytes]:
+    y = np.array([y for _, y in rows], float)
+    halves = [_learned([r for i, r in enumerate(rows) if i % 2 != half]) for half in (0, 1)]
+    best = None
+    for cut in CUTS:
+        meters = [Meter(base, *_lexicons(counts, cut)) for base, counts in halves]
+        found = np.array([meters[i % 2].savings(t) for i, (t, _) in enumerate(rows)], float)
+        rates = _rates(found, y)
+        x = np.column_stack([np.ones(len(rows)), *features(found, rates)])
+        weights = _logistic(x, y)
+        loss = float(np.logaddexp(0, (1 - 2 * y) * (x @ weights)).sum())
+        if best is None or loss < best[0]:
+            best = loss, cut, rates, weights
+    _, cut, rates, weights = best
+    base, counts = _learned(rows)
+    return Model(base, *_lexicons(counts, cut), rates, weights)
+
+
+def _learned(rows: list[tuple[str, int]]) -> tuple[bytes, Counts]:
+    """The ordinary dictionary, and the counts that the toxic ones are picked from."""
+    ordinary = [_words(t) for t, y in rows if not y]
     pieces = [w for words in ordinary for w in windows(words)]
     random.Random(1).shuffle(pieces)
-    base = _dictionary(pieces[:40_000], 16_384)
-    telling = b"".join(reversed(toxic_segments(toxic, ordinary)))
-    return Meter(base, telling), base, telling
+    return _dictionary(pieces[:40_000], 16_384), Counts([_words(t) for t, y in rows if y], ordinary)
+
+
+def _lexicons(counts: Counts, cut: float) -> tuple[bytes, tuple[bytes, ...]]:
+    """Segments that tell when they occur once, and those that tell by their uses."""
+    once = toxic_segments(counts, cut)
+    return b"".join(reversed(once)), tuple(repeated_segments(counts, cut, once))
+
+
+def _rates(found: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Uses a word in toxic documents that repeat a segment, and in ordinary documents."""
+    often = found[(y > 0) & (found[:, 2] >= USES)]
+    plain = found[y == 0]
+    rare = (plain[:, 2].sum() + 0.5) / (plain[:, 3].sum() + 1)
+    return max(float(often[:, 2].sum() / often[:, 3].sum()) if len(often) else 0.0, 2 * rare), float(rare)
 
 
-def _across(rows: list[tuple[str, int]], half: int) -> np.ndarray:
-    """Savings of one half of the rows under the dictionaries of the other; -1 for the other's rows."""
-    learned = [(_words(t), y) for i, (t, y) in enumerate(rows) if i % 2 != half]
-    meter, _, _ = _dictionaries([w for w, y in learned if y], [w for w, y in learned if not y])
-    return np.array([meter.savings(t) if i % 2 == half else (-1, -1) for i, (t, _) in enumerate(rows)], float)
+def features(found: np.ndarray, rates: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the curve is over: the largest saving, words that save 3 bytes or more (at most 5), and how
+    much likelier the uses are in a toxic document (log, 0 to 10), so that long texts don't add up."""
+    often, rare = rates
+    likelier = found[:, 2] * math.log(often / rare) - found[:, 3] * (often - rare)
+    return found[:, 0], np.minimum(found[:, 1], 5), np.clip(likelier, 0, 10)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
@@ -290,11 +395,10 @@ def score(model: Model, column: str = "text") -> F.Column:
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        meter = Meter(model.ordinary, model.toxic) if model.toxic else None
-        a, b, c = model.weights
+        meter = Meter(model.ordinary, model.toxic, model.repeated) if model.toxic or model.repeated else None
         for texts in batches:
-            found = [meter.savings(t) if meter else (0, 0) for t in texts]
-            z = (a + b * most + c * min(many, 5) for most, many in found)
+            found = np.array([meter.savings(t) if meter else (0, 0, 0, 0) for t in texts], float).reshape(-1, 4)
+            z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], features(found, model.rates)))
             yield pd.Series([1 / (1 + math.exp(min(-x, 700.0))) if x > -700 else 0.0 for x in z], dtype=float)
 
     return rate(F.col(column))

@@ -128,10 +128,36 @@ def test_toxicity_of_held_out_documents(spark):
     rows = known.join(queries.op9_toxicity(spark, folder), "doc_id").where("held_out").collect()
     hits = sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows)
     alarms = sum(r.predicted for r in rows if not r.toxic) / sum(1 - r.toxic for r in rows)
-    # Many documents there are labelled toxic without any word that ordinary ones do not use.
+    # About half of the toxic documents hold a word that tells at once, the others a root that they repeat.
     assert hits > 0.5 and alarms < 0.01
 
 
+def test_toxic_roots_of_every_language_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").select("doc_id")
+    langs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = known.join(langs, "doc_id").join(queries.op9_toxicity(spark, folder), "doc_id").where("held_out").collect()
+    for lang in ("en", "fr", "de", "es"):
+        assert np.mean([r.predicted for r in rows if r.lang == lang]) >= 0.75, lang
+
+
+def test_segments_that_tell_by_their_uses():
+    draw = random.Random(8)
+    roots = ["grulpen", "grulp", "pensta", "mirko", "falten", "osda", "trulpe"]
+
+    def text(n, uses):
+        words = ["".join(draw.choices(roots, k=2)) for _ in range(n)]
+        return " ".join(draw.sample(words + ["zinkalo" + draw.choice(roots) for _ in range(uses)], n + uses))
+
+    texts = [(text(150, 4), 1) for _ in range(80)] + [(text(150, draw.random() < 0.1), 0) for _ in range(300)]
+    model = toxicity.train(*zip(*texts))
+    meter = toxicity.Meter(model.ordinary, model.toxic, model.repeated)
+    found = np.array([meter.savings(t) for t in (text(150, 4), text(150, 1), text(6000, 8), None)], float)
+    z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], toxicity.features(found, model.rates)))
+    # Uses are weighed by the length of the text.
+    assert model.repeated and (z >= 0).tolist() == [True, False, False, False]
+
+
 def test_toxicity_of_edge_rows(spark, documents, no_documents):
     labels = spark.createDataFrame([(100 + i, 0, i % 2) for i in range(120)] + [(None, 0, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     toxic = documents.withColumn("text", F.when((F.col("doc_id") >= 100) & (F.col("doc_id") % 2 == 1), F.concat("text", F.lit(" wretched scum idiot"))).otherwise(F.col("text")))
