@@ -1,15 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled documents: one on windows of
-ordinary text, one on the segments that set toxic text apart from it.  A window of text is
+Two zstandard dictionaries come from a bounded sample of labelled documents: one is trained on windows
+of ordinary text, the other is joined from the segments that set toxic text apart from it; one trained
+on windows of toxic text says little (README).  A window of text is
 compressed with the ordinary dictionary and with both together; the bytes that the toxic one saves
 are their distance.  Windows that save a byte are looked at again word by word, where neighbouring
 words can't blur the difference.
 
 Some segments tell when they occur once; others, chance parts of ordinary words too, tell only by how
 often a document uses them.  The latter are longer, are counted as they stand (ordinary text holds
-their parts, so they save little), and weigh by the likelihood of so many uses among so many words.  A document's largest saving, the number of
-words that save enough and that likelihood are turned into a score by a logistic curve, fitted on the
+their parts, so they save little), and weigh by the likelihood of so many uses among so many words.
+So do phrases of two or three words, and short words, which no segment inside one word can hold.  A document's largest saving, the number of
+words that save enough and those likelihoods are turned into a score by a logistic curve, fitted on the
 same sample so that 0.5 is the calibrated threshold; for that each half of the sample is measured with
 dictionaries of the other.  How telling a segment has to be is the cut with the least loss there.
 
@@ -24,7 +26,6 @@ from __future__ import annotations
 import heapq
 import math
 import random
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,8 @@ LEVEL_WORD = 5
 #: Bytes of the longest segment that tells by its uses, and the uses from which a document counts.
 LONGEST_SEGMENT = 10
 USES = 2
+#: Phrases are looked for by buckets of their hashes first.
+BUCKETS = 1 << 22
 #: Log-odds that a segment may have to reach; the held-back halves decide.
 CUTS = (4.0, 3.0, 2.0)
 
@@ -61,9 +64,10 @@ class Model:
     ordinary: bytes
     toxic: bytes
     repeated: tuple[bytes, ...]
-    #: Uses of repeated segments a word, in toxic and in ordinary documents.
-    rates: tuple[float, float]
-    #: Logistic curve over (1, largest saving, words that save 3 bytes or more, likelihood of the uses).
+    phrases: tuple[bytes, ...]
+    #: Uses a word in toxic and in ordinary documents, of repeated segments and of phrases.
+    rates: tuple[tuple[float, float], tuple[float, float]]
+    #: Logistic curve over (1, largest saving, words that save 3 bytes or more, likelihoods of the uses).
     weights: tuple[float, ...]
 
 
@@ -90,7 +94,7 @@ def windows(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
 class Meter:
     """Bytes that the toxic dictionary saves."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, repeated: tuple[bytes, ...] = ()) -> None:
+    def __init__(self, ordinary: bytes, toxic: bytes, repeated: tuple[bytes, ...] = (), phrases: tuple[bytes, ...] = ()) -> None:
         import zstandard
 
         def compressor(content: bytes, level: int):
@@ -113,18 +117,19 @@ class Meter:
         both = ordinary + 6 * padded + b"\n" * 16
         self.at_window = compressor(ordinary, LEVEL_WINDOW), compressor(both, LEVEL_WINDOW)
         self.at_word = compressor(ordinary, LEVEL_WORD), compressor(both, LEVEL_WORD)
-        self.uses = re.compile(b"(?:" + b"|".join(map(re.escape, repeated)) + b")[^ ]*") if repeated else None
+        self.repeated, self.phrases = repeated, phrases
         # A match can't begin in the last bytes of a block, and a block that doesn't shrink is kept raw:
         # known text follows each window.
         self.tail = (ordinary[-400:-352] or b" ").ljust(48, b" ")
 
-    def savings(self, text: str | None) -> tuple[int, int, int, int]:
-        """The largest saving of a word, the number of words that save 3 bytes or more, of words that
-        hold a repeated segment, and of all words."""
+    def savings(self, text: str | None) -> tuple[int, int, int, int, int]:
+        """The largest saving of a word, the number of words that save 3 bytes or more, uses of
+        repeated segments and of phrases, and the number of words."""
         (a, b), (c, d), tail = self.at_window, self.at_word, self.tail
         most = many = 0
         words = _words(text)
-        uses = len(self.uses.findall(b"".join(words))) if self.uses else 0
+        whole = b"".join(words) + b" "
+        uses, said = (sum(map(whole.count, known)) for known in (self.repeated, self.phrases))
         for window in windows(words):
             framed = window + tail
             if len(a(framed)) <= len(b(framed)):
@@ -134,7 +139,7 @@ class Meter:
                 saved = len(c(framed)) - len(d(framed))
                 most = max(most, saved)
                 many += saved >= 3
-        return most, many, uses, len(words)
+        return most, many, uses, said, len(words)
 
 
 class Counts:
@@ -154,8 +159,29 @@ class Counts:
                     self.users[g].add(i)
         self.users = {g: ids for g, ids in self.users.items() if len(ids) >= self.least}
         self.others: Counter = Counter()
+        kept: dict[bytes, list[bytes]] = {}
         for words in ordinary:
-            self.others.update(g for g, n in _uses(words, self.users).items() if n >= USES)
+            self.others.update(g for g, n in _uses(words, self.users, kept).items() if n >= USES)
+        self.sayers, self.others_say = self._phrases()
+
+    def _phrases(self) -> tuple[dict[bytes, set[int]], Counter]:
+        """Toxic documents of each phrase that has enough of them, and enough words before it: what
+        copies share has one.  Ordinary documents of these phrases."""
+        buckets = np.zeros(BUCKETS, np.uint32)
+        for words in self.toxic:
+            buckets[np.unique([hash(g) % BUCKETS for g, _ in _runs(words)] or [0])] += 1
+        ids: dict[bytes, set[int]] = defaultdict(set)
+        before: dict[bytes, set[int]] = defaultdict(set)
+        for i, words in enumerate(self.toxic):
+            for g, last in _runs(words):
+                if buckets[hash(g) % BUCKETS] >= self.least:
+                    ids[g].add(i)
+                    before[g].add(hash(last))
+        ids = {g: own for g, own in ids.items() if min(len(own), len(before[g])) >= self.least}
+        others: Counter = Counter()
+        for words in self.ordinary:
+            others.update({g for g, _ in _runs(words) if g in ids})
+        return ids, others
 
 
 def _grams(word: bytes, size: int = SEGMENT) -> set[bytes]:
@@ -179,34 +205,53 @@ def _counted(docs: list[list[bytes]]) -> tuple[Counter, Counter, Counter]:
     return places, by_document, by_place
 
 
-def _uses(words: list[bytes], only: dict[bytes, set[int]] | None = None) -> Counter:
-    """Words of a document that hold each segment longer than ``SEGMENT``."""
+def _uses(words: list[bytes], only: dict[bytes, set[int]] | None = None, known: dict[bytes, list[bytes]] | None = None) -> Counter:
+    """Words of a document that hold each segment longer than ``SEGMENT``; ``known`` keeps those of a word."""
     found: Counter = Counter()
     for word, n in Counter(words).items():
-        for size in range(SEGMENT + 1, LONGEST_SEGMENT + 1):
-            for g in _grams(word, size):
-                if only is None or g in only:
-                    found[g] += n
+        if known is None or word not in known:
+            grams = [g for size in range(SEGMENT + 1, LONGEST_SEGMENT + 1) for g in _grams(word, size) if only is None or g in only]
+            if known is not None:
+                known[word] = grams
+        else:
+            grams = known[word]
+        for g in grams:
+            found[g] += n
     return found
 
 
+def _runs(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Words too short for a segment, and runs of two and three words, each with the word before it."""
+    last = b""
+    for i, word in enumerate(words):
+        if len(word) < SEGMENT:
+            yield word + b" ", last
+        for n in (2, 3):
+            if i + n <= len(words):
+                yield b"".join(words[i : i + n]) + b" ", last
+        last = word
+
+
 def _odds(a: int, b: int, all_a: int, all_b: int) -> float:
     return math.log((a + 0.5) / (all_a + 1)) - math.log((b + 0.5) / (all_b + 1))
 
 
-def repeated_segments(counts: Counts, cut: float, known: list[bytes]) -> list[bytes]:
-    """Segments that toxic documents use again and again, and few ordinary ones do.
+def telling_uses(counts: Counts, cut: float, known: list[bytes]) -> tuple[tuple[bytes, ...], tuple[bytes, ...]]:
+    """Segments that toxic documents use again and again, and few ordinary ones do; phrases likewise.
 
-    Picked greedily by the documents that none of the earlier ones reaches, longer ones first among
-    equals; segments that share their bytes with ``known`` ones have told already.
+    Those that share their bytes with ``known`` segments, phrases also with repeated ones, have told
+    already.
     """
+    repeated = _covering(counts, counts.users, counts.others, cut, known)
+    return repeated, _covering(counts, counts.sayers, counts.others_say, cut, [*known, *repeated])
+
+
+def _covering(counts: Counts, users: dict[bytes, set[int]], others: Counter, cut: float, known: list[bytes]) -> tuple[bytes, ...]:
+    """Picked greedily by the documents that none of the earlier ones reaches, longer ones first among
+    equals."""
     sizes = len(counts.toxic), len(counts.ordinary)
     told = set().union(*map(_grams, known))
-    telling = {
-        g: ids
-        for g, ids in counts.users.items()
-        if _odds(len(ids), counts.others[g], *sizes) > cut and not _grams(g) & told
-    }
+    telling = {g: ids for g, ids in users.items() if _odds(len(ids), others[g], *sizes) > cut and not _grams(g) & told}
     covered: set[int] = set()
     heap = [(-len(ids), -len(g), g) for g, ids in telling.items()]
     heapq.heapify(heap)
@@ -221,7 +266,7 @@ def repeated_segments(counts: Counts, cut: float, known: list[bytes]) -> list[by
             continue
         covered |= telling[g]
         chosen.append(g)
-    return chosen
+    return tuple(chosen)
 
 
 def toxic_segments(counts: Counts, cut: float) -> list[bytes]:
@@ -306,7 +351,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     prior = (len(toxic) + 0.5) / (len(rows) + 1) if rows else 0.0
     if not toxic or not ordinary:
         base = math.log(prior / (1 - prior)) if rows else -math.inf
-        return Model(b"", b"", (), (1.0, 1.0), (base, 0.0, 0.0, 0.0))
+        return Model(b"", b"", (), (), ((1.0, 1.0), (1.0, 1.0)), (base, 0.0, 0.0, 0.0, 0.0))
     # The curve is fitted on savings that no document has a part in itself: each half is measured
     # with the dictionaries of the other one.
     y = np.array([y for _, y in rows], float)
@@ -334,26 +379,30 @@ def _learned(rows: list[tuple[str, int]]) -> tuple[bytes, Counts]:
     return _dictionary(pieces[:40_000], 16_384), Counts([_words(t) for t, y in rows if y], ordinary)
 
 
-def _lexicons(counts: Counts, cut: float) -> tuple[bytes, tuple[bytes, ...]]:
-    """Segments that tell when they occur once, and those that tell by their uses."""
+def _lexicons(counts: Counts, cut: float) -> tuple[bytes, tuple[bytes, ...], tuple[bytes, ...]]:
+    """Segments that tell when they occur once, those that tell by their uses, and phrases."""
     once = toxic_segments(counts, cut)
-    return b"".join(reversed(once)), tuple(repeated_segments(counts, cut, once))
+    return b"".join(reversed(once)), *telling_uses(counts, cut, once)
 
 
-def _rates(found: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Uses a word in toxic documents that repeat a segment, and in ordinary documents."""
-    often = found[(y > 0) & (found[:, 2] >= USES)]
-    plain = found[y == 0]
-    rare = (plain[:, 2].sum() + 0.5) / (plain[:, 3].sum() + 1)
-    return max(float(often[:, 2].sum() / often[:, 3].sum()) if len(often) else 0.0, 2 * rare), float(rare)
+def _rates(found: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], ...]:
+    """Uses a word in toxic documents with enough of them, and in ordinary documents."""
+    rates = []
+    for uses, least in ((found[:, 2], USES), (found[:, 3], 1)):
+        often = (y > 0) & (uses >= least)
+        rare = float((uses[y == 0].sum() + 0.5) / (found[y == 0, 4].sum() + 1))
+        rates.append((max(float(uses[often].sum() / found[often, 4].sum()) if often.any() else 0.0, 2 * rare), rare))
+    return tuple(rates)
 
 
-def features(found: np.ndarray, rates: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(found: np.ndarray, rates: tuple[tuple[float, float], ...]) -> list[np.ndarray]:
     """What the curve is over: the largest saving, words that save 3 bytes or more (at most 5), and how
     much likelier the uses are in a toxic document (log, 0 to 10), so that long texts don't add up."""
-    often, rare = rates
-    likelier = found[:, 2] * math.log(often / rare) - found[:, 3] * (often - rare)
-    return found[:, 0], np.minimum(found[:, 1], 5), np.clip(likelier, 0, 10)
+    likelier = [
+        np.clip(found[:, at] * math.log(often / rare) - found[:, 4] * (often - rare), 0, 10)
+        for at, (often, rare) in zip((2, 3), rates)
+    ]
+    return [found[:, 0], np.minimum(found[:, 1], 5), *likelier]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
@@ -395,9 +444,9 @@ def score(model: Model, column: str = "text") -> F.Column:
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        meter = Meter(model.ordinary, model.toxic, model.repeated) if model.toxic or model.repeated else None
+        meter = Meter(model.ordinary, model.toxic, model.repeated, model.phrases) if model.ordinary else None
         for texts in batches:
-            found = np.array([meter.savings(t) if meter else (0, 0, 0, 0) for t in texts], float).reshape(-1, 4)
+            found = np.array([meter.savings(t) if meter else (0, 0, 0, 0, 0) for t in texts], float).reshape(-1, 5)
             z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], features(found, model.rates)))
             yield pd.Series([1 / (1 + math.exp(min(-x, 700.0))) if x > -700 else 0.0 for x in z], dtype=float)
 

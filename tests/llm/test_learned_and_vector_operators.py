@@ -151,13 +151,32 @@ def test_segments_that_tell_by_their_uses():
 
     texts = [(text(150, 4), 1) for _ in range(80)] + [(text(150, draw.random() < 0.1), 0) for _ in range(300)]
     model = toxicity.train(*zip(*texts))
-    meter = toxicity.Meter(model.ordinary, model.toxic, model.repeated)
+    meter = toxicity.Meter(model.ordinary, model.toxic, model.repeated, model.phrases)
     found = np.array([meter.savings(t) for t in (text(150, 4), text(150, 1), text(6000, 8), None)], float)
     z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], toxicity.features(found, model.rates)))
     # Uses are weighed by the length of the text.
     assert model.repeated and (z >= 0).tolist() == [True, False, False, False]
 
 
+@pytest.mark.parametrize("said", ["off", "river table", "green the door"])
+def test_phrases_and_short_words_tell(said):
+    draw = random.Random(3)
+    words = "river table green the door window carry of stone and paper lamp walks under bright".split()
+
+    def text(n, toxic):
+        own = [w for _ in range(n) for w in [draw.choice(words)]]
+        own = [w for a, w in zip(["", *own], own) if (a, w) not in {("river", "table"), ("green", "the"), ("the", "door")}]
+        at = draw.randrange(len(own))
+        return " ".join(own[:at] + [said] * toxic + own[at:])
+
+    texts = [(text(80, 1), 1) for _ in range(80)] + [(text(80, 0), 0) for _ in range(300)]
+    model = toxicity.train(*zip(*texts))
+    meter = toxicity.Meter(model.ordinary, model.toxic, model.repeated, model.phrases)
+    found = np.array([meter.savings(t) for t in (text(80, 1), text(80, 0), " ".join(reversed(said.split())))], float)
+    z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], toxicity.features(found, model.rates)))
+    assert (z >= 0).tolist()[:2] == [True, False]
+
+
 def test_toxicity_of_edge_rows(spark, documents, no_documents):
     labels = spark.createDataFrame([(100 + i, 0, i % 2) for i in range(120)] + [(None, 0, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     toxic = documents.withColumn("text", F.when((F.col("doc_id") >= 100) & (F.col("doc_id") % 2 == 1), F.concat("text", F.lit(" wretched scum idiot"))).otherwise(F.col("text")))
