@@ -15,14 +15,18 @@ from markbook.llm import bpe, minhash, mixing, pii, toxicity
 from markbook.llm.common import in_small_batches, stored, table
 
 
+#: Percent of shared five-word shingles from which the stage links; the query ``op3`` has its own.
+NEAR_COPIES = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that compression distance doesn't predict to be toxic."""
     return toxicity.clean(docs, table(spark, folder, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near duplicates, linked from 80 % of their shingles up."""
+    return minhash.deduplicated(docs, NEAR_COPIES)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -9,8 +9,8 @@ can lower any position, after a few for all but the shortest documents, and the
 make the estimate less variable than independent hashes do.
 
 Candidates.  Bands of 5 positions are hashed; in each bucket every member is paired with the bucket's
-smallest id.  Pairs whose signatures agree too little are dropped (``NEAR`` lies four standard
-deviations below the threshold), the others are verified on the full sets.  Verified links are
+smallest id.  Pairs whose signatures agree too little are dropped (``near`` lies four standard
+deviations below the threshold, whichever is asked for), the others are verified on the full sets.  Verified links are
 grouped.  Where members of one bucket still belong to different groups, those that aren't in the
 bucket's main group are compared with all members of other groups, in blocks, so that a link which the
 first round did not try is found too; its pairs pass through the same verification.
@@ -51,9 +51,8 @@ SHINGLE = 5
 THRESHOLD = 85
 BANDS, ROWS = 25, 5
 POSITIONS = BANDS * ROWS
-#: Positions that must agree before a pair is verified: four standard deviations below 85 %.
+#: Positions that must agree before a pair is verified: so many standard deviations below the threshold.
 SURE = 4
-NEAR = int(POSITIONS * (0.85 - SURE * (0.85 * 0.15 / POSITIONS) ** 0.5))
 BLOCK = 1024
 #: Rows that are compared in one call, many small buckets together.
 TOGETHER = 8192
@@ -100,9 +99,15 @@ def signature(elements: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
     return least
 
 
+def near(threshold: int) -> int:
+    """Positions that agree at least where two sets reach the threshold (percent)."""
+    share = threshold / 100
+    return int(POSITIONS * (share - SURE * (share * (1 - share) / POSITIONS) ** 0.5))
+
+
 @functools.cache
-def _least_agreeing(power: int) -> int:
-    """NEAR for unions of up to 2 ** (power / 4) elements, whose estimates vary less.
+def _least_agreeing(power: int, threshold: int) -> int:
+    """``near`` for unions of up to 2 ** (power / 4) elements, whose estimates vary less.
 
     The published variance of SuperMinHash is that of independent hashes times 1 minus the sum below.
     """
@@ -111,8 +116,9 @@ def _least_agreeing(power: int) -> int:
     share = (at / m) ** u
     second = ((at + 1) / (m - 1)) ** u + ((at - 1) / (m - 1)) ** u - 2 * (at / (m - 1)) ** u
     less = float((share * second).sum() * (m - 1) / (u - 1))
-    deviation = (0.85 * 0.15 / m * max(0.0, 1 - less)) ** 0.5
-    return max(NEAR, int(m * (0.85 - SURE * deviation)))
+    reached = threshold / 100
+    deviation = (reached * (1 - reached) / m * max(0.0, 1 - less)) ** 0.5
+    return max(near(threshold), int(m * (reached - SURE * deviation)))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -241,7 +247,7 @@ def _named(stars: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, rows: int, only_best: bool) -> DataFrame:
+def _across(members: DataFrame, rows: int, only_best: bool, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs from buckets whose members stand in different groups, with enough agreeing positions.
 
     ``members`` has key, band, doc_id, n, group and marks, about ``rows`` rows.  A pair is given once, by the first band in
@@ -292,22 +298,23 @@ def _across(members: DataFrame, rows: int, only_best: bool) -> DataFrame:
         found = []
         for x in range(int(ends.searchsorted(len(group)))):
             others = np.arange(ends[x], len(group))
-            near = 100 * np.minimum(n[others], n[x]) >= THRESHOLD * np.maximum(n[others], n[x])
+            close = 100 * np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x])
             if apart:
-                near &= own[others] != own[x]
-            others = others[near]
+                close &= own[others] != own[x]
+            others = others[close]
             if not len(others):
                 continue
             same = marks[others] == marks[x]
             agreeing = same.sum(axis=1)
             # At 85 % the union has (a + b) / 1.85 elements.
-            near = agreeing >= _least_agreeing(int(np.ceil(4 * np.log2((n[x] + n[others].max()) / 1.85 + 1))))
-            if band and near.any():
-                whole = same[near, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
-                near[near] = ~whole
-            if only_best and near.any():
-                near = np.arange(len(others)) == np.argmax(np.where(near, agreeing, -1))
-            found += [(min(ids[x], y), max(ids[x], y)) for y in ids[others[near]]]
+            union = (n[x] + n[others].max()) / (1 + threshold / 100)
+            close = agreeing >= _least_agreeing(int(np.ceil(4 * np.log2(union + 1))), threshold)
+            if band and close.any():
+                whole = same[close, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+                close[close] = ~whole
+            if only_best and close.any():
+                close = np.arange(len(others)) == np.argmax(np.where(close, agreeing, -1))
+            found += [(min(ids[x], y), max(ids[x], y)) for y in ids[others[close]]]
         return found
 
     shards = F.lit(rows // TOGETHER + 1)
@@ -333,10 +340,10 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     x, y = (marks.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("marks").alias(f"m{c}")) for c in "ab")
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
-    near = pairs.join(x, "a").join(y, "b").where(sizes).where(_agreeing("ma", "mb") >= NEAR).select("a", "b")
+    likely = pairs.join(x, "a").join(y, "b").where(sizes).where(_agreeing("ma", "mb") >= near(threshold)).select("a", "b")
     inside = shared.select("doc_id").distinct()
     own = stored(packed_sets(docs.select("doc_id", "text").join(inside, "doc_id", "left_semi")), "sets")
-    links = _verified(near, own, threshold)
+    links = _verified(likely, own, threshold)
     found = components(links)
     rows = shared.count()
     for only_best in (True, False):
@@ -345,7 +352,7 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             .join(marks.select("doc_id", "n", "marks"), "doc_id")
             .select("key", "band", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("group"), "marks")
         )
-        more = _verified(_across(members, rows, only_best).distinct(), own, threshold)
+        more = _verified(_across(members, rows, only_best, threshold).distinct(), own, threshold)
         known = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         found = components(known.unionAll(more))
 

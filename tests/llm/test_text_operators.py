@@ -175,6 +175,37 @@ def test_near_duplicates_in_one_large_spread_group(spark):
     assert got == groups(rows)
 
 
+def test_pairs_from_80_percent_up_are_linked_where_asked_for(spark):
+    """Pairs that share 76 to 90 % of their shingles, in sets of 60, 180 and 600."""
+    import corpus_pipeline
+
+    draw = random.Random(5)
+    rows, want = [], set()
+    for i in range(240):
+        size = (60, 180, 600)[i % 3]
+        text = [f"v{i}_{k}" for k in range(size + 4)]
+        cut = round(size * draw.uniform(0.1, 0.24))
+        other = text[cut:]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        if 100 * (size - cut) >= 80 * size:
+            want.add(2 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()}
+    assert {i for i, _ in rows} - kept == want
+    assert {r.doc_id for r in minhash.grouped(docs, 80).where("NOT kept").collect()} == want
+    assert len({r.doc_id for r in minhash.grouped(docs).where("NOT kept").collect()}) < len(want)
+
+
+def test_second_round_links_at_the_threshold_asked_for(spark):
+    """Members of one bucket in two groups, at 81 %, of sizes that 85 % would not compare."""
+    base = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    marks = [minhash._signed(s)[1] for s in (base, base[:81])]
+    rows = [(7, 0, 1, 100, 1, bytearray(marks[0])), (7, 0, 2, 81, 2, bytearray(marks[1]))]
+    members = spark.createDataFrame(rows, "key long, band int, doc_id long, n int, group long, marks binary")
+    found = {t: [tuple(r) for r in minhash._across(members, 2, False, t).collect()] for t in (80, 85)}
+    assert found == {80: [(1, 2)], 85: []}
+
+
 def test_second_round_compares_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     test_near_duplicates_in_one_large_spread_group(spark)
