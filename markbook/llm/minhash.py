@@ -23,8 +23,9 @@ Grouping.  Each task turns its links into a forest by union-find.  A forest that
 steps, which bring every document to the smallest id it reaches, until nothing changes.
 
 Skew.  Copies are gone before banding.  Bucket heads are an aggregate, combined before the shuffle.
-In the second round large buckets are cut into blocks and dealt out by pairs of blocks.  Nothing is
-capped.
+In the second round large buckets are cut into blocks and dealt out by pairs of blocks; members of a
+bucket's main group meet only blocks of other groups, so they are not copied where few others stand in
+it.  Tasks are sized by the rows that are dealt.  Nothing is capped.
 
 Defined results: a document without words has an empty set, is linked with nothing and stands alone;
 one with fewer than five words has one shingle, the whole sequence.  Each row goes by its own text;
@@ -247,22 +248,37 @@ def _named(stars: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, rows: int, only_best: bool, threshold: int = THRESHOLD) -> DataFrame:
+def _across(members: DataFrame, only_best: bool, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs from buckets whose members stand in different groups, with enough agreeing positions.
 
-    ``members`` has key, band, doc_id, n, group and marks, about ``rows`` rows.  A pair is given once, by the first band in
+    ``members`` has key, band, doc_id, n, group and marks.  A pair is given once, by the first band in
     which it agrees; with ``only_best`` each member gives its best pair of a block alone.
     """
     groups = members.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
-    buckets = (
-        groups.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("rows"))
-        .where("groups > 1")
-        .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    largest = F.max(F.struct("c", "group"))
+    counted = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("rows"), largest.alias("main"))
+    # Blocks of members outside the main group, then those of the main group; a small bucket is one block.
+    outside = F.col("rows") - F.col("main.c")
+    blocks = lambda c: F.when(F.col("rows") > BLOCK, F.ceil(c / BLOCK))
+    buckets = stored(
+        counted.where("groups > 1").select(
+            "key",
+            F.col("main.group").alias("main"),
+            F.coalesce(blocks(outside), F.lit(1)).cast("int").alias("few"),
+            F.coalesce(blocks(F.col("main.c")), F.lit(0)).cast("int").alias("many"),
+            outside.alias("outside"),
+            F.col("main.c").alias("inside"),
+        ),
+        "mixed",
     )
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    # Members of the main group meet the blocks of the others only; those meet all blocks.
+    dealt_rows = buckets.agg(F.sum(F.col("outside") * (F.col("few") + F.col("many")) + F.col("inside") * F.col("few"))).first()[0]
+    apart = (F.col("group") == F.col("main")) & (F.col("many") > 0)
+    number = F.xxhash64("doc_id")
+    own = F.when(apart, F.col("few") + F.pmod(number, F.col("many"))).otherwise(F.pmod(number, F.col("few"))).cast("int")
+    last = F.when(apart, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     blocked = members.join(buckets, "key").withColumn("own", own)
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
@@ -317,7 +333,7 @@ def _across(members: DataFrame, rows: int, only_best: bool, threshold: int = THR
             found += [(min(ids[x], y), max(ids[x], y)) for y in ids[others[close]]]
         return found
 
-    shards = F.lit(rows // TOGETHER + 1)
+    shards = F.lit((dealt_rows or 0) // TOGETHER + 1)
     together = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), shards))
     return together.groupBy("shard").applyInPandas(compare, "a long, b long")
 
@@ -345,14 +361,13 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     own = stored(packed_sets(docs.select("doc_id", "text").join(inside, "doc_id", "left_semi")), "sets")
     links = _verified(likely, own, threshold)
     found = components(links)
-    rows = shared.count()
     for only_best in (True, False):
         members = (
             shared.join(found, "doc_id", "left")
             .join(marks.select("doc_id", "n", "marks"), "doc_id")
             .select("key", "band", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("group"), "marks")
         )
-        more = _verified(_across(members, rows, only_best, threshold).distinct(), own, threshold)
+        more = _verified(_across(members, only_best, threshold).distinct(), own, threshold)
         known = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         found = components(known.unionAll(more))
 

@@ -202,10 +202,33 @@ def test_second_round_links_at_the_threshold_asked_for(spark):
     marks = [minhash._signed(s)[1] for s in (base, base[:81])]
     rows = [(7, 0, 1, 100, 1, bytearray(marks[0])), (7, 0, 2, 81, 2, bytearray(marks[1]))]
     members = spark.createDataFrame(rows, "key long, band int, doc_id long, n int, group long, marks binary")
-    found = {t: [tuple(r) for r in minhash._across(members, 2, False, t).collect()] for t in (80, 85)}
+    found = {t: [tuple(r) for r in minhash._across(members, False, t).collect()] for t in (80, 85)}
     assert found == {80: [(1, 2)], 85: []}
 
 
+@pytest.mark.parametrize("others", [1, 40, 300])
+def test_a_hot_bucket_is_dealt_in_small_groups(spark, monkeypatch, others):
+    """One bucket with a main group and some others: rows of each group of a task, and all pairs."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "TOGETHER", 64)
+    mark = bytearray(minhash._signed(np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[1])
+    rows = [(7, 0, i, 100, i if i < others else 10_000, mark) for i in range(others + 600)]
+    members = spark.createDataFrame(rows, "key long, band int, doc_id long, n int, group long, marks binary")
+    if others < 300:
+        want = {(i, j) for i in range(others) for j in range(i + 1, len(rows))}
+        found = [tuple(r) for r in minhash._across(members, False).collect()]
+        assert set(found) == want and len(found) == len(want)
+    plain = PandasGroupedOpsMixin.applyInPandas
+    count = lambda pdf: pdf.iloc[:1].assign(a=len(pdf), b=0)[["a", "b"]]
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", lambda self, f, schema: plain(self, count, schema))
+    sizes = [r.a for r in minhash._across(members, False).collect()]
+    assert max(sizes) <= 6 * 64
+    if others == 1:
+        assert sum(sizes) <= 600 + 600 // 16 + 3
+
+
 def test_second_round_compares_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     test_near_duplicates_in_one_large_spread_group(spark)
