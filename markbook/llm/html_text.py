@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,31 +33,36 @@ LONGEST = 100_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|textarea|title|svg|iframe|noscript|select|math)\b"
+    r"|<svg(?=[\s/>])(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+(?<=/)>"
+    r"|<(?P<raw>script|style|template|textarea|title|svg|iframe|noscript|select|annotation|annotation-xml)(?=[\s/>])"
     r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9-]*)(?P<rest>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)"
     r"|<[/!?](?=[A-Za-z!?/\[])[^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split()
+    "samp small span strike strong sub sup time tt u var wbr "
+    # Formulas are read as their letters, numbers and signs.
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mpadded mphantom mstyle menclose mtable mtr mtd merror".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Blocks that the next block ends.
 SIMPLE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr td th option".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers that never hold main text.
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 _ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|notice|notices|alert|cookie"
+    r"(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|notice|notices|alert|cookie"
     r"|cookies|consent|banner|ad|ads|adv|advert|advertisement|adsense|sponsor|sponsored|promo|comment|comments|"
     r"respond|replies|reply|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|widget|popup|modal"
     r"|overlay|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip|complementary|contentinfo)"
-    r"s?(?:$|[\s_-])",
+    r"s?",
     re.I,
 )
 
@@ -69,7 +75,20 @@ def _set_aside(name: str, rest: str, within: bool) -> bool:
         return False
     if _HIDDEN.search(rest):
         return True
-    return any(_ASIDE_NAME.search(next(filter(None, m), "")) for m in _NAMED.findall(rest))
+    return _named_aside(name, rest, within)
+
+
+def _named_aside(name: str, rest: str, within: bool) -> bool:
+    """Whether a whole class, id, role or label says so.  Within the main element an id of a section or
+    heading names its topic, and no name sets a heading aside."""
+    if within and name in HEADINGS:
+        return False
+    for kind, *values in _NAMED.findall(rest):
+        if within and name == "section" and kind.lower() == "id":
+            continue
+        if any(map(_ASIDE_NAME.fullmatch, "".join(values).split())):
+            return True
+    return False
 
 
 class Page:
@@ -80,6 +99,9 @@ class Page:
         self.blocks: list[list[str]] = []
         self.mains = 0
         open_tags: list[tuple[str, bool, bool]] = []
+        #: Elements that a name alone sets aside: depth, first token, main elements before it.
+        named: list[tuple[int, int, int]] = []
+        spans: list[tuple[int, int, int]] = []
         aside = within = links = 0
         tag, own = "body", False
         block: list[str] = []
@@ -97,7 +119,7 @@ class Page:
             block.append(text)
             n = len(text.split())
             if n:
-                held = aside > 0 or own
+                held = aside + own
                 feature = f"{tag}{'|link' if links else ''}"
                 self.tokens.append((feature, n, len(self.blocks), held, within > 0))
 
@@ -124,6 +146,8 @@ class Page:
                     own = _set_aside(name, m["rest"], within > 0)
                 elif name not in VOID:
                     held = _set_aside(name, m["rest"], within > 0)
+                    if held and name not in ASIDE and not _HIDDEN.search(m["rest"]):
+                        named.append((len(open_tags), len(self.tokens), self.mains))
                     open_tags.append((name, held, name in MAIN))
                     aside += held
                     within += name in MAIN
@@ -133,15 +157,29 @@ class Page:
                     last, held, main = open_tags.pop()
                     aside -= held
                     within -= main
+                    if named and named[-1][0] == len(open_tags):
+                        _, first, before = named.pop()
+                        spans.append((first, len(self.tokens), self.mains - before))
                     if last == name:
                         break
                 tag, own = (open_tags[-1][0] if open_tags else "body"), False
             elif name in SIMPLE:
                 tag, own = (open_tags[-1][0] if open_tags else "body"), False
-            self.tokens.append((f"<{m['end']}{name}>", 0, -1, aside > 0, within > 0))
+            self.tokens.append((f"<{m['end']}{name}>", 0, -1, aside, within > 0))
         if at < len(source):
             words(source[at:])
         close()
+        spans += [(first, len(self.tokens), self.mains - before) for _, first, before in named]
+        # A name does not set aside what holds the page's main elements.
+        less = [0] * (len(self.tokens) + 1)
+        for first, end, mains in spans:
+            if mains and mains == self.mains:
+                less[first] += 1
+                less[end] -= 1
+        self.tokens = [
+            (feature, n, block, held > free, inside)
+            for (feature, n, block, held, inside), free in zip(self.tokens, accumulate(less))
+        ]
 
     def text(self, number: int) -> str:
         return " ".join("".join(self.blocks[number]).split())

@@ -55,6 +55,23 @@ def test_main_text(source, text):
     assert html_text.main_text(source, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div class='content has-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<div class='no-sidebar sidebar'><nav>no</nav><article><p>a</p></article></div>", "a"),
+        ("<article><h2 id='side-effects'>t</h2><section id='related-work'><p>a</p></section><p id=search-algorithms>b</p></article>", "t\na\nb"),
+        ("<article><h2 id='search'>t</h2><section id='comments'><p>a</p></section></article>", "t\na"),
+        ("<article><p>a</p><div class='post social'><p>no</p></div><div class=ads>no</div><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><svg-icon>i</svg-icon><p>b</p><select-menu></select-menu><p>c</p></article>", "a\ni\nb\nc"),
+        ("<article><p>a <svg viewBox='0 0 1 1' /> b</p><svg/><p>c</p><svg><text>no</text></svg></article>", "a b\nc"),
+        ("<article><p>so <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> it is</p></article>", "so x=2 it is"),
+    ],
+)
+def test_names_and_raw_elements_drop_no_main_text(source, text):
+    assert html_text.main_text(source, WEIGHTS) == text
+
+
 def test_region_is_the_best_contiguous_run():
     draw = random.Random(1)
     for _ in range(300):
