@@ -3,7 +3,11 @@
 A page is a sequence of tags and runs of words.  Every token has a weight: words count for or against
 the main text by the block they stand in, whether they are link text, and whether a container such as
 a menu or an advert holds them; tags cost.  The weights are log-odds from labelled pages, those that
-mark their main text with exactly one ``article`` or ``main`` element.  One linear scan finds the
+mark their main text with exactly one ``article`` or ``main`` element.  Where a page has such elements
+and the word weights find at least half of its main text in them, words inside weigh more by the learned
+log-odds that such elements and word weights agree, and words outside of a single one less; between
+several, words that weigh against don't count.  Elsewhere (teasers, comments) the word weights decide
+alone.  Words that containers hold aside weigh nothing.  One linear scan finds the
 contiguous region with the largest sum.  Blocks in the region, without those held by containers that
 never belong to the main text, make up the result.
 
@@ -176,6 +180,8 @@ class Page:
             if mains and mains == self.mains:
                 less[first] += 1
                 less[end] -= 1
+        #: What containers hold, by any name.
+        self.named = [held > 0 for _, _, _, held, _ in self.tokens]
         self.tokens = [
             (feature, n, block, held > free, inside)
             for (feature, n, block, held, inside), free in zip(self.tokens, accumulate(less))
@@ -192,16 +198,19 @@ PRIOR = {
 }
 
 
+#: Log-odds that main elements and word weights agree, and the pages that they start from.
+MAIN_TAG = "=main"
+AGREED = 30
+
+
 def fit(pages: list[str]) -> dict[str, float]:
     """Log-odds of words and tags from pages with one main element; others are left out.
 
     Words weigh at most 3 either way.  Tags cost 0.05 at least: whatever crosses them should be worth it.
     """
     inside, outside = Counter(), Counter()
-    for source in pages:
-        page = Page(source)
-        if page.mains != 1:
-            continue
+    marked = [page for page in map(Page, pages) if page.mains == 1]
+    for page in marked:
         for feature, n, _, held, within in page.tokens:
             if held and n:
                 continue
@@ -212,9 +221,24 @@ def fit(pages: list[str]) -> dict[str, float]:
         odds = math.log((inside[feature] + a) / (outside[feature] + b))
         tag = feature.startswith("<")
         weights[feature] = min(odds / 4, -0.05) if tag else max(-3.0, min(3.0, odds))
+    agreed = sum(_agrees(page, weights) for page in marked)
+    weights[MAIN_TAG] = max(0.0, math.log((agreed + AGREED + 1) / (len(marked) - agreed + 1)))
     return weights
 
 
+def _weight(weights: dict[str, float], feature: str, n: int) -> float:
+    return weights.get(feature, 0.2 if n else -0.2)
+
+
+def _agrees(page: Page, weights: dict[str, float]) -> bool:
+    """Whether word weights find at least half of a page's main text in its main elements."""
+    sums = [0.0, 0.0]
+    for feature, n, _, held, within in page.tokens:
+        if n and not held:
+            sums[within] += n * max(0.0, _weight(weights, feature, n))
+    return page.mains > 0 and sums[True] >= sums[False]
+
+
 def region(scores: list[float]) -> tuple[int, int]:
     """The first, longest run with the largest positive sum, as [start, end); (0, 0) without one."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
@@ -232,21 +256,23 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     if not source:
         return ""
     page = Page(source)
-    scores = []
-    for feature, n, _, held, within in page.tokens:
-        weight = weights.get(feature, 0.2 if n else -0.2)
-        if n and page.mains:
-            # A main element decides: what it holds counts for, the rest against.
-            weight = 0.0 if held and within else abs(weight) + 1.0 if within and not held else -3.0
-        elif n and held:
-            weight = -3.0
+    agrees = _agrees(page, weights)
+    tag = weights.get(MAIN_TAG, 0.0) if agrees else 0.0
+    several = agrees and page.mains > 1
+    scores, blocks = [], []
+    for (feature, n, block, held, within), named in zip(page.tokens, page.named):
+        # Teasers and comments stay aside although they are all that is marked.
+        held = held if agrees else named
+        weight = _weight(weights, feature, n)
+        apart = several and not within and (weight < 0 or not n)
+        if held and n or apart:
+            weight = 0.0
+        elif n:
+            weight += tag if within else 0.0 if several else -tag
         scores.append(n * weight if n else weight)
+        blocks.append(block if n and not held and not apart else None)
     start, end = region(scores)
-    chosen = dict.fromkeys(
-        block
-        for feature, n, block, held, within in page.tokens[start:end]
-        if n and not held and (within or not page.mains)
-    )
+    chosen = dict.fromkeys(b for b in blocks[start:end] if b is not None)
     return "\n".join(page.text(b) for b in chosen)
 
 

@@ -72,6 +72,29 @@ def test_names_and_raw_elements_drop_no_main_text(source, text):
     assert html_text.main_text(source, WEIGHTS) == text
 
 
+BODY = "<div class='post'><p>the body of this page has many words</p><p>and some more of them here</p></div>"
+BODY_TEXT = "the body of this page has many words\nand some more of them here"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        # Teasers or comments are the only articles.
+        (f"<body>{BODY}<ul class='related'><article><p>a teaser</p></article></ul></body>", BODY_TEXT),
+        (f"<body>{BODY}<div class='comments'><article><p>x</p></article><article><p>y</p></article></div></body>", BODY_TEXT),
+        # Two parts, and more link words between them than the smaller one has.
+        (
+            "<article><p>one two three four five</p></article><div><a href=x>" + "go there " * 20 + "</a></div><article><p>six seven</p></article>",
+            "one two three four five\nsix seven",
+        ),
+        # An advert that is longer than the text on either side, without any main element.
+        ("<body><div><p>first part here</p><div class='ad'>" + "buy it now " * 20 + "</div><p>second part</p></div></body>", "first part here\nsecond part"),
+    ],
+)
+def test_main_elements_and_word_weights_decide_together(source, text):
+    assert html_text.main_text(source, WEIGHTS) == text
+
+
 def test_region_is_the_best_contiguous_run():
     draw = random.Random(1)
     for _ in range(300):
