@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, language, minhash, mixing, pii, simhash, suffix_tree, topk, toxicity
+from . import ann, bpe, html_text, language, minhash, mixing, pii, prefix_trie, simhash, suffix_tree, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.grouped(table(spark, folder, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, folder, "conversations"))
+
+
+SQL["op12_prefix_trie"] = prefix_trie.NODES_SQL
