@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, language, minhash, mixing, pii, prefix_trie, simhash, suffix_tree, topk, toxicity
+from . import ann, bpe, html_text, language, minhash, mixing, pii, prefix_trie, ranking, simhash, suffix_tree, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_prefix_trie"] = prefix_trie.NODES_SQL
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op11_ranked_search"] = ranking.RANKED_SQL
