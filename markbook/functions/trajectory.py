@@ -1,4 +1,9 @@
-"""Interleaved rationale / program / output texts as arrays of blocks."""
+"""Interleaved rationale / program / output texts as arrays of blocks.
+
+A text is cut at its ```` ```python ```` lines once.  Each piece after the first starts with a program; its first
+two closing fences end the program and the output, and what follows is rationale.  Pieces don't depend on one
+another, so the work is linear in the length of the text, however many fences it has.
+"""
 
 from __future__ import annotations
 
@@ -7,91 +12,86 @@ from pyspark.sql import functions as F
 
 from .extract import output_blocks  # noqa: F401  (the output reader lives with the extractors)
 from .normalize import ran_successfully
-from .pytext import let, strip
+from .pytext import SPACE, find_all, let, strip
 
-_RANGE = "array<struct<role:string,b:int,e:int>>"
 INVALID_PROGRAM = "raise ValueError('Invalid trajectory')"
 
+# In a text with a line break put before it, every line starts with one.
+_PROGRAM = r"\n```python(?=\n|\z)"
+_CLOSED = r"\n```(?=\n|\z)"
+_OUTPUT = r"^(?:\n```output[^\n]*)+"
+_BLOCKS = "array<struct<role:string,content:string>>"
+_BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in SPACE if c != "\n")
+_PRINT = rf"\n[{_BLANK}]*print\([^\n]*"
 
-def trajectory(c: Column) -> Column:
-    """Text to ``array<struct<role, content>>``; null when the fences do not nest properly.
 
-    The fold runs over the fence lines only; contents are cut out of the line array afterwards.
-    """
+def _ended(lines: Column) -> Column:
+    """Lines (each with a break before it) as text in which each has one behind it."""
+    return F.when(lines == "", "").otherwise(F.concat(_open(lines), F.lit("\n")))
 
-    def run(lines):
-        numbered = F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-        fences = F.filter(numbered, lambda m: m["line"].startswith("```"))
-        start = F.struct(
-            F.lit("rationale").alias("role"),
-            F.lit(0).alias("b"),
-            F.lit(True).alias("ok"),
-            F.array().cast(_RANGE).alias("blocks"),
-        )
 
-        def state(role, b, ok, blocks):
-            return F.struct(
-                role.alias("role"), b.alias("b"), ok.alias("ok"), blocks.alias("blocks")
-            )
+def _open(lines: Column) -> Column:
+    """Lines as text whose last one has no break behind it."""
+    return F.substr(lines, F.lit(2))
 
-        def step(acc, m):
-            line, i = m["line"], m["i"]
-            block = F.array(
-                F.struct(acc["role"].alias("role"), acc["b"].alias("b"), (i - 1).alias("e"))
-            ).cast(_RANGE)
-            some = i > acc["b"]
-            added = F.concat(acc["blocks"], block)
-            opens = line == "```python"
-            closes = line == "```"
-            bad = state(acc["role"], acc["b"], F.lit(False), acc["blocks"])
-            return (
-                F.when(~acc["ok"], acc)
-                .when(
-                    opens & (acc["role"] == "rationale"),
-                    state(
-                        F.lit("program"), i + 1, F.lit(True),
-                        F.when(some, added).otherwise(acc["blocks"]),
-                    ),
-                )
-                .when(opens, bad)
-                .when(
-                    closes & (acc["role"] == "program"),
-                    F.when(some, state(F.lit("output"), i + 1, F.lit(True), added)).otherwise(bad),
-                )
-                .when(
-                    (acc["role"] == "output") & line.startswith("```output"),
-                    F.when(some, bad).otherwise(
-                        state(acc["role"], i + 1, F.lit(True), acc["blocks"])
-                    ),
-                )
-                .when(
-                    closes & (acc["role"] == "output"),
-                    state(F.lit("rationale"), i + 1, F.lit(True), added),
-                )
-                .otherwise(acc)
-            )
 
-        def cut(acc):
-            last = F.size(lines) - 1
-            tail = F.array(
-                F.struct(acc["role"].alias("role"), acc["b"].alias("b"), last.alias("e"))
-            ).cast(_RANGE)
+def _pieces(c: Column) -> Column:
+    return F.split(F.concat(F.lit("\n"), c), _PROGRAM)
 
-            def content(b):
-                joined = F.array_join(F.slice(lines, b["b"] + 1, F.greatest(b["e"] - b["b"] + 1, F.lit(0))), "\n")
-                ended = (b["e"] >= b["b"]) & (b["e"] < last)
-                return F.concat(joined, F.when(ended, F.lit("\n")).otherwise(F.lit("")))
 
-            def as_block(b):
-                return F.struct(b["role"].alias("role"), content(b).alias("content"))
+def _segments(pieces: Column) -> Column:
+    """For every program: its lines, those of its output and of the rationale behind, and if all is well.
 
-            closed = F.transform(acc["blocks"], as_block)
-            rest = F.filter(F.transform(tail, as_block), lambda b: b["content"] != "")
-            return F.when(acc["ok"], F.concat(closed, rest))
+    ``fences`` counts the closing ones, up to two; without the second one the text has to end.
+    """
 
-        return let(F.aggregate(fences, start, step), cut)
+    def run(piece, i):
+        def read(parts):
+            output = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), _OUTPUT, "")
+            fences = F.size(parts) - 1
+            last = i == F.size(pieces) - 2
+            started = (fences == 0) | (parts[0] != "")
+            return let(
+                output,
+                lambda o: F.struct(
+                    parts[0].alias("program"),
+                    o.alias("output"),
+                    F.get(parts, F.lit(2)).alias("rest"),
+                    fences.alias("fences"),
+                    last.alias("last"),
+                    ((last | (fences == 2)) & started & ~o.contains("\n```output")).alias("ok"),
+                ),
+            )
+
+        return let(F.split(piece, _CLOSED, 3), read)
 
-    return let(F.split(c, "\n"), run)
+    return F.transform(F.slice(pieces, 2, F.size(pieces)), run)
+
+
+def trajectory(c: Column) -> Column:
+    """Text to ``array<struct<role, content>>``; null when the fences do not nest properly."""
+
+    def block(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    def blocks(s):
+        """Program, output and rationale of a segment; a block without content stays only if it is closed."""
+        kept = F.array(
+            F.struct((s["fences"] > 0).alias("closed"), block("program", F.when(s["fences"] > 0, _ended(s["program"])).otherwise(_open(s["program"]))).alias("b")),
+            F.struct((s["fences"] > 1).alias("closed"), block("output", F.when(s["fences"] > 1, _ended(s["output"])).otherwise(_open(s["output"]))).alias("b")),
+            F.struct(F.lit(False).alias("closed"), block("rationale", F.coalesce(F.when(s["last"], _open(s["rest"])).otherwise(_ended(s["rest"])), F.lit(""))).alias("b")),
+        )
+        return F.transform(F.filter(kept, lambda k: k["closed"] | (k["b"]["content"] != "")), lambda k: k["b"])
+
+    def run(pieces):
+        head = F.when(F.size(pieces) == 1, _open(pieces[0])).otherwise(_ended(pieces[0]))
+        first = F.when(head != "", F.array(block("rationale", head))).otherwise(F.array().cast(_BLOCKS))
+        return let(
+            _segments(pieces),
+            lambda own: F.when(F.forall(own, lambda s: s["ok"]), F.concat(first, F.flatten(F.transform(own, blocks)))),
+        )
+
+    return let(_pieces(c), run)
 
 
 def trajectory_text(blocks: Column) -> Column:
@@ -112,66 +112,44 @@ def programs(c: Column, last_only: bool = False) -> Column:
 
     A program counts when the output behind it shows no failure, or when nothing follows it.
     Failed ones leave only their import lines, put before the first program; print lines stay
-    in the last program only.  Null when something other than an output follows a program.
+    in the last program only.
     """
 
-    def lines_of(text):
-        return F.split(text, "\n")
-
-    def run(blocks):
-        last = F.size(blocks) - 1
-        marked = F.filter(
-            F.transform(
-                blocks,
-                lambda b, i: F.struct(
-                    b["role"].alias("role"),
-                    b["content"].alias("content"),
-                    (i == last).alias("final"),
-                    F.coalesce(F.get(blocks, i + 1)["role"] == "output", F.lit(False)).alias("paired"),
-                    ran_successfully(
-                        strip(F.coalesce(F.get(blocks, i + 1)["content"], F.lit("")))
-                    ).alias("good"),
-                ),
-            ),
-            lambda b: b["role"] == "program",
+    def mark(s):
+        # A program that the text leaves open is there if it has content, an open output likewise.
+        alone = s["last"] & (_open(s["output"]) == "") & (s["fences"] < 2)
+        return F.struct(
+            F.when(s["fences"] > 0, _ended(s["program"])).otherwise(_open(s["program"])).alias("content"),
+            (alone | ran_successfully(strip(s["output"]))).alias("good"),
         )
-        return let(marked, assemble)
+
+    def imports_of(b):
+        return find_all(F.concat(F.lit("\n"), b["content"]), r"\n((?:import|from)[^\n]*)", 1)
+
+    def quiet(text):
+        return F.substr(F.regexp_replace(F.concat(F.lit("\n"), text), _PRINT, ""), F.lit(2))
 
     def assemble(marked):
-        broken = F.exists(marked, lambda b: ~b["final"] & ~b["paired"])
-        kept = F.transform(
-            F.filter(marked, lambda b: b["final"] | b["good"]), lambda b: b["content"]
-        )
-        imports = F.flatten(
-            F.transform(
-                F.filter(marked, lambda b: ~b["final"] & ~b["good"]),
-                lambda b: F.filter(
-                    lines_of(b["content"]),
-                    lambda line: line.startswith("import") | line.startswith("from"),
-                ),
-            )
-        )
-        some = F.when(F.size(kept) == 0, F.array(F.lit(""))).otherwise(kept)
-        head = F.when(
-            F.size(imports) > 0, F.concat(F.array_join(imports, "\n"), F.lit("\n"))
-        ).otherwise(F.lit(""))
+        kept = F.transform(F.filter(marked, lambda b: b["good"]), lambda b: b["content"])
+        imports = F.flatten(F.transform(F.filter(marked, lambda b: ~b["good"]), imports_of))
+        head = F.when(F.size(imports) > 0, F.concat(F.array_join(imports, "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
         def finish(some):
-            last = F.size(some) - 1
+            last = F.size(some["kept"]) - 1
 
             def one(text, i):
-                full = F.when(i == 0, F.concat(head, text)).otherwise(text)
-                quiet = F.array_join(
-                    F.filter(lines_of(full), lambda line: ~strip(line).startswith("print(")), "\n"
-                )
-                return F.when(i < last, quiet).otherwise(full)
+                full = F.when(i == 0, F.concat(some["head"], text)).otherwise(text)
+                return F.when(i < last, quiet(full)).otherwise(full)
+
+            if last_only:
+                return one(some["kept"][last], last)
+            return F.array_join(F.transform(some["kept"], one), "\n")
 
-            done = F.transform(some, one)
-            chosen = F.try_element_at(done, F.lit(-1)) if last_only else F.array_join(done, "\n")
-            return F.when(~broken, chosen)
+        some = F.when(F.size(kept) == 0, F.array(F.lit(""))).otherwise(kept)
+        return let(F.struct(some.alias("kept"), head.alias("head")), finish)
 
-        return let(some, finish)
+    def run(own):
+        there = F.filter(F.transform(own, mark), lambda b: b["content"] != "")
+        return F.when(F.forall(own, lambda s: s["ok"]), let(there, assemble)).otherwise(F.lit(INVALID_PROGRAM))
 
-    return let(
-        trajectory(c), lambda t: F.when(t.isNull(), F.lit(INVALID_PROGRAM)).otherwise(let(t, run))
-    )
+    return F.when(c.isNotNull(), let(let(_pieces(c), _segments), run))
