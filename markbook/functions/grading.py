@@ -81,15 +81,21 @@ def same_value(pred: Column, gt: Column, tol: float = V.REL_TOL) -> Column:
     )
 
 
-def simple_match(pred: Column, gt: Column, tol: float, percent: bool) -> Column:
-    """All rungs for an element that is not itself a tuple, matrix or equation."""
+def matches(pred: Column, gt: Column, tol: float, percent: bool, levels: int) -> Column:
+    """All rules for an element; its own elements are looked at ``levels`` deep."""
+
+    def by_parts(pair):
+        p, g = pair["p"], pair["g"]
+        flat = same_without_brackets(p, g) | same_value(p, g, tol)
+        return flat | structured_rung(p, g, tol, percent, levels).isNotNull() if levels else flat
 
     def decide(p, g):
+        bare = F.struct(strip(pred).alias("p"), as_matrix(strip(pred), strip(gt)).alias("g"))
         return (
             F.when(same_text(pred, gt) | same_choice(pred, gt), True)
             .when(p.isNotNull() & g.isNotNull(), same_number(p, g, tol, percent))
             .when(pred == "", False)
-            .otherwise(same_without_brackets(strip(pred), strip(gt)) | same_value(pred, gt, tol))
+            .otherwise(let(bare, by_parts))
         )
 
     return _both(pred, gt, parse_digits, decide)
@@ -102,13 +108,22 @@ def _zip(left: Column, right: Column) -> Column:
 
 
 def tuple_pairs(pred: Column, gt: Column) -> Column:
-    """Elements of two tuples, points or intervals side by side; null for anything else."""
+    """Elements of two tuples, points or intervals side by side; null for anything else.
+
+    Where both are one element, all brackets that both have around it go at once.
+    """
     shape = r"(?d)^[(\[].+[)\]]"
 
-    def parts(c):
-        return pieces(F.substr(c, F.lit(2), F.length(c) - 2), ",")
+    def inner(c, cut):
+        return F.substr(c, cut + 1, F.length(c) - 2 * cut)
 
-    return F.when(pred.rlike(shape) & gt.rlike(shape), _zip(parts(pred), parts(gt)))
+    def around(c):
+        runs = [F.length(F.regexp_extract(c, pattern, 0)) for pattern in (r"^[(\[]+", r"[)\]]+\z")]
+        return F.least(*runs, F.ceil(F.length(c) / 2).cast("int") - 1)
+
+    cut = F.when(pred.contains(",") | gt.contains(","), 1).otherwise(F.greatest(F.lit(1), F.least(around(pred), around(gt))))
+    pairs = let(cut, lambda n: _zip(pieces(inner(pred, n), ","), pieces(inner(gt, n), ",")))
+    return F.when(pred.rlike(shape) & gt.rlike(shape), pairs)
 
 
 def set_as_matrix(gt: Column, rows_apart: bool = False) -> Column:
@@ -128,6 +143,11 @@ def set_as_matrix(gt: Column, rows_apart: bool = False) -> Column:
     return F.array_join(rows, ", ")
 
 
+def as_matrix(pred: Column, gt: Column) -> Column:
+    """The gold answer, written as a matrix where only the prediction is one."""
+    return F.when(pred.contains("pmatrix") & ~gt.contains("pmatrix"), set_as_matrix(gt)).otherwise(gt)
+
+
 def matrix_pairs(pred: Column, gt: Column) -> Column:
     r"""Cells of two matrices side by side: rows split at ``\\``, cells at ``&``.
 
@@ -166,31 +186,28 @@ def one_sided(pred: Column, gt: Column) -> Column:
     )
 
 
-def structured_rung(pred: Column, gt: Column, tol: float, percent: bool) -> Column:
-    """First of tuple, matrix and one_sided whose pairs all match; null when none does.
+#: How deep elements are looked into.  Splitting at commas leaves none in the elements, splitting at cells
+#: and rows none of their marks, and a one-sided equation leaves no equals sign: no path has more of these.
+LEVELS = 3
 
-    What a one-sided equation leaves is graded by all rules again: as it stands, as a tuple and as a
-    matrix.
-    """
 
-    def run(rest):
-        whole = F.when(rest.isNotNull(), F.array(F.struct(rest["p"].alias("p"), rest["g"].alias("g"))))
-        shapes = [
-            ("tuple", tuple_pairs(pred, gt)),
-            ("matrix", matrix_pairs(pred, gt)),
-            ("one_sided", whole),
-            ("one_sided", tuple_pairs(rest["p"], rest["g"])),
-            ("one_sided", matrix_pairs(rest["p"], rest["g"])),
-        ]
-        tried = F.array(*[F.struct(F.lit(n).alias("rung"), c.alias("pairs")) for n, c in shapes])
-        matched = F.filter(
-            tried,
-            lambda s: s["pairs"].isNotNull()
-            & F.forall(s["pairs"], lambda x: simple_match(x["p"], x["g"], tol, percent)),
-        )
-        return F.get(matched, F.lit(0))["rung"]
+def structured_rung(pred: Column, gt: Column, tol: float, percent: bool, levels: int = LEVELS) -> Column:
+    """First of tuple, matrix and one_sided whose pairs all match by all rules; null when none does."""
+    rest = one_sided(pred, gt)
+    shapes = [
+        ("tuple", tuple_pairs(pred, gt)),
+        ("matrix", matrix_pairs(pred, gt)),
+        ("one_sided", F.when(rest.isNotNull(), F.array(rest))),
+    ]
+    tried = F.array(*[F.struct(F.lit(n).alias("rung"), c.alias("pairs")) for n, c in shapes])
+
+    def fits(s):
+        every = F.forall(s["pairs"], lambda x: matches(x["p"], x["g"], tol, percent, levels - 1))
+        return s["pairs"].isNotNull() & every
 
-    return let(one_sided(pred, gt), run)
+    found = F.get(F.filter(tried, fits), F.lit(0))["rung"]
+    # Most elements have neither brackets nor signs that any shape needs.
+    return F.when(pred.rlike(r"^[(\[\\]|=") | gt.contains("="), found)
 
 
 def grading_rung(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
@@ -205,8 +222,7 @@ def grading_rung(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool
                 )
             )
 
-        target = F.when(p.contains("pmatrix") & ~g.contains("pmatrix"), set_as_matrix(g)).otherwise(g)
-        return let(target, run)
+        return let(as_matrix(p, g), run)
 
     def by_number(r):
         def run(p, g):

@@ -418,13 +418,16 @@ def grd5(spark, folder):
     return rungs(df)
 
 
-@query("grd6_tuples", _expect("""CASE WHEN kind <= 2 THEN 'tuple' WHEN kind = 3 THEN 'tuple' ELSE 'none' END"""))
+@query("grd6_tuples", _expect("""CASE WHEN kind <= 3 THEN 'tuple' WHEN kind IN (5, 6) THEN 'tuple' ELSE 'none' END"""))
 def grd6(spark, folder):
     df = pairs(spark, folder, {
         1: (["(", q(), ".0,", q("supp"), ")"], ["(", q(), ",", q("supp"), ".00)"]),
         2: (["[", q(), ",50%)"], ["[", q(), ",0.5)"]),
         3: (["(\\frac{", q(), "}{2},y)"], ["(", q(), "/2,Y)"]),
         4: (["(", q(), ",1,2)"], ["(", q(), ",1)"]),
+        # Elements are graded by all rules again: brackets around one element, equations in a tuple.
+        5: (["((", q(), ".0),[(", q("supp"), ")])"], ["((", q(), "),[(", q("supp"), ".0)])"]),
+        6: (["(x=", q(), ".0,y = ", q("supp"), ")"], ["(", q(), ",", q("supp"), ".0)"]),
     }, (["(", q(), ",a)"], ["(", q(), ",b)"]))
     return rungs(df)
 
@@ -442,12 +445,15 @@ def _matrix(*cells):
     return ["\\begin{pmatrix}", *cells, "\\end{pmatrix}"]
 
 
-@query("grd8_matrices", _expect("""CASE WHEN kind <= 2 THEN 'matrix' ELSE 'none' END"""))
+@query("grd8_matrices", _expect("""CASE WHEN kind <= 2 OR kind IN (4, 5) THEN 'matrix' ELSE 'none' END"""))
 def grd8(spark, folder):
     df = pairs(spark, folder, {
         1: (_matrix(q(), "&1.0\\\\3&4"), _matrix(q(), ".0&1\\\\3&4")),
         2: (_matrix(q(), "&\\frac{1}{2}\\\\"), _matrix(q(), "&0.5")),
         3: (_matrix(q(), "&1\\\\2&3"), _matrix(q(), "&1")),
+        # Cells are graded by all rules again: intervals, equations.
+        4: (_matrix("(", q(), ",1.0]&[0,", q("supp"), ")\\\\2&3"), _matrix("(", q(), ".0,1]&[0,", q("supp"), ".0)\\\\2&3")),
+        5: (_matrix("x=(", q(), ",1.0)&2"), _matrix("(", q(), ".0,1)&y=2.0")),
     }, (_matrix(q(), "&a"), _matrix(q(), "&b")))
     return rungs(df)
 
