@@ -12,6 +12,7 @@ Rows are independent, so repeated rows give equal results and an empty table giv
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import in_small_batches
 
-#: Units kept by a worker between batches; only a memory bound, results don't depend on it.
-CACHED_UNITS = 300_000
+#: Bytes of units and their ids that a worker keeps between batches, and what one unit takes besides its
+#: own; only a memory bound, results don't depend on it.
+KEPT_BYTES, UNIT_BYTES = 48 << 20, 200
 
 
 def byte_characters() -> list[str]:
@@ -92,6 +94,7 @@ class Encoder:
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
         self.kept: dict[str, bytes] = {}
+        self.size = 0
 
     def _ids(self, text: str) -> np.ndarray:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -108,13 +111,15 @@ class Encoder:
             start = 0
             for unit, end in zip(some, (4 * cuts).tolist()):
                 self.kept[unit] = packed[start:end]
+                self.size += UNIT_BYTES + len(unit) + end - start
                 start = end
 
     def packed(self, texts: list[str], together: int = 500) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), together):
-            if len(self.kept) > CACHED_UNITS:
+            if self.size > KEPT_BYTES:
                 self.kept.clear()
+                self.size = 0
             cut = [_CUT.split(t) for t in texts[at : at + together]]
             self._add(list({u for units in cut for u in units[1:] if u not in self.kept}))
             kept = self.kept
@@ -144,6 +149,26 @@ class Codec:
 
         return encode(F.col(column))
 
+    def round_trip(self, column: str) -> F.Column:
+        """``ids`` (packed), the SHA-256 of the bytes that they decode to, and if these are the text's.
+
+        One worker does both ways, so the vocabulary is held once and texts go to Python once.
+        """
+        model = self._model
+
+        @F.pandas_udf("ids binary, decoded_sha256 string, exact boolean")
+        def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder, to_bytes = Encoder(model.value), token_bytes(model.value)
+            for texts in batches:
+                rows = []
+                whole = ["" if t is None else t for t in texts]
+                for text, packed in zip(whole, encoder.packed(whole)):
+                    data = b"".join(map(to_bytes, np.frombuffer(packed, "<u4").tolist()))
+                    rows.append((packed, hashlib.sha256(data).hexdigest(), data == text.encode()))
+                yield pd.DataFrame(rows, columns=["ids", "decoded_sha256", "exact"])
+
+        return code(F.col(column))
+
     def with_offsets(self, df: DataFrame, column: str) -> DataFrame:
         """Adds ``ids``, ``starts`` and ``ends``: token ids and their character ranges in the text.
 
@@ -209,11 +234,9 @@ def texts(column: str) -> F.Column:
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
-    encoded = in_small_batches(docs).select("doc_id", codec.packed_ids("text").alias("__ids"))
-    both = encoded.select("doc_id", "__ids", codec.decoded("__ids").alias("__bytes"))
-    return both.select(
+    return in_small_batches(docs).select("doc_id", codec.round_trip("text").alias("coded")).select(
         "doc_id",
-        F.expr("octet_length(__ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("__ids", 256).alias("ids_sha256"),
-        F.sha2("__bytes", 256).alias("decoded_sha256"),
+        F.expr("octet_length(coded.ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.col("coded.decoded_sha256").alias("decoded_sha256"),
     )

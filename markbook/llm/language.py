@@ -15,7 +15,6 @@ sorts first; a null ``lang`` or doc_id trains nothing; an empty table gives an e
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +32,22 @@ UNKNOWN = "und"
 KEPT = 40_000
 
 
-@functools.cache
+#: Which code points are letters, and the vectors of those met so far; plain containers, which are sent by value.
+_LETTERS: list[np.ndarray] = []
+_VECTORS: dict[int, np.ndarray] = {}
+
+
 def _letters() -> np.ndarray:
     """Per code point whether it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
 
 
-@functools.cache
 def letter_vector(code: int) -> np.ndarray:
-    return np.where(np.random.default_rng(code).random(SIZE) < 0.5, -1, 1).astype(np.int8)
+    if code not in _VECTORS:
+        _VECTORS[code] = np.where(np.random.default_rng(code).random(SIZE) < 0.5, -1, 1).astype(np.int8)
+    return _VECTORS[code]
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:

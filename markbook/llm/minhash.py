@@ -13,10 +13,9 @@ smallest id.  Pairs whose signatures agree too little are dropped (``near`` lies
 deviations below the threshold, whichever is asked for), the others are verified on the full sets.  Verified links are
 grouped.  Where members of one bucket still belong to different groups, those that aren't in the
 bucket's main group are compared with all members of other groups, in blocks, so that a link which the
-first round did not try is found too; its pairs pass through the same verification.
-
-That second round first verifies each member's best pair of a block, which joins most of what belongs
-together, and then all pairs between groups that are left.
+first round did not try is found too.  Members with a likely partner in a block meet there again with their
+full sets; pairs are verified on the spot, the likeliest first, and passed over once the block's links connect
+them.  So a block gives fewer links than it has members, and no pair leaves it that isn't a link.
 
 Grouping.  Each task turns its links into a forest by union-find.  A forest that fits one task
 (``PER_TASK`` links) is united there; a larger one goes through rounds of large-star and small-star
@@ -35,13 +34,12 @@ n_shingles, a null component and is kept.  An empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +55,8 @@ SURE = 4
 BLOCK = 1024
 #: Rows that are compared in one call, many small buckets together.
 TOGETHER = 8192
+#: Bytes of sets and signatures that meet in one call.
+BYTES = 48 << 20
 #: Links that one task unites at the end; more of them are grouped by star steps between tasks.
 PER_TASK = 500_000
 
@@ -106,12 +106,17 @@ def near(threshold: int) -> int:
     return int(POSITIONS * (share - SURE * (share * (1 - share) / POSITIONS) ** 0.5))
 
 
-@functools.cache
+#: Results of ``_least_agreeing`` so far; a plain dictionary, which is sent by value.
+_KNOWN: dict[tuple[int, int], int] = {}
+
+
 def _least_agreeing(power: int, threshold: int) -> int:
     """``near`` for unions of up to 2 ** (power / 4) elements, whose estimates vary less.
 
     The published variance of SuperMinHash is that of independent hashes times 1 minus the sum below.
     """
+    if (power, threshold) in _KNOWN:
+        return _KNOWN[power, threshold]
     m, u = POSITIONS, max(2.0, 2 ** (power / 4))
     at = np.arange(1.0, m)
     share = (at / m) ** u
@@ -119,7 +124,8 @@ def _least_agreeing(power: int, threshold: int) -> int:
     less = float((share * second).sum() * (m - 1) / (u - 1))
     reached = threshold / 100
     deviation = (reached * (1 - reached) / m * max(0.0, 1 - less)) ** 0.5
-    return max(near(threshold), int(m * (reached - SURE * deviation)))
+    _KNOWN[power, threshold] = max(near(threshold), int(m * (reached - SURE * deviation)))
+    return _KNOWN[power, threshold]
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -248,12 +254,11 @@ def _named(stars: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, only_best: bool, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs from buckets whose members stand in different groups, with enough agreeing positions.
+CELL = "key long, i int, j int, own int, doc_id long, n long, group long, band int, marks binary"
 
-    ``members`` has key, band, doc_id, n, group and marks.  A pair is given once, by the first band in
-    which it agrees; with ``only_best`` each member gives its best pair of a block alone.
-    """
+
+def _cells(members: DataFrame) -> tuple[DataFrame, int]:
+    """Members of buckets with several groups, dealt out to pairs of blocks (key, i, j); and how many rows that makes."""
     groups = members.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
     largest = F.max(F.struct("c", "group"))
     counted = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("rows"), largest.alias("main"))
@@ -272,70 +277,116 @@ def _across(members: DataFrame, only_best: bool, threshold: int = THRESHOLD) ->
         "mixed",
     )
     # Members of the main group meet the blocks of the others only; those meet all blocks.
-    dealt_rows = buckets.agg(F.sum(F.col("outside") * (F.col("few") + F.col("many")) + F.col("inside") * F.col("few"))).first()[0]
+    rows = buckets.agg(F.sum(F.col("outside") * (F.col("few") + F.col("many")) + F.col("inside") * F.col("few"))).first()[0]
     apart = (F.col("group") == F.col("main")) & (F.col("many") > 0)
     number = F.xxhash64("doc_id")
     own = F.when(apart, F.col("few") + F.pmod(number, F.col("many"))).otherwise(F.pmod(number, F.col("few"))).cast("int")
     last = F.when(apart, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     blocked = members.join(buckets, "key").withColumn("own", own)
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+    sides = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    return blocked.select("*", sides).select(
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
-        "own",
-        "doc_id",
-        "n",
-        "group",
-        "marks",
-        "band",
-    )
+        *(c.split()[0] for c in CELL.split(", ")[3:]),
+    ), rows or 0
+
+
+def _each_cell(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each cell; small groups come first, so the largest one is never taken up by itself."""
+    size = pdf.groupby(["key", "i", "j", "group"])["doc_id"].transform("size")
+    pdf = pdf.assign(size=size).sort_values(["key", "i", "j", "size", "group", "doc_id"], kind="stable")
+    key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
+    new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    for a, b in zip(np.r_[0, new], np.r_[new, len(pdf)]):
+        if b > a:
+            yield pdf.iloc[a:b]
+
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["j"], pdf["i"], pdf["key"]))
-        pdf = pdf.iloc[order]
-        key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
-        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        marks = np.frombuffer(b"".join(pdf["marks"]), "<u2").reshape(len(pdf), POSITIONS)
-        columns = [pdf[c].to_numpy() for c in ("group", "doc_id", "own", "n", "band")]
+def _likely(cell: pd.DataFrame, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places in a cell with those behind them, in other groups, whose signatures agree enough; the best first.
+
+    A pair is given by the first band in which it agrees alone.
+    """
+    marks = np.frombuffer(b"".join(cell["marks"]), "<u2").reshape(len(cell), POSITIONS)
+    group, own, n = (cell[c].to_numpy() for c in ("group", "own", "n"))
+    apart, band = cell["i"].iat[0] != cell["j"].iat[0], int(cell["band"].iat[0])
+    ends = np.r_[np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
+    ends = np.repeat(ends, np.diff(np.r_[0, ends]))
+    for x in range(int(ends.searchsorted(len(group)))):
+        others = np.arange(ends[x], len(group))
+        close = 100 * np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x])
+        if apart:
+            close &= own[others] != own[x]
+        others = others[close]
+        if not len(others):
+            continue
+        same = marks[others] == marks[x]
+        agreeing = same.sum(axis=1)
+        # At the threshold the union has (a + b) / (1 + threshold) elements.
+        union = (n[x] + n[others].max()) / (1 + threshold / 100)
+        close = agreeing >= _least_agreeing(int(np.ceil(4 * np.log2(union + 1))), threshold)
+        if band and close.any():
+            close[close] = ~same[close, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+        if close.any():
+            yield x, others[close][np.argsort(-agreeing[close], kind="stable")]
+
+
+def _across(members: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Verified links (a, b) that connect what belongs together in buckets whose members stand in several groups.
+
+    ``members`` has key, band, doc_id, n, group and marks.  Signatures tell which members have a likely partner
+    in a cell; only these meet there again with their full sets.  A pair that the cell's links connect already is
+    passed over, so a cell gives fewer links than it has members.
+    """
+    dealt, rows = _cells(members)
+
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [pdf[:0]]
+        for cell in _each_cell(pdf):
+            mark = np.zeros(len(cell), bool)
+            for x, others in _likely(cell, threshold):
+                mark[x] = True
+                mark[others] = True
+            found.append(cell[mark])
+        return pd.concat(found)[[c.split()[0] for c in CELL.split(", ")]]
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for a, b in zip(np.r_[0, new], np.r_[new, len(pdf)]):
-            found += pairs(marks[a:b], *(c[a:b] for c in columns), i[a] != j[a])
+        for cell in _each_cell(pdf):
+            ids, group = (cell[c].tolist() for c in ("doc_id", "group"))
+            own = [np.frombuffer(x, "<u8") for x in cell["shingles"]]
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while up.setdefault(x, x) != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for x, others in _likely(cell, threshold):
+                for y in others.tolist():
+                    a, b = root(group[x]), root(group[y])
+                    if a != b and _reach(own[x], own[y], threshold):
+                        up[max(a, b)] = min(a, b)
+                        found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    def pairs(marks, group, ids, own, n, bands, apart) -> list[tuple[int, int]]:
-        # Small groups first: each member is compared with the members of later groups, so those of
-        # the largest one are never taken up by themselves.
-        _, group, counts = np.unique(group, return_inverse=True, return_counts=True)
-        order = np.lexsort((group, counts[group]))
-        marks, group, ids, own, n = (x[order] for x in (marks, group, ids, own, n))
-        ends = np.r_[np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
-        ends = np.repeat(ends, np.diff(np.r_[0, ends]))
-        band = int(bands[0])
-        found = []
-        for x in range(int(ends.searchsorted(len(group)))):
-            others = np.arange(ends[x], len(group))
-            close = 100 * np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x])
-            if apart:
-                close &= own[others] != own[x]
-            others = others[close]
-            if not len(others):
-                continue
-            same = marks[others] == marks[x]
-            agreeing = same.sum(axis=1)
-            # At 85 % the union has (a + b) / 1.85 elements.
-            union = (n[x] + n[others].max()) / (1 + threshold / 100)
-            close = agreeing >= _least_agreeing(int(np.ceil(4 * np.log2(union + 1))), threshold)
-            if band and close.any():
-                whole = same[close, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
-                close[close] = ~whole
-            if only_best and close.any():
-                close = np.arange(len(others)) == np.argmax(np.where(close, agreeing, -1))
-            found += [(min(ids[x], y), max(ids[x], y)) for y in ids[others[close]]]
-        return found
-
-    shards = F.lit((dealt_rows or 0) // TOGETHER + 1)
-    together = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), shards))
-    return together.groupBy("shard").applyInPandas(compare, "a long, b long")
+    def shard(count: int) -> Column:
+        return F.pmod(F.xxhash64("key", "i", "j"), F.lit(count + 1)).alias("shard")
+
+    partners = stored(dealt.select("*", shard(rows // TOGETHER)).groupBy("shard").applyInPandas(likely, CELL), "partners")
+    size = partners.agg(F.sum(8 * F.col("n") + 2 * POSITIONS)).first()[0] or 0
+    whole = partners.join(sets.select("doc_id", "shingles"), "doc_id")
+    return whole.select("*", shard(size // BYTES)).groupBy("shard").applyInPandas(verify, "a long, b long")
+
+
+def _reach(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have the threshold's share of their union in common."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
 def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -361,15 +412,13 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     own = stored(packed_sets(docs.select("doc_id", "text").join(inside, "doc_id", "left_semi")), "sets")
     links = _verified(likely, own, threshold)
     found = components(links)
-    for only_best in (True, False):
-        members = (
-            shared.join(found, "doc_id", "left")
-            .join(marks.select("doc_id", "n", "marks"), "doc_id")
-            .select("key", "band", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("group"), "marks")
-        )
-        more = _verified(_across(members, only_best, threshold).distinct(), own, threshold)
-        known = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-        found = components(known.unionAll(more))
+    members = (
+        shared.join(found, "doc_id", "left")
+        .join(marks.select("doc_id", "n", "marks"), "doc_id")
+        .select("key", "band", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("group"), "marks")
+    )
+    known = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = components(known.unionAll(_across(members, own, threshold)))
 
     of_head = heads.join(found, F.col("head") == F.col("doc_id"), "left").select(
         F.col("digest").alias("__digest"), F.coalesce("component_id", "head").alias("group")

@@ -49,7 +49,7 @@ CHUNK = 4_000_000
 #: Size of a bitmap, and the shifts that give a key its bits in it.
 BITS = 1 << 26
 SHIFTS = (0, 26)
-#: Tokens whose contexts a worker holds at a time.
+#: Tokens whose contexts a worker holds and counts at a time.
 SLICE = 500_000
 TURN = 21
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -198,15 +198,16 @@ def bitmap(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(found)
 
 
-def _rows(function, chunks: DataFrame, schema: str) -> DataFrame:
-    """Apply ``function(Chunk) -> dict of arrays`` to every chunk."""
+def _rows(start, chunks: DataFrame, schema: str) -> DataFrame:
+    """``start()`` gives each task a function from a chunk to dicts of arrays; their rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        function = start()
         for pdf in batches:
             for row in pdf.itertuples():
-                found = pd.DataFrame(function(Chunk(row)))
-                for i in range(0, len(found), 100_000):
-                    yield found[i : i + 100_000]
+                for found in function(Chunk(row)):
+                    for i in range(0, len(found["key"]), 100_000):
+                        yield pd.DataFrame({c: x[i : i + 100_000] if np.ndim(x) else x for c, x in found.items()})
 
     return chunks.mapInPandas(run, schema)
 
@@ -214,38 +215,40 @@ def _rows(function, chunks: DataFrame, schema: str) -> DataFrame:
 def vocabulary(chunks: DataFrame) -> DataFrame:
     """(key, c) of every training token."""
 
-    def count(chunk: Chunk) -> dict:
+    def count(chunk: Chunk) -> Iterator[dict]:
         n = np.bincount(chunk.tokens[chunk.in_training], minlength=len(chunk.vocabulary))
         seen = n > 0
-        return {"key": _signed(chunk.vocabulary[seen]), "c": n[seen]}
+        yield {"key": _signed(chunk.vocabulary[seen]), "c": n[seen]}
 
-    return _rows(count, chunks, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return _rows(lambda: count, chunks, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def followers(chunks: DataFrame, depth: int, contexts, symbols) -> DataFrame:
     """(s, shorter, x, c): training counts of symbols after the contexts of a depth that the bitmaps name."""
 
-    def count(chunk: Chunk) -> dict:
+    def start():
         near, worth = Bitmap(contexts.value), Bitmap(symbols.value)
-        wanted = chunk.in_training & worth.of(chunk.vocabulary)[chunk.tokens]
-        kept = [
-            (chunk.tokens[at[k]], context[k], shorter[k])
-            for at, context, shorter in chunk.contexts(depth, wanted)
-            for k in [near.of(context)]
-        ]
-        token, context, shorter = map(np.concatenate, zip(*kept)) if kept else (np.empty(0, t) for t in (np.int32, np.uint64, np.uint64))
-        order = np.lexsort((token, context))
-        context, shorter, x = context[order], shorter[order], token[order]
-        new = np.r_[True, (context[1:] != context[:-1]) | (x[1:] != x[:-1])][: len(x)]
-        first = np.flatnonzero(new)
-        return {
-            "s": _signed(context[first]),
-            "shorter": _signed(shorter[first]),
-            "x": _signed(chunk.vocabulary[x[first]]),
-            "c": np.diff(np.r_[first, len(x)]),
-        }
-
-    counted = _rows(count, chunks, "s long, shorter long, x long, c long")
+
+        def count(chunk: Chunk) -> Iterator[dict]:
+            """Some of the tokens at a time; Spark sums up what recurs."""
+            wanted = chunk.in_training & worth.of(chunk.vocabulary)[chunk.tokens]
+            for at, context, shorter in chunk.contexts(depth, wanted):
+                k = near.of(context)
+                x, context, shorter = chunk.tokens[at[k]], context[k], shorter[k]
+                order = np.lexsort((x, context))
+                context, x = context[order], x[order]
+                new = np.r_[True, (context[1:] != context[:-1]) | (x[1:] != x[:-1])][: len(x)]
+                first = np.flatnonzero(new)
+                yield {
+                    "key": _signed(context[first]),
+                    "shorter": _signed(shorter[order[first]]),
+                    "x": _signed(chunk.vocabulary[x[first]]),
+                    "c": np.diff(np.r_[first, len(x)]),
+                }
+
+        return count
+
+    counted = _rows(start, chunks, "key long, shorter long, x long, c long").withColumnRenamed("key", "s")
     return counted.groupBy("s", "shorter", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_PAIR)
 
 
@@ -299,13 +302,17 @@ def scored(docs: DataFrame) -> DataFrame:
     model = tree(chunks, counts, n, v)
     worth = bitmap(model)
 
-    def ask(chunk: Chunk) -> dict:
+    def start():
         maybe = Bitmap(worth.value)
-        keys = [np.unique(np.r_[states, pairs[maybe.of(pairs)]]) for _, states, pairs in _asked(chunk, maybe)]
-        asked = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-        return {"chunk": chunk.number, "key": _signed(np.r_[chunk.vocabulary, asked])}
 
-    requests = _rows(ask, chunks, "chunk long, key long")
+        def ask(chunk: Chunk) -> Iterator[dict]:
+            keys = [np.unique(np.r_[states, pairs[maybe.of(pairs)]]) for _, states, pairs in _asked(chunk, maybe)]
+            asked = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+            yield {"chunk": chunk.number, "key": _signed(np.r_[chunk.vocabulary, asked])}
+
+        return ask
+
+    requests = _rows(start, chunks, "chunk long, key long")
     known = counts.select("key", F.col("c").cast("double").alias("value")).unionAll(model)
     answers = requests.join(known, "key").select("chunk", "key", "value")
 

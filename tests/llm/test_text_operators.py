@@ -202,31 +202,72 @@ def test_second_round_links_at_the_threshold_asked_for(spark):
     marks = [minhash._signed(s)[1] for s in (base, base[:81])]
     rows = [(7, 0, 1, 100, 1, bytearray(marks[0])), (7, 0, 2, 81, 2, bytearray(marks[1]))]
     members = spark.createDataFrame(rows, "key long, band int, doc_id long, n int, group long, marks binary")
-    found = {t: [tuple(r) for r in minhash._across(members, False, t).collect()] for t in (80, 85)}
+    sets = spark.createDataFrame([(i + 1, bytearray(np.sort(x).tobytes())) for i, x in enumerate((base, base[:81]))], "doc_id long, shingles binary")
+    found = {t: [tuple(r) for r in minhash._across(members, sets, t).collect()] for t in (80, 85)}
     assert found == {80: [(1, 2)], 85: []}
 
 
+def linked(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in pairs:
+        up[root(x)] = root(y)
+    return root
+
+
 @pytest.mark.parametrize("others", [1, 40, 300])
 def test_a_hot_bucket_is_dealt_in_small_groups(spark, monkeypatch, others):
-    """One bucket with a main group and some others: rows of each group of a task, and all pairs."""
-    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
-
+    """One bucket with a main group and some others: rows of each group of a task, and links that connect all."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "TOGETHER", 64)
-    mark = bytearray(minhash._signed(np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[1])
+    own = np.sort(np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    mark = bytearray(minhash._signed(own)[1])
     rows = [(7, 0, i, 100, i if i < others else 10_000, mark) for i in range(others + 600)]
-    members = spark.createDataFrame(rows, "key long, band int, doc_id long, n int, group long, marks binary")
-    if others < 300:
-        want = {(i, j) for i in range(others) for j in range(i + 1, len(rows))}
-        found = [tuple(r) for r in minhash._across(members, False).collect()]
-        assert set(found) == want and len(found) == len(want)
-    plain = PandasGroupedOpsMixin.applyInPandas
-    count = lambda pdf: pdf.iloc[:1].assign(a=len(pdf), b=0)[["a", "b"]]
-    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", lambda self, f, schema: plain(self, count, schema))
-    sizes = [r.a for r in minhash._across(members, False).collect()]
-    assert max(sizes) <= 6 * 64
+    members = spark.createDataFrame(rows, "key long, band int, doc_id long, n long, group long, marks binary")
+    dealt, size = minhash._cells(members)
+    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(size // 64 + 1))
+    sizes = [r["count"] for r in dealt.groupBy(shard).count().collect()]
+    assert sum(sizes) == size and max(sizes) <= 6 * 64
     if others == 1:
-        assert sum(sizes) <= 600 + 600 // 16 + 3
+        assert size <= 600 + 600 // 16 + 3
+    if others < 300:
+        sets = members.select("doc_id", F.lit(bytearray(own.tobytes())).alias("shingles"))
+        root = linked((r.a, r.b) for r in minhash._across(members, sets).collect())
+        assert len({root(i) for i in range(others)} | {root(i) for i in range(others, others + 600) if root(i) != i}) == 1
+
+
+def test_a_bucket_of_near_copies_gives_fewer_links_than_members(spark):
+    """2,000 copies with up to 8 edits, each a group of its own: no more links than a forest has, the same groups."""
+    draw = random.Random(4)
+    text = [f"w{draw.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(2000):
+        own = list(text)
+        for _ in range(draw.randrange(9)):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(10**6)}"
+        rows.append((i, minhash.shingles(" ".join(own))))
+    listed = [(7, 0, i, len(x), i, bytearray(minhash._signed(x)[1])) for i, x in rows]
+    members = spark.createDataFrame(listed, "key long, band int, doc_id long, n long, group long, marks binary").repartition(4)
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in rows], "doc_id long, shingles binary")
+    found = [(r.a, r.b) for r in minhash._across(members, sets).collect()]
+    # Two blocks make three cells.
+    assert len(found) < 3 * 2000
+    root = linked(found)
+    whole = [set(x.tolist()) for _, x in rows]
+    groups = [root(i) for i in range(2000)]
+    for i in range(0, 2000, 40):
+        for j in range(2000):
+            both = len(whole[i] & whole[j])
+            if 100 * both >= 85 * (len(whole[i]) + len(whole[j]) - both):
+                assert groups[i] == groups[j]
+    for a, b in found:
+        both = len(whole[a] & whole[b])
+        assert 100 * both >= 85 * (len(whole[a]) + len(whole[b]) - both)
 
 
 def test_second_round_compares_groups_in_blocks(spark, monkeypatch):
