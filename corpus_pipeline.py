@@ -42,13 +42,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), and whether they decode to the text."""
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "exact")]
-    encoded = in_small_batches(docs).withColumn("ids", codec.packed_ids("text")).withColumn("__bytes", codec.decoded("ids"))
-    return encoded.select(
-        *(F.col(f"`{c}`") for c in kept if c != "text"),
-        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("__bytes") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"),
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "exact")]
+    coded = in_small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"), codec.round_trip("text").alias("coded"))
+    return coded.select(
+        *(F.col(f"own.`{c}`") for c in kept),
+        F.expr("octet_length(coded.ids) div 4").cast("long").alias("n_tokens"),
+        "coded.ids",
+        "coded.exact",
     )
 
 
