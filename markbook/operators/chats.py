@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed_values as V
+from ..session import settle
 
 
 def chat_records(turns: DataFrame, tags: dict[str, str], by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -40,25 +40,58 @@ def cut_off(tokens: Column, limit: int) -> Column:
     return F.struct(F.slice(tokens, 1, limit).alias("tokens"), (F.size(tokens) > limit).alias("was_cut"))
 
 
+def fill_bins(sizes: list[int], budget: int) -> list[int]:
+    """A bin's number for every size: the longest first, each into the bin with the least room that will do.
+
+    Bins are found by their room, of which one integer keeps a bit each, not by looking through them.  A size
+    over the budget, or of all of it, fills a bin alone.
+    """
+    by_room: list[list[int]] = [[] for _ in range(budget + 1)]
+    rooms = bins = 0
+    out = [0] * len(sizes)
+    for at in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        size = sizes[at]
+        fitting = rooms >> size << size
+        if size <= budget and fitting:
+            room = (fitting & -fitting).bit_length() - 1
+            number = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
+        else:
+            room, number, bins = max(budget, size), bins, bins + 1
+        out[at] = number
+        left = room - size
+        if left:
+            by_room[left].append(number)
+            rooms |= 1 << left
+    return out
+
+
 def packed(records: DataFrame, key: str, tokens: str, budget: int, group: int = 4096) -> DataFrame:
     """Adds ``bin``: records that share a bin hold at most ``budget`` tokens together.
 
-    Records are dealt at random into groups of about ``group`` budgets, and each group is filled by
-    itself, longest first into the first bin with room, so no task grows with the table.  A record
-    longer than the budget gets a bin of its own.
+    Records are dealt into groups of about ``group`` budgets, and each group is filled by itself, so no
+    task grows with the table.  What groups leave in bins up to half full is dealt and filled once more.  A
+    record longer than the budget gets a bin of its own.  Every row is packed for itself, also where a
+    ``key`` occurs again; a missing size counts as nothing.
     """
-    groups = records.agg(F.ceil(F.sum(F.col(tokens).cast("long")) / F.lit(budget * group))).first()[0] or 1
-    dealt = records.select(key, tokens, F.pmod(F.xxhash64(key), F.lit(int(groups))).cast("long").alias("_g"))
-    schema = StructType([records.schema[key], StructField("bin", StringType())])
+    size = F.coalesce(F.col(tokens).cast("long"), F.lit(0))
+    rows = settle(records.withColumn("_row", F.monotonically_increasing_id()))
+    schema = "item long, held long, bin string"
 
     def fill(pdf):
-        room, bins = [], []
-        for n in (ordered := pdf.sort_values([tokens, key], ascending=[False, True]))[tokens]:
-            at = next((i for i, r in enumerate(room) if r >= n), len(room))
-            if at == len(room):
-                room.append(budget)
-            room[at] -= n
-            bins.append(f"{pdf['_g'].iloc[0]}-{at}")
-        return ordered.assign(bin=bins)[[key, "bin"]]
-
-    return records.join(dealt.groupBy("_g").applyInPandas(fill, schema), key)
+        bins = fill_bins(pdf["held"].tolist(), budget)
+        return pdf.assign(bin=[f"{name}-{b}" for name, b in zip(pdf["_g"], bins)])[["item", "held", "bin"]]
+
+    def dealt(items: DataFrame, name: str) -> DataFrame:
+        groups = items.agg(F.ceil(F.sum("held") / F.lit(budget * group))).first()[0] or 1
+        number = F.pmod(F.xxhash64("item"), F.lit(int(groups))).cast("string")
+        named = items.withColumn("_g", F.concat(F.lit(name), number))
+        return settle(named.groupBy("_g").applyInPandas(fill, schema))
+
+    first = dealt(rows.select(F.col("_row").alias("item"), size.alias("held")), "a")
+    held = first.groupBy("bin").agg(F.sum("held").alias("held"), F.min("item").alias("item"))
+    again = dealt(held.filter(F.col("held") * 2 <= budget).select("item", "held"), "b")
+    moved = held.join(again.select("item", F.col("bin").alias("_to")), "item").select("bin", "_to")
+    final = first.join(moved, "bin", "left").select(F.col("item").alias("_row"), F.coalesce("_to", "bin").alias("bin"))
+    return rows.drop("bin").join(final, "_row").drop("_row")

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import bytes_per_value, mean_negative_logprob
 from .ordering import order_buckets
+from .voting import ballots, majority
 
 
-def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx")) -> DataFrame:
+def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx"), votes: bool = False) -> DataFrame:
     """Memory-traffic cost per question from one row per sample.
 
     ``df`` has model, input_tokens, output_tokens, wbits, abits and groupsize; ``models`` one row
     per model.  The cost needs only the longest output and the sum of n(n+1)/2 over the outputs,
-    so the samples are never gathered into a list.
+    so the samples are never gathered into a list.  With ``votes`` the same aggregate counts the samples'
+    ``score`` and adds ``best_of_n_score``, the majority (a tie goes to the least ``sample_id``).
     """
     n = F.col("output_tokens").cast("double")
     same = ["model", "wbits", "abits", "groupsize"]
@@ -22,7 +24,9 @@ def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx")) -> Dat
         F.max("input_tokens").alias("input_tokens"),
         F.max("output_tokens").alias("longest"),
         F.sum(n * (n + 1) / 2).alias("grown"),
+        *(ballots() if votes else []),
     )
+    won = [majority().alias("best_of_n_score")] if votes else []
     hidden = F.col("hidden_dim").cast("double")
     head_dim = F.floor(F.col("hidden_dim") / F.col("num_heads")).cast("double")
     weights = F.col("num_layers") * (4 * hidden * hidden + 3 * hidden * F.col("intermediate_dim"))
@@ -40,14 +44,13 @@ def question_cost(df: DataFrame, models: DataFrame, by=("run_id", "idx")) -> Dat
             "kv_ops", F.col("grown") * per_token + F.col("longest") * (per_token * F.col("input_tokens"))
         )
         .withColumn("cost", F.col("weight_ops") + F.col("kv_ops"))
-        .select(*by, *same, "weight_ops", "kv_ops", "cost")
+        .select(*by, *same, "weight_ops", "kv_ops", "cost", *won)
     )
 
 
-def cost_rollup(costs: DataFrame, votes: DataFrame, by=("run_id",), keys=("run_id", "idx")) -> DataFrame:
-    """Mean vote score and cost totals per run, with the largest single cost."""
-    joined = costs.join(votes, list(keys))
-    return joined.groupBy(*by).agg(
+def cost_rollup(costs: DataFrame, by=("run_id",)) -> DataFrame:
+    """Mean vote score and cost totals per run, with the largest single cost; ``costs`` come with votes."""
+    return costs.groupBy(*by).agg(
         F.avg(F.col("best_of_n_score").cast("int")).alias("average_score"),
         F.sum("weight_ops").alias("weight_ops"),
         F.sum("kv_ops").alias("kv_ops"),

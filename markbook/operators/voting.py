@@ -87,17 +87,18 @@ def _share(df: DataFrame, score: str, name: str, by) -> DataFrame:
     )
 
 
+def ballots() -> list[Column]:
+    """Counts of right and wrong scores of a group, and its first score."""
+    right = F.sum(F.col("score").cast("int"))
+    return [right.alias("right"), (F.count("score") - right).alias("wrong"), F.min_by("score", "sample_id").alias("first")]
+
+
+def majority() -> Column:
+    """Winner of ``ballots``; a tie goes to the first sample."""
+    more = F.when(F.col("right") > F.col("wrong"), True).when(F.col("right") < F.col("wrong"), False)
+    return more.otherwise(F.col("first"))
+
+
 def bool_majority(graded: DataFrame, keys=("idx",)) -> DataFrame:
     """Majority of the scores per question; a tie goes to the first sample."""
-    right = F.sum(F.col("score").cast("int"))
-    table = graded.groupBy(*keys).agg(
-        right.alias("right"),
-        (F.count("score") - right).alias("wrong"),
-        F.min_by("score", "sample_id").alias("first"),
-    )
-    return table.withColumn(
-        "best_of_n_score",
-        F.when(F.col("right") > F.col("wrong"), True)
-        .when(F.col("right") < F.col("wrong"), False)
-        .otherwise(F.col("first")),
-    ).drop("first")
+    return graded.groupBy(*keys).agg(*ballots()).withColumn("best_of_n_score", majority()).drop("first")

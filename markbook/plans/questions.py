@@ -577,16 +577,20 @@ def sft3(spark, folder):
     return cut.select("conv_id", F.size("tokens").alias("n_tokens"), "was_cut", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
-@query("sft5_packed", """SELECT conv_id, CAST(least(n, 200) AS INTEGER) AS n_tokens, true AS fits, CAST(sum(least(n, 200)) OVER () AS BIGINT) AS all_tokens
+@query("sft5_packed", """SELECT conv_id, CAST(n AS INTEGER) AS n_tokens, true AS fits, CAST(sum(n) OVER () AS BIGINT) AS all_tokens
  FROM (SELECT conv_id, len(string_split(string_agg(coalesce(text, ''), ' ' ORDER BY turn), ' ')) AS n
    FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id)""")
 def sft5(spark, folder):
-    """Every record once, no bin over its budget, and bins filled to more than half on the whole."""
+    """Every record once, no bin over its budget but with one longer record, and bins filled to more than half."""
+    budget = 512
     words = F.split(F.array_join("conversations.value", " ", ""), " ")
-    sizes = _records(spark, folder).select("conv_id", F.least(F.size(words), F.lit(200)).alias("n_tokens"))
-    bins = T.packed(sizes, "conv_id", "n_tokens", 512, group=8)
-    filled = bins.groupBy("bin").agg(F.sum("n_tokens").alias("held"))
-    total = filled.agg(F.sum("held").alias("all_tokens"), F.count("*").alias("bins")).withColumn("_one", F.lit(1))
-    checked = bins.join(filled, "bin").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    half = F.col("bins") <= 2 * F.ceil(F.col("all_tokens") / 512) + 1
-    return checked.select("conv_id", "n_tokens", ((F.col("held") <= 512) & half).alias("fits"), "all_tokens")
+    sizes = _records(spark, folder).select("conv_id", F.size(words).alias("n_tokens"))
+    bins = T.packed(sizes, "conv_id", "n_tokens", budget, group=8)
+    filled = bins.groupBy("bin").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("records"))
+    capped = F.sum(F.least("held", F.lit(budget)))
+    total = filled.agg(F.sum("held").alias("all_tokens"), capped.alias("within"), F.count("*").alias("bins"))
+    one = F.lit(1).alias("_one")
+    checked = bins.join(filled, "bin").select("*", one).join(F.broadcast(total.select("*", one)), "_one")
+    half = F.col("bins") <= 2 * F.ceil(F.col("within") / budget) + 1
+    alone = (F.col("held") <= budget) | (F.col("records") == 1)
+    return checked.select("conv_id", "n_tokens", (alone & half).alias("fits"), "all_tokens")

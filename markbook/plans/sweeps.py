@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import vectors as A
 from ..operators import cost as K
 from ..operators import sweep as W
-from ..operators import voting as V
 from ..operators.prompts import token_count
 from .fixtures import GRADED, LOGPROBS, RUNS, completions, graded, logprobs, parsed_runs, runs
 from .registry import query, table
@@ -239,7 +238,7 @@ COST_ROWS = f"""{GRADED},
     2 * num_layers * (hidden_dim // num_heads) * num_kv_heads * ab * (grown + longest * input_tokens) AS kv_ops FROM c)"""
 
 
-def cost_samples(df):
+def cost_samples(df, *carried):
     """Token counts by characters, so that outputs differ in length."""
     third = (F.col("idx") % 3).cast("int")
     return df.select(
@@ -248,7 +247,7 @@ def cost_samples(df):
         F.length("type").alias("input_tokens"), F.length("code").alias("output_tokens"),
         F.get(F.array(F.lit(4), F.lit(8), F.lit(16)), third).alias("wbits"),
         F.get(F.array(F.lit(16), F.lit(8), F.lit(4)), third).alias("abits"),
-        F.lit(128).alias("groupsize"),
+        F.lit(128).alias("groupsize"), *carried,
     )
 
 
@@ -291,9 +290,9 @@ def arr4_array(spark, folder):
  SELECT run_id, avg(s) AS average_score, round(sum(weight_ops) / 1e9, 3) AS weight_gops, round(sum(kv_ops) / 1e9, 3) AS kv_gops,
    round(max(weight_ops + kv_ops) / 1e9, 3) AS max_gops FROM cost JOIN v USING (run_id, idx) GROUP BY run_id""")
 def agg21(spark, folder):
-    scored = graded(spark, folder).withColumnRenamed("type", "run_id")
-    votes = V.bool_majority(scored, ["run_id", "idx"])
-    df = K.cost_rollup(costs(spark, folder), votes)
+    models = spark.createDataFrame(MODELS, MODEL_COLUMNS)
+    samples = cost_samples(graded(spark, folder), "score")
+    df = K.cost_rollup(K.question_cost(samples, models, votes=True))
     giga = {"weight_gops": "weight_ops", "kv_gops": "kv_ops", "max_gops": "max_cost"}
     return df.select("run_id", "average_score", *[F.round(F.col(c) / 1e9, 3).alias(n) for n, c in giga.items()])
 

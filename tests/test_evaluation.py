@@ -141,3 +141,38 @@ def test_packing_keeps_every_record_and_the_budget(spark):
         bins.setdefault(r["bin"], []).append(r["n"])
     assert all(sum(b) <= 100 or b == [130] for b in bins.values())
     assert len(bins) < 1.3 * sum(min(n, 100) for _, n in sizes) / 100 + 10
+
+
+def test_packing_repeated_keys_and_leftovers(spark):
+    """A third of all rows repeat one key; every row stays one row, and groups share their half-empty bins."""
+    rows = [(1 if i % 3 == 0 else i, 30 + i % 7, f"r{i}") for i in range(900)] + [(None, None, "none"), (5, 400, "long")]
+    df = spark.createDataFrame(rows, "k long, n int, note string")
+    out = chats.packed(df, "k", "n", 100, group=2)
+    got = out.collect()
+    assert sorted((str(r["k"]), str(r["n"]), r["note"]) for r in got) == sorted((str(k), str(n), t) for k, n, t in rows)
+    held = {}
+    for r in got:
+        held.setdefault(r["bin"], []).append(r["n"] or 0)
+    assert all(sum(b) <= 100 or b == [400] for b in held.values())
+    # Three sizes of 30 to 33 fill a bin, else two do; with bins of each group left half empty there were more.
+    assert sum(2 * sum(b) <= 100 for b in held.values()) <= 4
+    assert chats.packed(df.limit(0), "k", "n", 100).count() == 0
+
+
+def test_bins_by_room_are_those_of_a_search():
+    draw = random.Random(3)
+    for _ in range(50):
+        sizes = [draw.randrange(0, 70) for _ in range(200)]
+        bins = chats.fill_bins(sizes, 64)
+        room, want = [], [0] * len(sizes)
+        for at in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            fits = [(r, -i) for i, r in enumerate(room) if r >= sizes[at] and r]
+            least = min(fits)[0] if fits else None
+            want[at] = -1 if least is None else least
+            number = bins[at]
+            if least is None:
+                assert number == len(room)
+                room.append(max(64, sizes[at]))
+            assert room[number] == (least if least is not None else max(64, sizes[at]))
+            room[number] -= sizes[at]
+        assert min(room) >= 0
