@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_small_batches, stored
+from .common import fold, forget, in_small_batches, stored
 
 DEPTH = 2
 MIN_CONTEXT = 64
@@ -258,7 +258,7 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
     below = counts.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), p0.alias("p"))
     contexts = counts.where(F.col("c") >= MIN_CONTEXT).select(F.col("key").alias("s"), F.col("c").alias("total"))
     symbols = bitmap(counts.where(F.col("c") >= MIN_NEXT))
-    model = None
+    model, spreads = None, []
     for depth in range(1, DEPTH + 1):
         near = bitmap(contexts.select(F.col("s").alias("key")))
         pairs = followers(chunks, depth, near, symbols)
@@ -270,9 +270,11 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
         )
         p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q")
         spread = stored(pairs.join(left, "s").withColumn("p", p), "spread")
+        forget(pairs)
         gain = F.sum(F.col("c") * F.log(F.col("p") / F.col("q"))) + F.first("others") * F.log(F.first("left"))
         states = spread.groupBy("s").agg(gain.alias("gain"), F.first("left").alias("value")).where(F.col("gain") >= MIN_GAIN)
         states = stored(states.select("s", "value"), "states")
+        spreads += [spread, states]
         shares = spread.join(states.select("s"), "s", "left_semi").select(
             joined_column("x", "s").bitwiseXOR(F.lit(int(PAIR))).alias("key"),
             ((F.col("c") - DISCOUNT) / F.col("total")).alias("value"),
@@ -282,7 +284,9 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
         model = part if model is None else model.unionAll(part)
         contexts = spread.where(F.col("c") >= MIN_CONTEXT).select(joined_column("x", "s").alias("s"), F.col("c").alias("total"))
         below = spread.select("s", "x", "p")
-    return stored(model, "tree")
+    whole = stored(model, "tree")
+    forget(*spreads)
+    return whole
 
 
 def _asked(chunk: Chunk, worth: Bitmap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

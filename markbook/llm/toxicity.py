@@ -355,10 +355,15 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     # The curve is fitted on savings that no document has a part in itself: each half is measured
     # with the dictionaries of the other one.
     y = np.array([y for _, y in rows], float)
-    halves = [_learned([r for i, r in enumerate(rows) if i % 2 != half]) for half in (0, 1)]
+    halves = []
+    for half in (0, 1):
+        base, counts = _learned([r for i, r in enumerate(rows) if i % 2 != half])
+        halves.append([(base, *_lexicons(counts, cut)) for cut in CUTS])
+        # The counts are by far the largest thing here; one half's are gone before the next ones are made.
+        del counts
     best = None
-    for cut in CUTS:
-        meters = [Meter(base, *_lexicons(counts, cut)) for base, counts in halves]
+    for cut, parts in zip(CUTS, zip(*halves)):
+        meters = [Meter(*part) for part in parts]
         found = np.array([meters[i % 2].savings(t) for i, (t, _) in enumerate(rows)], float)
         rates = _rates(found, y)
         x = np.column_stack([np.ones(len(rows)), *features(found, rates)])
