@@ -144,8 +144,8 @@ class Chunk:
         self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(starts, self.counts)
         self.in_training = np.repeat(self.trained, self.counts)
 
-    def contexts(self, depth: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, context, the context without its oldest word) of tokens with ``depth`` words before them.
+    def contexts(self, depth: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, context) of tokens with ``depth`` words before them.
 
         Some at a time; of the tokens in the mask ``wanted`` only, if one is given.
         """
@@ -153,13 +153,10 @@ class Chunk:
         places = np.flatnonzero(known if wanted is None else known & wanted)
         for i in range(0, len(places), SLICE):
             at = places[i : i + SLICE]
-            shorter = np.zeros(len(at), np.uint64)
-            for back in range(depth - 1, 0, -1):
-                shorter = joined(self._keys(at - back), shorter) if back < depth - 1 else self._keys(at - back)
             context = self._keys(at - depth)
             for back in range(depth - 1, 0, -1):
                 context = joined(self._keys(at - back), context)
-            yield at, context, shorter
+            yield at, context
 
     def _keys(self, at: np.ndarray) -> np.ndarray:
         return self.vocabulary[self.tokens[at]]
@@ -224,7 +221,7 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
 
 
 def followers(chunks: DataFrame, depth: int, contexts, symbols) -> DataFrame:
-    """(s, shorter, x, c): training counts of symbols after the contexts of a depth that the bitmaps name."""
+    """(s, x, c): training counts of symbols after the contexts of a depth that the bitmaps name."""
 
     def start():
         near, worth = Bitmap(contexts.value), Bitmap(symbols.value)
@@ -232,31 +229,36 @@ def followers(chunks: DataFrame, depth: int, contexts, symbols) -> DataFrame:
         def count(chunk: Chunk) -> Iterator[dict]:
             """Some of the tokens at a time; Spark sums up what recurs."""
             wanted = chunk.in_training & worth.of(chunk.vocabulary)[chunk.tokens]
-            for at, context, shorter in chunk.contexts(depth, wanted):
+            for at, context in chunk.contexts(depth, wanted):
                 k = near.of(context)
-                x, context, shorter = chunk.tokens[at[k]], context[k], shorter[k]
+                x, context = chunk.tokens[at[k]], context[k]
                 order = np.lexsort((x, context))
                 context, x = context[order], x[order]
                 new = np.r_[True, (context[1:] != context[:-1]) | (x[1:] != x[:-1])][: len(x)]
                 first = np.flatnonzero(new)
                 yield {
                     "key": _signed(context[first]),
-                    "shorter": _signed(shorter[order[first]]),
                     "x": _signed(chunk.vocabulary[x[first]]),
                     "c": np.diff(np.r_[first, len(x)]),
                 }
 
         return count
 
-    counted = _rows(start, chunks, "key long, shorter long, x long, c long").withColumnRenamed("key", "s")
-    return counted.groupBy("s", "shorter", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_PAIR)
+    counted = _rows(start, chunks, "key long, x long, c long").withColumnRenamed("key", "s")
+    return counted.groupBy("s", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_PAIR)
 
 
 def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """(key, value): discounted shares of (state, symbol) and what states leave to shorter ones."""
+    """(key, c, rest): counts of (state, symbol) and of states, and what states leave to shorter ones.
+
+    ``rest`` is in occurrences, 0 for (state, symbol).  Whole numbers and quarters, unlike shares, pack
+    well wherever they are written.
+    """
     p0 = (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))
     below = counts.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), p0.alias("p"))
-    contexts = counts.where(F.col("c") >= MIN_CONTEXT).select(F.col("key").alias("s"), F.col("c").alias("total"))
+    contexts = counts.where(F.col("c") >= MIN_CONTEXT).select(
+        F.col("key").alias("s"), F.lit(0).cast("long").alias("shorter"), F.col("c").alias("total")
+    )
     symbols = bitmap(counts.where(F.col("c") >= MIN_NEXT))
     model, spreads = None, []
     for depth in range(1, DEPTH + 1):
@@ -264,25 +266,27 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
         pairs = followers(chunks, depth, near, symbols)
         shorter = below.select(F.col("s").alias("shorter"), "x", F.col("p").alias("q"))
         pairs = stored(pairs.join(contexts, "s").join(shorter, ["shorter", "x"]), "followers")
-        left = pairs.groupBy("s").agg(
-            (1 - F.sum(F.col("c") - DISCOUNT) / F.first("total")).alias("left"),
-            (F.first("total") - F.sum("c")).alias("others"),
-        )
+        others = F.first("total") - F.sum("c")
+        rest = others + F.lit(DISCOUNT) * F.count(F.lit(1))
+        left = pairs.groupBy("s").agg(others.alias("others"), rest.alias("rest"), (rest / F.first("total")).alias("left"))
         p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q")
         spread = stored(pairs.join(left, "s").withColumn("p", p), "spread")
         forget(pairs)
         gain = F.sum(F.col("c") * F.log(F.col("p") / F.col("q"))) + F.first("others") * F.log(F.first("left"))
-        states = spread.groupBy("s").agg(gain.alias("gain"), F.first("left").alias("value")).where(F.col("gain") >= MIN_GAIN)
-        states = stored(states.select("s", "value"), "states")
+        states = spread.groupBy("s").agg(gain.alias("gain"), F.first("total").alias("c"), F.first("rest").alias("rest"))
+        states = stored(states.where(F.col("gain") >= MIN_GAIN).drop("gain"), "states")
         spreads += [spread, states]
         shares = spread.join(states.select("s"), "s", "left_semi").select(
             joined_column("x", "s").bitwiseXOR(F.lit(int(PAIR))).alias("key"),
-            ((F.col("c") - DISCOUNT) / F.col("total")).alias("value"),
+            "c",
+            F.lit(0.0).alias("rest"),
         )
-        leaves = states.select(F.col("s").bitwiseXOR(F.lit(int(STATE))).alias("key"), "value")
+        leaves = states.select(F.col("s").bitwiseXOR(F.lit(int(STATE))).alias("key"), "c", "rest")
         part = shares.unionAll(leaves)
         model = part if model is None else model.unionAll(part)
-        contexts = spread.where(F.col("c") >= MIN_CONTEXT).select(joined_column("x", "s").alias("s"), F.col("c").alias("total"))
+        contexts = spread.where(F.col("c") >= MIN_CONTEXT).select(
+            joined_column("x", "s").alias("s"), joined_column("x", "shorter").alias("shorter"), F.col("c").alias("total")
+        )
         below = spread.select("s", "x", "p")
     whole = stored(model, "tree")
     forget(*spreads)
@@ -292,7 +296,7 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
 def _asked(chunk: Chunk, worth: Bitmap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of tokens whose context may be a state, the keys of the state and of the pair; shallow first."""
     for depth in range(1, DEPTH + 1):
-        for at, context, _ in chunk.contexts(depth):
+        for at, context in chunk.contexts(depth):
             near = worth.of(context ^ STATE)
             at, context = at[near], context[near]
             yield at, context ^ STATE, joined(chunk._keys(at), context) ^ PAIR
@@ -317,42 +321,47 @@ def scored(docs: DataFrame) -> DataFrame:
         return ask
 
     requests = _rows(start, chunks, "chunk long, key long")
-    known = counts.select("key", F.col("c").cast("double").alias("value")).unionAll(model)
-    answers = requests.join(known, "key").select("chunk", "key", "value")
+    known = counts.select("key", "c", F.lit(0.0).alias("rest")).unionAll(model)
+    answers = requests.join(known, "key").select("chunk", "key", "c", "rest")
 
     def score(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         maybe = Bitmap(worth.value)
         keys = values["a_key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys, found = keys[order], values["a_value"].to_numpy()[order]
+        keys = keys[order]
+        # An unknown key is at the end, with 0.
+        c, rest = (np.r_[values[x].to_numpy(float)[order], 0.0] for x in ("a_c", "a_rest"))
 
-        def value(asked: np.ndarray, missing: float) -> np.ndarray:
+        def places(asked: np.ndarray) -> np.ndarray:
             if not len(keys):
-                return np.full(len(asked), missing)
+                return np.zeros(len(asked), np.int64)
             at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            return np.where(keys[at] == asked, found[at], missing)
+            return np.where(keys[at] == asked, at, len(keys))
 
         parts = []
         for row in rows.itertuples():
             chunk = Chunk(row)
-            c = value(chunk.vocabulary, 0.0)[chunk.tokens]
-            base = (c + 0.5) / (n + 0.5 * (v + 1))
-            p = base.copy()
-            for at, states, pairs in _asked(chunk, maybe):
-                left = value(states, np.nan)
-                real = ~np.isnan(left)
-                at, left, pairs = at[real], left[real], pairs[real]
-                p[at] = value(pairs, 0.0) + left * p[at]
             starts = np.r_[0, chunk.ends[:-1] + 1] if len(chunk.ends) else chunk.ends
             add = lambda x: np.add.reduceat(x, starts)
+            base = c[places(chunk.vocabulary)][chunk.tokens]
+            n_known = add((base > 0).astype(np.int64))
+            base += 0.5
+            base /= n + 0.5 * (v + 1)
+            p = base.copy()
+            base_score = add(np.log10(base, out=base))
+            for at, states, pairs in _asked(chunk, maybe):
+                state, pair = places(states), places(pairs)
+                real = c[state] > 0
+                at, state, pair = at[real], state[real], pair[real]
+                p[at] = np.maximum(c[pair] - DISCOUNT, 0) / c[state] + rest[state] / c[state] * p[at]
             parts.append(
                 pd.DataFrame(
                     {
                         "doc_id": pd.array([None if pd.isna(i) else int(i) for i in chunk.doc_ids], "Int64"),
                         "n_tokens": chunk.counts,
-                        "n_known": add((c > 0).astype(np.int64)),
-                        "base_score": add(np.log10(base)),
-                        "score": add(np.log10(p)),
+                        "n_known": n_known,
+                        "base_score": base_score,
+                        "score": add(np.log10(p, out=p)),
                     }
                 )
             )
@@ -360,7 +369,7 @@ def scored(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({x: [] for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
         return pd.concat(parts)
 
-    renamed = answers.toDF("a_chunk", "a_key", "a_value")
+    renamed = answers.toDF("a_chunk", "a_key", "a_c", "a_rest")
     rated = chunks.groupBy("chunk").cogroup(renamed.groupBy("a_chunk")).applyInPandas(
         score, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
