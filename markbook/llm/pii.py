@@ -13,7 +13,8 @@ The statistics cover all documents.  What reaches the driver is one flag for eac
 kind and features (under 4,000 by construction).  Rows are independent of each other, so repeated
 rows give equal results; a null text is an empty one, without spans; an empty table gives an empty
 table and a classifier that accepts nothing.  Patterns are possessive and anchored at the start of a
-run, so long texts take linear time and no deep recursion.
+run, so long texts take linear time and no deep recursion; so do places, which are running sums by
+blocks, and overlaps, which are found by halving.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markbook.functions.pytext import let
+
+from .common import stored
+
 #: Kinds as they are listed in results.
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
@@ -61,34 +66,59 @@ _CUES = {
 }
 
 
+#: Values that one step of a running fold holds.
+BLOCK = 128
+
+
+def _running(values: Column, step) -> Column:
+    """Running results of ``step(so far, value)`` from 0 up over an array of integers.
+
+    Folds append to an array that is copied each time, so they go over blocks: inside each of them, over
+    what the blocks come to, and then each block is moved by what came before it.
+    """
+    last = lambda xs: F.coalesce(F.get(xs, F.size(xs) - 1), F.lit(0))
+
+    def scan(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda done, x: F.array_append(done, step(last(done), x)))
+
+    def whole(xs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")))
+        return let(F.transform(blocks, lambda b: scan(F.slice(xs, b * BLOCK + 1, BLOCK))), moved)
+
+    def moved(parts: Column) -> Column:
+        def one(before: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    parts,
+                    lambda xs, i: let(F.coalesce(F.get(before, i - 1), F.lit(0)), lambda was: F.transform(xs, lambda x: step(was, x))),
+                )
+            )
+
+        return let(scan(F.transform(parts, last)), one)
+
+    return let(values, whole)
+
+
 def _matches(found: Column, gaps: Column) -> Column:
     """array<struct<start, end, value, left, right>>: where a pattern matches, in code points.
 
     From its matches and the texts between them, both columns of their own, so that no element scans
     the text again.  ``left`` is up to 24 characters before the match, ``right`` the one after it.
     """
-    empty = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
-    nothing = F.array().cast(empty)
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        span = F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            F.get(found, i).alias("value"),
-            F.substring(F.get(gaps, i), -24, 24).alias("left"),
-            F.substring(F.get(gaps, i + 1), 1, 1).alias("right"),
-        )
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
-
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), nothing.alias("spans")),
-        step,
-        lambda state: state["spans"],
+    n = F.size(found)
+    earlier = F.slice(gaps, F.lit(1), n)
+    ends = _running(F.zip_with(found, earlier, lambda m, g: F.length(m) + F.length(g)), lambda a, b: a + b)
+    zipped = F.arrays_zip(ends.alias("end"), found.alias("value"), earlier.alias("gap"), F.slice(gaps, F.lit(2), n).alias("next"))
+    return F.transform(
+        zipped,
+        lambda z: F.struct(
+            (z["end"] - F.length(z["value"])).alias("start"),
+            z["end"].alias("end"),
+            z["value"].alias("value"),
+            F.substring(z["gap"], -24, 24).alias("left"),
+            F.substring(z["next"], 1, 1).alias("right"),
+        ),
     )
-    return F.when(F.size(found) > 0, walk).otherwise(nothing)
 
 
 def _digits(value: Column) -> Column:
@@ -177,11 +207,22 @@ def _candidates(kind: int, found: Column, base: bool) -> Column:
     return F.transform(F.filter(found, lambda x: _passes(kind, x["value"])) if sure else found, one)
 
 
-def _apart(extra: Column, taken: Column) -> Column:
-    """Those of ``extra`` that overlap none of ``taken``."""
-    return F.filter(
-        extra, lambda x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    )
+def _meets(x: Column, spans: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are in order and apart: only the last one that
+    begins before its end can, and halving finds it."""
+    halves = F.sequence(F.length(F.bin(F.size(spans))) - 1, F.lit(0), F.lit(-1))
+
+    def step(at: Column, bit: Column) -> Column:
+        further = at + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when(F.get(spans, further - 1)["start"] < x["end"], further).otherwise(at)
+
+    before = F.aggregate(halves, F.lit(0), step)
+    return F.coalesce(F.get(spans, before - 1)["end"] > x["start"], F.lit(False))
+
+
+def _apart(extra: str, taken: list[str]) -> Column:
+    """Those of ``extra`` that overlap none of the columns ``taken``, each in order and apart."""
+    return F.filter(extra, lambda x: ~reduce(lambda a, b: a | b, (_meets(x, F.col(t)) for t in taken)))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -208,17 +249,20 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         *(F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)).otherwise(none).alias(f"__g_{k}") for k, p in patterns.items()),
     )
     spans = lambda k: _matches(F.col(f"__m_{k}"), F.col(f"__g_{k}"))
+    taken = [f"__base{k}" for k in base]
     found = found.select(
         *(F.col(f"`{c}`") for c in docs.columns),
-        F.array_sort(F.concat(*(_candidates(k, spans(f"b{k}"), True) for k in base))).alias("__base"),
+        *(_candidates(k, spans(f"b{k}"), True).alias(f"__base{k}") for k in base),
         *(_candidates(k, spans(f"l{k}"), False).alias(f"__loose{k}") for k in _LOOSE),
     )
-    more = reduce(
-        lambda taken, kind: F.concat(taken, _apart(F.col(f"__loose{kind}"), F.concat("__base", taken))),
-        list(_LOOSE)[1:],
-        _apart(F.col(f"__loose{PHONE}"), F.col("__base")),
+    for kind in _LOOSE:
+        found = found.withColumn(f"__apart{kind}", _apart(f"__loose{kind}", taken))
+        taken = [*taken, f"__apart{kind}"]
+    return found.select(
+        *(F.col(f"`{c}`") for c in docs.columns),
+        F.array_sort(F.concat(*(f"__base{k}" for k in base))).alias("__base"),
+        F.array_sort(F.concat(*(f"__apart{k}" for k in _LOOSE))).alias("__more"),
     )
-    return found.withColumn("__more", F.array_sort(more)).drop(*(f"__loose{k}" for k in _LOOSE))
 
 
 def _posteriors(patterns: DataFrame) -> DataFrame:
@@ -277,6 +321,8 @@ def fit(docs: DataFrame) -> list[str]:
         .groupBy("x.kind", "x.a", "x.b", "x.c", "x.form")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # Read twice below; the texts should not be.
+    each = stored(each, "forms")
     posterior = _posteriors(each.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")))
     soft = (
         each.join(posterior, ["kind", "a", "b", "c"])
@@ -339,17 +385,25 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substr(F.col("text"), state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
-        piece = F.when(x["start"] >= state["at"], F.concat(gap, F.get(names, x["kind"]))).otherwise("")
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"), F.array_append(state["out"], piece).alias("out")
+    def between(points: Column, start: Column, end: Column) -> Column:
+        """Text between two places of a text in four bytes a character, where a place is found at once."""
+        return F.decode(F.substring(points, 4 * start + 1, 4 * (end - start)), "UTF-32")
+
+    def pieces(points: Column, reach: Column) -> Column:
+        earlier = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        marks = F.zip_with(
+            "__spans",
+            earlier,
+            lambda x, at: F.when(
+                x["start"] >= at, F.concat(between(points, at, x["start"]), F.get(names, x["kind"]))
+            ).otherwise(""),
         )
+        last = between(points, F.element_at(reach, -1), F.call_function("div", F.octet_length(points), F.lit(4)).cast("int"))
+        return F.concat(F.array_join(marks, ""), last)
 
-    nothing = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1))
-    text = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(F.col("text"))
+    ends = _running(F.transform("__spans", lambda x: x["end"]), F.greatest)
+    replaced = let(F.encode("text", "UTF-32"), lambda points: let(ends, lambda reach: pieces(points, reach)))
+    text = F.when(F.size("__spans") > 0, replaced).otherwise(F.col("text"))
     marked = with_spans(docs, fit(docs)).withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
