@@ -387,6 +387,24 @@ def test_redaction(documents, no_documents):
     assert pii.redacted(no_documents).count() == 0
 
 
+def test_redaction_equals_brute_force(spark):
+    """Overlapping spans, characters beyond the basic plane, and more spans than a block holds."""
+    draw = random.Random(4)
+    bits = ["\U0001f600 ", "é", "a@b.cc ", " +1 (509) 555-6973 ", "4539578763621486", "@1.2.3.4.de ", "10.0.0.1 ", " und "]
+    rows = [(i, "".join(draw.choice(bits) for _ in range(draw.choice([3, 12, 700])))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.found(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    for i, text in rows:
+        out, at = [], 0
+        for x in spans[i].split(",") if spans[i] else []:
+            kind, start, end = x.split(":")
+            if int(start) >= at:
+                out += [text[at : int(start)], f"<{kind.upper()}>"]
+            at = max(at, int(end))
+        assert got[i] == "".join(out) + text[at:]
+
+
 # --- suffix tree ------------------------------------------------------------------------------
 
 
