@@ -52,11 +52,13 @@ CUTS = (4.0, 3.0, 2.0)
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the training sample: ids of each label, and the longest document taken of them."""
+    """Bounds of the training sample: ids of each label, the longest document taken of them, and windows
+    of ordinary text that a dictionary is trained on."""
 
     toxic: int = 1500
     ordinary: int = 3000
     longest: int = 8000
+    pieces: int = 40_000
 
 
 @dataclass(frozen=True)
@@ -343,21 +345,24 @@ def _dictionary(pieces: list[bytes], size: int) -> bytes:
         return b"".join(pieces)[-size:]
 
 
-def train(texts: list[str | None], labels: list[int]) -> Model:
+def train(texts: list[str | None], labels: list[int], pieces: int = Sample.pieces) -> Model:
     """Fit both dictionaries and the curve; texts that repeat count once."""
     rows = sorted({(t or "", int(y)) for t, y in zip(texts, labels)})
-    toxic = [_words(t) for t, y in rows if y]
-    ordinary = [_words(t) for t, y in rows if not y]
-    prior = (len(toxic) + 0.5) / (len(rows) + 1) if rows else 0.0
-    if not toxic or not ordinary:
+    marked = sum(1 for _, y in rows if y)
+    prior = (marked + 0.5) / (len(rows) + 1) if rows else 0.0
+    if not 0 < marked < len(rows):
         base = math.log(prior / (1 - prior)) if rows else -math.inf
         return Model(b"", b"", (), (), ((1.0, 1.0), (1.0, 1.0)), (base, 0.0, 0.0, 0.0, 0.0))
+    # Documents share the objects of equal words.
+    pool: dict[bytes, bytes] = {}
+    known = [([pool.setdefault(w, w) for w in _words(t)], y) for t, y in rows]
+    del pool
     # The curve is fitted on savings that no document has a part in itself: each half is measured
     # with the dictionaries of the other one.
     y = np.array([y for _, y in rows], float)
     halves = []
     for half in (0, 1):
-        base, counts = _learned([r for i, r in enumerate(rows) if i % 2 != half])
+        base, counts = _learned([r for i, r in enumerate(known) if i % 2 != half], pieces)
         halves.append([(base, *_lexicons(counts, cut)) for cut in CUTS])
         # The counts are by far the largest thing here; one half's are gone before the next ones are made.
         del counts
@@ -372,16 +377,24 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         if best is None or loss < best[0]:
             best = loss, cut, rates, weights
     _, cut, rates, weights = best
-    base, counts = _learned(rows)
+    base, counts = _learned(known, pieces)
     return Model(base, *_lexicons(counts, cut), rates, weights)
 
 
-def _learned(rows: list[tuple[str, int]]) -> tuple[bytes, Counts]:
+def _learned(known: list[tuple[list[bytes], int]], pieces: int) -> tuple[bytes, Counts]:
     """The ordinary dictionary, and the counts that the toxic ones are picked from."""
-    ordinary = [_words(t) for t, y in rows if not y]
-    pieces = [w for words in ordinary for w in windows(words)]
-    random.Random(1).shuffle(pieces)
-    return _dictionary(pieces[:40_000], 16_384), Counts([_words(t) for t, y in rows if y], ordinary)
+    ordinary = [words for words, y in known if not y]
+    return _dictionary(_drawn(ordinary, pieces), 16_384), Counts([words for words, y in known if y], ordinary)
+
+
+def _drawn(docs: list[list[bytes]], n: int) -> list[bytes]:
+    """At most ``n`` windows of all documents, drawn by their number so that only these are held."""
+    order = list(range(sum(1 for words in docs for _ in windows(words))))
+    random.Random(1).shuffle(order)
+    place = {number: i for i, number in enumerate(order[:n])}
+    del order
+    every = enumerate(w for words in docs for w in windows(words))
+    return [w for _, w in sorted((place[number], w) for number, w in every if number in place)]
 
 
 def _lexicons(counts: Counts, cut: float) -> tuple[bytes, tuple[bytes, ...], tuple[bytes, ...]]:
@@ -441,7 +454,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     ids = F.broadcast(parts[0].unionAll(parts[1]))
     rows = docs.where(F.octet_length("text") <= sample.longest).select("doc_id", "text").join(ids, "doc_id")
     rows = rows.orderBy(*order, "text").limit(sample.toxic + sample.ordinary).select("text", "__toxic").collect()
-    return train([r[0] for r in rows], [int(r[1] > 0) for r in rows])
+    return train([r[0] for r in rows], [int(r[1] > 0) for r in rows], sample.pieces)
 
 
 def score(model: Model, column: str = "text") -> F.Column:
