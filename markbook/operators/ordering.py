@@ -15,6 +15,8 @@ from ..session import settle
 #: Rows that a bucket is worth; the number of buckets follows the rows.
 ROWS_PER_BUCKET = 20_000
 ROWS_OF_LARGE = 1_000_000
+#: Parts of a group that a sketch tells apart.
+ACCURACY = 10_000
 #: Cuts up to which a CASE tree is shorter than a search in an array.
 TREE = 256
 
@@ -107,24 +109,49 @@ def running_sum(
 def exact_quantiles(df: DataFrame, value: str, shares, names, by=()) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Values are counted first, so a value that fills a third of the table is one row; a running
-    sum of the counts gives every value its ranks, and each quantile picks the values at its two
-    neighbouring ranks.  No task holds a group's values.
+    A sketch brackets each quantile per group (a first scan).  A second scan counts what lies below a
+    bracket, and how often each value inside it occurs; only these counts are kept and ranked, a few of
+    ``ACCURACY`` parts of the rows, and a value that fills a third of the table is one row.  Groups
+    that a sketch is too coarse for are their own brackets.  No task holds a group's values.
     """
     by = list(by)
-    counts = settle(
-        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    key = [*by, "_all"]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.lit(0).alias("_all"), F.col(value).alias("_v"))
+    margin = 4 / ACCURACY
+    ends = [(max(0.0, s - margin), min(1.0, s + margin)) for s in shares]
+    sketch = F.percentile_approx("_v", [e for pair in ends for e in pair], ACCURACY)
+    sketched = rows.groupBy(*key).agg(
+        F.count("*").alias("_size"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), sketch.alias("_near")
     )
-    ranked = running_sum(counts, value, F.col("_n"), "_start", by=by, total="_size")
-
-    def at(rank):
-        here = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n"))
-        return F.max(F.when(here, F.col(value)))
+    # The sketch may be off by a rank in ACCURACY, and both neighbours of a place have to be inside.
+    coarse = F.col("_size") * F.lit(margin) < 4
+    brackets = []
+    for i, (low, high) in enumerate(ends):
+        first, last = F.get("_near", F.lit(2 * i)), F.get("_near", F.lit(2 * i + 1))
+        brackets.append(F.when(coarse | F.lit(low == 0), F.col("_least")).otherwise(first).alias(f"_lo{i}"))
+        brackets.append(F.when(coarse | F.lit(high == 1), F.col("_most")).otherwise(last).alias(f"_hi{i}"))
+    groups = settle(sketched.select(*key, "_size", *brackets))
+
+    v = F.col("_v")
+    spots = F.array(*[
+        F.when(v <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("_want"), F.when(v >= F.col(f"_lo{i}"), v).alias("_at")))
+        for i in range(len(ends))
+    ])
+    spotted = rows.join(groups, key).select(*key, F.inline(F.filter(spots, lambda spot: spot.isNotNull())))
+    counts = settle(spotted.groupBy(*key, "_want", "_at").agg(F.count("*").alias("_n")))
+    below = counts.filter("_at IS NULL").select(*key, "_want", F.col("_n").alias("_below"))
+    inside = running_sum(counts.filter("_at IS NOT NULL"), "_at", F.col("_n"), "_start", by=[*key, "_want"])
+    ranked = inside.join(below, [*key, "_want"], "left").join(groups.select(*key, "_size"), key)
+    start = F.col("_start") + F.coalesce("_below", F.lit(0))
+
+    def at(i, rank):
+        here = (F.col("_want") == i) & (start <= rank) & (rank < start + F.col("_n"))
+        return F.max(F.when(here, F.col("_at")))
 
     columns = []
-    for share, name in zip(shares, names):
+    for i, (share, name) in enumerate(zip(shares, names)):
         place = F.lit(float(share)) * (F.col("_size") - 1)
-        low, high = at(F.floor(place)), at(F.ceil(place))
+        low, high = at(i, F.floor(place)), at(i, F.ceil(place))
         columns.append((low, high, F.max(place - F.floor(place)), name))
     table = ranked.groupBy(*by).agg(
         *[c.alias(f"{n}{part}") for lo, hi, fr, n in columns for c, part in ((lo, "_lo"), (hi, "_hi"), (fr, "_fr"))]

@@ -119,6 +119,30 @@ def test_exact_quantiles(spark, monkeypatch):
         assert [r[n] for n in names] == pytest.approx(list(want))
 
 
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_quantiles_rank_brackets_only(spark, monkeypatch, accuracy):
+    """Distinct values, a hot one, negative ones, a tiny group, nulls; a coarse sketch and a fine one."""
+    import numpy as np
+
+    monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+    kept = []
+    monkeypatch.setattr(ordering, "settle", lambda df, settle=ordering.settle: kept.append(settle(df)) or kept[-1])
+    draw = random.Random(8)
+    rows = [("big", draw.gauss(0, 10)) for _ in range(12_000)] + [("big", 2.5)] * 6_000
+    rows += [("tiny", float(x)) for x in range(3)] + [("one", 4.0), ("tiny", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares, names = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0), ("a", "b", "c", "d", "e", "f")
+    got = {r["g"]: [r[n] for n in names] for r in ordering.exact_quantiles(df, "x", shares, names, ["g"]).collect()}
+    assert set(got) == {"big", "tiny", "one"}
+    for g, found in got.items():
+        assert found == pytest.approx(list(np.quantile([x for h, x in rows if h == g and x is not None], shares)))
+    whole = ordering.exact_quantiles(df, "x", shares, names).first()
+    assert list(whole) == pytest.approx(list(np.quantile([x for _, x in rows if x is not None], shares)))
+    if accuracy == 10_000:
+        assert kept[-1].count() < 600
+    assert list(ordering.exact_quantiles(df.where("false"), "x", (0.5,), ("m",)).first()) == [None]
+
+
 def test_cost_curve_with_a_hot_cost(spark, monkeypatch):
     monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 100)
     rows, df = hot_values(spark)
