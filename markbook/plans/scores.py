@@ -101,6 +101,14 @@ def agg6(spark, folder):
     return V.maj_at_k(spelled(graded(spark, folder)), 8, key="value")
 
 
+@query(
+    "agg6_maj_greedy",
+    _maj(4, "CASE WHEN pred = '' THEN '' ELSE CAST(CAST(pred AS DOUBLE) AS VARCHAR) END"),
+)
+def agg6_greedy(spark, folder):
+    return V.maj_at_k(spelled(graded(spark, folder)), 4, key="greedy")
+
+
 @query("agg6_maj_by_normalized_text", _maj(8, "CASE WHEN pred = '' THEN '' WHEN sample_id % 3 = 2 THEN concat('f', pred) ELSE pred END"))
 def agg6_text(spark, folder):
     return V.maj_at_k(spelled(graded(spark, folder)), 8, key="normalized")

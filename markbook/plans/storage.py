@@ -129,7 +129,11 @@ def snk2(spark, folder):
   'struct<doc_id:bigint,source:string,n_chars:bigint>' AS features, count(*) AS num_rows FROM documents GROUP BY lang""")
 def snk3(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("split"), "source", "n_chars")
-    return S.dataset_manifest(docs, "set/docs", "parquet", revision="main")
+    path = scratch_dir(spark, "described")
+    S.write_dataset(docs, path, "parquet")
+    written = spark.read.schema(docs.schema).parquet(path)
+    manifest = S.dataset_manifest(written.select(*docs.columns), "set/docs", "parquet", revision="main")
+    return spark.read.schema(manifest.schema).json(S.write_manifest(manifest, path))
 
 
 @query("snk5_csv_export", f"""WITH {RUNS} SELECT checkpoint, round(avg(accuracy), 2) AS mean, round(stddev_samp(accuracy), 2) AS std,

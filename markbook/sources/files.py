@@ -206,6 +206,13 @@ def dataset_manifest(df: DataFrame, dataset_id: str, fmt: str, config: str | Non
     )
 
 
+def write_manifest(manifest: DataFrame, dataset: str) -> str:
+    """Write the rows of ``dataset_manifest`` beside the dataset, as JSON lines; returns the path."""
+    path = f"{dataset.rstrip('/')}_info.json"
+    write_jsonl(manifest, path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

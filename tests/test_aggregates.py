@@ -68,6 +68,18 @@ def test_vote_by_value(spark):
     assert voting.maj_at_k(df, 5, key="value").first()["maj_at_5"] == 1.0
 
 
+def test_greedy_vote_depends_on_the_order(spark):
+    """100 and 100.018 are apart, 100.009 is equal to both: who comes first decides."""
+    rows = [(1, i, x) for i, x in enumerate(["100", "100.009", "100.018", "100.018"])]
+    rows += [(2, i, x) for i, x in enumerate(["100.009", "7", "100", "7", "100.018"])]
+    rows += [(3, i, x) for i, x in enumerate([r"\frac{1}{2}", "3", "0.5", "3"])]
+    rows += [(4, 0, None), (4, 1, ""), (4, 2, None), (None, 0, "9")]
+    df = spark.createDataFrame(rows, "idx long, sample_id int, pred string").repartition(3)
+    got = {r["idx"]: (r["pred"], r["votes"]) for r in voting.greedy_vote(df).collect()}
+    assert got == {1: ("100", 2), 2: ("100.009", 3), 3: (r"\frac{1}{2}", 2), 4: (None, 2), None: ("9", 1)}
+    assert voting.greedy_vote(df.where("false")).collect() == []
+
+
 def test_bool_majority_tie(spark):
     rows = [(1, 0, True), (1, 1, False), (2, 0, False), (2, 1, True), (3, 0, False)]
     df = spark.createDataFrame(rows, "idx long, sample_id int, score boolean")
