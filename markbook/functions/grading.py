@@ -11,7 +11,7 @@ from . import fixed_values as V
 from .extract import choice_letter
 from .normalize import clean_expression
 from .numbers import contains_digit, is_close, last_plain_number, parse_digits, parse_number
-from .pytext import after_last, before, count_of, let, pieces, replace, replace_all, rstrip, strip
+from .pytext import after_last, before, count_of, let, pieces, replace, replace_all, rstrip, strip, strip_value, without
 
 PASSING_RUNGS = [
     "text", "choice", "number", "brackets", "tuple", "matrix", "one_sided", "value",
@@ -19,7 +19,7 @@ PASSING_RUNGS = [
 
 
 def same_text(pred: Column, gt: Column) -> Column:
-    return F.lower(strip(pred)) == F.lower(strip(gt))
+    return F.lower(strip_value(pred)) == F.lower(strip_value(gt))
 
 
 def same_choice(pred: Column, gt: Column) -> Column:
@@ -50,7 +50,7 @@ def same_without_brackets(pred: Column, gt: Column) -> Column:
 
     def bare(c):
         peeled = F.when(peel, strip(c, "[]()")).otherwise(c)
-        return F.lower(F.translate(peeled, "{}()", ""))
+        return F.lower(F.regexp_replace(peeled, "[{}()]+", ""))
 
     return bare(pred) == bare(gt)
 
@@ -67,8 +67,8 @@ def closed_form(c: Column) -> Column:
 
         sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
         return (
-            F.when(t.rlike(frac), sign * F.try_divide(part(frac, 2), part(frac, 3)))
-            .when(t.rlike(slash), F.try_divide(part(slash, 1), part(slash, 2)))
+            F.when(t.contains("\\frac") & t.rlike(frac), sign * F.try_divide(part(frac, 2), part(frac, 3)))
+            .when(t.contains("/") & t.rlike(slash), F.try_divide(part(slash, 1), part(slash, 2)))
             .otherwise(parse_number(t))
         )
 
@@ -90,15 +90,13 @@ def matches(pred: Column, gt: Column, tol: float, percent: bool, levels: int) ->
         return flat | structured_rung(p, g, tol, percent, levels).isNotNull() if levels else flat
 
     def decide(p, g):
-        bare = F.struct(strip(pred).alias("p"), as_matrix(strip(pred), strip(gt)).alias("g"))
         return (
-            F.when(same_text(pred, gt) | same_choice(pred, gt), True)
-            .when(p.isNotNull() & g.isNotNull(), same_number(p, g, tol, percent))
+            F.when(p.isNotNull() & g.isNotNull(), same_number(p, g, tol, percent))
             .when(pred == "", False)
-            .otherwise(let(bare, by_parts))
+            .otherwise(let(_bare(pred, gt), by_parts))
         )
 
-    return _both(pred, gt, parse_digits, decide)
+    return F.when(same_text(pred, gt) | same_choice(pred, gt), True).otherwise(_both(pred, gt, parse_digits, decide))
 
 
 def _zip(left: Column, right: Column) -> Column:
@@ -148,6 +146,11 @@ def as_matrix(pred: Column, gt: Column) -> Column:
     return F.when(pred.contains("pmatrix") & ~gt.contains("pmatrix"), set_as_matrix(gt)).otherwise(gt)
 
 
+def _bare(pred: Column, gt: Column) -> Column:
+    """Both sides without blanks around, to be bound once; gold as a matrix where only the prediction is one."""
+    return F.struct(strip_value(pred).alias("p"), as_matrix(pred, strip_value(gt)).alias("g"))
+
+
 def matrix_pairs(pred: Column, gt: Column) -> Column:
     r"""Cells of two matrices side by side: rows split at ``\\``, cells at ``&``.
 
@@ -157,14 +160,12 @@ def matrix_pairs(pred: Column, gt: Column) -> Column:
 
     def rows(c):
         body = F.regexp_replace(c, r"^\\begin\{[pb]matrix\}|\\end\{[pb]matrix\}\z", "")
-        texts = F.transform(pieces(body, "\\\\"), lambda row: strip(row))
+        texts = F.transform(pieces(body, "\\\\"), strip_value)
         return F.transform(F.filter(texts, lambda row: row != ""), lambda row: pieces(row, "&"))
 
     def cells(p, g):
-        even = (F.size(p) == F.size(g)) & F.forall(
-            F.zip_with(p, g, lambda a, b: F.size(a) == F.size(b)), lambda ok: ok
-        )
-        return F.when(even, _zip(F.flatten(p), F.flatten(g)))
+        # Null as soon as a row is longer on one side.
+        return F.when(F.size(p) == F.size(g), F.flatten(F.zip_with(p, g, _zip)))
 
     return F.when(pred.rlike(shape) & gt.rlike(shape), _both(pred, gt, rows, cells))
 
@@ -176,7 +177,7 @@ def one_sided(pred: Column, gt: Column) -> Column:
     """
 
     def named(c):
-        return (count_of(c, "=") == 1) & (F.length(strip(before(c, "="))) <= 2)
+        return c.contains("=") & (count_of(c, "=") == 1) & (F.length(strip(before(c, "="))) <= 2)
 
     def pair(p, g):
         return F.struct(strip(p).alias("p"), strip(g).alias("g"))
@@ -193,11 +194,11 @@ LEVELS = 3
 
 def structured_rung(pred: Column, gt: Column, tol: float, percent: bool, levels: int = LEVELS) -> Column:
     """First of tuple, matrix and one_sided whose pairs all match by all rules; null when none does."""
-    rest = one_sided(pred, gt)
+    rest = F.filter(F.array(one_sided(pred, gt)), lambda pair: pair.isNotNull())
     shapes = [
         ("tuple", tuple_pairs(pred, gt)),
         ("matrix", matrix_pairs(pred, gt)),
-        ("one_sided", F.when(rest.isNotNull(), F.array(rest))),
+        ("one_sided", F.when(F.size(rest) > 0, rest)),
     ]
     tried = F.array(*[F.struct(F.lit(n).alias("rung"), c.alias("pairs")) for n, c in shapes])
 
@@ -207,22 +208,20 @@ def structured_rung(pred: Column, gt: Column, tol: float, percent: bool, levels:
 
     found = F.get(F.filter(tried, fits), F.lit(0))["rung"]
     # Most elements have neither brackets nor signs that any shape needs.
-    return F.when(pred.rlike(r"^[(\[\\]|=") | gt.contains("="), found)
+    return F.when(pred.rlike(r"^[(\[]|^\\begin\{[pb]matrix\}|=") | gt.contains("="), found)
 
 
 def grading_rung(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool = True) -> Column:
     """Name of the first rule that decides; later, dearer rules run only when reached."""
 
-    def structured(p, g):
-        def run(t):
-            return F.when(same_without_brackets(p, t), "brackets").otherwise(
-                F.coalesce(
-                    structured_rung(p, t, tol, percent),
-                    F.when(same_value(p, t, tol), "value").otherwise("none"),
-                )
+    def structured(pair):
+        p, g = pair["p"], pair["g"]
+        return F.when(same_without_brackets(p, g), "brackets").otherwise(
+            F.coalesce(
+                structured_rung(p, g, tol, percent),
+                F.when(same_value(p, g, tol), "value").otherwise("none"),
             )
-
-        return let(as_matrix(p, g), run)
+        )
 
     def by_number(r):
         def run(p, g):
@@ -230,7 +229,7 @@ def grading_rung(pred: Column, gt: Column, tol: float = V.REL_TOL, percent: bool
             return (
                 F.when(p.isNotNull() & g.isNotNull(), close)
                 .when(r["pred"] == "", "empty")
-                .otherwise(structured(strip(r["pred"]), strip(r["gt"])))
+                .otherwise(let(_bare(r["pred"], r["gt"]), structured))
             )
 
         return _both(r["pred"], r["gt"], parse_digits, run)

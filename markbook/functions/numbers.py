@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pytext import DIGIT, find_all, last_of, let, replace, strip
+from .pytext import DIGIT, SPACE, find_all, last_of, let, replace, strip_value, without
 
 _RUN = r"[0-9]+(?:_[0-9]+)*"
+_BLANKS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACE) + "]*+"
 NUMBER_TEXT = (
-    rf"(?i)^[+-]?(?:(?:{_RUN}(?:\.(?:{_RUN})?)?|\.{_RUN})(?:e[+-]?{_RUN})?|inf|infinity|nan)\z"
+    rf"(?i)^{_BLANKS}[+-]?(?:(?:{_RUN}(?:\.(?:{_RUN})?)?|\.{_RUN})(?:e[+-]?{_RUN})?|inf|infinity|nan){_BLANKS}\z"
 )
 
 
 def parse_number(c: Column) -> Column:
     """Text to double under Python's rules; null when it is not a number.
 
-    The pattern guards the cast: Spark alone would read ``1d`` and refuse ``1_000``.
+    The pattern guards the cast: Spark alone would read ``1d`` and refuse ``1_000``.  It allows blanks
+    around, so that only numbers are stripped.
     """
-    text = strip(c)
-    return F.when(text.rlike(NUMBER_TEXT), replace(text, "_").try_cast("double"))
+    return let(c, _number)
+
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_TEXT), without(strip_value(text), "_").try_cast("double"))
 
 
 def is_number(c: Column) -> Column:
@@ -32,9 +37,12 @@ def contains_digit(c: Column) -> Column:
 
 def parse_digits(c: Column) -> Column:
     """Number with thousands commas, or a percentage (``50%`` and ``50\\%``) as a fraction."""
-    text = replace(c, ",")
-    percent = F.when(text.endswith("%"), parse_number(F.regexp_replace(text, r"\\?%\z", "")) / 100)
-    return F.coalesce(parse_number(text), percent)
+
+    def run(text):
+        percent = F.when(text.endswith("%"), parse_number(F.regexp_replace(text, r"\\?%\z", "")) / 100)
+        return F.coalesce(_number(text), percent)
+
+    return let(replace(c, ","), run)
 
 
 def is_close(a: Column, b: Column, tol: float = 1e-4) -> Column:

@@ -31,6 +31,15 @@ def strip(c: Column, chars: str = SPACE) -> Column:
     return F.btrim(c, F.lit(chars))
 
 
+def strip_value(c: Column) -> Column:
+    """``strip`` for a value at hand (a column, a bound value or a field of one), which is read up to four times.
+
+    Most texts have nothing to strip, and one look at both ends is cheaper than a search of the long list of blanks.
+    """
+    blank = F.left(c, F.lit(1)).isin(list(SPACE)) | F.right(c, F.lit(1)).isin(list(SPACE))
+    return F.when(blank, strip(c)).otherwise(c)
+
+
 def rstrip(c: Column, chars: str = SPACE) -> Column:
     return F.rtrim(c, F.lit(chars))
 
@@ -43,6 +52,11 @@ def replace(c: Column, old: str, new: str = "") -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
 
+def without(c: Column, mark: str) -> Column:
+    """A value at hand without ``mark``, which most values do not hold."""
+    return F.when(c.contains(mark), replace(c, mark)).otherwise(c)
+
+
 def replace_all(c: Column, pairs) -> Column:
     """Plain text replacements, applied in the given order."""
     for old, new in pairs:

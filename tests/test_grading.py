@@ -33,6 +33,26 @@ def test_rungs(spark):
     assert [r["score"] for r in rows] == [want in G.PASSING_RUNGS for *_, want in PAIRS]
 
 
+def test_values_are_not_searched_for_blanks(spark):
+    """Blanks are stripped behind a look at both ends, and never from a whole expression again and again."""
+    df = spark.createDataFrame([("1", "2")], "pred string, gt string")
+    plan = df.select(G.grading_rung(df["pred"], df["gt"]))._jdf.queryExecution().analyzed().toString()
+    unguarded = len(re.findall(r"trim\(", plan)) - len(re.findall(r"THEN b?trim\(", plan))
+    assert unguarded < 200  # 346 when every rule stripped both sides anew
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\u3000", "\x85", "\x1c", "\u2029\xa0"])
+def test_blanks_around_values(spark, blank):
+    pairs = [
+        ("7.0", "7", "number"), ("1_0", "10.0", "number"), ("aB", "Ab", "text"), ("\\frac{1}{2}", "1/2", "value"), ("x", "y", "none"),
+        ("\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", "\\begin{pmatrix}1.0&2\\\\3&4\\end{pmatrix}", "matrix"),
+        ("\\begin{pmatrix}1\\2\\end{pmatrix}", "{1,2}", "brackets"), ("(x=1.0,y=2)", "(1,2.0)", "tuple"),
+    ]
+    rows = [(i, f"{blank}{p}{blank}", f"{g}{blank}") for i, (p, g, _) in enumerate(pairs)]
+    got = G.grade(spark.createDataFrame(rows, "i int, pred string, gt string")).orderBy("i").collect()
+    assert [r["rung"] for r in got] == [want for *_, want in pairs]
+
+
 def test_without_percent(spark):
     df = spark.createDataFrame([("5", "500")], "pred string, gt string")
     assert G.grade(df, percent=False).first()["rung"] == "number_differs"
