@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pytext import let
 from ..session import settle
 
 #: Rows that a bucket is worth; the number of buckets follows the rows.
@@ -17,20 +18,20 @@ ROWS_PER_BUCKET = 20_000
 ROWS_OF_LARGE = 1_000_000
 #: Parts of a group that a sketch tells apart.
 ACCURACY = 10_000
-#: Cuts up to which a CASE tree is shorter than a search in an array.
-TREE = 256
+#: Cuts up to which a row is placed by one CASE tree; Java compiles no method much longer than that.
+TREE = 64
 
 
 def _quantiles(df: DataFrame, key: str, buckets: int | None) -> list:
     """Approximate quantiles of ``key``, smallest first, repeats kept.
 
     Unless a number of buckets is asked for, a small table has twice as many as shuffle partitions,
-    but no more than its rows are worth, and a large one a bucket for each million rows.
+    but no more than its rows are worth or a tree holds, and a large one a bucket for each million rows.
     """
     if buckets is None:
         rows = df.agg(F.count(key)).first()[0]
         parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(2, min(parts, rows // ROWS_PER_BUCKET), rows // ROWS_OF_LARGE)
+        buckets = max(2, min(parts, rows // ROWS_PER_BUCKET, TREE), rows // ROWS_OF_LARGE)
     most = max(2, buckets)
     shares = [i / most for i in range(1, most)]
     cuts = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * most))).first()[0]
@@ -43,7 +44,7 @@ def key_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list:
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
-    """Number of cuts at or below ``key``, by a balanced CASE tree or a binary search."""
+    """Number of cuts at or below ``key``, by a balanced CASE tree, over blocks of cuts if there are many."""
     if not cuts:
         return F.lit(0)
     if len(cuts) > TREE:
@@ -59,21 +60,14 @@ def bucket_of(key: Column, cuts: list) -> Column:
 
 
 def _searched(key: Column, cuts: list) -> Column:
-    """Binary search in a constant array: as many steps as the number of cuts has binary digits."""
-    known = F.array(*[F.lit(c) for c in cuts])
-
-    def halve(span, _):
-        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        below = F.get(known, mid) <= key
-        open_ = span["lo"] < span["hi"]
-        return F.struct(
-            F.when(open_ & below, mid + 1).otherwise(span["lo"]).alias("lo"),
-            F.when(open_ & ~below, mid).otherwise(span["hi"]).alias("hi"),
-        )
+    """A tree finds the block of cuts, and only those of that block are compared one by one."""
+    span = -(-len(cuts) // TREE)
+    blocks = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + span]]) for i in range(0, len(cuts), span)])
+
+    def inside(block):
+        return block * span + F.size(F.filter(F.get(blocks, block), lambda cut: cut <= key))
 
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
-    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    return F.aggregate(steps, whole, halve, lambda span: span["lo"])
+    return let(bucket_of(key, cuts[span::span]), inside)
 
 
 def running_sum(

@@ -94,6 +94,23 @@ def test_word_problems_keep_the_given_file_order(spark, tmp_path):
     assert [(r["type"], r["question"]) for r in rows] == want and [r["idx"] for r in rows] == list(range(len(want)))
 
 
+def test_a_tree_places_rows_of_all_but_huge_tables(spark, monkeypatch):
+    """Many shuffle partitions give no more buckets than one tree holds; more cuts are compared block by block."""
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 1)
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).cast("decimal(38,0)").alias("k"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        cuts = O.key_cuts(df, "k")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert 32 <= len(cuts) < O.TREE
+    many = [*range(0, 5000, 7)]
+    placed = df.select("k", O.bucket_of(F.col("k"), many).alias("b"))
+    assert "aggregate(" not in placed._jdf.queryExecution().analyzed().toString()
+    assert all(r["b"] == int(r["k"]) // 7 + 1 for r in placed.collect())
+
+
 def test_many_buckets_are_searched(spark, monkeypatch):
     monkeypatch.setattr(O, "TREE", 4)
     cuts = list(range(0, 300, 7))
