@@ -324,9 +324,9 @@ def program_text():
    {'pos': 6, 'role': 'rationale', 'content': concat('Done ', q)}]) AS b FROM li)""")
 def trj1(spark, folder):
     df = lines(spark, folder).withColumn("t", T.trajectory(program_text()))
-    return df.select("idx", "kind", "part", "supp", "q", F.posexplode("t").alias("pos", "b")).select(
-        "idx", "kind", "part", "supp", "q", "pos", "b.role", "b.content"
-    )
+    # Before a plain explode Spark puts a filter on the array, which would cut every text twice.
+    blocks = df.select("idx", "kind", "part", "supp", "q", F.posexplode_outer("t").alias("pos", "b")).filter("pos IS NOT NULL")
+    return blocks.select("idx", "kind", "part", "supp", "q", "pos", "b.role", "b.content")
 
 
 @query("trj2_round_trip", S + " SELECT idx, kind, part, supp, true AS same FROM li")

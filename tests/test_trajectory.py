@@ -103,3 +103,11 @@ def test_ten_thousand_fences_in_linear_time(apply):
     (program,) = apply(T.programs, [text(2500)])
     assert len(blocks) == 7500 and program == plain_programs(text(2500))
     assert time.time() - start < 20
+
+
+def test_blocks_are_cut_once(spark):
+    """No filter below the explode, which would run every rule a second time."""
+    from markbook.plans import QUERIES
+
+    plan = QUERIES["trj1_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("```python") == 3  # twice in the text it composes, once in the pattern that cuts it
