@@ -15,9 +15,11 @@ longest suffix of its past that is a state.
 Data flow.  Texts are encoded once, in chunks: a chunk's own vocabulary as 64-bit hashes and its
 documents as numbers into it.  Counting passes read the chunks, count inside each of them and sum up
 the counts by key, so a frequent word is one row per chunk.  To score, a chunk asks for the keys it
-needs, each once; the requests are joined with the model, and the answers meet the chunk again.  No
-part of the model is broadcast but fixed-size bitmaps (``BITS``) of the keys worth asking for; where they
-fill up, more keys are asked for, and the results stay the same.
+needs, each once; the requests meet the model, and the answers meet the chunk again.  Both travel as
+sorted keys packed by differences, one row for a chunk and a range of keys; there are as many ranges as
+keep one at about ``RANGE`` tokens' keys.  No part of the model is broadcast but fixed-size bitmaps
+(``BITS``) of the keys worth asking for; where they fill up, more keys are asked for, and the results
+stay the same.
 
 Defined results: null and empty texts consist of the end alone; a null doc_id neither trains nor is held
 out (held_out is null); repeated rows count and are scored each by itself; without training text N is 0
@@ -46,6 +48,8 @@ MIN_GAIN = 12.0
 DISCOUNT = 0.75
 #: Tokens after which a chunk ends.
 CHUNK = 4_000_000
+#: Tokens to a range of keys.
+RANGE = 2_000_000
 #: Size of a bitmap, and the shifts that give a key its bits in it.
 BITS = 1 << 26
 SHIFTS = (0, 26)
@@ -86,7 +90,21 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
 
 
-CHUNKS = "chunk long, doc_ids array<long>, trained array<boolean>, lengths binary, tokens binary, vocabulary binary"
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in ascending order, as differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
+
+
+CHUNKS = "chunk long, size long, doc_ids array<long>, trained array<boolean>, lengths binary, tokens binary, vocabulary binary"
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -105,7 +123,8 @@ def chunked(docs: DataFrame) -> DataFrame:
             rank[order] = np.arange(len(known), dtype=np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[order]
             packed = [_pack(np.array(lengths, np.int32)), _pack(rank[tokens]), hashes.tobytes()]
-            return pd.DataFrame([[chunk, ids, trained, *packed]], columns=["chunk", "doc_ids", "trained", "lengths", "tokens", "vocabulary"])
+            columns = ["chunk", "size", "doc_ids", "trained", "lengths", "tokens", "vocabulary"]
+            return pd.DataFrame([[chunk, total, ids, trained, *packed]], columns=columns)
 
         for pdf in batches:
             for doc_id, text, train in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["train"].tolist()):
@@ -162,6 +181,31 @@ class Chunk:
         return self.vocabulary[self.tokens[at]]
 
 
+class Places:
+    """Where keys are in an ascending array of them; its length for those it lacks.
+
+    Keys are hashes, so few share their first bits.
+    """
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = np.r_[keys, np.uint64(0)], np.uint64(64 - bits)
+        ends = np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.starts = np.r_[0, ends].astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        first = (keys >> self.shift).astype(np.int64)
+        at, end = self.starts[first], self.starts[first + 1]
+        places = np.full(len(keys), len(self.keys) - 1, np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            places[left[hit]] = at[left[hit]]
+            at[left] += 1
+            left = left[~hit & (at[left] < end[left])]
+        return places
+
+
 class Bitmap:
     """Which keys are worth asking for; may say yes to others."""
 
@@ -310,47 +354,64 @@ def scored(docs: DataFrame) -> DataFrame:
     model = tree(chunks, counts, n, v)
     worth = bitmap(model)
 
-    def start():
-        maybe = Bitmap(worth.value)
-
-        def ask(chunk: Chunk) -> Iterator[dict]:
-            keys = [np.unique(np.r_[states, pairs[maybe.of(pairs)]]) for _, states, pairs in _asked(chunk, maybe)]
-            asked = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-            yield {"chunk": chunk.number, "key": _signed(np.r_[chunk.vocabulary, asked])}
-
-        return ask
+    # Ranges go by the first bits of a key.
+    bits = max(0, int(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE).bit_length()
 
-    requests = _rows(start, chunks, "chunk long, key long")
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maybe = Bitmap(worth.value)
+        firsts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+        for pdf in batches:
+            for row in pdf.itertuples():
+                chunk = Chunk(row)
+                keys = [_distinct(np.r_[states, pairs[maybe.of(pairs)]]) for _, states, pairs in _asked(chunk, maybe)]
+                asked = _distinct(np.concatenate([chunk.vocabulary, *keys]))
+                parts = np.split(asked, np.searchsorted(asked, firsts[1:]))
+                found = [(i, chunk.number, _pack_keys(x)) for i, x in enumerate(parts) if len(x)]
+                yield pd.DataFrame(found, columns=["range", "chunk", "keys"])
+
+    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        keys = known["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, c, rest = keys[order], known["c"].to_numpy(np.int64)[order], known["rest"].to_numpy(float)[order]
+        found = []
+        for row in asked.itertuples():
+            wanted = _unpack_keys(row.keys)
+            at = np.searchsorted(keys, wanted)
+            at = at[keys[np.minimum(at, len(keys) - 1)] == wanted] if len(keys) else at[:0]
+            if len(at):
+                found.append((row.range, row.chunk, _pack_keys(keys[at]), _pack(c[at]), _pack(rest[at])))
+        return pd.DataFrame(found, columns=["range", "chunk", "keys", "c", "rest"])
+
+    requests = chunks.mapInPandas(ask, "range int, chunk long, keys binary")
     known = counts.select("key", "c", F.lit(0.0).alias("rest")).unionAll(model)
-    answers = requests.join(known, "key").select("chunk", "key", "c", "rest")
+    first = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)
+    known = known.select(first.cast("int").alias("range"), "key", "c", "rest")
+    answers = requests.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(
+        answer, "range int, chunk long, keys binary, c binary, rest binary"
+    )
 
     def score(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         maybe = Bitmap(worth.value)
-        keys = values["a_key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
+        values = values.sort_values("range")
+        keys = np.concatenate([np.empty(0, np.uint64), *map(_unpack_keys, values["keys"])])
         # An unknown key is at the end, with 0.
-        c, rest = (np.r_[values[x].to_numpy(float)[order], 0.0] for x in ("a_c", "a_rest"))
-
-        def places(asked: np.ndarray) -> np.ndarray:
-            if not len(keys):
-                return np.zeros(len(asked), np.int64)
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            return np.where(keys[at] == asked, at, len(keys))
+        c = np.concatenate([*(_unpack(x, "<i8") for x in values["c"]), [0]]).astype(float)
+        rest = np.concatenate([*(_unpack(x, "<f8") for x in values["rest"]), [0.0]])
 
+        places = Places(keys)
         parts = []
         for row in rows.itertuples():
             chunk = Chunk(row)
             starts = np.r_[0, chunk.ends[:-1] + 1] if len(chunk.ends) else chunk.ends
             add = lambda x: np.add.reduceat(x, starts)
-            base = c[places(chunk.vocabulary)][chunk.tokens]
+            base = c[places.of(chunk.vocabulary)][chunk.tokens]
             n_known = add((base > 0).astype(np.int64))
             base += 0.5
             base /= n + 0.5 * (v + 1)
             p = base.copy()
             base_score = add(np.log10(base, out=base))
             for at, states, pairs in _asked(chunk, maybe):
-                state, pair = places(states), places(pairs)
+                state, pair = places.of(states), places.of(pairs)
                 real = c[state] > 0
                 at, state, pair = at[real], state[real], pair[real]
                 p[at] = np.maximum(c[pair] - DISCOUNT, 0) / c[state] + rest[state] / c[state] * p[at]
@@ -369,8 +430,7 @@ def scored(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({x: [] for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
         return pd.concat(parts)
 
-    renamed = answers.toDF("a_chunk", "a_key", "a_c", "a_rest")
-    rated = chunks.groupBy("chunk").cogroup(renamed.groupBy("a_chunk")).applyInPandas(
+    rated = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         score, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     return rated.select(

@@ -450,6 +450,28 @@ def test_chunks_do_not_change_scores(documents, monkeypatch):
     assert small == whole
 
 
+def test_ranges_of_keys_do_not_change_scores(documents, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "MIN_CONTEXT", 8)
+    whole = sorted((str(r.doc_id), r.n_tokens, round(r.score, 8)) for r in suffix_tree.scored(documents).collect())
+    monkeypatch.setattr(suffix_tree, "RANGE", 5_000)
+    ranged = sorted((str(r.doc_id), r.n_tokens, round(r.score, 8)) for r in suffix_tree.scored(documents).collect())
+    assert ranged == whole
+
+
+def test_keys_are_packed_and_found():
+    draw = np.random.default_rng(5)
+    keys = suffix_tree._distinct(draw.integers(0, 1 << 64, 300_000, np.uint64, endpoint=False))
+    packed = suffix_tree._pack_keys(keys)
+    # A row of a key and its chunk is 16 bytes and more.
+    assert len(packed) < 6.5 * len(keys)
+    assert (suffix_tree._unpack_keys(packed) == keys).all()
+    known, close = keys[::3], np.arange(5, dtype=np.uint64)
+    for own in (known, close, known[:1], known[:0]):
+        asked = np.r_[keys, close, np.uint64(2**64 - 1)]
+        at = {int(k): i for i, k in enumerate(own)}
+        assert suffix_tree.Places(own).of(asked).tolist() == [at.get(int(k), len(own)) for k in asked]
+
+
 def test_tree_equals_brute_force(spark, monkeypatch):
     """States, discounts and back-off of a small corpus, computed token by token."""
     for name, value in {"MIN_CONTEXT": 5, "MIN_NEXT": 2, "MIN_PAIR": 2, "MIN_GAIN": 2.0}.items():
