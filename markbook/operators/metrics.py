@@ -60,19 +60,58 @@ def type_accuracy(graded: DataFrame, by=("type",)) -> DataFrame:
 
 
 def metrics_record(graded: DataFrame, seconds: float | None = None) -> DataFrame:
-    """The flat metrics record of a run, with the per-type map in type order and the time it took."""
-    types = type_accuracy(graded).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "acc")))).alias("type_acc")
+    """The flat metrics record of a run, with the per-type map in type order and the time it took.
+
+    Accuracy and types come from one pass, so that each completion is graded once: questions per type,
+    questions, types, all.
+    """
+    missing = F.coalesce(F.col("pred"), F.lit("")) == ""
+    parts = graded.groupBy("type", "idx").agg(
+        F.count("*").alias("n"),
+        F.min("sample_id").alias("first_id"),
+        F.max("sample_id").alias("last_id"),
+        F.min_by(_score(), "sample_id").alias("first_score"),
+        F.max_by(_score(), "sample_id").alias("last_score"),
+        F.max_by(missing.cast("int"), "sample_id").alias("last_empty"),
     )
-    total = accuracy(graded).withColumn(
-        "timeout_samples", F.lit(0).cast("long")
+    questions = parts.groupBy("idx").agg(
+        F.sum("n").alias("n"),
+        F.min_by("first_score", "first_id").alias("first_score"),
+        F.max_by("last_empty", "last_id").alias("last_empty"),
+        F.collect_list(F.struct("type", "last_score")).alias("types"),
     )
+    # A question of several types counts once in the total: with the first of them.
+    each = questions.select("n", "first_score", "last_empty", F.posexplode("types").alias("at", "t"))
+    once = F.col("at") == 0
+    types = each.groupBy("t.type").agg(
+        F.count_if(once).alias("questions"),
+        *[F.sum(F.when(once, F.col(c))).alias(c) for c in ("n", "first_score", "last_empty")],
+        rounded_percent(F.sum("t.last_score") / F.count("*")).alias("acc"),
+    )
+    count = F.coalesce(F.sum("questions"), F.lit(0).cast("long"))
+    total = types.agg(
+        count.alias("num_samples"),
+        F.sum("n").alias("num_scores"),
+        F.sum("last_empty").alias("empty_samples"),
+        (F.sum("first_score") / count).alias("acc_ratio"),
+        F.collect_list(F.struct("type", "acc")).alias("_types"),
+    )
+    timed = []
     if seconds is not None:
-        total = total.withColumn("time_use_in_second", F.lit(float(seconds))).withColumn(
-            "time_use_in_minite", minutes_seconds(F.lit(float(seconds)))
-        )
-    # Both sides hold exactly one row.
-    return total.withColumn("_one", F.lit(1)).join(types.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        timed = [
+            F.lit(float(seconds)).alias("time_use_in_second"),
+            minutes_seconds(F.lit(float(seconds))).alias("time_use_in_minite"),
+        ]
+    return total.select(
+        "num_samples",
+        "num_scores",
+        "empty_samples",
+        "acc_ratio",
+        rounded_percent(F.col("acc_ratio")).alias("acc"),
+        F.lit(0).cast("long").alias("timeout_samples"),
+        *timed,
+        F.map_from_entries(F.array_sort("_types")).alias("type_acc"),
+    )
 
 
 def position_curve(graded: DataFrame, span: int = 4096) -> DataFrame:

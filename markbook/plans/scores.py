@@ -291,9 +291,9 @@ def _wide(spark, folder):
     gold = done.groupBy("idx").agg(F.max("type").alias("type"), F.concat(F.lit("so it is #### "), F.max("gt")).alias("answer"))
     lists = C.grouped_samples(done, ("code", "pred")).join(gold, "idx")
     rewards = F.transform("pred", lambda p, i: F.array((i % 3).cast("double")))
-    wide = lists.withColumn("pred_score", rewards).withColumn("loaded", F.lit(1))
-    stale = wide.filter("idx % 3 = 0").withColumn("pred", F.array().cast("array<string>")).withColumn("loaded", F.lit(0))
-    return wide.unionByName(stale)
+    loads = F.when(F.col("idx") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    wide = lists.withColumn("pred_score", rewards).withColumn("loaded", F.explode(loads))
+    return wide.withColumn("pred", F.when(F.col("loaded") == 1, F.col("pred")).otherwise(F.array().cast("array<string>")))
 
 
 @query("eval_wide_samples", f"WITH {GRADED} SELECT idx, sample_id, gt, pred, score, CAST(sample_id % 3 AS DOUBLE) AS reward FROM graded")

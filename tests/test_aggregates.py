@@ -200,3 +200,20 @@ def test_grid(spark):
 def test_latency_leaves_warm_up_out(spark):
     df = spark.createDataFrame([("m", i, 100.0 if i == 0 else float(i)) for i in range(6)], "s string, run_no int, seconds double")
     assert cost.mean_latency(df, ["s"]).first()["avg_latency"] == 3.0
+
+
+def test_metrics_record_reads_its_samples_once(spark):
+    rows = [
+        ("a", 1, 0, "1", True), ("a", 1, 1, "", False), ("b", 1, 2, "3", True), ("b", 2, 0, "", False),
+        (None, 3, 0, None, True), ("a", 3, 1, "7", True), ("b", None, 0, "2", True),
+    ]
+    df = spark.createDataFrame(rows, "type string, idx long, sample_id int, pred string, score boolean")
+    record = metrics.metrics_record(df)
+    assert record._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = record.drop("type_acc").first().asDict()
+    want = metrics.accuracy(df).first().asDict()
+    assert {k: got[k] for k in want} == want
+    typed = metrics.metrics_record(df.filter("type is not null")).first()
+    assert typed.type_acc == {r.type: r.acc for r in metrics.type_accuracy(df.filter("type is not null")).collect()}
+    empty = metrics.metrics_record(df.limit(0)).first()
+    assert (empty.num_samples, empty.num_scores, empty.acc, empty.type_acc) == (0, None, None, {})
