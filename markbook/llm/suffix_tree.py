@@ -13,13 +13,15 @@ down to the smoothed unigram (c(x) + 0.5) / (N + 0.5 (V + 1)).  A text is scored
 longest suffix of its past that is a state.
 
 Data flow.  Texts are encoded once, in chunks: a chunk's own vocabulary as 64-bit hashes and its
-documents as numbers into it.  Counting passes read the chunks, count inside each of them and sum up
-the counts by key, so a frequent word is one row per chunk.  To score, a chunk asks for the keys it
-needs, each once; the requests meet the model, and the answers meet the chunk again.  Both travel as
-sorted keys packed by differences, one row for a chunk and a range of keys; there are as many ranges as
-keep one at about ``RANGE`` tokens' keys.  No part of the model is broadcast but fixed-size bitmaps
-(``BITS``) of the keys worth asking for; where they fill up, more keys are asked for, and the results
-stay the same.
+documents as numbers into it.  For each depth a chunk sends the contexts and symbols it holds, each pair
+once, with its own training counts; the counts are summed up by pair, and the chunk is answered with the
+sums.  For the states it asks once more.  All of this travels packed, one row for a chunk and a range of
+keys; there are as many ranges as keep one at about ``RANGE`` tokens' keys.  Keys are sorted and sent as
+differences.  Pairs go by ranges of the symbol, so a chunk names a symbol once, and by ranges of the
+context for symbols that alone would fill a range.  Answers are values in the order of the question,
+without its keys: the chunk makes its questions again.  No part of the model is broadcast but fixed-size
+bitmaps (``BITS``) of the keys worth asking for, where more keys are asked for as they fill up, and the
+symbols above, fewer than there are ranges.
 
 Defined results: null and empty texts consist of the end alone; a null doc_id neither trains nor is held
 out (held_out is null); repeated rows count and are scored each by itself; without training text N is 0
@@ -47,9 +49,9 @@ MIN_PAIR = 3
 MIN_GAIN = 12.0
 DISCOUNT = 0.75
 #: Tokens after which a chunk ends.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: Tokens to a range of keys.
-RANGE = 2_000_000
+RANGE = 8_000_000
 #: Size of a bitmap, and the shifts that give a key its bits in it.
 BITS = 1 << 26
 SHIFTS = (0, 26)
@@ -58,7 +60,6 @@ SLICE = 500_000
 TURN = 21
 END = np.uint64(0x9AE16A3B2F90404F)
 STATE = np.uint64(0x5851F42D4C957F2D)
-PAIR = np.uint64(0x14057B7EF767814F)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -104,7 +105,40 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
 
-CHUNKS = "chunk long, size long, doc_ids array<long>, trained array<boolean>, lengths binary, tokens binary, vocabulary binary"
+def _pack_numbers(x: np.ndarray) -> list[bytes]:
+    """Numbers of which small ones are frequent: how many bits each has, then the numbers by that."""
+    bits = np.frexp(x + 1.0)[1].astype(np.uint8)
+    return [_pack(bits), _pack(x[np.argsort(bits, kind="stable")])]
+
+
+def _unpack_numbers(bits: bytes, numbers: bytes) -> np.ndarray:
+    order = np.argsort(_unpack(bits, "u1"), kind="stable")
+    x = np.empty(len(order), np.int32)
+    x[order] = _unpack(numbers, "<i4")
+    return x
+
+
+def _first_bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _ends(ranges: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range ends in ascending numbers of ranges; from 0, the start of the first one."""
+    return np.searchsorted(ranges, np.arange((1 << bits) + 1))
+
+
+def _summed(c: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of the keys, sorted by the first, then the next, and the sums of ``c``."""
+    order = np.lexsort(keys[::-1])
+    keys, c = [k[order] for k in keys], c[order]
+    new = np.ones(len(c), bool)
+    if len(c):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return np.add.reduceat(c, first) if len(c) else c, *(k[first] for k in keys)
+
+
+CHUNKS = "chunk long, size long, doc_ids array<long>, trained array<boolean>, lengths binary, bits binary, tokens binary, vocabulary binary"
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -117,13 +151,14 @@ def chunked(docs: DataFrame) -> DataFrame:
 
         def row() -> pd.DataFrame:
             tokens = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            # Frequent words get small numbers, which pack well.
-            order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")
+            # Frequent words get small numbers, which pack well; between powers of two they go by hash.
             rank = np.empty(len(known), np.int32)
+            rank[np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")] = np.arange(len(known), dtype=np.int32)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+            order = np.lexsort((hashes, np.frexp(rank + 1.0)[1]))
             rank[order] = np.arange(len(known), dtype=np.int32)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[order]
-            packed = [_pack(np.array(lengths, np.int32)), _pack(rank[tokens]), hashes.tobytes()]
-            columns = ["chunk", "size", "doc_ids", "trained", "lengths", "tokens", "vocabulary"]
+            packed = [_pack(np.array(lengths, np.int32)), *_pack_numbers(rank[tokens]), _pack_keys(hashes[order])]
+            columns = ["chunk", "size", "doc_ids", "trained", "lengths", "bits", "tokens", "vocabulary"]
             return pd.DataFrame([[chunk, total, ids, trained, *packed]], columns=columns)
 
         for pdf in batches:
@@ -150,9 +185,9 @@ class Chunk:
 
     def __init__(self, row) -> None:
         self.number, self.doc_ids, self.trained = row.chunk, row.doc_ids, np.array(row.trained, bool)
-        self.vocabulary = np.concatenate([np.frombuffer(row.vocabulary, np.uint64), [END]])
+        self.vocabulary = np.concatenate([_unpack_keys(row.vocabulary), [END]])
         lengths = _unpack(row.lengths, "<i4").astype(np.int64)
-        tokens = _unpack(row.tokens, "<i4")
+        tokens = _unpack_numbers(row.bits, row.tokens)
         self.ends = np.cumsum(lengths + 1) - 1
         self.tokens = np.full(len(tokens) + len(lengths), len(self.vocabulary) - 1, np.int32)
         inside = np.ones(len(self.tokens), bool)
@@ -172,10 +207,13 @@ class Chunk:
         places = np.flatnonzero(known if wanted is None else known & wanted)
         for i in range(0, len(places), SLICE):
             at = places[i : i + SLICE]
-            context = self._keys(at - depth)
-            for back in range(depth - 1, 0, -1):
-                context = joined(self._keys(at - back), context)
-            yield at, context
+            yield at, self.context(at, depth)
+
+    def context(self, at: np.ndarray, depth: int) -> np.ndarray:
+        context = self._keys(at - depth)
+        for back in range(depth - 1, 0, -1):
+            context = joined(self._keys(at - back), context)
+        return context
 
     def _keys(self, at: np.ndarray) -> np.ndarray:
         return self.vocabulary[self.tokens[at]]
@@ -209,10 +247,8 @@ class Places:
 class Bitmap:
     """Which keys are worth asking for; may say yes to others."""
 
-    def __init__(self, parts: dict[int, bytes]) -> None:
-        self.bits = np.zeros(BITS // 8, np.uint8)
-        for bucket, data in parts.items():
-            self.bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(data)] = np.frombuffer(data, np.uint8)
+    def __init__(self, packed: bytes) -> None:
+        self.bits = _unpack(packed, "u1")
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         yes = np.ones(len(keys), bool)
@@ -223,7 +259,7 @@ class Bitmap:
 
 
 def bitmap(keys: DataFrame):
-    """Broadcast bitmap of the column ``key``: BITS / 8 bytes, whatever the number of keys."""
+    """Broadcast bitmap of the column ``key``: BITS / 8 bytes at most, whatever the number of keys."""
     # Both functions count from 1.
     places = F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(BITS - 1)) + 1 for shift in SHIFTS])
     place = F.col("place")
@@ -235,68 +271,115 @@ def bitmap(keys: DataFrame):
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    found = {r["bucket"]: bytes(r["bits"]) for r in parts.collect()}
-    return keys.sparkSession.sparkContext.broadcast(found)
+    bits = np.zeros(BITS // 8, np.uint8)
+    for bucket, data in parts.collect():
+        bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(data)] = np.frombuffer(data, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(_pack(bits))
 
 
-def _rows(start, chunks: DataFrame, schema: str) -> DataFrame:
-    """``start()`` gives each task a function from a chunk to dicts of arrays; their rows."""
+def _pairs(chunk: Chunk, depth: int, gates: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, s, c): symbols of a chunk after its contexts of a depth, and how often in training.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        function = start()
+    Those that the bitmaps name, of contexts, of symbols and of the pairs with the shorter context; at
+    depth 0 all words, with 0 as their context.
+    """
+    if not depth:
+        c = np.bincount(chunk.tokens[chunk.in_training], minlength=len(chunk.vocabulary))
+        return chunk.vocabulary, np.zeros(len(c), np.uint64), c
+    near, worth, *lower = gates
+    parts = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint64))]
+    for at, context in chunk.contexts(depth, worth.of(chunk.vocabulary)[chunk.tokens]):
+        k = near.of(context)
+        at, context = at[k], context[k]
+        for shorter in lower:
+            k = shorter.of(joined(chunk._keys(at), chunk.context(at, depth - 1)))
+            at, context = at[k], context[k]
+        c, x, s = _summed(chunk.in_training[at].astype(np.int32), chunk.tokens[at], context)
+        parts.append((c.astype(np.int32), x, s))
+    c, x, s = map(np.concatenate, zip(*parts))
+    return chunk.vocabulary[x], s, c
+
+
+def ranged(x: np.ndarray, s: np.ndarray, c: np.ndarray, often: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """(x, s, c) by range, symbol and context, each pair once, and where the ranges end."""
+    ranges = _first_bits(np.where(np.isin(x, often), s, x), bits).astype(np.int32)
+    parts, each = [], max(1, (1 << bits) // 8)
+    # Few ranges are sorted at a time, which takes less memory.
+    for i in range(0, 1 << bits, each):
+        k = (ranges >= i) & (ranges < i + each)
+        parts.append(_summed(c[k], ranges[k], x[k], s[k]))
+    ranges = np.concatenate([p[1] for p in parts])
+    c = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), c, _ends(ranges, bits)
+
+
+PAIRS = "range int, symbols binary, sizes binary, contexts binary, places binary, c binary"
+
+
+def packed_pairs(x: np.ndarray, s: np.ndarray, c: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    """One row a range: each symbol once, its contexts as places in a list of them, and the counts."""
+    found = []
+    for r, (i, j) in enumerate(zip(ends, ends[1:])):
+        if i < j:
+            symbols, sizes = np.unique(x[i:j], return_counts=True)
+            contexts, places = np.unique(s[i:j], return_inverse=True)
+            numbers = [_pack(y.astype(np.int32)) for y in (sizes, places)]
+            found.append((r, _pack_keys(symbols), numbers[0], _pack_keys(contexts), numbers[1], _pack(c[i:j])))
+    return pd.DataFrame(found, columns=["range", "symbols", "sizes", "contexts", "places", "c"])
+
+
+def unpacked_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.repeat(_unpack_keys(row.symbols), _unpack(row.sizes, "<i4"))
+    return x, _unpack_keys(row.contexts)[_unpack(row.places, "<i4")], _unpack(row.c, "<i8")
+
+
+def followers(chunks: DataFrame, depth: int, gates: tuple, often: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(s, x, c): training counts of symbols after contexts; (depth, range, chunk, c): a chunk's share of them."""
+    least = MIN_PAIR if depth else 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maps = tuple(Bitmap(g.value) for g in gates)
         for pdf in batches:
             for row in pdf.itertuples():
-                for found in function(Chunk(row)):
-                    for i in range(0, len(found["key"]), 100_000):
-                        yield pd.DataFrame({c: x[i : i + 100_000] if np.ndim(x) else x for c, x in found.items()})
-
-    return chunks.mapInPandas(run, schema)
-
-
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """(key, c) of every training token."""
-
-    def count(chunk: Chunk) -> Iterator[dict]:
-        n = np.bincount(chunk.tokens[chunk.in_training], minlength=len(chunk.vocabulary))
-        seen = n > 0
-        yield {"key": _signed(chunk.vocabulary[seen]), "c": n[seen]}
-
-    return _rows(lambda: count, chunks, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def followers(chunks: DataFrame, depth: int, contexts, symbols) -> DataFrame:
-    """(s, x, c): training counts of symbols after the contexts of a depth that the bitmaps name."""
-
-    def start():
-        near, worth = Bitmap(contexts.value), Bitmap(symbols.value)
-
-        def count(chunk: Chunk) -> Iterator[dict]:
-            """Some of the tokens at a time; Spark sums up what recurs."""
-            wanted = chunk.in_training & worth.of(chunk.vocabulary)[chunk.tokens]
-            for at, context in chunk.contexts(depth, wanted):
-                k = near.of(context)
-                x, context = chunk.tokens[at[k]], context[k]
-                order = np.lexsort((x, context))
-                context, x = context[order], x[order]
-                new = np.r_[True, (context[1:] != context[:-1]) | (x[1:] != x[:-1])][: len(x)]
-                first = np.flatnonzero(new)
-                yield {
-                    "key": _signed(context[first]),
-                    "x": _signed(chunk.vocabulary[x[first]]),
-                    "c": np.diff(np.r_[first, len(x)]),
-                }
-
-        return count
+                yield packed_pairs(*ranged(*_pairs(Chunk(row), depth, maps), often, bits)).assign(chunk=row.chunk)
+
+    def total(asked: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpacked_pairs(row) for row in asked.itertuples()]
+        x, s, c = map(np.concatenate, zip(*parts))
+        order = np.lexsort((x, s))
+        x, s = x[order], s[order]
+        new = np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])]
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(c[order], first)
+        sums[sums < least] = 0
+        c[order] = sums[np.cumsum(new) - 1]
+        kept = sums > 0
+        shares = np.split(c, np.cumsum([len(p[2]) for p in parts])[:-1])
+        answers = [(r, k, _pack(y)) for r, k, y in zip(asked["range"], asked["chunk"], shares) if y.any()]
+        r, k, packed = zip(*answers) if answers else ((), (), ())
+        rows, none = int(kept.sum()), np.zeros(len(answers), np.int64)
+        return pd.DataFrame(
+            {
+                "s": np.r_[_signed(s[first][kept]), none],
+                "x": np.r_[_signed(x[first][kept]), none],
+                "c": np.r_[sums[kept], none],
+                "range": np.r_[np.full(rows, -1), np.array(r, np.int64)],
+                "chunk": np.r_[np.full(rows, -1), np.array(k, np.int64)],
+                "answer": [None] * rows + list(packed),
+            }
+        )
 
-    counted = _rows(start, chunks, "key long, x long, c long").withColumnRenamed("key", "s")
-    return counted.groupBy("s", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_PAIR)
+    asked = chunks.mapInPandas(count, PAIRS + ", chunk long").groupBy("range")
+    both = stored(asked.applyInPandas(total, "s long, x long, c long, range int, chunk long, answer binary"), f"counts{depth}")
+    answers = both.where(F.col("range") >= 0).select(F.lit(depth).alias("depth"), "range", "chunk", F.col("answer").alias("c"))
+    return both.where(F.col("range") < 0).select("s", "x", "c"), answers
 
 
-def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """(key, c, rest): counts of (state, symbol) and of states, and what states leave to shorter ones.
+def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int, bits: int) -> tuple[DataFrame, list]:
+    """(key, c, rest): counts of states, and what they leave to shorter ones; steps of ``followers``.
 
-    ``rest`` is in occurrences, 0 for (state, symbol).  Whole numbers and quarters, unlike shares, pack
-    well wherever they are written.
+    ``rest`` is in occurrences.  Whole numbers and quarters, unlike shares, pack well wherever they are
+    written.  A step is (depth, bitmaps, frequent symbols, answers).
     """
     p0 = (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))
     below = counts.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), p0.alias("p"))
@@ -304,12 +387,17 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
         F.col("key").alias("s"), F.lit(0).cast("long").alias("shorter"), F.col("c").alias("total")
     )
     symbols = bitmap(counts.where(F.col("c") >= MIN_NEXT))
-    model, spreads = None, []
+    # Fewer than there are ranges, for all counts together are n.
+    often = [r["key"] for r in counts.where(F.col("c") * (1 << bits) > n).select("key").collect()]
+    often = np.array(often, np.int64).view(np.uint64)
+    model, spreads, steps, lower = None, [], [], ()
     for depth in range(1, DEPTH + 1):
-        near = bitmap(contexts.select(F.col("s").alias("key")))
-        pairs = followers(chunks, depth, near, symbols)
+        gates = bitmap(contexts.select(F.col("s").alias("key"))), symbols, *lower
+        counted, answers = followers(chunks, depth, gates, often, bits)
+        steps.append((depth, gates, often, stored(answers, "answers")))
         shorter = below.select(F.col("s").alias("shorter"), "x", F.col("p").alias("q"))
-        pairs = stored(pairs.join(contexts, "s").join(shorter, ["shorter", "x"]), "followers")
+        pairs = stored(counted.join(contexts, "s").join(shorter, ["shorter", "x"]), "followers")
+        forget(counted)
         others = F.first("total") - F.sum("c")
         rest = others + F.lit(DISCOUNT) * F.count(F.lit(1))
         left = pairs.groupBy("s").agg(others.alias("others"), rest.alias("rest"), (rest / F.first("total")).alias("left"))
@@ -320,101 +408,126 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
         states = spread.groupBy("s").agg(gain.alias("gain"), F.first("total").alias("c"), F.first("rest").alias("rest"))
         states = stored(states.where(F.col("gain") >= MIN_GAIN).drop("gain"), "states")
         spreads += [spread, states]
-        shares = spread.join(states.select("s"), "s", "left_semi").select(
-            joined_column("x", "s").bitwiseXOR(F.lit(int(PAIR))).alias("key"),
-            "c",
-            F.lit(0.0).alias("rest"),
-        )
-        leaves = states.select(F.col("s").bitwiseXOR(F.lit(int(STATE))).alias("key"), "c", "rest")
-        part = shares.unionAll(leaves)
+        part = states.select(F.col("s").bitwiseXOR(F.lit(int(STATE))).alias("key"), "c", "rest")
         model = part if model is None else model.unionAll(part)
         contexts = spread.where(F.col("c") >= MIN_CONTEXT).select(
             joined_column("x", "s").alias("s"), joined_column("x", "shorter").alias("shorter"), F.col("c").alias("total")
         )
         below = spread.select("s", "x", "p")
+        # A pair that is frequent enough is so with the shorter context.
+        if depth < DEPTH:
+            lower = (bitmap(spread.select(joined_column("x", "s").alias("key"))),)
     whole = stored(model, "tree")
     forget(*spreads)
-    return whole
+    return whole, steps
 
 
-def _asked(chunk: Chunk, worth: Bitmap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places of tokens whose context may be a state, the keys of the state and of the pair; shallow first."""
-    for depth in range(1, DEPTH + 1):
-        for at, context in chunk.contexts(depth):
-            near = worth.of(context ^ STATE)
-            at, context = at[near], context[near]
-            yield at, context ^ STATE, joined(chunk._keys(at), context) ^ PAIR
+def _states(chunk: Chunk, depth: int, worth: Bitmap) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of tokens whose context may be a state, and the context."""
+    for at, context in chunk.contexts(depth):
+        near = worth.of(context ^ STATE)
+        yield at[near], context[near]
+
+
+def _request(chunk: Chunk, worth: Bitmap) -> np.ndarray:
+    """Keys of all that may be states, in ascending order."""
+    keys = [_distinct(s ^ STATE) for depth in range(1, DEPTH + 1) for _, s in _states(chunk, depth, worth)]
+    return _distinct(np.concatenate([np.empty(0, np.uint64), *keys]))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     chunks = stored(chunked(docs), "chunks")
-    counts = stored(vocabulary(chunks), "vocabulary")
-    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    model = tree(chunks, counts, n, v)
-    worth = bitmap(model)
-
     # Ranges go by the first bits of a key.
     bits = max(0, int(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE).bit_length()
+    never = np.empty(0, np.uint64)
+    counts, answers = followers(chunks, 0, (), never, bits)
+    counts = counts.select(F.col("x").alias("key"), "c")
+    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    model, steps = tree(chunks, counts, n, v, bits)
+    answers = stored(answers, "answers")
+    forget(counts)
+    worth = bitmap(model)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maybe = Bitmap(worth.value)
-        firsts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
         for pdf in batches:
             for row in pdf.itertuples():
-                chunk = Chunk(row)
-                keys = [_distinct(np.r_[states, pairs[maybe.of(pairs)]]) for _, states, pairs in _asked(chunk, maybe)]
-                asked = _distinct(np.concatenate([chunk.vocabulary, *keys]))
-                parts = np.split(asked, np.searchsorted(asked, firsts[1:]))
-                found = [(i, chunk.number, _pack_keys(x)) for i, x in enumerate(parts) if len(x)]
+                asked = _request(Chunk(row), maybe)
+                ends = _ends(_first_bits(asked, bits), bits)
+                found = [(r, row.chunk, _pack_keys(asked[i:j])) for r, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
                 yield pd.DataFrame(found, columns=["range", "chunk", "keys"])
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         keys = known["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
+        # A key that is unknown has 0.
         keys, c, rest = keys[order], known["c"].to_numpy(np.int64)[order], known["rest"].to_numpy(float)[order]
+        keys, c, rest = np.r_[keys, np.uint64(0)], np.r_[c, 0], np.r_[rest, 0.0]
         found = []
         for row in asked.itertuples():
             wanted = _unpack_keys(row.keys)
-            at = np.searchsorted(keys, wanted)
-            at = at[keys[np.minimum(at, len(keys) - 1)] == wanted] if len(keys) else at[:0]
-            if len(at):
-                found.append((row.range, row.chunk, _pack_keys(keys[at]), _pack(c[at]), _pack(rest[at])))
-        return pd.DataFrame(found, columns=["range", "chunk", "keys", "c", "rest"])
+            at = np.searchsorted(keys[:-1], wanted)
+            at[keys[at] != wanted] = len(keys) - 1
+            if c[at].any():
+                found.append((row.range, row.chunk, _pack(c[at]), _pack(rest[at])))
+        return pd.DataFrame(found, columns=["range", "chunk", "c", "rest"])
 
     requests = chunks.mapInPandas(ask, "range int, chunk long, keys binary")
-    known = counts.select("key", "c", F.lit(0.0).alias("rest")).unionAll(model)
     first = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)
-    known = known.select(first.cast("int").alias("range"), "key", "c", "rest")
-    answers = requests.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(
-        answer, "range int, chunk long, keys binary, c binary, rest binary"
+    known = model.select(first.cast("int").alias("range"), "key", "c", "rest")
+    found = requests.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(
+        answer, "range int, chunk long, c binary, rest binary"
     )
+    # The states' answers go as depth -1.
+    found = found.select(F.lit(-1).alias("depth"), "range", "chunk", "c", "rest")
+    for own in (answers, *(own for *_, own in steps)):
+        found = found.unionAll(own.withColumn("rest", F.lit(None).cast("binary")))
+    asked = [(depth, gates, often) for depth, gates, often, _ in steps]
 
     def score(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         maybe = Bitmap(worth.value)
-        values = values.sort_values("range")
-        keys = np.concatenate([np.empty(0, np.uint64), *map(_unpack_keys, values["keys"])])
-        # An unknown key is at the end, with 0.
-        c = np.concatenate([*(_unpack(x, "<i8") for x in values["c"]), [0]]).astype(float)
-        rest = np.concatenate([*(_unpack(x, "<f8") for x in values["rest"]), [0.0]])
-
-        places = Places(keys)
         parts = []
         for row in rows.itertuples():
             chunk = Chunk(row)
+
+            def answered(depth: int, ends: np.ndarray, column: str = "c", kind: str = "<i8") -> np.ndarray:
+                x = np.zeros(ends[-1], kind)
+                for own in values[values["depth"] == depth].itertuples():
+                    x[ends[own.range] : ends[own.range + 1]] = _unpack(getattr(own, column), kind)
+                return x
+
+            wanted = _request(chunk, maybe)
+            ends = _ends(_first_bits(wanted, bits), bits)
+            # An unknown key is at the end, with 0.
+            states = Places(wanted)
+            total, rest = np.r_[answered(-1, ends), 0].astype(float), np.r_[answered(-1, ends, "rest", "<f8"), 0.0]
+            pairs = []
+            for depth, gates, often in asked:
+                x, s, _, ends = ranged(*_pairs(chunk, depth, tuple(Bitmap(g.value) for g in gates)), often, bits)
+                c = answered(depth, ends)
+                keys = joined(x[c > 0], s[c > 0])
+                del x, s
+                order = np.argsort(keys)
+                pairs.append((Places(keys[order]), np.r_[c[c > 0][order], 0].astype(float)))
+                del keys, order
+            x, _, _, ends = ranged(*_pairs(chunk, 0, ()), never, bits)
+            c = np.r_[answered(0, ends), 0].astype(float)
             starts = np.r_[0, chunk.ends[:-1] + 1] if len(chunk.ends) else chunk.ends
             add = lambda x: np.add.reduceat(x, starts)
-            base = c[places.of(chunk.vocabulary)][chunk.tokens]
+            base = c[Places(x).of(chunk.vocabulary)][chunk.tokens]
             n_known = add((base > 0).astype(np.int64))
             base += 0.5
             base /= n + 0.5 * (v + 1)
             p = base.copy()
             base_score = add(np.log10(base, out=base))
-            for at, states, pairs in _asked(chunk, maybe):
-                state, pair = places.of(states), places.of(pairs)
-                real = c[state] > 0
-                at, state, pair = at[real], state[real], pair[real]
-                p[at] = np.maximum(c[pair] - DISCOUNT, 0) / c[state] + rest[state] / c[state] * p[at]
+            for depth, (places, c) in enumerate(pairs, 1):
+                for at, context in _states(chunk, depth, maybe):
+                    state = states.of(context ^ STATE)
+                    real = total[state] > 0
+                    at, state = at[real], state[real]
+                    pair = places.of(joined(chunk._keys(at), context[real]))
+                    p[at] = np.maximum(c[pair] - DISCOUNT, 0) / total[state] + rest[state] / total[state] * p[at]
             parts.append(
                 pd.DataFrame(
                     {
@@ -430,7 +543,7 @@ def scored(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({x: [] for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
         return pd.concat(parts)
 
-    rated = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+    rated = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(
         score, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     return rated.select(

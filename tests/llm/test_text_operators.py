@@ -472,6 +472,31 @@ def test_keys_are_packed_and_found():
         assert suffix_tree.Places(own).of(asked).tolist() == [at.get(int(k), len(own)) for k in asked]
 
 
+def test_pairs_travel_packed_and_frequent_symbols_are_spread():
+    draw = np.random.default_rng(6)
+    hashes = draw.integers(0, 1 << 64, 20_000, np.uint64, endpoint=False)
+    x, s = hashes[draw.zipf(1.3, 400_000) % 20_000], hashes[draw.zipf(1.3, 400_000) % 2_000]
+    want = Counter(zip(x.tolist(), s.tolist()))
+    often = hashes[1:2]
+    x, s, c, ends = suffix_tree.ranged(x, s, np.ones(len(x), np.int32), often, 4)
+    rows = suffix_tree.packed_pairs(x, s, c, ends)
+    # A row of a context, a symbol and a count took more than 17 bytes.
+    assert rows.drop(columns="range").map(len).to_numpy().sum() < 8 * len(x)
+    got = Counter()
+    for row in rows.itertuples():
+        for a, b, n in zip(*(y.tolist() for y in suffix_tree.unpacked_pairs(row))):
+            assert (b if a == int(often[0]) else a) >> 60 == row.range
+            got[a, b] += n
+    assert got == want
+
+
+def test_numbers_are_packed_by_size():
+    x = (np.random.default_rng(7).zipf(1.2, 200_000) % 300_000).astype(np.int32)
+    packed = suffix_tree._pack_numbers(x)
+    assert (suffix_tree._unpack_numbers(*packed) == x).all()
+    assert sum(map(len, packed)) < len(suffix_tree._pack(x))
+
+
 def test_tree_equals_brute_force(spark, monkeypatch):
     """States, discounts and back-off of a small corpus, computed token by token."""
     for name, value in {"MIN_CONTEXT": 5, "MIN_NEXT": 2, "MIN_PAIR": 2, "MIN_GAIN": 2.0}.items():
