@@ -17,11 +17,13 @@ documents as numbers into it.  For each depth a chunk sends the contexts and sym
 once, with its own training counts; the counts are summed up by pair, and the chunk is answered with the
 sums.  For the states it asks once more.  All of this travels packed, one row for a chunk and a range of
 keys; there are as many ranges as keep one at about ``RANGE`` tokens' keys.  Keys are sorted and sent as
-differences.  Pairs go by ranges of the symbol, so a chunk names a symbol once, and by ranges of the
-context for symbols that alone would fill a range.  Answers are values in the order of the question,
-without its keys: the chunk makes its questions again.  No part of the model is broadcast but fixed-size
-bitmaps (``BITS``) of the keys worth asking for, where more keys are asked for as they fill up, and the
-symbols above, fewer than there are ranges.
+differences.  Pairs go by ranges of the context, so a chunk names a context once, and by ranges of the
+symbol for contexts that alone would fill a range.  The more ranges there are, the more often a chunk
+names a symbol, so frequent words (``LISTED``) go as numbers into a list that all tasks have; others go
+as keys.  Answers are values in the order of the question, without its keys: the chunk makes its
+questions again.  No part of the model is broadcast but fixed-size bitmaps (``BITS``) of the keys worth
+asking for, where more keys are asked for as they fill up, that list, and the contexts above, fewer than
+there are ranges.
 
 Defined results: null and empty texts consist of the end alone; a null doc_id neither trains nor is held
 out (held_out is null); repeated rows count and are scored each by itself; without training text N is 0
@@ -55,6 +57,8 @@ RANGE = 8_000_000
 #: Size of a bitmap, and the shifts that give a key its bits in it.
 BITS = 1 << 26
 SHIFTS = (0, 26)
+#: Most words in the list of frequent ones.
+LISTED = 1 << 20
 #: Tokens whose contexts a worker holds and counts at a time.
 SLICE = 500_000
 TURN = 21
@@ -277,6 +281,38 @@ def bitmap(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(_pack(bits))
 
 
+def frequent(counts: DataFrame):
+    """Broadcast keys of the most frequent words that may be asked for, in ascending order; LISTED at most.
+
+    Words of about the same count are in it together or not at all.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    counts = counts.where(F.col("c") >= MIN_NEXT).withColumn("level", level)
+    levels = counts.groupBy("level").count().orderBy(F.desc("level")).collect()
+    sizes = np.cumsum([r["count"] for r in levels])
+    taken = [r["level"] for r, size in zip(levels, sizes) if size <= LISTED]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = [pdf["key"].to_numpy(np.int64).view(np.uint64) for pdf in batches]
+        if keys:
+            yield pd.DataFrame({"keys": [_pack_keys(np.sort(np.concatenate(keys)))]})
+
+    parts = counts.where(F.col("level").isin(taken)).select("key").mapInPandas(pack, "keys binary").collect()
+    keys = np.concatenate([np.empty(0, np.uint64), *(_unpack_keys(r["keys"]) for r in parts)])
+    return counts.sparkSession.sparkContext.broadcast(_pack_keys(np.sort(keys)))
+
+
+def _pack_words(keys: np.ndarray, listed: Places) -> list[bytes]:
+    """Keys in ascending order: the numbers of those in the list, and the others."""
+    at = listed.of(keys)
+    known = at < len(listed.keys) - 1
+    return [_pack(np.diff(at[known], prepend=np.int32(0))), _pack_keys(keys[~known])]
+
+
+def _unpack_words(numbers: bytes, others: bytes, listed: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([listed[np.cumsum(_unpack(numbers, "<i4"))], _unpack_keys(others)]))
+
+
 def _pairs(chunk: Chunk, depth: int, gates: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, s, c): symbols of a chunk after its contexts of a depth, and how often in training.
 
@@ -300,9 +336,15 @@ def _pairs(chunk: Chunk, depth: int, gates: tuple) -> tuple[np.ndarray, np.ndarr
     return chunk.vocabulary[x], s, c
 
 
-def ranged(x: np.ndarray, s: np.ndarray, c: np.ndarray, often: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    """(x, s, c) by range, symbol and context, each pair once, and where the ranges end."""
-    ranges = _first_bits(np.where(np.isin(x, often), s, x), bits).astype(np.int32)
+def ranged(
+    x: np.ndarray, s: np.ndarray, c: np.ndarray, often: np.ndarray, bits: int, by_context: bool = False
+) -> tuple[np.ndarray, ...]:
+    """(x, s, c) by range, symbol and context, each pair once, and where the ranges end.
+
+    Ranges are of symbols or of contexts, and of the others for those in ``often``.
+    """
+    own, other = (s, x) if by_context else (x, s)
+    ranges = _first_bits(np.where(np.isin(own, often), other, own), bits).astype(np.int32)
     parts, each = [], max(1, (1 << bits) // 8)
     # Few ranges are sorted at a time, which takes less memory.
     for i in range(0, 1 << bits, each):
@@ -313,38 +355,48 @@ def ranged(x: np.ndarray, s: np.ndarray, c: np.ndarray, often: np.ndarray, bits:
     return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), c, _ends(ranges, bits)
 
 
-PAIRS = "range int, symbols binary, sizes binary, contexts binary, places binary, c binary"
+PACKED = ["symbols", "rare_symbols", "sizes", "contexts", "rare_contexts", "places", "c"]
+PAIRS = ", ".join(["range int", *(f"{x} binary" for x in PACKED)])
+NONE = np.empty(0, np.uint64)
 
 
-def packed_pairs(x: np.ndarray, s: np.ndarray, c: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-    """One row a range: each symbol once, its contexts as places in a list of them, and the counts."""
-    found = []
+def packed_pairs(x: np.ndarray, s: np.ndarray, c: np.ndarray, ends: np.ndarray, listed: np.ndarray = NONE) -> pd.DataFrame:
+    """One row a range: each symbol once, its contexts as places among those of the range, and the counts."""
+    found, listed = [], Places(listed)
     for r, (i, j) in enumerate(zip(ends, ends[1:])):
         if i < j:
             symbols, sizes = np.unique(x[i:j], return_counts=True)
             contexts, places = np.unique(s[i:j], return_inverse=True)
-            numbers = [_pack(y.astype(np.int32)) for y in (sizes, places)]
-            found.append((r, _pack_keys(symbols), numbers[0], _pack_keys(contexts), numbers[1], _pack(c[i:j])))
-    return pd.DataFrame(found, columns=["range", "symbols", "sizes", "contexts", "places", "c"])
+            sizes, places = (_pack(y.astype(np.int32)) for y in (sizes, places))
+            found.append((r, *_pack_words(symbols, listed), sizes, *_pack_words(contexts, listed), places, _pack(c[i:j])))
+    return pd.DataFrame(found, columns=["range", *PACKED])
+
 
+def unpacked_pairs(row, listed: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.repeat(_unpack_words(row.symbols, row.rare_symbols, listed), _unpack(row.sizes, "<i4"))
+    contexts = _unpack_words(row.contexts, row.rare_contexts, listed)
+    return x, contexts[_unpack(row.places, "<i4")], _unpack(row.c, "<i8")
 
-def unpacked_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.repeat(_unpack_keys(row.symbols), _unpack(row.sizes, "<i4"))
-    return x, _unpack_keys(row.contexts)[_unpack(row.places, "<i4")], _unpack(row.c, "<i8")
 
+def followers(
+    chunks: DataFrame, depth: int, gates: tuple, often: np.ndarray, bits: int, listed=None
+) -> tuple[DataFrame, DataFrame]:
+    """(s, x, c): training counts of symbols after contexts; (depth, range, chunk, c): a chunk's share of them.
 
-def followers(chunks: DataFrame, depth: int, gates: tuple, often: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(s, x, c): training counts of symbols after contexts; (depth, range, chunk, c): a chunk's share of them."""
+    ``listed`` is what ``frequent`` gives, or None.
+    """
     least = MIN_PAIR if depth else 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maps = tuple(Bitmap(g.value) for g in gates)
+        maps, frequent = tuple(Bitmap(g.value) for g in gates), _unpack_keys(listed.value) if listed else NONE
         for pdf in batches:
             for row in pdf.itertuples():
-                yield packed_pairs(*ranged(*_pairs(Chunk(row), depth, maps), often, bits)).assign(chunk=row.chunk)
+                own = ranged(*_pairs(Chunk(row), depth, maps), often, bits, depth > 0)
+                yield packed_pairs(*own, frequent).assign(chunk=row.chunk)
 
     def total(asked: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked_pairs(row) for row in asked.itertuples()]
+        frequent = _unpack_keys(listed.value) if listed else NONE
+        parts = [unpacked_pairs(row, frequent) for row in asked.itertuples()]
         x, s, c = map(np.concatenate, zip(*parts))
         order = np.lexsort((x, s))
         x, s = x[order], s[order]
@@ -379,21 +431,21 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int, bits: int) -> tup
     """(key, c, rest): counts of states, and what they leave to shorter ones; steps of ``followers``.
 
     ``rest`` is in occurrences.  Whole numbers and quarters, unlike shares, pack well wherever they are
-    written.  A step is (depth, bitmaps, frequent symbols, answers).
+    written.  A step is (depth, bitmaps, frequent contexts, answers).
     """
     p0 = (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))
     below = counts.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), p0.alias("p"))
     contexts = counts.where(F.col("c") >= MIN_CONTEXT).select(
         F.col("key").alias("s"), F.lit(0).cast("long").alias("shorter"), F.col("c").alias("total")
     )
-    symbols = bitmap(counts.where(F.col("c") >= MIN_NEXT))
-    # Fewer than there are ranges, for all counts together are n.
-    often = [r["key"] for r in counts.where(F.col("c") * (1 << bits) > n).select("key").collect()]
-    often = np.array(often, np.int64).view(np.uint64)
+    symbols, listed = bitmap(counts.where(F.col("c") >= MIN_NEXT)), frequent(counts)
     model, spreads, steps, lower = None, [], [], ()
     for depth in range(1, DEPTH + 1):
         gates = bitmap(contexts.select(F.col("s").alias("key"))), symbols, *lower
-        counted, answers = followers(chunks, depth, gates, often, bits)
+        # Fewer than there are ranges, for all counts together are n at most.
+        often = [r["s"] for r in contexts.where(F.col("total") * (1 << bits) > n).select("s").collect()]
+        often = np.array(often, np.int64).view(np.uint64)
+        counted, answers = followers(chunks, depth, gates, often, bits, listed)
         steps.append((depth, gates, often, stored(answers, "answers")))
         shorter = below.select(F.col("s").alias("shorter"), "x", F.col("p").alias("q"))
         pairs = stored(counted.join(contexts, "s").join(shorter, ["shorter", "x"]), "followers")
@@ -440,8 +492,7 @@ def scored(docs: DataFrame) -> DataFrame:
     chunks = stored(chunked(docs), "chunks")
     # Ranges go by the first bits of a key.
     bits = max(0, int(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE).bit_length()
-    never = np.empty(0, np.uint64)
-    counts, answers = followers(chunks, 0, (), never, bits)
+    counts, answers = followers(chunks, 0, (), NONE, bits)
     counts = counts.select(F.col("x").alias("key"), "c")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     model, steps = tree(chunks, counts, n, v, bits)
@@ -504,14 +555,14 @@ def scored(docs: DataFrame) -> DataFrame:
             total, rest = np.r_[answered(-1, ends), 0].astype(float), np.r_[answered(-1, ends, "rest", "<f8"), 0.0]
             pairs = []
             for depth, gates, often in asked:
-                x, s, _, ends = ranged(*_pairs(chunk, depth, tuple(Bitmap(g.value) for g in gates)), often, bits)
+                x, s, _, ends = ranged(*_pairs(chunk, depth, tuple(Bitmap(g.value) for g in gates)), often, bits, True)
                 c = answered(depth, ends)
                 keys = joined(x[c > 0], s[c > 0])
                 del x, s
                 order = np.argsort(keys)
                 pairs.append((Places(keys[order]), np.r_[c[c > 0][order], 0].astype(float)))
                 del keys, order
-            x, _, _, ends = ranged(*_pairs(chunk, 0, ()), never, bits)
+            x, _, _, ends = ranged(*_pairs(chunk, 0, ()), NONE, bits)
             c = np.r_[answered(0, ends), 0].astype(float)
             starts = np.r_[0, chunk.ends[:-1] + 1] if len(chunk.ends) else chunk.ends
             add = lambda x: np.add.reduceat(x, starts)

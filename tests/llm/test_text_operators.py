@@ -490,6 +490,46 @@ def test_pairs_travel_packed_and_frequent_symbols_are_spread():
     assert got == want
 
 
+def test_pairs_of_frequent_words_stay_small_in_many_ranges():
+    draw = np.random.default_rng(8)
+    hashes = draw.integers(0, 1 << 64, 20_000, np.uint64, endpoint=False)
+    x, s = hashes[draw.zipf(1.2, 400_000) % 20_000], hashes[draw.zipf(1.2, 400_000) % 2_000]
+    want = Counter(zip(x.tolist(), s.tolist()))
+    often, listed = hashes[1:2], np.sort(hashes[:19_000])
+    each = []
+    for bits in (2, 8):
+        *pairs, ends = suffix_tree.ranged(x, s, np.ones(len(x), np.int32), often, bits, by_context=True)
+        rows = suffix_tree.packed_pairs(*pairs, ends, listed)
+        each.append(rows.drop(columns="range").map(len).to_numpy().sum() / len(pairs[0]))
+        got = Counter()
+        for row in rows.itertuples():
+            for a, b, n in zip(*(y.tolist() for y in suffix_tree.unpacked_pairs(row, listed))):
+                assert (a if b == int(often[0]) else b) >> 64 - bits == row.range
+                got[a, b] += n
+        assert got == want
+    # By ranges of symbols, with the key of each word: 2.7 and 7.0 bytes.
+    assert each[0] < 2.5 and each[1] < 3
+
+
+def test_listed_words_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "LISTED", 100)
+    counts = spark.createDataFrame([(i - 500, i) for i in range(1, 1_001)], "key long, c long")
+    keys = suffix_tree._unpack_keys(suffix_tree.frequent(counts).value)
+    found = sorted(keys.view(np.int64).tolist())
+    assert found == list(range(501 - len(found), 501)) and 50 < len(found) <= 100
+    assert (np.diff(keys) > 0).all()
+    assert not len(suffix_tree._unpack_keys(suffix_tree.frequent(counts.where("c > 2000")).value))
+
+
+def test_listed_words_do_not_change_scores(documents, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "MIN_CONTEXT", 8)
+    whole = sorted((str(r.doc_id), r.n_tokens, round(r.score, 8)) for r in suffix_tree.scored(documents).collect())
+    monkeypatch.setattr(suffix_tree, "RANGE", 5_000)
+    for most in (50, 0):
+        monkeypatch.setattr(suffix_tree, "LISTED", most)
+        assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 8)) for r in suffix_tree.scored(documents).collect()) == whole
+
+
 def test_numbers_are_packed_by_size():
     x = (np.random.default_rng(7).zipf(1.2, 200_000) % 300_000).astype(np.int32)
     packed = suffix_tree._pack_numbers(x)
