@@ -18,12 +18,12 @@ once, with its own training counts; the counts are summed up by pair, and the ch
 sums.  For the states it asks once more.  All of this travels packed, one row for a chunk and a range of
 keys; there are as many ranges as keep one at about ``RANGE`` tokens' keys.  Keys are sorted and sent as
 differences.  Pairs go by ranges of the context, so a chunk names a context once, and by ranges of the
-symbol for contexts that alone would fill a range.  The more ranges there are, the more often a chunk
-names a symbol, so frequent words (``LISTED``) go as numbers into a list that all tasks have; others go
-as keys.  Answers are values in the order of the question, without its keys: the chunk makes its
+symbol for contexts that alone would fill an eighth of one.  The more ranges there are, the more often a
+chunk names a symbol, so frequent words (``LISTED``) go as numbers into a list that all tasks have; others
+go as keys.  Answers are values in the order of the question, without its keys: the chunk makes its
 questions again.  No part of the model is broadcast but fixed-size bitmaps (``BITS``) of the keys worth
 asking for, where more keys are asked for as they fill up, that list, and the contexts above, fewer than
-there are ranges.
+eight to a range.
 
 Defined results: null and empty texts consist of the end alone; a null doc_id neither trains nor is held
 out (held_out is null); repeated rows count and are scored each by itself; without training text N is 0
@@ -111,7 +111,9 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 
 def _pack_numbers(x: np.ndarray) -> list[bytes]:
     """Numbers of which small ones are frequent: how many bits each has, then the numbers by that."""
-    bits = np.frexp(x + 1.0)[1].astype(np.uint8)
+    bits = np.empty(len(x), np.uint8)
+    for i in range(0, len(x), SLICE):
+        bits[i : i + SLICE] = np.frexp(x[i : i + SLICE] + 1.0)[1]
     return [_pack(bits), _pack(x[np.argsort(bits, kind="stable")])]
 
 
@@ -131,9 +133,12 @@ def _ends(ranges: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(ranges, np.arange((1 << bits) + 1))
 
 
-def _summed(c: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows of the keys, sorted by the first, then the next, and the sums of ``c``."""
-    order = np.lexsort(keys[::-1])
+def _summed(c: np.ndarray, *keys: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct rows of the keys, sorted by the first, then the next, and the sums of ``c``.
+
+    Or in the given order, in which rows that aren't neighbours stay apart.
+    """
+    order = np.lexsort(keys[::-1]) if order is None else order
     keys, c = [k[order] for k in keys], c[order]
     new = np.ones(len(c), bool)
     if len(c):
@@ -207,10 +212,10 @@ class Chunk:
 
         Some at a time; of the tokens in the mask ``wanted`` only, if one is given.
         """
-        known = self.place >= depth
-        places = np.flatnonzero(known if wanted is None else known & wanted)
-        for i in range(0, len(places), SLICE):
-            at = places[i : i + SLICE]
+        for i in range(0, len(self.place), SLICE):
+            known = self.place[i : i + SLICE] >= depth
+            at = np.flatnonzero(known if wanted is None else known & wanted[i : i + SLICE])
+            at += i
             yield at, self.context(at, depth)
 
     def context(self, at: np.ndarray, depth: int) -> np.ndarray:
@@ -330,10 +335,15 @@ def _pairs(chunk: Chunk, depth: int, gates: tuple) -> tuple[np.ndarray, np.ndarr
         for shorter in lower:
             k = shorter.of(joined(chunk._keys(at), chunk.context(at, depth - 1)))
             at, context = at[k], context[k]
-        c, x, s = _summed(chunk.in_training[at].astype(np.int32), chunk.tokens[at], context)
+        # Equal pairs become neighbours by one key, which is faster; ``ranged`` sorts them.
+        order = np.argsort(joined(chunk._keys(at), context))
+        c, x, s = _summed(chunk.in_training[at].astype(np.int32), chunk.tokens[at], context, order=order)
         parts.append((c.astype(np.int32), x, s))
-    c, x, s = map(np.concatenate, zip(*parts))
-    return chunk.vocabulary[x], s, c
+    # Lists go one by one, which takes less memory.
+    c, x, s = map(list, zip(*parts))
+    del parts
+    c, s = np.concatenate(c), np.concatenate(s)
+    return chunk.vocabulary[np.concatenate(x)], s, c
 
 
 def ranged(
@@ -344,15 +354,20 @@ def ranged(
     Ranges are of symbols or of contexts, and of the others for those in ``often``.
     """
     own, other = (s, x) if by_context else (x, s)
-    ranges = _first_bits(np.where(np.isin(own, often), other, own), bits).astype(np.int32)
-    parts, each = [], max(1, (1 << bits) // 8)
-    # Few ranges are sorted at a time, which takes less memory.
-    for i in range(0, 1 << bits, each):
-        k = (ranges >= i) & (ranges < i + each)
-        parts.append(_summed(c[k], ranges[k], x[k], s[k]))
-    ranges = np.concatenate([p[1] for p in parts])
-    c = np.concatenate([p[0] for p in parts]).astype(np.int64)
-    return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), c, _ends(ranges, bits)
+    spread = Places(np.sort(often)).of(own) < len(often)
+    # Numbers of 16 bits are sorted fast.
+    ranges = _first_bits(np.where(spread, other, own), bits).astype(np.uint16 if bits <= 16 else np.int32)
+    order = np.argsort(ranges, kind="stable").astype(np.int32)
+    ends = _ends(ranges[order], bits)
+    new_x, new_s, new_c, new_ends = np.empty_like(x), np.empty_like(s), np.empty(len(c), np.int64), [0]
+    # One range is sorted at a time, which takes less memory.
+    for i, j in zip(ends, ends[1:]):
+        k = order[i:j]
+        found = _summed(c[k], x[k], s[k])
+        i, j = new_ends[-1], new_ends[-1] + len(found[0])
+        new_c[i:j], new_x[i:j], new_s[i:j] = found
+        new_ends.append(j)
+    return new_x[:j], new_s[:j], new_c[:j], np.array(new_ends)
 
 
 PACKED = ["symbols", "rare_symbols", "sizes", "contexts", "rare_contexts", "places", "c"]
@@ -397,7 +412,9 @@ def followers(
     def total(asked: pd.DataFrame) -> pd.DataFrame:
         frequent = _unpack_keys(listed.value) if listed else NONE
         parts = [unpacked_pairs(row, frequent) for row in asked.itertuples()]
+        sizes = [len(p[2]) for p in parts]
         x, s, c = map(np.concatenate, zip(*parts))
+        del parts
         order = np.lexsort((x, s))
         x, s = x[order], s[order]
         new = np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])]
@@ -406,7 +423,7 @@ def followers(
         sums[sums < least] = 0
         c[order] = sums[np.cumsum(new) - 1]
         kept = sums > 0
-        shares = np.split(c, np.cumsum([len(p[2]) for p in parts])[:-1])
+        shares = np.split(c, np.cumsum(sizes)[:-1])
         answers = [(r, k, _pack(y)) for r, k, y in zip(asked["range"], asked["chunk"], shares) if y.any()]
         r, k, packed = zip(*answers) if answers else ((), (), ())
         rows, none = int(kept.sum()), np.zeros(len(answers), np.int64)
@@ -442,8 +459,8 @@ def tree(chunks: DataFrame, counts: DataFrame, n: int, v: int, bits: int) -> tup
     model, spreads, steps, lower = None, [], [], ()
     for depth in range(1, DEPTH + 1):
         gates = bitmap(contexts.select(F.col("s").alias("key"))), symbols, *lower
-        # Fewer than there are ranges, for all counts together are n at most.
-        often = [r["s"] for r in contexts.where(F.col("total") * (1 << bits) > n).select("s").collect()]
+        # Fewer than eight to a range, for all counts together are n at most.
+        often = [r["s"] for r in contexts.where(F.col("total") * (8 << bits) > n).select("s").collect()]
         often = np.array(often, np.int64).view(np.uint64)
         counted, answers = followers(chunks, depth, gates, often, bits, listed)
         steps.append((depth, gates, often, stored(answers, "answers")))
